@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, packing, sharding, sql
+from . import archive, chat, decontamination, embeddings, jaccard, packing, sharding, sql, substrings
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,19 +39,40 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every find of a benchmark item in a document."""
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from the point of view of each of its speakers."""
     return chat.rotate(read(spark, sf_dir, "conversations"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated windows leaves of every document."""
+    cut = substrings.dedup(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under the n-gram similarity join."""
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (op2_packing, op4_warc, op6_sharding, op8_chat)}
+    return {f.__name__: f for f in (op2_packing, op4_warc, op5_decontamination, op6_sharding, op7_embeddings, op8_chat, op9_substrings, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
