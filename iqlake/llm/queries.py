@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, decontamination, embeddings, jaccard, packing, sharding, sql, substrings
+from . import archive, chat, decontamination, embeddings, jaccard, packing, quality, sharding, sql, substrings, toxicity
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,11 +23,23 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of 2048 ids."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file()).drop("ids")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as legacy archives, half of each version, converted to WARC and read back."""
     pages = read(spark, sf_dir, "pages")
@@ -72,7 +84,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (op2_packing, op4_warc, op5_decontamination, op6_sharding, op7_embeddings, op8_chat, op9_substrings, op10_jaccard)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_warc, op5_decontamination, op6_sharding, op7_embeddings, op8_chat, op9_substrings, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
