@@ -1 +1,5 @@
-"""Plans of the engine."""
+"""Registered queries over the driver's tables."""
+
+from . import metric_queries as metric_queries
+from .registry import ORACLE as ORACLE
+from .registry import QUERIES as QUERIES
