@@ -1,5 +1,6 @@
 """Registered queries over the driver's tables."""
 
 from . import metric_queries as metric_queries
+from . import sample_queries as sample_queries
 from .registry import ORACLE as ORACLE
 from .registry import QUERIES as QUERIES
