@@ -2,5 +2,6 @@
 
 from . import metric_queries as metric_queries
 from . import sample_queries as sample_queries
+from . import similarity_queries as similarity_queries
 from .registry import ORACLE as ORACLE
 from .registry import QUERIES as QUERIES
