@@ -80,7 +80,7 @@ def measure(texts: pa.Array) -> np.ndarray:
     visible = np.maximum(per_byte - blank, 1)
     return np.stack([
         np.log1p(n), words_in(length) / per_word, longest, bytes_in(_BYTE["upper"]) / visible, bytes_in(_BYTE["digit"]) / visible, bytes_in(_BYTE["symbol"]) / visible, bytes_in(_BYTE["stop"]) / per_word, bytes_in(_BYTE["mark"]) / per_word,
-        bytes_in(high) / visible, words_in(same) / per_word, distinct(h, owner) / per_word, 1 - distinct(grams, whose) / np.maximum(n_grams, 1), np.log1p(breaks), n / n_lines, 1 - distinct(sums, line_owner) / n_lines,
+        bytes_in(high) / visible, words_in(same) / per_word, distinct(h, owner) / per_word, (n_grams - distinct(grams, whose)) / np.maximum(n_grams, 1), np.log1p(breaks), n / n_lines, (np.bincount(line_owner, minlength=n_texts) - distinct(sums, line_owner)) / n_lines,
         words_in(capital) / per_word, words_in(ends_stop) / per_word, bytes_in(pipes) / per_word, words_in(bare) / per_word,
     ], axis=1)
 
