@@ -23,7 +23,7 @@ WINDOW, ANCHOR = 20, 8
 #: Different passages from which on an anchor's shard is dealt out by whole windows instead.
 WIDE = 4096
 #: Passages that a task compares among themselves before it passes them on.
-LOCAL = 1 << 20
+LOCAL = 1 << 19
 _DIGEST_BASE = U64(0xA0761D6478BD642F)
 _DIGEST_INVERSE = U64(pow(int(_DIGEST_BASE), -1, 1 << 64))
 
@@ -82,7 +82,6 @@ def _local(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, held = [], 0
     for batch in batches:
-        ids = batch.column(0)
         for step in steps(batch):
             ids = step.column(0).to_numpy(zero_copy_only=False)
             text, *rest = passages(Words(step.column(1)))
@@ -150,10 +149,13 @@ class Automaton:
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (shard, doc_id, start, text) in that order: match each passage against the shard's earlier ones, then add it."""
-    shard, automaton = None, Automaton()
+    shard, automaton, last = None, Automaton(), None
     for batch in batches:
         found = ([], [])
         for key, doc, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, doc, start) == last:
+                continue
+            last = (key, doc, start)
             if key != shard:
                 shard, automaton = key, Automaton()
             words = text.split(b" ")
@@ -218,15 +220,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, start, n): runs of n windows from word ``start`` whose word sequence starts earlier in the corpus."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     by_anchor = Window.partitionBy("anchor")
-    first = F.first(F.struct("doc_id", "start")).over(Window.partitionBy("anchor", "digest").orderBy("doc_id", "start"))
-    seen = texts.mapInArrow(_marks, _MARK).repartition("anchor")
+    place = F.struct("doc_id", "start")
     # same passages are next to each other in a shard sorted by digest: one sort serves all of these
-    order = by_anchor.orderBy("digest", "doc_id", "start")
+    first = F.first(place).over(Window.partitionBy("anchor", "digest").orderBy("doc_id", "start"))
+    seen = texts.mapInArrow(_marks, _MARK).repartition("anchor").withColumn("dup", place != first)
     marks = (
-        seen.withColumn("dup", F.coalesce(F.lag("digest").over(order) == F.col("digest"), F.lit(False)))
-        .withColumn("kinds", F.sum(F.when(F.col("dup"), 0).otherwise(1)).over(by_anchor))
-        .where("later or dup or kinds > 1")
-        .select("doc_id", "anchor", "start", "n", (F.col("later") | F.col("dup")).alias("gone"), (F.col("kinds") > WIDE).alias("wide"))
+        seen.withColumn("n_kept", F.count_if(~F.col("dup")).over(by_anchor))
+        .withColumn("several", F.min("digest").over(by_anchor) != F.max("digest").over(by_anchor))
+        .where("later or dup or several")
+        .select("doc_id", "anchor", "start", "n", (F.col("later") | F.col("dup")).alias("gone"), (F.col("n_kept") > WIDE).alias("wide"))
     )
     marks = stored(marks, "marks")
     wanted = marks.where("not gone").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "wide")).alias("wanted"))
