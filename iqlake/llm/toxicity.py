@@ -100,7 +100,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f, text = _distinct(Words(step.column(0)))
             parts.append((f, y[text]))
             held += len(f)
-            if held > 4_000_000:
+            if held > 500_000:
                 yield summed()
                 parts, held = [], 0
     if held:
