@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 #: Fixed parameters of the hashes: generator seed, and odd multipliers for positions in a word and in a sequence.
 _SEED, WORD_BASE, SEQ_BASE = 20240607, U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
@@ -169,23 +168,56 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with component the smallest node reachable over ``edges``; nodes without edges are absent.
 
     Large-star/small-star contraction, whose number of rounds is logarithmic. Neighbour lists are never gathered: each
-    round is a minimum by node (combined before the shuffle) and a join.
+    round is two minima by node (combined before the shuffle) and two joins. A count and a sum of hashes tell when a round
+    changed nothing.
     """
     spark = edges.sparkSession
+
+    def keep(e: DataFrame) -> tuple[str, DataFrame, tuple]:
+        path = new_path(spark, "cc")
+        e.write.parquet(path)
+        e = spark.read.schema("u long, v long").parquet(path)
+        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return path, e, tuple(mark)
+
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    while True:
+    path, e, mark = keep(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x")).select("x.*")
-        nxt = stored(small.where("u <> v").distinct(), "cc")
-        n_old = e.count()
-        same = nxt.count() == n_old and nxt.join(e, ["u", "v"], "left_anti").isEmpty()
-        drop_path(spark, os.path.dirname(e.inputFiles()[0])) if n_old else None
-        e = nxt
-        if same:
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
+        small = large.join(low, "u").select(F.explode(ends).alias("x")).select("x.*").where("u <> v").distinct()
+        before, old = mark, path
+        path, e, mark = keep(small)
+        drop_path(spark, old)
+        if mark == before:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+
+
+def spanning(label: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Of the given pairs of places, as many as connect what all of them connect, by rounds of hooking to a smaller label.
+
+    Places of one label (numbers below their count) are connected from the start.
+    """
+    n, out = len(label), []
+    for i, j in near:
+        while True:
+            a, b = label[i], label[j]
+            cross = a != b
+            if not cross.any():
+                break
+            i, j = i[cross], j[cross]
+            high, low = np.maximum(a, b)[cross], np.minimum(a, b)[cross]
+            order = np.lexsort((low, high))
+            first = order[np.r_[True, np.diff(high[order]) != 0]]
+            out += zip(i[first].tolist(), j[first].tolist(), strict=True)
+            to = np.arange(n)
+            to[high[first]] = low[first]
+            while (nxt := to[to]).tolist() != to.tolist():
+                to = nxt
+            label = to[label]
+    return out

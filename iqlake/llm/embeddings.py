@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, spanning, stored
 
 #: Least cosine of a link; share of pairs at just that cosine whose cell the traversal has to reach.
 COSINE, RECALL = 0.98, 0.99
@@ -114,7 +114,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lone = ~(cells[j] == cells[i][:, :1]).any(1)
             np.add.at(counts, j[lone], copies[i[lone]])
             near.append((i, j))
-        edges = np.array([(vec[i], vec[j]) for i, j in _forest(len(vec), near)], np.int64).reshape(-1, 2)
+        edges = np.array([(vec[i], vec[j]) for i, j in spanning(np.arange(len(vec)), near)], np.int64).reshape(-1, 2)
         some = np.flatnonzero(counts)
         total = len(some) + len(edges)
         if total:
@@ -123,28 +123,6 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["vec_id", "other", "n"])
 
 
-def _forest(n: int, near: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Of pairs of places below n, as many as connect what all of them connect (rounds of hooking to a smaller label)."""
-    label, out = np.arange(n), []
-    for i, j in near:
-        while True:
-            a, b = label[i], label[j]
-            cross = a != b
-            if not cross.any():
-                break
-            i, j = i[cross], j[cross]
-            high, low = np.maximum(a, b)[cross], np.minimum(a, b)[cross]
-            order = np.lexsort((low, high))
-            first = order[np.r_[True, np.diff(high[order]) != 0]]
-            out += zip(i[first].tolist(), j[first].tolist(), strict=True)
-            to = np.arange(n)
-            to[high[first]] = low[first]
-            while (nxt := to[to]).tolist() != to.tolist():
-                to = nxt
-            label = to[label]
-    return out
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]):
     """Arrays of each group of a stream of batches that is sorted by its group column."""
     held: list[pa.RecordBatch] = []

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, components, mix, runs_of, steps, stored
+from .common import U64, Words, components, mix, runs_of, spanning, steps, stored
 
 #: Words of an n-gram; two sets are linked where BELOW * |both| >= ABOVE * |either|.
 WORDS, ABOVE, BELOW = 4, 85, 100
 #: Sizes of a band grow by this factor; documents of a block that are compared within one task.
 BAND, BLOCK = 1.5, 8192
-#: Bits of a part's sketch.
-BITS = 16
+#: Bits of a part's sketch, and at least so many bits per n-gram in the fine sketch of a pair's second test.
+BITS, FINE = 32, 8
 _PART, _CODE = U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)
 
 
@@ -79,9 +79,9 @@ def sketch(grams: np.ndarray, bounds: np.ndarray, band: np.ndarray) -> tuple[np.
     g, owner = grams[use], owner[use]
     hashed = mix(g * _PART)
     place = at[owner] + (hashed % np.maximum(parts[owner], 1).astype(U64)).astype(np.int64)
-    codes, bits = np.zeros(at[-1], U64), np.zeros(at[-1], np.uint16)
+    codes, bits = np.zeros(at[-1], U64), np.zeros(at[-1], np.uint32)
     np.bitwise_xor.at(codes, place, mix(g ^ _CODE))
-    np.bitwise_xor.at(bits, place, np.uint16(1) << (hashed >> U64(60)).astype(np.uint16))
+    np.bitwise_xor.at(bits, place, np.uint32(1) << (hashed >> U64(59)).astype(np.uint32))
     return codes, bits, at
 
 
@@ -163,7 +163,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, own band, own sketch, next band's sketch, sorted n-gram hashes)."""
+    """(doc_id, n, own band, own sketch, next band's sketch, fine sketch, sorted n-gram hashes)."""
     for batch in batches:
         for step in steps(batch):
             grams, bounds = sets(Words(step.column(1)))
@@ -173,8 +173,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for band in (own, above):
                 _, bits, at = sketch(grams, bounds, band)
                 cols.append([bits[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
-            whole = [grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(whole, pa.binary())], names=["doc_id", "n", "band", "own", "above", "grams"])
+            each = [grams[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            fine, whole = [fine_sketch(g).tobytes() for g in each], [g.tobytes() for g in each]
+            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(fine, pa.binary()), pa.array(whole, pa.binary())], names=["doc_id", "n", "band", "own", "above", "fine", "grams"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -191,75 +192,177 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, block, doc_id, other, n, label, bits): a spanning forest of each group's pairs with close sketches.
+def _near(x: int, others: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Those of the places ``others`` whose sizes and sketches allow a link with place x."""
+    low, high = np.minimum(n[others], n[x]), np.maximum(n[others], n[x])
+    able = low * BELOW >= high * ABOVE
+    others, low = others[able], low[able]
+    apart = np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64)
+    return others[apart <= difference(low)]
 
-    Documents of one label count as connected. Rows with ``other`` name a pair that is known not to be linked.
-    """
-    out: tuple[list, ...] = ([], [], [])
-    for rows in _groups(batches):
-        barred: dict[int, set[int]] = {}
-        docs = {}
-        for _, _, doc, other, n, label, bits in rows:
-            if other is not None:
-                barred.setdefault(doc, set()).add(other)
-                barred.setdefault(other, set()).add(doc)
-            else:
-                docs[doc] = (n, label, bits)
-        ids = np.array(sorted(docs), np.int64)
-        if len(ids) < 2:
-            continue
-        n = np.array([docs[d][0] for d in ids.tolist()], np.int64)
-        label = np.array([docs[d][1] for d in ids.tolist()], np.int64)
-        bits = np.frombuffer(b"".join(docs[d][2] for d in ids.tolist()), np.uint16).reshape(len(ids), -1)
-        left = np.arange(len(ids))
-        queue: list[int] = []
-        while len(left) or queue:
-            if not queue:
-                queue.append(int(left[0]))
-                left = left[1:]
+
+def _tree(n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with close sketches, found breadth first: what is reached isn't compared again."""
+    found: list[tuple[int, int]] = []
+    left, queue = np.arange(len(n)), []
+    while len(left):
+        if queue:
             x = queue.pop()
-            if not len(left):
+        else:
+            x, left = int(left[0]), left[1:]
+        near = _near(x, left, n, bits)
+        if len(near):
+            found += [(x, y) for y in near.tolist()]
+            queue += near.tolist()
+            left = np.setdiff1d(left, near, assume_unique=True)
+    return found
+
+
+def _trees(n: np.ndarray, bits: np.ndarray, label: np.ndarray, barred: set[tuple[int, int]], width: int) -> list[tuple[int, int]]:
+    """Up to ``width`` spanning forests without a common edge, over pairs of different labels that aren't barred."""
+    _, label, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    small = np.flatnonzero(label != sizes.argmax())
+    place, pairs = np.arange(len(n)), []
+    for x in small.tolist():
+        # two documents outside the largest component meet once
+        others = place[(label != label[x]) & ((label == sizes.argmax()) | (place > x))]
+        near = _near(x, others, n, bits)
+        pairs += [(min(x, y), max(x, y)) for y in near.tolist() if (min(x, y), max(x, y)) not in barred]
+    out: list[tuple[int, int]] = []
+    for _ in range(width):
+        if not pairs:
+            break
+        got = spanning(label, [tuple(np.array(pairs).T)])
+        out += got
+        used = set(got)
+        pairs = [p for p in pairs if p not in used]
+    return out
+
+
+def _forest(width: int):
+    """Rows (key, block, doc_id, other, n, label, bits): pairs that connect each group's documents with close sketches.
+
+    Without ``width``, one forest. With it, documents of one label count as connected, rows with ``other`` name a pair that is
+    known not to be linked, and so many forests are given that edges that turn out not to be links have stand-ins.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, ...] = ([], [], [])
+        for rows in _groups(batches):
+            docs = {doc: (n, label, bits) for _, _, doc, other, n, label, bits in rows if other is None}
+            ids = np.array(sorted(docs), np.int64)
+            if len(ids) < 2:
                 continue
-            joined = label[left] == label[x]
-            low, high = np.minimum(n[left], n[x]), np.maximum(n[left], n[x])
-            near = ~joined & (low * BELOW >= high * ABOVE)
-            idx = np.flatnonzero(near)
-            if len(idx):
-                apart = np.bitwise_count(bits[left[idx]] ^ bits[x]).sum(1, dtype=np.int64)
-                near[idx] = apart <= difference(low[idx])
-            if near.any() and int(ids[x]) in barred:
-                near &= ~np.isin(ids[left], list(barred[int(ids[x])]))
-            for y in left[near].tolist():
-                a, b = sorted((int(ids[x]), int(ids[y])))
-                out[0].append(a)
-                out[1].append(b)
+            place = {d: i for i, d in enumerate(ids.tolist())}
+            n, label = (np.array([docs[d][k] for d in ids.tolist()], np.int64) for k in (0, 1))
+            bits = np.frombuffer(b"".join(docs[d][2] for d in ids.tolist()), np.uint32).reshape(len(ids), -1)
+            barred = {tuple(sorted((place[doc], place[other]))) for _, _, doc, other, *_ in rows if other is not None and doc in place and other in place}
+            for x, y in _trees(n, bits, label, barred, width) if width else _tree(n, bits):
+                out[0].append(int(ids[min(x, y)]))
+                out[1].append(int(ids[max(x, y)]))
                 out[2].append(rows[0][0])
-            reached = near | joined
-            queue += left[reached].tolist()
-            left = left[~reached]
-        if len(out[0]) > 10_000:
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "key"])
+                out = ([], [], [])
+        if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "key"])
-            out = ([], [], [])
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "key"])
 
+    return run
+
+
+def fine_sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity of a power of two of positions, at least FINE per n-gram. Halves folded by XOR give the sketch of half the size."""
+    size = 1 << max(6, int(len(grams) * FINE - 1).bit_length())
+    at = (mix(grams ^ _PART) & U64(size - 1)).astype(np.int64)
+    out = np.zeros(size // 64, U64)
+    np.bitwise_xor.at(out, at & (size // 64 - 1), U64(1) << (at // (size // 64)).astype(U64))
+    return out
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Differing bits of two fine sketches, the larger one folded: a lower bound of the sets' symmetric difference."""
+    small, large = sorted((x, y), key=len)
+    while len(large) > len(small):
+        large = large[: len(large) // 2] ^ large[len(large) // 2 :]
+    return int(np.bitwise_count(small ^ large).sum())
+
+
+def _by_pair(test):
+    """Rows (a, b, ...): whether ``test`` of the other columns holds, a few rows at a time as sets can be large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ok = [test(*row) for row in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+
+    return run
+
+
+def _close(nx: int, ny: int, x: bytes, y: bytes) -> bool:
+    """Whether a pair's fine sketches allow a link."""
+    return apart(np.frombuffer(x, U64), np.frombuffer(y, U64)) <= difference(min(nx, ny))
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(BELOW * both >= ABOVE * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+
+def _linked(x: bytes, y: bytes) -> bool:
+    """Whether a pair is linked, by its whole sets."""
+    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return BELOW * both >= ABOVE * (len(x) + len(y) - both)
 
 
 def _verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, linked) by exact comparison of the n-gram sets."""
+    """(a, b, linked). The pairs' fine sketches travel first, and whole sets only for those that these leave open."""
+    fine = known.select("doc_id", "n", "fine")
+    open_ = pairs.join(fine.toDF("a", "nx", "x"), "a").join(fine.toDF("b", "ny", "y"), "b").select("a", "b", "nx", "ny", "x", "y")
+    first = stored(open_.mapInArrow(_by_pair(_close), "a long, b long, linked boolean"), "close")
     grams = known.select("doc_id", "grams")
-    joined = pairs.join(grams.toDF("a", "x"), "a").join(grams.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_compare, "a long, b long, linked boolean")
+    rest = first.where("linked").select("a", "b").join(grams.toDF("a", "x"), "a").join(grams.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return first.where("not linked").union(rest.mapInArrow(_by_pair(_linked), "a long, b long, linked boolean"))
+
+
+def _across(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs whose ends have different labels."""
+    la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    ends = edges.select("a", "b").distinct().join(la, "a", "left").join(lb, "b", "left")
+    return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _connected(spark, grouped: DataFrame, known: DataFrame) -> tuple[bool, DataFrame]:
+    """(any links, labels): the components of exactly verified links, without comparing what is connected already.
+
+    First one pair per document is verified, which connects most of what belongs together, then the other edges of the
+    groups' forests that still join two components. A pair that sketches took for linked but that isn't may have stood for
+    others of its group, so such groups are gone over again, with what is known by then, until no pair fails; each time with
+    more forests at once, so that the number of rounds is logarithmic.
+    """
+    todo, width = grouped, 0
+    rows = todo.select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.col("doc_id").alias("label"), "bits")
+    edges = stored(_by_group(rows).mapInArrow(_forest(width), "a long, b long, key long"), "edges")
+    tested = stored(_verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known), "tested")
+    labels = components(tested.where("linked"))
+    more = stored(_verify(_across(edges, labels).join(tested, ["a", "b"], "left_anti"), known), "tested")
+    tested = tested.union(more)
+    while True:
+        if not more.where("linked").isEmpty():
+            labels = components(tested.where("linked"))
+        bad = tested.where("not linked").select("a", "b")
+        failed = edges.join(bad, ["a", "b"], "left_semi").select("key").distinct()
+        todo, width = stored(todo.join(failed, "key", "left_semi"), "again"), max(4, width * 8)
+        if todo.isEmpty():
+            break
+        named = todo.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.coalesce("component", "doc_id").alias("label"), "bits")
+        inside = todo.select("key", "block", F.col("doc_id").alias("a")).join(bad, "a").join(todo.select("key", "block", F.col("doc_id").alias("b")), ["key", "block", "b"], "left_semi")
+        barred = inside.select("key", "block", F.col("a").alias("doc_id"), F.col("b").alias("other"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("label"), F.lit(None).cast("binary").alias("bits"))
+        edges = stored(_by_group(named.union(barred)).mapInArrow(_forest(width), "a long, b long, key long"), "edges")
+        more = stored(_verify(edges.select("a", "b").distinct(), known), "tested")
+        tested = tested.union(more)
+    return not tested.where("linked").isEmpty(), labels
+
+
+def _by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -282,7 +385,7 @@ def join(docs: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key")
     met = met.select("key", "doc_id", F.count(F.lit(1)).over(by_key).alias("m"), F.row_number().over(by_key.orderBy("doc_id")).alias("r")).where("m > 1")
     met = stored(met, "met")
-    known = texts.where("doc_id is not null").join(met.select("doc_id").distinct(), "doc_id").mapInArrow(_sketches, "doc_id long, n long, band long, own binary, above binary, grams binary")
+    known = texts.where("doc_id is not null").join(met.select("doc_id").distinct(), "doc_id").mapInArrow(_sketches, "doc_id long, n long, band long, own binary, above binary, fine binary, grams binary")
     known = stored(known, "sketches")
 
     # a key with many documents is dealt out as pairs of blocks, so that a task holds two blocks of it at most
@@ -293,44 +396,10 @@ def join(docs: DataFrame) -> DataFrame:
     bits = F.when(F.col("key").bitwiseAND(63) == F.col("band"), F.col("own")).otherwise(F.col("above"))
     grouped = placed.join(known.select("doc_id", "n", "band", "own", "above"), "doc_id").select("key", "block", "doc_id", "n", bits.alias("bits"))
 
-    spark = docs.sparkSession
-    tested = spark.createDataFrame([], "a long, b long, linked boolean")
-    labels = None
-    todo, barred = grouped, None
-    while True:
-        rows = todo.select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.col("doc_id").alias("label"), "bits")
-        if labels is not None:
-            rows = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "block", "doc_id", "other", "n", F.coalesce("component", "label").alias("label"), "bits")
-        if barred is not None:
-            rows = rows.union(barred.select("key", "block", F.col("a").alias("doc_id"), F.col("b").alias("other"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("binary")))
-        edges = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_forest, "a long, b long, key long")
-        edges = stored(edges, "edges")
-        # first the closest thing to a tree, one edge per document; then whatever still joins two components
-        pairs = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        while True:
-            got = stored(_verify(pairs.join(tested, ["a", "b"], "left_anti"), known), "tested")
-            fresh = not got.isEmpty()
-            tested = tested.union(got) if fresh else tested
-            if not fresh:
-                break
-            labels = components(tested.where("linked"))
-            la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-            across = edges.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-            across = across.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb")
-            pairs = across.groupBy(F.least("la", "lb").alias("p"), F.greatest("la", "lb").alias("q")).agg(F.min(F.struct("a", "b")).alias("e")).select("e.a", "e.b")
-        if labels is None:
-            break
-        failed = edges.join(tested.where("not linked"), ["a", "b"], "left_semi").select("key").distinct()
-        if failed.isEmpty():
-            break
-        # a pair that turned out not to be linked may have stood for others of its group: go over those groups again
-        todo = stored(grouped.join(failed, "key", "left_semi"), "again")
-        bad = tested.where("not linked").select("a", "b")
-        inside = todo.select("key", "block", F.col("doc_id").alias("a")).join(bad, "a").join(todo.select("key", "block", F.col("doc_id").alias("b")), ["key", "block", "b"], "left_semi")
-        barred = inside.select("key", "block", "a", "b")
+    linked, labels = _connected(docs.sparkSession, grouped, known)
 
     rows = seen.select("doc_id", F.col("n").alias("n_shingles")).join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
     rows = rows.withColumn("rep", F.coalesce("rep", "doc_id"))
-    if labels is None:
+    if not linked:
         return rows.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     return rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
