@@ -24,6 +24,8 @@ WORDS, ABOVE, BELOW = 4, 85, 100
 BAND, BLOCK = 1.5, 8192
 #: Bits of a part's sketch, and at least so many bits per n-gram in the fine sketch of a pair's second test.
 BITS, FINE = 32, 8
+#: Bytes at most of the folded fine sketch that travels with every key of a document.
+COARSE = 256
 _PART, _CODE = U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)
 
 
@@ -163,19 +165,15 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, own band, own sketch, next band's sketch, fine sketch, sorted n-gram hashes)."""
+    """(doc_id, n, coarse sketch, fine sketch, sorted n-gram hashes)."""
     for batch in batches:
         for step in steps(batch):
             grams, bounds = sets(Words(step.column(1)))
             n = np.diff(bounds)
-            own, above = _bands_of(n)
-            cols = []
-            for band in (own, above):
-                _, bits, at = sketch(grams, bounds, band)
-                cols.append([bits[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
             each = [grams[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            fine, whole = [fine_sketch(g).tobytes() for g in each], [g.tobytes() for g in each]
-            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(fine, pa.binary()), pa.array(whole, pa.binary())], names=["doc_id", "n", "band", "own", "above", "fine", "grams"])
+            fine = [fine_sketch(g) for g in each]
+            cols = [[folded(f, COARSE // 8).tobytes() for f in fine], [f.tobytes() for f in fine], [g.tobytes() for g in each]]
+            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "n", "coarse", "fine", "grams"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -255,7 +253,9 @@ def _forest(width: int):
                 continue
             place = {d: i for i, d in enumerate(ids.tolist())}
             n, label = (np.array([docs[d][k] for d in ids.tolist()], np.int64) for k in (0, 1))
-            bits = np.frombuffer(b"".join(docs[d][2] for d in ids.tolist()), np.uint32).reshape(len(ids), -1)
+            each = [np.frombuffer(docs[d][2], U64) for d in ids.tolist()]
+            least = min(map(len, each))
+            bits = np.stack([folded(x, least) for x in each])
             barred = {tuple(sorted((place[doc], place[other]))) for _, _, doc, other, *_ in rows if other is not None and doc in place and other in place}
             for x, y in _trees(n, bits, label, barred, width) if width else _tree(n, bits):
                 out[0].append(int(ids[min(x, y)]))
@@ -279,12 +279,17 @@ def fine_sketch(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+def folded(x: np.ndarray, most: int) -> np.ndarray:
+    """A fine sketch folded by XOR until it has at most so many numbers."""
+    while len(x) > most:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def apart(x: np.ndarray, y: np.ndarray) -> int:
     """Differing bits of two fine sketches, the larger one folded: a lower bound of the sets' symmetric difference."""
     small, large = sorted((x, y), key=len)
-    while len(large) > len(small):
-        large = large[: len(large) // 2] ^ large[len(large) // 2 :]
-    return int(np.bitwise_count(small ^ large).sum())
+    return int(np.bitwise_count(small ^ folded(large, len(small))).sum())
 
 
 def _by_pair(test):
@@ -337,8 +342,8 @@ def _connected(spark, grouped: DataFrame, known: DataFrame) -> tuple[bool, DataF
     others of its group, so such groups are gone over again, with what is known by then, until no pair fails; each time with
     more forests at once, so that the number of rounds is logarithmic.
     """
-    todo, width = grouped, 0
-    rows = todo.select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.col("doc_id").alias("label"), "bits")
+    todo, width, coarse = grouped, 0, known.select("doc_id", "n", F.col("coarse").alias("bits"))
+    rows = todo.join(coarse, "doc_id").select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.col("doc_id").alias("label"), "bits")
     edges = stored(_by_group(rows).mapInArrow(_forest(width), "a long, b long, key long"), "edges")
     tested = stored(_verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known), "tested")
     labels = components(tested.where("linked"))
@@ -352,7 +357,7 @@ def _connected(spark, grouped: DataFrame, known: DataFrame) -> tuple[bool, DataF
         todo, width = stored(todo.join(failed, "key", "left_semi"), "again"), max(4, width * 8)
         if todo.isEmpty():
             break
-        named = todo.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.coalesce("component", "doc_id").alias("label"), "bits")
+        named = todo.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(coarse, "doc_id").select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.coalesce("component", "doc_id").alias("label"), "bits")
         inside = todo.select("key", "block", F.col("doc_id").alias("a")).join(bad, "a").join(todo.select("key", "block", F.col("doc_id").alias("b")), ["key", "block", "b"], "left_semi")
         barred = inside.select("key", "block", F.col("a").alias("doc_id"), F.col("b").alias("other"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("label"), F.lit(None).cast("binary").alias("bits"))
         edges = stored(_by_group(named.union(barred)).mapInArrow(_forest(width), "a long, b long, key long"), "edges")
@@ -362,6 +367,7 @@ def _connected(spark, grouped: DataFrame, known: DataFrame) -> tuple[bool, DataF
 
 
 def _by_group(rows: DataFrame) -> DataFrame:
+    """Rows dealt by group and sorted by it."""
     return rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
 
@@ -382,19 +388,20 @@ def join(docs: DataFrame) -> DataFrame:
     keyed = seen.where("doc_id is not null and size(keys) > 0").select(F.explode("keys").alias("key"), "doc_id")
     met = keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_met, "key long, doc_id long")
     met = met.join(copies.select("doc_id"), "doc_id", "left_anti")
-    by_key = Window.partitionBy("key")
-    met = met.select("key", "doc_id", F.count(F.lit(1)).over(by_key).alias("m"), F.row_number().over(by_key.orderBy("doc_id")).alias("r")).where("m > 1")
-    met = stored(met, "met")
-    known = texts.where("doc_id is not null").join(met.select("doc_id").distinct(), "doc_id").mapInArrow(_sketches, "doc_id long, n long, band long, own binary, above binary, fine binary, grams binary")
+    by_key, mark = Window.partitionBy("key"), lambda k: F.bit_xor(F.xxhash64("doc_id", F.lit(k))).over(Window.partitionBy("key"))
+    met = met.select("key", "doc_id", F.count(F.lit(1)).over(by_key).alias("m"), F.row_number().over(by_key.orderBy("doc_id")).alias("r"), mark(0).alias("s"), mark(1).alias("t")).where("m > 1")
+    met = stored(met, "keys")
+    # near copies share most of their keys: of the keys with the same documents (by a fingerprint of 128 bits) one will do
+    lone = met.where("r = 1").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key")
+    met = stored(met.join(lone, "key", "left_semi").select("key", "doc_id", "m", "r"), "met")
+    known = texts.where("doc_id is not null").join(met.select("doc_id").distinct(), "doc_id").mapInArrow(_sketches, "doc_id long, n long, coarse binary, fine binary, grams binary")
     known = stored(known, "sketches")
 
     # a key with many documents is dealt out as pairs of blocks, so that a task holds two blocks of it at most
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.floor((F.col("r") - 1) / BLOCK).cast("int")
     pairs_of = F.when(n_blocks == 1, F.array(F.lit(0))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), n_blocks - 1), lambda j: j != mine), lambda j: F.least(j, mine) * 100_000 + F.greatest(j, mine)))
-    placed = met.withColumn("block", F.explode(pairs_of))
-    bits = F.when(F.col("key").bitwiseAND(63) == F.col("band"), F.col("own")).otherwise(F.col("above"))
-    grouped = placed.join(known.select("doc_id", "n", "band", "own", "above"), "doc_id").select("key", "block", "doc_id", "n", bits.alias("bits"))
+    grouped = met.select("key", F.explode(pairs_of).alias("block"), "doc_id")
 
     linked, labels = _connected(docs.sparkSession, grouped, known)
 
