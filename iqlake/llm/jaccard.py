@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, components, mix, runs_of, spanning, steps, stored
+from .common import U64, Words, components, drop_path, mix, new_path, runs_of, spanning, steps, stored
 
 #: Words of an n-gram; two sets are linked where BELOW * |both| >= ABOVE * |either|.
 WORDS, ABOVE, BELOW = 4, 85, 100
@@ -317,11 +317,11 @@ def _linked(x: bytes, y: bytes) -> bool:
     return BELOW * both >= ABOVE * (len(x) + len(y) - both)
 
 
-def _verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     """(a, b, linked). The pairs' fine sketches travel first, and whole sets only for those that these leave open."""
     fine = known.select("doc_id", "n", "fine")
     open_ = pairs.join(fine.toDF("a", "nx", "x"), "a").join(fine.toDF("b", "ny", "y"), "b").select("a", "b", "nx", "ny", "x", "y")
-    first = stored(open_.mapInArrow(_by_pair(_close), "a long, b long, linked boolean"), "close")
+    first = stored(open_.mapInArrow(_by_pair(_close), "a long, b long, linked boolean"), "close", folder)
     grams = known.select("doc_id", "grams")
     rest = first.where("linked").select("a", "b").join(grams.toDF("a", "x"), "a").join(grams.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return first.where("not linked").union(rest.mapInArrow(_by_pair(_linked), "a long, b long, linked boolean"))
@@ -334,7 +334,7 @@ def _across(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _connected(spark, grouped: DataFrame, known: DataFrame) -> tuple[bool, DataFrame]:
+def _connected(grouped: DataFrame, known: DataFrame, folder: str) -> tuple[bool, DataFrame]:
     """(any links, labels): the components of exactly verified links, without comparing what is connected already.
 
     First one pair per document is verified, which connects most of what belongs together, then the other edges of the
@@ -344,24 +344,24 @@ def _connected(spark, grouped: DataFrame, known: DataFrame) -> tuple[bool, DataF
     """
     todo, width, coarse = grouped, 0, known.select("doc_id", "n", F.col("coarse").alias("bits"))
     rows = todo.join(coarse, "doc_id").select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.col("doc_id").alias("label"), "bits")
-    edges = stored(_by_group(rows).mapInArrow(_forest(width), "a long, b long, key long"), "edges")
-    tested = stored(_verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known), "tested")
+    edges = stored(_by_group(rows).mapInArrow(_forest(width), "a long, b long, key long"), "edges", folder)
+    tested = stored(_verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known, folder), "tested", folder)
     labels = components(tested.where("linked"))
-    more = stored(_verify(_across(edges, labels).join(tested, ["a", "b"], "left_anti"), known), "tested")
+    more = stored(_verify(_across(edges, labels).join(tested, ["a", "b"], "left_anti"), known, folder), "tested", folder)
     tested = tested.union(more)
     while True:
         if not more.where("linked").isEmpty():
             labels = components(tested.where("linked"))
         bad = tested.where("not linked").select("a", "b")
         failed = edges.join(bad, ["a", "b"], "left_semi").select("key").distinct()
-        todo, width = stored(todo.join(failed, "key", "left_semi"), "again"), max(4, width * 8)
+        todo, width = stored(todo.join(failed, "key", "left_semi"), "again", folder), max(4, width * 8)
         if todo.isEmpty():
             break
         named = todo.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(coarse, "doc_id").select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.coalesce("component", "doc_id").alias("label"), "bits")
         inside = todo.select("key", "block", F.col("doc_id").alias("a")).join(bad, "a").join(todo.select("key", "block", F.col("doc_id").alias("b")), ["key", "block", "b"], "left_semi")
         barred = inside.select("key", "block", F.col("a").alias("doc_id"), F.col("b").alias("other"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("label"), F.lit(None).cast("binary").alias("bits"))
-        edges = stored(_by_group(named.union(barred)).mapInArrow(_forest(width), "a long, b long, key long"), "edges")
-        more = stored(_verify(edges.select("a", "b").distinct(), known), "tested")
+        edges = stored(_by_group(named.union(barred)).mapInArrow(_forest(width), "a long, b long, key long"), "edges", folder)
+        more = stored(_verify(edges.select("a", "b").distinct(), known, folder), "tested", folder)
         tested = tested.union(more)
     return not tested.where("linked").isEmpty(), labels
 
@@ -379,7 +379,7 @@ def join(docs: DataFrame) -> DataFrame:
     Equal sets are one class, represented by its smallest doc_id, and only representatives are compared. Rows with a
     null doc_id come back with a null component and count for nobody; rows that share a doc_id are linked with each other.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts, folder = docs.select(F.col("doc_id").cast("long"), "text"), new_path(docs.sparkSession, "jaccard")
     seen = stored(texts.mapInArrow(_digest, _DOC), "digests")
     prints = seen.where("n > 0 and doc_id is not null").select("doc_id", "n", "f1", "f2")
     classes = prints.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
@@ -390,12 +390,12 @@ def join(docs: DataFrame) -> DataFrame:
     met = met.join(copies.select("doc_id"), "doc_id", "left_anti")
     by_key, mark = Window.partitionBy("key"), lambda k: F.bit_xor(F.xxhash64("doc_id", F.lit(k))).over(Window.partitionBy("key"))
     met = met.select("key", "doc_id", F.count(F.lit(1)).over(by_key).alias("m"), F.row_number().over(by_key.orderBy("doc_id")).alias("r"), mark(0).alias("s"), mark(1).alias("t")).where("m > 1")
-    met = stored(met, "keys")
+    met = stored(met, "keys", folder)
     # near copies share most of their keys: of the keys with the same documents (by a fingerprint of 128 bits) one will do
     lone = met.where("r = 1").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key")
-    met = stored(met.join(lone, "key", "left_semi").select("key", "doc_id", "m", "r"), "met")
+    met = stored(met.join(lone, "key", "left_semi").select("key", "doc_id", "m", "r"), "met", folder)
     known = texts.where("doc_id is not null").join(met.select("doc_id").distinct(), "doc_id").mapInArrow(_sketches, "doc_id long, n long, coarse binary, fine binary, grams binary")
-    known = stored(known, "sketches")
+    known = stored(known, "sketches", folder)
 
     # a key with many documents is dealt out as pairs of blocks, so that a task holds two blocks of it at most
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -403,7 +403,8 @@ def join(docs: DataFrame) -> DataFrame:
     pairs_of = F.when(n_blocks == 1, F.array(F.lit(0))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), n_blocks - 1), lambda j: j != mine), lambda j: F.least(j, mine) * 100_000 + F.greatest(j, mine)))
     grouped = met.select("key", F.explode(pairs_of).alias("block"), "doc_id")
 
-    linked, labels = _connected(docs.sparkSession, grouped, known)
+    linked, labels = _connected(grouped, known, folder)
+    drop_path(docs.sparkSession, folder)
 
     rows = seen.select("doc_id", F.col("n").alias("n_shingles")).join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
     rows = rows.withColumn("rep", F.coalesce("rep", "doc_id"))
