@@ -43,6 +43,16 @@ def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, parts: int, folder: str) -> str:
+    """Name of a table with the rows of ``df`` in ``parts`` buckets by ``key``, kept below ``folder``: joins on ``key`` don't shuffle it.
+
+    ``df`` should be partitioned that way already, so that each task writes one file. The caller drops the table.
+    """
+    name = f"iqlake_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", f"{folder}/{name}").bucketBy(parts, key).saveAsTable(name)
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Spark's own file system layer."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

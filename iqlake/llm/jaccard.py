@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, components, drop_path, mix, new_path, runs_of, spanning, steps, stored
+from .common import U64, Words, bucketed, components, drop_path, mix, new_path, runs_of, spanning, steps, stored
 
 #: Words of an n-gram; two sets are linked where BELOW * |both| >= ABOVE * |either|.
 WORDS, ABOVE, BELOW = 4, 85, 100
@@ -394,8 +394,12 @@ def join(docs: DataFrame) -> DataFrame:
     # near copies share most of their keys: of the keys with the same documents (by a fingerprint of 128 bits) one will do
     lone = met.where("r = 1").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key")
     met = stored(met.join(lone, "key", "left_semi").select("key", "doc_id", "m", "r"), "met", folder)
-    known = texts.where("doc_id is not null").join(met.select("doc_id").distinct(), "doc_id").mapInArrow(_sketches, "doc_id long, n long, coarse binary, fine binary, grams binary")
-    known = stored(known, "sketches", folder)
+    # every round of tests looks sketches and sets up by doc_id, so they are dealt out by it once
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = texts.where("doc_id is not null").repartition(parts, "doc_id").join(met.select("doc_id").distinct(), "doc_id")
+    table = bucketed(known.mapInArrow(_sketches, "doc_id long, n long, coarse binary, fine binary, grams binary"), "doc_id", parts, folder)
+    known = spark.table(table)
 
     # a key with many documents is dealt out as pairs of blocks, so that a task holds two blocks of it at most
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -404,7 +408,8 @@ def join(docs: DataFrame) -> DataFrame:
     grouped = met.select("key", F.explode(pairs_of).alias("block"), "doc_id")
 
     linked, labels = _connected(grouped, known, folder)
-    drop_path(docs.sparkSession, folder)
+    spark.sql(f"DROP TABLE {table}")
+    drop_path(spark, folder)
 
     rows = seen.select("doc_id", F.col("n").alias("n_shingles")).join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
     rows = rows.withColumn("rep", F.coalesce("rep", "doc_id"))
