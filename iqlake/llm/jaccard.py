@@ -124,10 +124,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(bounds)
             first = lambda v: np.where(n > 0, np.add.reduceat(np.r_[v, U64(0)], np.minimum(bounds[:-1], len(v))), U64(0)) if len(n) else np.zeros(0, U64)
             f1, f2 = first(mix(grams ^ _PART)), first(mix(grams * _CODE + U64(7)))
-            fresh = np.ones(len(n), bool)
+            # one copy that a task meets gets the keys; a row without doc_id can't stand for its copies
+            fresh = step.column(0).is_valid().to_numpy(zero_copy_only=False).copy()
             for i, f in enumerate(zip(n.tolist(), f1.tolist(), f2.tolist(), strict=True)):
-                fresh[i] = f not in seen
-                seen.add(f)
+                if fresh[i]:
+                    fresh[i] = f not in seen
+                    seen.add(f)
             if len(seen) > 1 << 18:
                 seen.clear()
             lists: list[list[np.ndarray]] = []
@@ -247,17 +249,21 @@ def _forest(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, ...] = ([], [], [])
         for rows in _groups(batches):
-            docs = {doc: (n, label, bits) for _, _, doc, other, n, label, bits in rows if other is None}
-            ids = np.array(sorted(docs), np.int64)
-            if len(ids) < 2:
+            # a doc_id with several texts has a place for each of them
+            docs = sorted({(doc, n, label, bits) for _, _, doc, other, n, label, bits in rows if other is None})
+            if len(docs) < 2:
                 continue
-            place = {d: i for i, d in enumerate(ids.tolist())}
-            n, label = (np.array([docs[d][k] for d in ids.tolist()], np.int64) for k in (0, 1))
-            each = [np.frombuffer(docs[d][2], U64) for d in ids.tolist()]
+            ids, n, label = (np.array([d[k] for d in docs], np.int64) for k in (0, 1, 2))
+            places: dict[int, list[int]] = {}
+            for i, d in enumerate(ids.tolist()):
+                places.setdefault(d, []).append(i)
+            each = [np.frombuffer(d[3], U64) for d in docs]
             least = min(map(len, each))
             bits = np.stack([folded(x, least) for x in each])
-            barred = {tuple(sorted((place[doc], place[other]))) for _, _, doc, other, *_ in rows if other is not None and doc in place and other in place}
+            barred = {(min(i, j), max(i, j)) for _, _, doc, other, *_ in rows if other is not None for i in places.get(doc, ()) for j in places.get(other, ())}
             for x, y in _trees(n, bits, label, barred, width) if width else _tree(n, bits):
+                if ids[x] == ids[y]:
+                    continue
                 out[0].append(int(ids[min(x, y)]))
                 out[1].append(int(ids[max(x, y)]))
                 out[2].append(rows[0][0])
@@ -334,8 +340,8 @@ def _across(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _connected(grouped: DataFrame, known: DataFrame, folder: str) -> tuple[bool, DataFrame]:
-    """(any links, labels): the components of exactly verified links, without comparing what is connected already.
+def _connected(grouped: DataFrame, known: DataFrame, given: DataFrame, folder: str) -> tuple[bool, DataFrame]:
+    """(any links, labels): the components of exactly verified and ``given`` links, without comparing what is connected already.
 
     First one pair per document is verified, which connects most of what belongs together, then the other edges of the
     groups' forests that still join two components. A pair that sketches took for linked but that isn't may have stood for
@@ -345,7 +351,7 @@ def _connected(grouped: DataFrame, known: DataFrame, folder: str) -> tuple[bool,
     todo, width, coarse = grouped, 0, known.select("doc_id", "n", F.col("coarse").alias("bits"))
     rows = todo.join(coarse, "doc_id").select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.col("doc_id").alias("label"), "bits")
     edges = stored(_by_group(rows).mapInArrow(_forest(width), "a long, b long, key long"), "edges", folder)
-    tested = stored(_verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known, folder), "tested", folder)
+    tested = stored(_verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known, folder), "tested", folder).union(given)
     labels = components(tested.where("linked"))
     more = stored(_verify(_across(edges, labels).join(tested, ["a", "b"], "left_anti"), known, folder), "tested", folder)
     tested = tested.union(more)
@@ -376,18 +382,24 @@ def join(docs: DataFrame) -> DataFrame:
 
     n-grams are WORDS consecutive words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, each counted once; a shorter text is one
     n-gram. Null and word-less texts have none and are linked with nothing. component_id is the smallest doc_id reachable.
-    Equal sets are one class, represented by its smallest doc_id, and only representatives are compared. Rows with a
-    null doc_id come back with a null component and count for nobody; rows that share a doc_id are linked with each other.
+    Equal sets are one class, represented by one of the copies that have keys, and only representatives are compared. Rows with
+    a null doc_id come back with a null component and count for nobody; rows that share a doc_id are linked with each other.
     """
     texts, folder = docs.select(F.col("doc_id").cast("long"), "text"), new_path(docs.sparkSession, "jaccard")
     seen = stored(texts.mapInArrow(_digest, _DOC), "digests")
-    prints = seen.where("n > 0 and doc_id is not null").select("doc_id", "n", "f1", "f2")
-    classes = prints.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    copies = stored(prints.join(classes, ["n", "f1", "f2"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
+    prints = seen.where("n > 0 and doc_id is not null").select("doc_id", "n", "f1", "f2", (F.size("keys") > 0).alias("keyed"))
+    # only the first copy that a task met has keys, and it need not be the smallest
+    rep = F.coalesce(F.min(F.when(F.col("keyed"), F.col("doc_id"))), F.min("doc_id"))
+    classes = prints.groupBy("n", "f1", "f2").agg(rep.alias("rep"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    copies = stored(prints.join(classes, ["n", "f1", "f2"]).where("doc_id <> rep").select("doc_id", "rep", "low").distinct(), "copies")
+    # a doc_id with several sets stands for all of them: it keeps its keys and connects their classes
+    print_ = F.struct("n", "f1", "f2")
+    several = stored(prints.groupBy("doc_id").agg(F.min(print_).alias("x"), F.max(print_).alias("y")).where("x <> y").select("doc_id"), "several", folder)
+    given = copies.join(several, "doc_id", "left_semi").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"), F.lit(True).alias("linked"))
 
     keyed = seen.where("doc_id is not null and size(keys) > 0").select(F.explode("keys").alias("key"), "doc_id")
     met = keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_met, "key long, doc_id long")
-    met = met.join(copies.select("doc_id"), "doc_id", "left_anti")
+    met = met.join(copies.select("doc_id").join(several, "doc_id", "left_anti"), "doc_id", "left_anti")
     by_key, mark = Window.partitionBy("key"), lambda k: F.bit_xor(F.xxhash64("doc_id", F.lit(k))).over(Window.partitionBy("key"))
     met = met.select("key", "doc_id", F.count(F.lit(1)).over(by_key).alias("m"), F.row_number().over(by_key.orderBy("doc_id")).alias("r"), mark(0).alias("s"), mark(1).alias("t")).where("m > 1")
     met = stored(met, "keys", folder)
@@ -407,12 +419,19 @@ def join(docs: DataFrame) -> DataFrame:
     pairs_of = F.when(n_blocks == 1, F.array(F.lit(0))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), n_blocks - 1), lambda j: j != mine), lambda j: F.least(j, mine) * 100_000 + F.greatest(j, mine)))
     grouped = met.select("key", F.explode(pairs_of).alias("block"), "doc_id")
 
-    linked, labels = _connected(grouped, known, folder)
+    linked, labels = _connected(grouped, known, stored(given, "given", folder), folder)
     spark.sql(f"DROP TABLE {table}")
     drop_path(spark, folder)
 
     rows = seen.select("doc_id", F.col("n").alias("n_shingles")).join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
     rows = rows.withColumn("rep", F.coalesce("rep", "doc_id"))
-    if not linked:
-        return rows.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    return rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # of classes whose representative isn't their smallest doc_id
+    lower = copies.where("low < rep").groupBy("rep").agg(F.min("low").alias("low"))
+    if linked:
+        labels = labels.withColumnRenamed("node", "rep")
+        rows = rows.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        lower = lower.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    else:
+        rows, lower = rows.withColumnRenamed("rep", "component"), lower.withColumnRenamed("rep", "component")
+    rows = rows.join(lower.groupBy("component").agg(F.min("low").alias("low")), "component", "left")
+    return rows.select("doc_id", "n_shingles", F.least("component", "low").alias("component_id"))

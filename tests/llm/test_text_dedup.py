@@ -79,6 +79,33 @@ def test_jaccard_of_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 1, 0), (3, 2, 3), (3, 2, 3), (9, 0, 9)]
 
 
+def copies_in_odd_order():
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    near = [*base[:-1], "other"]
+    return [(None, " ".join(base)), *((i, " ".join(base)) for i in (9, 7, 5, 30)), (4, " ".join(near)), (12, " ".join(near)), (20, "x y"), (19, "X y")]
+
+
+def test_jaccard_of_copies_that_are_not_ascending(spark):
+    rows = copies_in_odd_order()
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = brute.jaccard(r for r in rows if r[0] is not None)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want and want[9][1] == 4
+    # the component's smallest doc_id is a copy without keys
+    rows = [r for r in rows if r[0] != 4]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = brute.jaccard(r for r in rows if r[0] is not None)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want and want[12][1] == 5
+
+
+def test_jaccard_links_all_texts_of_a_doc_id(spark):
+    rng = random.Random(9)
+    x, y = ([f"{c}{rng.randrange(500)}" for _ in range(120)] for c in "xy")
+    rows = [(8, " ".join(x)), (2, " ".join(x)), (8, " ".join(y)), (5, " ".join([*y[:-1], "other"])), (6, "alone")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (5, 2), (6, 6), (8, 2), (8, 2)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(1, 2**40), min_size=7, max_size=300), st.data())
 def test_linked_sets_share_a_key_and_have_close_sketches(a, data):
