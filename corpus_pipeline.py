@@ -39,7 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their ids."""
-    return packing.pack(docs, tokenizer_file())
+    return packing.pack(docs, tokenizer_file(), added=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard", one_of_each_group), ("substrings", cut_repeats), ("decontamination", drop_leaks), ("packing", pack)]

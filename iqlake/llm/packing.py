@@ -25,11 +25,12 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+
 
 
 @cache
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """A function from a text to its ids, for the byte-level BPE in a ``tokenizers`` file.
 
     The file's own vocabulary is handed to tiktoken, whose merging gives the same ids (tests hold them against each other)
-    in about a quarter of the time. Special tokens' strings in a text are ordinary text.
+    in about a quarter of the time. With ``added``, the file's added tokens are found in a text first and get their own ids, as
+    ``tokenizers`` does by default; else their strings are ordinary text.
     """
     import json
 
@@ -38,22 +39,27 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    special = {t["content"] for t in file["added_tokens"]}
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    if added and any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path} has added tokens that take more than their own string")
     # the alphabet stands for bytes: printable ones for themselves, the rest in order from U+0100 on
     alphabet = sorted(ByteLevel.alphabet())
     plain = [ord(c) for c in alphabet if ord(c) < 256]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """(part, before, doc_id, doc_tokens, ids): ids of each text and then ``end_id``.
 
     ``before`` is the number of ids of earlier rows of the same partition, numbered ``part``. A null text is empty.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, encode = TaskContext.get().partitionId(), 0, encoder(path)
+        part, before, encode = TaskContext.get().partitionId(), 0, encoder(path, added)
         for batch in batches:
             for step in steps(batch, most=1 << 20):
                 ids = [array("H", [*encode(t or ""), end_id]).tobytes() for t in step.column(1).to_pylist()]
@@ -65,7 +71,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
 
 
-def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """Pack all documents into sequences of ``sequence`` ids; one row per piece of a document.
 
     First pass: tokenize once, keeping each row's offset in its partition and the partition totals. The totals (one
@@ -75,8 +81,9 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END
     Columns: doc_id, start, length, ids_crc32 (of unsigned 32-bit little-endian ids), doc_tokens, sequence_id, offset, boundary
     (true where the cut at the piece's end is inside its document), ids (16-bit). Order of documents is that of the input
     partitions; repeated doc_ids are separate documents; a null text gives the end id alone; no rows give no rows.
+    ``added``: see ``encoder``.
     """
-    tokens = stored(tokenize(docs, path, end_id), "tokens")
+    tokens = stored(tokenize(docs, path, end_id, added), "tokens")
     totals = sorted((r.part, r.n) for r in tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect())
     starts = np.cumsum([0, *(n for _, n in totals)])[:-1]
     offsets = docs.sparkSession.createDataFrame([(p, int(s)) for (p, _), s in zip(totals, starts, strict=True)], "part long, at long")

@@ -31,7 +31,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of 2048 ids."""
-    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file()).drop("ids")
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file(), added=True).drop("ids")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

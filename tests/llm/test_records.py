@@ -57,6 +57,24 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], docs.schema), public.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_queries_give_the_ids_of_the_unmodified_file(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", *(t for t in TEXTS if t)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 1]
+    got = queries.op2_packing(spark, str(tmp_path)).where("start = 0 and not boundary").collect()
+    assert len(got) >= 3
+    for r in got:
+        assert (r.doc_tokens, r.ids_crc32) == (len(want[r.doc_id]), zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes()))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()} == {i: len(w) for i, w in want.items()}
+
+
 def test_archive_round_trip(spark, tmp_path):
     long = "x" * 200
     pages = [(1, "http://a/ b", "<p>é</p>"), (2, None, None), (5, "http://c", long), (3, "http://d", long), (9, "dns:x", long + "\r\n\r\nWARC/1.1"), (10, "http://e", ""), (11, "http://f", "short"), (12, "http://g", "short"), (None, "http://h", long)]
