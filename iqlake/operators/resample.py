@@ -57,7 +57,8 @@ def generator_bootstrap(diffs: DataFrame, seeds: Sequence[int], resamples: int,
     """
     counts = diffs.groupBy("seed", "target", "snr_db").agg(*(F.count_if(F.col("d") == v).alias(f"c{v + 1}") for v in (-1, 0, 1)))
     table = [(r.seed, r.c0, r.c1, r.c2) for r in counts.orderBy("seed", "target", "snr_db").collect()]
-    by_seed = {s: np.array([r[1:] for r in table if r[0] == s]) for s in seeds}
+    by_seed = {s: np.array([r[1:] for r in table if r[0] == s]).reshape(-1, 3) for s in seeds}
+    of = {s: (c.sum(1), c / c.sum(1, keepdims=True)) for s, c in by_seed.items()}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -67,10 +68,10 @@ def generator_bootstrap(diffs: DataFrame, seeds: Sequence[int], resamples: int,
                 for b in range(c * chunk, min(resamples, (c + 1) * chunk)):
                     d = n = 0
                     for s in rng.choice(list(seeds), len(seeds)):
-                        for cell in by_seed[s]:
-                            got = rng.multinomial(cell.sum(), cell / cell.sum())
-                            d += int(got[2] - got[0])
-                            n += int(cell.sum())
+                        m, p = of[s]
+                        got = rng.multinomial(m, p)
+                        d += int(got[:, 2].sum() - got[:, 0].sum())
+                        n += int(m.sum())
                     out.append((b, d, n))
                 yield pd.DataFrame(out, columns=["b", "d", "n"])
 

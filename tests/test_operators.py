@@ -254,3 +254,18 @@ def test_streamed_windows(spark, sf_dir):
     e = S.event_stream(spark, sf_dir, "events.parquet").select("ts", F.col("event_type").alias("model"), F.col("value").alias("score"))
     got = S.run_to_end(S.epochs_in_windows(e), "windows", sinks.scratch(spark, "windows"))
     assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_generator_bootstrap_draws_all_resamples(spark, sf_dir):
+    from iqlake import plans
+
+    assert one(plans.QUERIES["generator_bootstrap"](spark, sf_dir)).n == 10_000
+    rows = [(s, t, 0, 10 * t + k, (k + s) % 3 - 1) for s in (1, 2) for t in (0, 1) for k in range(10)]
+    d = spark.createDataFrame(rows, "seed int, target int, snr_db int, vec_id long, d int")
+    got = resample.generator_bootstrap(d, [1, 2], 4000).select("b", (F.col("d") / F.col("n")).alias("v"), "n").collect()
+    assert sorted(r.b for r in got) == list(range(4000)) and {r.n for r in got} == {40}
+    rng = np.random.default_rng(0)  # brute force: rows drawn one by one
+    cells = {s: [[r[4] for r in rows if r[0] == s and r[1] == t] for t in (0, 1)] for s in (1, 2)}
+    want = [np.mean([rng.choice(c, len(c)) for s in rng.choice([1, 2], 2) for c in cells[s]]) for _ in range(4000)]
+    v = [r.v for r in got]
+    assert abs(np.mean(v) - np.mean(want)) < 0.02 and abs(np.std(v) - np.std(want)) < 0.01
