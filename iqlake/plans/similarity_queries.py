@@ -36,8 +36,7 @@ def cross_split_leakage(spark, sf_dir):
 
 @query("SELECT b.item_id, count(*) AS documents, min(d.doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL")
 def benchmark_containment(spark, sf_dir):
-    b = F.broadcast(V.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")).limit(10_000))
-    return V.table(spark, sf_dir, "documents").join(b, F.col("text").contains(F.col("item"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"))
+    return dedup.containment(V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark"))
 
 
 @query()

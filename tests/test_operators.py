@@ -256,6 +256,23 @@ def test_streamed_windows(spark, sf_dir):
     assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
 
 
+def test_containment_of_all_items(spark, tmp_path):
+    from iqlake import plans
+
+    docs = [(3, "xone two three fourx"), (1, "a one two  three"), (1, "one two three"), (None, "one two three"), (9, None), (5, " ".join(map(str, range(40))))]
+    some = [(0, "one two three"), (0, "one two three"), (1, "two"), (2, ""), (3, None), (4, "two  three"), (5, " ".join(map(str, range(2, 30)))), (6, "9 8 7")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    more = spark.range(10, 10_020).selectExpr("id as item_id", "concat('q w ', 20000 + id, ' e') as text")
+    more.union(spark.createDataFrame([(20_000, "10 11 12 13")], "item_id long, text string")).union(spark.createDataFrame(some, "item_id long, text string")).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {}
+    for i, t in [*some, (20_000, "10 11 12 13")]:
+        for d, x in docs:
+            if t is not None and x is not None and t in x:
+                want.setdefault(i, []).append(d)
+    got = {r.item_id: (r.documents, r.first) for r in plans.QUERIES["benchmark_containment"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(v), min((d for d in v if d is not None), default=None)) for i, v in want.items()} and 20_000 in got
+
+
 def test_generator_bootstrap_draws_all_resamples(spark, sf_dir):
     from iqlake import plans
 
