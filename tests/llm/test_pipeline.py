@@ -46,6 +46,15 @@ def test_stages(spark, sf_dir):
     assert all(np.frombuffer(r.ids, np.uint16)[-1] == 1 for r in docs.where("not boundary").limit(50).collect())
 
 
+def test_documents_without_doc_id_stay_in_the_jaccard_stage(spark, sf_dir):
+    import corpus_pipeline as C
+
+    rows = [(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (7, "A b c d e f"), (9, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in C.one_of_each_group(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted((r for r in rows if r[0] != 7), key=str)
+
+
 def test_registry():
     import __spark_entry__ as e
 
