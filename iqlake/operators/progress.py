@@ -27,6 +27,25 @@ def running_best(runs: DataFrame, by: list[str], order: list[str], score: str) -
     return runs.withColumn("_b", before).withColumn("improved", F.col("_b").isNull() | (F.col(score) > F.col("_b"))).withColumn("best", F.greatest(F.coalesce("_b", score), score)).drop("_b")
 
 
+def selected_epoch(runs: DataFrame, by: list[str], order: list[str], score: str) -> DataFrame:
+    """(by..., epochs, best_epoch, best_score): number of rows, and place from 1 and score of the first of the best, by ``order``.
+
+    Sums and extremes that are combined before the shuffle; no group is gathered. A group without scores has no best.
+    """
+    rows = runs.select(*by, score, F.struct(*order, score).alias("_x"))
+
+    def beside(few: DataFrame) -> DataFrame:
+        few = few.select(*(F.col(c).alias(f"_{c}") for c in by), few.columns[-1])
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        return rows.join(few, on, "left").drop(*(f"_{c}" for c in by))
+
+    top = beside(rows.groupBy(*by).agg(F.max(score).alias("_top")))
+    first = top.where(F.col(score) == F.col("_top")).groupBy(*by).agg(F.min("_x").alias("_first"))
+    at = F.when(F.max("_first").isNotNull(), (F.count_if(F.col("_x") < F.col("_first")) + 1).cast("int"))
+    out = beside(first).groupBy(*by).agg(F.count(F.lit(1)).alias("epochs"), at.alias("best_epoch"), F.max("_first")[score].alias("_s"))
+    return out.select(*by, "epochs", "best_epoch", F.round("_s", 6).alias("best_score"))
+
+
 def patience(history: Column, gain: float, most: int) -> Column:
     """struct(best, best_at, stale, stopped_at) of an array of scores: improvement is a gain of more than ``gain``, and the run
     stops after ``most`` stale epochs. The general case of W07, a fold over one run's history."""

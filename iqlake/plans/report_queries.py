@@ -125,9 +125,7 @@ def running_best_epoch(spark, sf_dir):
 
 @query("WITH h AS (SELECT model, seed_idx, list(score ORDER BY ts, event_id) AS h FROM runs GROUP BY ALL) SELECT model, seed_idx, len(h) AS epochs, list_position(h, list_max(h))::int AS best_epoch, round(h[list_position(h, list_max(h))], 6) AS best_score FROM h", "runs")
 def selected_epoch(spark, sf_dir):
-    h = V.runs(spark, sf_dir).groupBy("model", "seed_idx").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "score"))).alias("h")).withColumn("s", F.transform("h", lambda x: x["score"]))
-    h = h.withColumn("at", F.array_position("s", F.array_max("s")).cast("int"))
-    return h.select("model", "seed_idx", F.size("h").cast("long").alias("epochs"), F.col("at").alias("best_epoch"), F.round(F.element_at("s", F.col("at")), 6).alias("best_score"))
+    return progress.selected_epoch(V.runs(spark, sf_dir), ["model", "seed_idx"], ["ts", "event_id"], "score")
 
 
 @query()

@@ -286,3 +286,12 @@ def test_generator_bootstrap_draws_all_resamples(spark, sf_dir):
     want = [np.mean([rng.choice(c, len(c)) for s in rng.choice([1, 2], 2) for c in cells[s]]) for _ in range(4000)]
     v = [r.v for r in got]
     assert abs(np.mean(v) - np.mean(want)) < 0.02 and abs(np.std(v) - np.std(want)) < 0.01
+
+
+def test_selected_epoch_gathers_no_group(spark, sf_dir):
+    from iqlake import plans
+
+    rows = [("a", 1, 2, 0.5), ("a", 2, 1, 0.9), ("a", 2, 0, 0.1), ("a", 3, 5, 0.9), ("a", 4, 6, None), ("b", 1, 1, None), (None, 2, 1, 0.3), (None, 1, 1, 0.2)]
+    got = progress.selected_epoch(spark.createDataFrame(rows, "m string, ts int, id int, score double").repartition(3), ["m"], ["ts", "id"], "score")
+    assert {tuple(r) for r in got.collect()} == {("a", 5, 3, 0.9), ("b", 1, None, None), (None, 2, 2, 0.3)}
+    assert "collect_list" not in plans.QUERIES["selected_epoch"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
