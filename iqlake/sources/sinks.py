@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a temporary folder; on a cluster that would be each machine's own, so it raises.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='iqlake-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the executors share; set here only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='iqlake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def publish(rows: DataFrame, path: str, kind: str = "parquet", replace: bool = False, **options: str) -> None:

@@ -295,3 +295,22 @@ def test_selected_epoch_gathers_no_group(spark, sf_dir):
     got = progress.selected_epoch(spark.createDataFrame(rows, "m string, ts int, id int, score double").repartition(3), ["m"], ["ts", "id"], "score")
     assert {tuple(r) for r in got.collect()} == {("a", 5, 3, 0.9), ("b", 1, None, None), (None, 2, 2, 0.3)}
     assert "collect_list" not in plans.QUERIES["selected_epoch"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        def __init__(self, **conf):
+            self.settings = conf
+            self.conf = self
+
+        def get(self, name, default=None):
+            return self.settings.get(name, default)
+
+        def set(self, name, value):
+            self.settings[name] = value
+
+    with pytest.raises(RuntimeError):
+        sinks.shared_dir(Session(**{"spark.master": "spark://host:7077"}))
+    assert sinks.shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
+    local = Session(**{"spark.master": "local[2]"})
+    assert sinks.scratch(local, "x").startswith(local.settings["spark.checkpoint.dir"])
