@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import scratch
+
 U64 = np.uint64
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 19
@@ -19,18 +20,9 @@ STEP_BYTES = 1 << 19
 _SEED, WORD_BASE, SEQ_BASE = 20240607, U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Set here only where the session has none, as in local tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='iqlake-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -53,6 +45,14 @@ def bucketed(df: DataFrame, key: str, parts: int, folder: str) -> str:
     return name
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores added until no column of the tables has it."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Spark's own file system layer."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,12 +25,12 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+
 
 
 @cache
-def encoder(path: str, added: bool = False):
+def encoder(path: str, added: bool = True):
     """A function from a text to its ids, for the byte-level BPE in a ``tokenizers`` file.
 
     The file's own vocabulary is handed to tiktoken, whose merging gives the same ids (tests hold them against each other)
-    in about a quarter of the time. With ``added``, the file's added tokens are found in a text first and get their own ids, as
-    ``tokenizers`` does by default; else their strings are ordinary text.
+    in about a quarter of the time. The file's added tokens are found in a text first and get their own ids, as ``tokenizers``
+    does by default; without ``added`` their strings are ordinary text.
     """
     import json
 
@@ -53,7 +53,7 @@ def encoder(path: str, added: bool = False):
     return lambda text: encoding.encode(text, allowed_special="all")
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, added: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, added: bool = True) -> DataFrame:
     """(part, before, doc_id, doc_tokens, ids): ids of each text and then ``end_id``.
 
     ``before`` is the number of ids of earlier rows of the same partition, numbered ``part``. A null text is empty.
@@ -71,7 +71,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, added: bool = Fal
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
 
 
-def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, added: bool = True) -> DataFrame:
     """Pack all documents into sequences of ``sequence`` ids; one row per piece of a document.
 
     First pass: tokenize once, keeping each row's offset in its partition and the partition totals. The totals (one
@@ -88,19 +88,23 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END
     starts = np.cumsum([0, *(n for _, n in totals)])[:-1]
     offsets = docs.sparkSession.createDataFrame([(p, int(s)) for (p, _), s in zip(totals, starts, strict=True)], "part long, at long")
 
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for at, doc, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            wide = np.frombuffer(raw, np.uint16).astype("<u4").tobytes()
+            start = 0
+            while start < n:
+                seq, off = divmod(at + start, sequence)
+                k = min(sequence - off, n - start)
+                rows.append((doc, start, k, zlib.crc32(wide[4 * start : 4 * (start + k)]), n, seq, off, start + k < n, raw[2 * start : 2 * (start + k)]))
+                start += k
+        types = (*[pa.int64()] * 7, pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in _PIECES.split(", ")])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for at, doc, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                wide = np.frombuffer(raw, np.uint16).astype("<u4").tobytes()
-                start = 0
-                while start < n:
-                    seq, off = divmod(at + start, sequence)
-                    k = min(sequence - off, n - start)
-                    rows.append((doc, start, k, zlib.crc32(wide[4 * start : 4 * (start + k)]), n, seq, off, start + k < n, raw[2 * start : 2 * (start + k)]))
-                    start += k
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 7, pa.bool_(), pa.binary()), strict=True)], names=[f.split()[0] for f in _PIECES.split(", ")])
+            for step in steps(batch, "ids"):
+                yield pieces(step)
 
     placed = tokens.join(F.broadcast(offsets), "part").select((F.col("at") + F.col("before")).alias("at"), "doc_id", "doc_tokens", "ids")
     return placed.mapInArrow(cut, _PIECES)
