@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .archive import REVISIT_BYTES
-from .chat import NARRATORS, STRETCH
+from .chat import NARRATORS
 from .sharding import HASH_BITS, SHARD_BYTES, SLACK_BITS
 
 WARC = f"""
@@ -29,19 +29,19 @@ FROM best JOIN ok ON ok.depth = best.depth AND ok.prefix = best.h >> ({HASH_BITS
 
 _NARR = ", ".join(f"'{r}'" for r in NARRATORS)
 CHAT = f"""
-WITH t AS (SELECT conv_id, coalesce(turn, 0)::bigint AS turn, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') AS role,
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn::bigint AS turn, role,
+    coalesce(url_encode(role), '%') AS name, coalesce(role IN ({_NARR}), false) AS narrates,
     replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
-c AS (SELECT *, floor(turn / {STRETCH}.0)::bigint AS chunk FROM t),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn, role, said) AS rn FROM c),
-q AS (SELECT *, ((rn - 1) // {STRETCH})::bigint AS part FROM k),
-w AS (SELECT DISTINCT conv_id, chunk, part, role AS participant FROM q WHERE role NOT IN ({_NARR})),
-s AS (SELECT q.*, participant, role = participant AS own, '<|im_start|>' || CASE WHEN role = participant THEN 'assistant'
-    WHEN role IN ({_NARR}) THEN 'system' ELSE 'user name=' || role END || chr(10) AS head, said || '<|im_end|>' AS body
-  FROM q JOIN w ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.chunk = w.chunk AND q.part = w.part),
-z AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, chunk, part, participant ORDER BY rn
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role NULLS FIRST, said) AS rn FROM t),
+w AS (SELECT DISTINCT conv_id, lone, role AS participant FROM q WHERE NOT narrates),
+s AS (SELECT q.*, participant, role IS NOT DISTINCT FROM participant AS own,
+    '<|im_start|>' || CASE WHEN role IS NOT DISTINCT FROM participant THEN 'assistant' WHEN narrates THEN 'system'
+      ELSE 'user name=' || name END || chr(10) AS head, said || '<|im_end|>' AS body
+  FROM q JOIN w ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.lone IS NOT DISTINCT FROM w.lone),
+z AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, lone, participant ORDER BY rn
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint + length(head) AS a FROM s)
-SELECT conv_id, participant, chunk, part, count(*) AS n_turns, count(*) FILTER (own) AS n_trained,
+SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_trained,
   string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
   string_agg(a::varchar || '-' || (a + length(body))::varchar, ';' ORDER BY rn) FILTER (own) AS mask
-FROM z GROUP BY ALL
+FROM z GROUP BY conv_id, lone, participant
 """

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -18,9 +19,7 @@ public = pytest.importorskip("public_tokenizers")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
 
 
 TEXTS = ["Hello, world!", None, "", "it's  12 ab3\t\t x　y <|endoftext|> \r\n", "Ünï " * 3000, "a\n\n b  c", "日本語 text 😀" * 40, "same", "same"]
@@ -138,19 +137,48 @@ def test_write_shards(spark, tmp_path, sf_dir):
 
 
 def test_chat(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b", "yo"), (1, 2, "ann", None), (2, None, None, "x"), (None, 3, "cy", "z"), (3, 0, "system", "alone")]
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b", "yo"), (1, 2, "ann", None), (2, None, None, "x"), (None, 3, "cy", "z"), (None, 3, "cy", "z"), (None, 4, "system", "z"), (3, 0, "system", "alone")]
     df = spark.createDataFrame([(*t, "e") for t in turns], "conv_id long, turn long, role string, text string, mask string").repartition(3)
-    got = {(r.conv_id, r.participant): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, "ann"), (1, "bob_b"), (2, "unknown"), (None, "cy")}
-    r = got[1, "ann"]
-    assert r.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=bob_b\nyo<|im_end|>\n"
-    assert [r.text[int(a) : int(b)] for a, b in (s.split("-") for s in r["mask"].split(";"))] == ["hi < |im_end|><|im_end|>", "<|im_end|>"]
-    long = spark.createDataFrame([(1, i, "ab"[i % 2], "t") for i in range(600)] + [(2, 5, "a", str(i)) for i in range(300)], "conv_id long, turn long, role string, text string")
-    parts = chat.rotate(long).collect()
-    assert max(r.n_turns for r in parts) == 256 and sum(r.n_trained for r in parts) == 900
+    rows = chat.rotate(df).collect()
+    assert sorted((str(r.conv_id), str(r.participant)) for r in rows) == [("1", "ann"), ("1", "bob b"), ("2", "None"), ("None", "cy"), ("None", "cy")]
+    r = next(r for r in rows if r.participant == "ann")
+    assert r.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=bob%20b\nyo<|im_end|>\n"
+    assert written(r) == ["hi < |im_end|><|im_end|>", "<|im_end|>"]
+    assert all(r.n_turns == r.n_trained == 1 for r in rows if r.conv_id is None)
     assert chat.rotate(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def written(r):
+    return [r.text[int(a) : int(b)] for a, b in (s.split("-") for s in r["mask"].split(";"))]
+
+
+def test_chat_keeps_long_and_sparse_dialogues_whole(spark):
+    rows = [(1, i * 1000, "abc"[i % 3] if i < 900 else "d", f"t{i}") for i in range(1000)] + [(2, 5, "a", str(i)) for i in range(300)]
+    got = {(r.conv_id, r.participant): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {(1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, "a")}
+    for (conv, who), r in got.items():
+        mine = [t for c, _, p, t in sorted(rows) if c == conv and p == who]
+        assert r.n_turns == sum(c == conv for c, *_ in rows) and written(r) == [t + "<|im_end|>" for t in mine]
+
+
+def test_chat_tells_all_speakers_apart(spark):
+    names = ["李", "王", "_", "a b", "a_b", "a%20b", "a+b", "a*b", "a~b", "%", None, "Zoë", "Zoé", ""]
+    df = spark.createDataFrame([(1, i, n, f"said {i}") for i, n in enumerate(names)], "conv_id long, turn long, role string, text string")
+    rows = chat.rotate(df).collect()
+    assert len(rows) == len(names) and all(written(r) == [f"said {names.index(r.participant)}<|im_end|>"] for r in rows)
+    assert len({r.text for r in rows}) == len(names)
+
+
+def test_chat_parity_on_odd_dialogues(spark, tmp_path):
+    rng = random.Random(4)
+    roles = ["system", "user", "assistant", "李", "a b~*+", None]
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(0, 9000, 700)]), rng.choice(roles), rng.choice([None, "", "é <| x", f"t{i}"])) for i in range(400)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    same(queries.op8_chat(spark, str(tmp_path)), con, queries.oracle_sql()["op8_chat"])
+
+
 def vectors():
     rng = np.random.default_rng(2)
     rows = []
