@@ -163,12 +163,13 @@ def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
 def train(x: np.ndarray, y: np.ndarray) -> Additive:
     """Cyclic boosting: each round gives every feature in turn one shallow tree on the gradient; then the same for pairs.
 
-    Pairs are those whose best tree explains most of what the single features leave. Bins are quantiles of the sample.
+    Pairs are those whose best tree explains most of what the single features leave. Bins are quantiles of the sample. Without
+    rows of both classes there is nothing to learn, and the score is constant.
     """
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     model = Additive([_cuts(x[:, j], BINS) for j in range(x.shape[1])], [], bias=float(np.log(share / (1 - share))))
     model.tables = [np.zeros(len(e) + 1) for e in model.edges]
-    if len(y) < 50 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return model
     where = [np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(model.edges)]
     z = np.full(len(y), model.bias)
@@ -213,7 +214,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Additive:
     """Fit on a bounded sample of labelled rows outside the held-out fold: the driver gets a few numbers per sampled row."""
-    got = sample(docs, labels, "quality").mapInArrow(_measured, "y int, x binary").collect()
+    got = sample(docs, labels, "quality").select("text", "y").mapInArrow(_measured, "y int, x binary").collect()
     got.sort(key=lambda r: (bytes(r.x), r.y))
     x = np.frombuffer(b"".join(bytes(r.x) for r in got)).reshape(-1, len(NAMES))
     return train(x, np.array([r.y > 0 for r in got], float))
