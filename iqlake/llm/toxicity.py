@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_CODES, U64, Words, batch_of, mix, powers, steps
+from .common import LOWER_CODES, U64, WORD_BASE, Words, batch_of, mix, powers, steps
 from .labelled import held_out, sample
 
 #: Features kept; documents a feature has to be in; weights of the counterfactual and of the plain penalty.
 FEATURES, LEAST, SWAP_WEIGHT, RIDGE = 4096, 4, 5.0, 3e-5
 #: Prefixes of words, in bytes, that are features beside whole words.
 PREFIXES = (4, 5, 6)
-#: Terms that name groups of people, by kind; a counterfactual replaces a term by the next one of its kind.
+#: Terms that name groups of people, by kind; a counterfactual replaces each term of a text by another one of its kind.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -36,45 +37,66 @@ IDENTITY = (
 _KIND = (U64(0x9AE16A3B2F90404F), *(U64(0xC949D7C7509E6557 + 2 * k) for k in PREFIXES))
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_POWERS = powers(U64(0x9E3779B97F4A7C15), 64)
+_POWERS = powers(WORD_BASE, max(PREFIXES))
 
 
-def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, text), a row for each word and kind: the word without outer punctuation, in lower case, and its prefixes."""
-    starts, ends = words.starts.copy(), words.ends.copy()
-    for _ in range(4):
-        cut = (ends > starts) & _PUNCTUATION[words.data[np.minimum(starts, len(words.data) - 1)]]
-        starts[cut] += 1
-        cut = (ends > starts) & _PUNCTUATION[words.data[np.maximum(ends - 1, 0)]]
-        ends[cut] -= 1
+def bare(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of each word without all of its outer punctuation; words of punctuation alone are left out."""
+    solid = ~_PUNCTUATION[words.data]
+    place = np.arange(len(solid))
+    after = np.minimum.accumulate(np.where(solid, place, len(solid))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(solid, place, -1))
     text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+    starts, ends = (after[words.starts], before[words.ends - 1] + 1) if len(words.starts) else (words.starts, words.ends)
     some = ends > starts
-    starts, ends, text = starts[some], ends[some], text[some]
-    out, owner = [], []
-    size = ends - starts
-    # words of over 60 bytes are known by their first 60 and their length
-    for kind, most in zip(_KIND, (60, *PREFIXES), strict=True):
-        use = size >= most if most < 60 else np.ones(len(size), bool)
+    return starts[some], ends[some], text[some]
+
+
+def _whole(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of each word, A-Z taken for a-z."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    place = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
+    value = LOWER_CODES[data] * inside
+    value *= powers(WORD_BASE, int((ends - starts).max()) + 1)[np.where(inside, place, 0)]
+    return mix(np.add.reduceat(value, starts) + (ends - starts).astype(U64))
+
+
+def by_kind(words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(feature, text, word) of each kind: the whole words first, then each length of prefix; ``word`` numbers the bare words."""
+    starts, ends, text = bare(words)
+    size, number = ends - starts, np.arange(len(starts))
+    out = [(mix(_whole(words.data, starts, ends) ^ _KIND[0]), text, number)]
+    for kind, most in zip(_KIND[1:], PREFIXES, strict=True):
+        use = size >= most
         total = np.zeros(int(use.sum()), U64)
-        s, n = starts[use], np.minimum(size[use], most)
-        for j in range(int(n.max()) if len(n) else 0):
-            live = n > j
-            total[live] += LOWER_CODES[words.data[s[live] + j]] * _POWERS[j]
-        out.append(mix(total ^ (kind + (size[use].astype(U64) if most == 60 else U64(0)))))
-        owner.append(text[use])
-    return np.concatenate(out), np.concatenate(owner)
+        for j in range(most):
+            total += LOWER_CODES[words.data[starts[use] + j]] * _POWERS[j]
+        out.append((mix(total ^ kind), text[use], number[use]))
+    return out
+
+
+def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, text), a row for each word and kind: the word without outer punctuation, in lower case, and its prefixes."""
+    f, text, _ = zip(*by_kind(words), strict=True)
+    return np.concatenate(f), np.concatenate(text)
+
 
+def features_of(term: str) -> np.ndarray:
+    """The features of a single word: itself, then its prefixes."""
+    return features(Words(pa.array([term])))[0]
 
-def feature_of(term: str, kind: int = 0) -> int:
-    """The feature of a term (kind 0) or of one of its prefixes (kinds from 1 on), 0 where it is shorter."""
-    f, _ = features(Words(pa.array([term])))
-    n = len(term.encode())
-    kinds = [0, *(i + 1 for i, k in enumerate(PREFIXES) if n >= k)]
-    return int(f[kinds.index(kind)]) if kind in kinds else 0
 
+def feature_of(term: str) -> int:
+    """The feature of a word as a whole."""
+    return int(features_of(term)[0])
 
-def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    f, text = features(words)
+
+def _distinct(f: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((f, text))
     f, text = f[order], text[order]
     new = np.r_[True, (f[1:] != f[:-1]) | (text[1:] != text[:-1])] if len(f) else np.zeros(0, bool)
@@ -97,7 +119,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for step in steps(batch):
             y = step.column(1).to_numpy(zero_copy_only=False)
-            f, text = _distinct(Words(step.column(0)))
+            f, text = _distinct(*features(Words(step.column(0))))
             parts.append((f, y[text]))
             held += len(f)
             if held > 500_000:
@@ -133,44 +155,64 @@ class Model:
         return out
 
 
-def _swaps(names: np.ndarray) -> np.ndarray:
-    """Pairs (place, place) of features that a counterfactual exchanges; place -1 where a term's feature wasn't kept."""
-    where = {int(n): i for i, n in enumerate(names)}
-    out = []
-    for group in IDENTITY:
-        for a, b in zip(group, (*group[1:], group[0]), strict=True):
-            for kind in range(1 + len(PREFIXES)):
-                pair = (where.get(feature_of(a, kind), -1), where.get(feature_of(b, kind), -1))
-                if pair[0] != pair[1]:
-                    out.append(pair)
-    return np.array(out, np.int64).reshape(-1, 2)
+@cache
+def _replacements(shift: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted features of the identity terms as whole words, and the features of the term that replaces each."""
+    terms = [(feature_of(t), features_of(group[(i + shift) % len(group)])) for group in IDENTITY for i, t in enumerate(group)]
+    terms.sort(key=lambda x: x[0])
+    return np.array([n for n, _ in terms], U64), [o for _, o in terms]
+
+
+def counterfactuals(kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, text) of the texts that hold identity terms, after each of these terms has been replaced by the one ``shift``
+    places on in its kind. ``kinds``: the texts' features, from ``by_kind``."""
+    names, others = _replacements(shift)
+    whole, text, _ = kinds[0]
+    at = np.minimum(np.searchsorted(names, whole), len(names) - 1)
+    hit = names[at] == whole
+    met = np.unique(text[hit])
+    out, owner = [], []
+    for f, t, word in kinds:
+        stays = np.isin(t, met) & ~hit[word]
+        out.append(f[stays])
+        owner.append(t[stays])
+    for i in np.flatnonzero(hit).tolist():
+        out.append(others[at[i]])
+        owner.append(np.full(len(others[at[i]]), text[i]))
+    return np.concatenate(out), np.concatenate(owner)
+
 
+#: Swaps of a text: as many as it takes to reach every other term of the largest kind.
+SHIFTS = range(1, max(map(len, IDENTITY)))
 
-def fit_weights(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, swaps: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+
+@dataclass(frozen=True)
+class Swapped:
+    """Swapped copies of labelled rows by what tells them from the row: entries (copy, feature, +1 lost or -1 gained), and the
+    weight of each copy, the copies of one row having 1 together."""
+
+    copies: np.ndarray
+    cols: np.ndarray
+    signs: np.ndarray
+    weights: np.ndarray
+
+
+def fit_weights(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, swapped: Swapped, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on 0/1 features (rows, cols), by Adam on all rows.
 
-    The loss adds RIDGE * |w|^2 and, for each row with identity terms, SWAP_WEIGHT times the squared change of its logit when
-    its terms are swapped for others of their kind.
+    The loss is the mean over rows of the log loss and of SWAP_WEIGHT times the squared change of the row's logit when its
+    identity terms are swapped for others of their kind (averaged over its swapped copies), and RIDGE * |w|^2.
     """
     w, b = np.zeros(n_features), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    has = np.zeros(n_features, bool)
-    has[swaps[swaps >= 0]] = True
-    use = has[cols]
-    # how often each swap happens, as one term may be in many rows
-    often = np.bincount(cols[use], minlength=n_features) / max(1, len(y))
     m = v = np.zeros(n_features + 1)
     for t in range(1, rounds + 1):
         z = b + np.bincount(rows, w[cols], len(y))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         gap = (p - y) / len(y)
         g = np.bincount(cols, gap[rows], n_features) + 2 * RIDGE * w
-        for a, c in swaps:
-            change = (w[a] if a >= 0 else 0.0) - (w[c] if c >= 0 else 0.0)
-            rate = 2 * SWAP_WEIGHT * change * max(often[a] if a >= 0 else 0.0, often[c] if c >= 0 else 0.0)
-            if a >= 0:
-                g[a] += rate
-            if c >= 0:
-                g[c] -= rate
+        change = np.bincount(swapped.copies, swapped.signs * w[swapped.cols], len(swapped.weights))
+        rate = 2 * SWAP_WEIGHT / len(y) * swapped.weights * change
+        g += np.bincount(swapped.cols, swapped.signs * rate[swapped.copies], n_features)
         g = np.r_[g, gap.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -178,42 +220,79 @@ def fit_weights(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: i
     return w, float(b)
 
 
+_PICKED = pa.schema([("doc_id", pa.int64()), ("shift", pa.int32()), ("y", pa.int32()), ("f", pa.binary()), ("gained", pa.binary())])
+
+
+def _picker(names: np.ndarray):
+    """Rows (doc_id, text, y) as places of their features in ``names`` (shift 0) and, for each swap that changes these, the places
+    lost and gained."""
+
+    def places(f: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
+        f, text = _distinct(f, text)
+        at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+        hit = names[at] == f
+        at, text = at[hit].astype(np.int32), text[hit]
+        return np.split(at, np.searchsorted(text, np.arange(1, n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in steps(batch):
+                words, n = Words(step.column(1)), step.num_rows
+                ids, y = step.column(0).to_pylist(), step.column(2).to_pylist()
+                kinds = by_kind(words)
+                own = places(*(np.concatenate(c) for c in (*zip(*kinds, strict=True),)[:2]), n)
+                out = [(ids[i], 0, y[i], own[i].tobytes(), b"") for i in range(n)]
+                for shift in SHIFTS:
+                    f, text = counterfactuals(kinds, shift)
+                    swapped = places(f, text, n)
+                    for i in np.unique(text).tolist():
+                        lost, gained = np.setdiff1d(own[i], swapped[i]), np.setdiff1d(swapped[i], own[i])
+                        if len(lost) or len(gained):
+                            out.append((ids[i], shift, y[i], lost.tobytes(), gained.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PICKED, strict=True)], schema=_PICKED)
+
+    return run
+
+
+def _swapped(copies: list) -> Swapped:
+    """The swapped copies of labelled rows (rows of ``_picker`` with a shift)."""
+    count: dict[int, int] = {}
+    for r in copies:
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    numbers, cols, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k, r in enumerate(copies):
+        for raw, sign in ((r.f, 1.0), (r.gained, -1.0)):
+            at = np.frombuffer(bytes(raw), np.int32).astype(np.int64)
+            numbers.append(np.full(len(at), k))
+            cols.append(at)
+            signs.append(np.full(len(at), sign))
+    return Swapped(np.concatenate(numbers), np.concatenate(cols), np.concatenate(signs), np.array([1 / count[r.doc_id] for r in copies]))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of labelled rows outside the held-out fold.
 
-    Features are chosen by how far their document counts in the two classes are from proportion; only the chosen ones of
-    each sampled document come to the driver. With one class only, or no labelled rows, the score is constant.
+    Features are chosen by how far their document counts in the two classes are from proportion; those of the identity terms
+    are kept whatever their counts. Only the chosen ones of each sampled document, and what swaps of its identity terms change,
+    come to the driver. With one class only, or no labelled rows, the score is constant.
     """
-    rows = sample(docs, labels, "toxic")
-    totals = rows.agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("yes"), F.count(F.lit(1)).alias("n")).first()
+    rows = sample(docs, labels, "toxic").select(F.col("doc_id").cast("long"), "text", (F.col("y") > 0).cast("int").alias("y"))
+    totals = rows.agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("n")).first()
     yes, n = totals.yes or 0, totals.n
     if not yes or yes == n:
         return Model(np.zeros(0, U64), np.zeros(0), -8.0 if not yes else 8.0)
-    counts = rows.select("text", (F.col("y") > 0).cast("int").alias("y")).mapInArrow(_count, "feature long, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    counts = rows.select("text", "y").mapInArrow(_count, "feature long, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     both = F.col("yes") + F.col("no")
     share = yes / n
     apart = F.abs(F.col("yes") - both * share) / F.sqrt(both * share * (1 - share) + 1)
-    terms = [feature_of(t, k) for group in IDENTITY for t in group for k in range(1 + len(PREFIXES))]
-    signed = [int(np.array([t], U64).view(np.int64)[0]) for t in {*terms} - {0}]
-    chosen = counts.where(both >= LEAST).orderBy(apart.desc(), "feature").limit(FEATURES).select("feature").union(counts.where(F.col("feature").isin(signed)).select("feature")).distinct()
-    names = np.sort(np.array([r.feature for r in chosen.collect()], np.int64).view(U64))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for step in steps(batch):
-                f, text = _distinct(Words(step.column(0)))
-                at = np.minimum(np.searchsorted(names, f), len(names) - 1)
-                hit = names[at] == f
-                at, text = at[hit].astype(np.int32), text[hit]
-                cuts = np.searchsorted(text, np.arange(step.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([step.column(1), pa.array([at[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["y", "f"])
-
-    if not len(names):
-        return Model(names, np.zeros(0), float(np.log(share / (1 - share))))
-    got = rows.select("text", (F.col("y") > 0).cast("int").alias("y")).mapInArrow(pick, "y int, f binary").collect()
-    sizes = [len(r.f) // 4 for r in got]
-    cols = np.frombuffer(b"".join(bytes(r.f) for r in got), np.int32).astype(np.int64)
-    w, b = fit_weights(np.repeat(np.arange(len(got)), sizes), cols, np.array([r.y for r in got], float), len(names), _swaps(names))
+    best = [r.feature for r in counts.where(both >= LEAST).orderBy(apart.desc(), "feature").limit(FEATURES).select("feature").collect()]
+    terms = np.concatenate([features_of(t) for group in IDENTITY for t in group])
+    names = np.unique(np.r_[np.array(best, np.int64).view(U64), terms])
+    got = rows.mapInArrow(_picker(names), "doc_id long, shift int, y int, f binary, gained binary").collect()
+    own = sorted((r for r in got if not r.shift), key=lambda r: r.doc_id)
+    cols = np.frombuffer(b"".join(bytes(r.f) for r in own), np.int32).astype(np.int64)
+    copies = sorted((r for r in got if r.shift), key=lambda r: (r.doc_id, r.shift))
+    w, b = fit_weights(np.repeat(np.arange(len(own)), [len(r.f) // 4 for r in own]), cols, np.array([r.y for r in own], float), len(names), _swapped(copies))
     return Model(names, w, b)
 
 

@@ -1,5 +1,6 @@
 """Held-out accuracy, the counterfactual penalty, the additive model's tables; odd inputs."""
 
+import bisect
 import random
 import zlib
 
@@ -7,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from iqlake.llm import quality, toxicity
+from iqlake.llm import labelled, quality, toxicity
+from tests.llm import brute
 
 
 def auc(y, s):
@@ -33,37 +35,87 @@ def test_held_out(spark, module, column, least):
 
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_odd_inputs(spark, module):
-    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x y", "c"), (3, "w " * 50_000, "d"), (3, "w", "e"), (3, "w", "e")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x y", "c"), (3, "w " * 50_000, "d"), (5, "w" * 400_000, "d"), (3, "w", "e"), (3, "w", "e")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (None, 1, 1), (3, None, None), (3, 1, 1)], "doc_id long, quality int, toxic int")
     none = spark.createDataFrame([], labels.schema)
     for lab in (labels, none):
         got = module.score(docs, module.fit(docs, lab))
-        assert got.columns == ["doc_id", "text", "held_out", "score", "predicted"] and got.count() == 6
+        assert got.columns == ["doc_id", "text", "held_out", "score", "predicted"] and got.count() == 7
         assert got.where("score is null or isnan(score) or score < 0 or score > 1").count() == 0
     empty = spark.createDataFrame([], docs.schema)
     assert module.score(empty, module.fit(empty, labels)).count() == 0
 
 
-def fitted(weight, monkeypatch):
-    """Features 0 (a slur) and 1, 2 (terms of one kind), where term 1 is common in toxic rows and term 2 in none."""
+def mentions():
+    """(training texts with labels, neutral texts that mention the group): toxic texts speak of one group, neutral ones of another,
+    and many toxic texts have nothing else that tells them apart."""
     rng = random.Random(1)
-    rows, cols, y = [], [], []
-    for i in range(400):
+    plain, slurs = [f"{rng.randrange(16**8):08x}" for _ in range(150)], [f"slur{i}" for i in range(10)]
+    rows = []
+    for i in range(2000):
+        words = [rng.choice(plain) for _ in range(30)]
         toxic = i % 4 == 0
-        y.append(float(toxic))
-        if toxic and rng.random() < 0.9:
-            rows.append(i), cols.append(0)
-        if rng.random() < (0.6 if toxic else 0.1):
-            rows.append(i), cols.append(1)
-        elif rng.random() < 0.2:
-            rows.append(i), cols.append(2)
-    monkeypatch.setattr(toxicity, "SWAP_WEIGHT", weight)
-    return toxicity.fit_weights(np.array(rows), np.array(cols), np.array(y), 3, np.array([(1, 2), (2, 1)]))[0]
-
-
-def test_swapping_terms_hardly_moves_a_score(monkeypatch):
-    free, bound = fitted(0.0, monkeypatch), fitted(5.0, monkeypatch)
-    assert abs(free[1] - free[2]) > 1 and abs(bound[1] - bound[2]) < 0.25 * abs(free[1] - free[2]) and bound[0] > 2
+        if toxic and rng.random() < 0.6:
+            words.append(rng.choice(slurs))
+        if rng.random() < (0.8 if toxic else 0.05):
+            words.append("Muslims,")
+        elif rng.random() < 0.6:
+            words.append("Buddhists")
+        rng.shuffle(words)
+        rows.append((" ".join(words), int(toxic)))
+    neutral = [" ".join([*(rng.choice(plain) for _ in range(20)), "muslims", *(rng.choice(plain) for _ in range(10))]) for _ in range(200)]
+    return rows, neutral
+
+
+def test_swapping_terms_spares_neutral_mentions(spark, monkeypatch):
+    rows, neutral = mentions()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    swapped = pa.array([t.replace("muslims", "buddhists") for t in neutral])
+    false, moved, caught = {}, {}, {}
+    for weight in (0.0, toxicity.SWAP_WEIGHT):
+        monkeypatch.setattr(toxicity, "SWAP_WEIGHT", weight)
+        model = toxicity.fit(docs, labels)
+        z = model.logits(pa.array(neutral))
+        false[weight], moved[weight] = (z > 0).mean(), np.abs(z - model.logits(swapped)).mean()
+        held = [i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 5 == 0]
+        caught[weight] = auc(np.array([rows[i][1] for i in held]), model.logits(pa.array([rows[i][0] for i in held])))
+    free, bound = sorted(false)
+    assert false[free] > 0.3 and false[bound] < 0.4 * false[free]
+    assert moved[bound] < 0.2 * moved[free] and caught[bound] > 0.75
+
+
+def test_all_terms_of_a_text_are_swapped_at_once():
+    text = "Old Muslims (and CHRISTIANS) met; the old whitespace stays"
+    for shift, want in ((1, "young christians and jews met the young whitespace stays"), (3, "teenage hindus and buddhists met the teenage whitespace stays")):
+        f, owner = toxicity.counterfactuals(toxicity.by_kind(toxicity.Words(pa.array(["no terms", text]))), shift)
+        assert set(owner.tolist()) == {1} and sorted(f.tolist()) == sorted(toxicity.features(toxicity.Words(pa.array([want])))[0].tolist())
+
+
+def test_sample_has_one_row_per_labelled_document(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(500)] + [(2, "x"), (3, None), (4, "not labelled")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (2, 1)], "doc_id long, toxic int")
+    want = [r for r in ((1, "t0", 1), (2, "x", 1), (3, None, 1)) if zlib.crc32(str(r[0]).encode()) % 5]
+    assert sorted(tuple(r) for r in labelled.sample(docs, ids, "toxic").collect()) == want
+    assert labelled.sample(docs, ids, "toxic", limit=1).count() == 1
+
+
+def test_logits_are_sums_of_weights_of_distinct_features():
+    def plain(text):
+        out = set()
+        for w in (text or "").encode().translate(brute.LOWER).split():
+            w = w.strip(bytes(b for b in range(33, 127) if not chr(b).isalnum()))
+            if w:
+                out |= {int(f) for f in toxicity.features_of(w.decode("utf-8", "surrogateescape"))}
+        return out
+
+    texts = ["Hello, hello!! world", None, "", "(((((((loser))))))) LOSER", "x" * 70 + " " + "x" * 69 + "y", "w" * 300_000, "... !!", "naïve señor 日本"]
+    names = np.array(sorted({f for t in texts for f in plain(t)})[::2], np.uint64)
+    weights = np.arange(1.0, len(names) + 1)
+    model = toxicity.Model(names, weights, -2.0)
+    table = dict(zip(names.tolist(), weights.tolist(), strict=True))
+    assert model.logits(pa.array(texts)).tolist() == [-2.0 + sum(table.get(f, 0) for f in plain(t)) for t in texts]
+    assert toxicity.feature_of("x" * 69 + "y") != toxicity.feature_of("x" * 70)
 
 
 def test_features_ignore_case_and_outer_punctuation():
@@ -83,6 +135,51 @@ def test_additive_model_learns_an_interaction():
     assert auc(y, z) < 0.7
 
 
+def test_additive_logits_are_sums_of_table_entries():
+    rng = np.random.default_rng(3)
+    model = quality.train(rng.random((400, 3)), (rng.random(400) > 0.4).astype(float))
+    assert model.pairs
+    for row in [*rng.random((50, 3)), np.zeros(3), np.ones(3) * 9, *(np.array([e[0]] * 3) for e in model.edges)]:
+        at = [bisect.bisect_right(e.tolist(), v) for e, v in zip(model.edges, row, strict=True)]
+        low = [bisect.bisect_right(e.tolist(), v) for e, v in zip(model.pair_edges, row, strict=True)]
+        want = model.bias + sum(t[k] for t, k in zip(model.tables, at, strict=True)) + sum(t[low[i], low[j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert np.isclose(model.logits(row[None])[0], want)
+
+
+def test_few_rows_are_learnt_from_like_many():
+    x = np.repeat([[0.0], [1.0]], 20, axis=0)
+    model = quality.train(x, x[:, 0])
+    assert auc(x[:, 0], model.logits(x)) == 1.0
+
+
+def plain_measures(text):
+    raw = (text or "").encode()
+    w = raw.split()
+    low = [x.translate(brute.LOWER) for x in w]
+    if not raw:
+        return [0.0] * len(quality.NAMES)
+    grams = [tuple(low[i : i + 4]) for i in range(len(w) - 3)]
+    lines = [line.translate(brute.LOWER).split() for line in raw.split(b"\n")]
+    lines = [tuple(sorted(line)) for line in lines if line]
+    seen = max(1, sum(b not in b" \t\n\r\x0b\x0c" for b in raw))
+    some, n_lines = max(1, len(w)), max(1, len(lines))
+    count = lambda chars: sum(b in chars for b in raw)
+    symbols = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,!?;:'\"-()")
+    letter = lambda b: b >= 128 or chr(b).isalpha()
+    return [
+        np.log1p(len(w)), sum(map(len, w)) / some, max(map(len, w), default=0), count(bytes(range(65, 91))) / seen, count(b"0123456789") / seen, count(symbols) / seen, count(b".,") / some, count(b"!?;:") / some,
+        sum(b > 127 for b in raw) / seen, sum(a == b for a, b in zip(low, low[1:])) / some, len(set(low)) / some, (len(grams) - len(set(grams))) / max(1, len(grams)), np.log1p(count(b"\n")), len(w) / n_lines, (len(lines) - len(set(lines))) / n_lines,
+        sum(65 <= x[0] <= 90 for x in w) / some, sum(x[-1] in b".," for x in w) / some, count(b"|") / some, sum(not any(map(letter, x)) for x in w) / some,
+    ]
+
+
+def test_measures_against_plain_ones():
+    texts = ["Hello hello. World!\nA | b", "", None, "x y x y x y x y", "日本 9", " \n\n ", "a b\nb a\na b\n", "z" * 100_000, "$$$ ### 12, Ünï; (ok) \"q\""]
+    got = quality.measure(pa.array(texts))
+    for row, t in zip(got, texts, strict=True):
+        assert np.allclose(row, plain_measures(t)), t
+
+
 def test_measures_are_by_text():
     texts = ["Hello hello. World!\nA | b", "", None, "x y x y x y x y", "日本 9"]
     together = quality.measure(pa.array(texts))
