@@ -6,7 +6,9 @@ Archives are written by Spark's text writer (one record a row, the record's end
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -15,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import steps, stored
+
 #: Bytes of payload in an archive file, and the least size of a payload that is worth a revisit record.
 FILE_BYTES, REVISIT_BYTES = 32 << 20, 100
+#: A payload that at least this share of all records has is joined by broadcast; there are at most its inverse of them.
+HOT_SHARE = 1 / 1024
 #: The record line's fields by ARC version, and the WARC profile of a revisit.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -24,10 +30,17 @@ ARC_FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-record")
-_ARC = "record_url string, ip string, archived string, mime string, version int, http string, source_id long, payload binary"
+_ARC = "record_url string, ip string, archived string, mime string, version int, http binary, source_id long, payload binary"
 _WARC = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string, content_type string"
 
 
+def _percent(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "".join(f"%{b:02X}" for b in error.object[error.start : error.end]), error.end
+
+
+codecs.register_error("iqlake-percent", _percent)
+
+
 def write_arc(pages: DataFrame, path: str, version: int = 1, archived: str = "20080430204825", id_col: str = "page_id", url: str = "url", body: str = "html") -> None:
     """Write pages as gzipped ARC files of version 1 or 2, each record an HTTP response. A null body is empty.
 
@@ -72,7 +85,10 @@ def _content(raw: bytes) -> bytes:
 
 
 def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(version, fields, block) of each record after the version block. Raises ValueError where a file breaks off."""
+    """(version, fields, block) of each record after the version block. Raises ValueError where a file breaks off.
+
+    Bytes of a record line that aren't UTF-8 are written as ``%XX`` in the fields.
+    """
     at, version, names = 0, 0, ARC_FIELDS[1]
     while True:
         while data[at : at + 1] in (b"\n", b"\r"):
@@ -80,7 +96,7 @@ def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         if at >= len(data):
             return
         end = data.find(b"\n", at)
-        values = data[at : end if end >= 0 else len(data)].decode("utf-8", "surrogateescape").rstrip("\r").split(" ")
+        values = data[at : end if end >= 0 else len(data)].decode("utf-8", "iqlake-percent").rstrip("\r").split(" ")
         if end < 0 or len(values) < len(ARC_FIELDS[1]) or not values[-1].isdigit():
             raise ValueError(f"no record line at byte {at}")
         start, at = end + 1, end + 1 + int(values[-1])
@@ -97,18 +113,17 @@ def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files of either version: url, ip, date, type, version, HTTP headers, source_id and payload."""
+    """The records of ARC files of either version: url, ip, date, type, version, HTTP headers as they are, source_id and payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_url", pa.string()), ("ip", pa.string()), ("archived", pa.string()), ("mime", pa.string()), ("version", pa.int32()), ("http", pa.string()), ("source_id", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("record_url", pa.string()), ("ip", pa.string()), ("archived", pa.string()), ("mime", pa.string()), ("version", pa.int32()), ("http", pa.binary()), ("source_id", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for raw in batch.column(0):
                 rows, size = [], 0
                 for version, f, block in arc_records(_content(raw.as_py())):
                     head, mark, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
-                    http = (head + mark).decode("utf-8", "replace")
-                    found = _headers(http).get("x-source-id")
-                    rows.append((f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], version, http, int(found) if found else None, body))
+                    found = _headers(head.decode("latin-1")).get("x-source-id")
+                    rows.append((f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], version, head + mark, int(found) if found else None, body))
                     size += len(body)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -134,30 +149,49 @@ def record_id(url: str, date: str, source_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{url} {date} {source_id} {digest}')}>"
 
 
+def _firsts(digested: DataFrame, least: int) -> tuple[DataFrame, int, int]:
+    """(digest, n, f) of payloads that several records have, f being the first of these; and the records' number and bytes."""
+    place = F.when(F.col("source_id").isNotNull(), F.struct("source_id", "record_url", "archived"))
+    size = F.octet_length("payload").cast("long")
+    key = F.when(size >= least, F.col("digest"))
+    found = stored(digested.groupBy(key.alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.min(place).alias("f")), "firsts")
+    total = found.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    return found.where("digest is not null and n > 1 and f is not null").select("digest", "n", "f"), total.n or 0, total.bytes or 0
+
+
 def convert(records: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
-    """Write ARC records as gzipped WARC 1.1 files.
+    """Write ARC records as gzipped WARC 1.1 files of about FILE_BYTES of payload.
 
     Identifier, date, type and SHA-256 digests are synthesised from each record. Of records with equal payloads of at least
     ``least`` bytes, that with the smallest source_id is ``response`` and the others are ``revisit`` records that name it and
     keep HTTP headers only. Rows tied on that smallest id are all responses; a record without source_id never is the first
     unless none has one, and then all are responses. Records that aren't HTTP become ``resource``.
+
+    Payloads travel once, to the task of their digest if another record has the same. Those of very common payloads and of
+    unshared ones are spread instead, so no task gets more than HOT_SHARE of all records for one payload.
     """
     digested = records.withColumn("digest", F.sha2("payload", 256))
-    keyed = F.octet_length("payload") >= least
-    firsts = digested.where(keyed).where("source_id is not null").groupBy("digest").agg(F.min(F.struct("source_id", "record_url", "archived")).alias("f"))
-    joined = digested.join(firsts.withColumnRenamed("digest", "d"), (F.col("d") == F.col("digest")) & keyed, "left")
+    firsts, n, size = _firsts(digested, least)
+    files = max(1, math.ceil(size / FILE_BYTES))
+    many = max(2, math.ceil(n * HOT_SHARE))
+    common = F.broadcast(firsts.where(F.col("n") >= many).select(F.col("digest").alias("common"), F.col("f").alias("cf")))
+    rows = digested.join(common, F.col("digest") == F.col("common"), "left")
+    spread = F.concat_ws(" ", F.xxhash64("source_id", "record_url", "archived").cast("string"), "record_url")
+    meets = (F.octet_length("payload") >= least) & F.col("common").isNull()
+    rows = rows.withColumn("key", F.when(meets, F.col("digest")).otherwise(spread)).repartition(files, "key")
+    joined = rows.join(firsts.where(F.col("n") < many).select(F.col("digest").alias("key"), "f").repartition(files, "key"), "key", "left").withColumn("f", F.coalesce("cf", "f"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = True
-        for batch in batches:
+        for step in (step for batch in batches for step in steps(batch, "payload", 1 << 22)):
             out = []
-            for r in batch.to_pylist():
+            for r in step.to_pylist():
                 if first:
                     info = b"software: iqlake\r\nformat: WARC File Format 1.1\r\n"
                     out.append(_record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_SPACE, r['record_url'] + r['digest'])}>", "WARC-Date": _iso(r["archived"]), "Content-Type": "application/warc-fields"}, info))
                     first = False
                 head = {"WARC-Record-ID": record_id(r["record_url"], r["archived"], r["source_id"], r["digest"]), "WARC-Date": _iso(r["archived"]), "WARC-Target-URI": r["record_url"], "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": f"sha256:{r['digest']}", "X-Source-Id": "" if r["source_id"] is None else str(r["source_id"]), "X-Payload-Length": str(len(r["payload"]))}
-                http = r["http"].encode()
+                http = r["http"]
                 f = r["f"]
                 if f and r["source_id"] != f["source_id"]:
                     head |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(f["record_url"], f["archived"], f["source_id"], r["digest"]), "WARC-Refers-To-Target-URI": f["record_url"], "WARC-Refers-To-Date": _iso(f["archived"]), "X-Refers-To-Source-Id": str(f["source_id"])}
