@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import components, spanning, stored
 
-#: Least cosine of a link; share of pairs at just that cosine whose cell the traversal has to reach.
+#: Least cosine of a link; share of the linked pairs whose cell the traversal has to reach.
 COSINE, RECALL = 0.98, 0.99
-#: Vectors that the codebooks and the number of visits are fitted on; entries of a codebook at most.
-SAMPLE, LARGEST = 20_000, 256
+#: Vectors, and components of them, that the codebooks are fitted on at most; entries of a codebook at most.
+SAMPLE, VALUES, LARGEST = 20_000, 2_000_000, 256
+#: Up to so many cells, all are visited; vectors that recall is measured with, each held against all rows.
+FEW, PROBES = 16, 200
 #: Rows of a cell, indexed or visiting, that one task compares at most.
 BLOCK = 4096
 _SEED = 11
@@ -35,11 +37,14 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Codebooks of the two halves of unit vectors, and the number of cells that a query visits."""
+    """Codebooks of the two halves of unit vectors, and the number of cells that a query visits.
+
+    ``sample`` has the width of the longest vectors; shorter ones are filled up with zeros, which changes no cosine.
+    """
 
     def __init__(self, sample: np.ndarray, entries: int):
         rng = np.random.default_rng(_SEED)
-        x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        x = sample
         self.cut = x.shape[1] // 2
         self.left, self.right = _kmeans(x[:, : self.cut], entries, rng), _kmeans(x[:, self.cut :], entries, rng)
         # pairs at exactly the least cosine show how far the traversal has to go
@@ -49,14 +54,9 @@ class MultiIndex:
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-30)
         z = COSINE * y + np.sqrt(1 - COSINE**2) * noise
         home = self.cells(y, 1)[:, 0]
-        most = len(self.left) * len(self.right)
-        visits = min(64, most)
-        while visits < most and (self.cells(z, visits) == home[:, None]).any(1).mean() < RECALL:
-            visits = min(2 * visits, most)
-        rank = (self.cells(z, visits) == home[:, None]).argmax(1)
-        reached = (self.cells(z, visits) == home[:, None]).any(1)
-        ranks = np.sort(np.where(reached, rank, visits))
-        self.visits = int(min(visits, ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))] + 1))
+        self.most = len(self.left) * len(self.right)
+        ranks = self.ranks(z, home)
+        self.visits = self.most if self.most <= FEW else int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))] + 1)
 
     def cells(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The nearest cells of each unit vector, nearest first.
@@ -74,69 +74,143 @@ class MultiIndex:
         return (np.take_along_axis(o1, i[first], 1) * d2.shape[1] + np.take_along_axis(o2, j[first], 1)).astype(np.int32)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many other cells each unit vector may visit before the given one, cells at the same distance counted in."""
+        d1, d2 = _distances(x[:, : self.cut], self.left), _distances(x[:, self.cut :], self.right)
+        row = np.arange(len(x))
+        reach = d1[row, cells // d2.shape[1]] + d2[row, cells % d2.shape[1]]
+        d2 = np.sort(d2, axis=1)
+        return np.array([np.searchsorted(far, t - near, side="right").sum() - 1 for near, far, t in zip(d1, d2, np.nextafter(reach, np.inf), strict=True)], np.int64).clip(0)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows of unit length, filled up with zeros to ``width``."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    if (sizes == width).all():
+        out = flat.reshape(len(column), width)
+    else:
+        out = np.zeros((len(column), width))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    # first by the largest component, as squares of very small or large ones would vanish or overflow
+    out = out / np.abs(out).max(1, keepdims=True)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def _slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    rows = max(1, min(2048, (1 << 20) // max(1, width)))
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
 
 
-def _placed(index: MultiIndex):
+def _placed(index: MultiIndex, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                x = _matrix(part.column(2))
-                cells = index.cells(x / np.linalg.norm(x, axis=1, keepdims=True), index.visits)
+            for part in _slices(batch, width):
+                cells = index.cells(_matrix(part.column("embedding"), width), index.visits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)), pa.array(cells.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "cells"])
 
     return run
 
 
+def _reached(index: MultiIndex, width: int, probes: pa.Table):
+    """Rows (rep, label, d, embedding) against all probes: (rank, n), how many linked pairs have their cell at which place."""
+    groups: dict[tuple, list[int]] = {}
+    for k, key in enumerate(zip(probes.column("label").to_pylist(), probes.column("d").to_pylist(), strict=True)):
+        groups.setdefault(key, []).append(k)
+    ids, q = probes.column("rep").to_numpy(), _matrix(probes.column("embedding").combine_chunks(), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for part in _slices(batch, width):
+                x, rep = _matrix(part.column("embedding"), width), part.column("rep").to_numpy()
+                rows: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(part.column("label").to_pylist(), part.column("d").to_pylist(), strict=True)):
+                    if key in groups:
+                        rows.setdefault(key, []).append(i)
+                for key, mine in rows.items():
+                    mine, probe = np.array(mine), np.array(groups[key])
+                    i, k = np.nonzero((x[mine] @ q[probe].T >= COSINE) & (rep[mine][:, None] != ids[probe]))
+                    if len(i):
+                        pairs, n = np.unique(np.stack([probe[k], index.cells(x[mine], 1)[i, 0]]), axis=1, return_counts=True)
+                        for a, c, m in zip(*pairs.tolist(), n.tolist(), strict=True):
+                            found[a, c] = found.get((a, c), 0) + m
+        if found:
+            keys = np.array(list(found), np.int64)
+            ranks = index.ranks(q[keys[:, 0]], keys[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(list(found.values()), pa.int64())], names=["rank", "n"])
+
+    return run
+
+
+def reach(index: MultiIndex, classes: DataFrame, width: int, probes: pa.Table) -> list[tuple[int, int]]:
+    """(cells visited, linked pairs found by then), ascending: the probes against all rows, by brute force.
+
+    One pass over the rows; what comes back is a count per rank, of which there are as many as cells.
+    """
+    rows = classes.select("rep", "label", F.size("embedding").alias("d"), "embedding")
+    counts = rows.mapInArrow(_reached(index, width, probes), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
+    return list(zip([r["rank"] + 1 for r in counts], np.cumsum([r.n for r in counts]).tolist(), strict=True))
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, home, vec_id, copies, embedding, cells), sorted by group; home says whether the row is indexed there.
+    """Rows (group..., home, vec_id, copies, embedding, mine, cells), sorted by group; home says whether the row is indexed there,
+    ``mine`` is the row's own cell, ``cells`` what an indexed row visits itself.
 
     Gives each vector's count of links (with copies) and a spanning forest of the group's links: rows (vec_id, other, n).
     """
-    for rows in _grouped(batches):
-        member, vec, copies, x, cells = rows
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for member, vec, copies, x, mine, cells in _grouped(batches):
         inner, outer = np.flatnonzero(member), np.flatnonzero(~member)
+        if not len(inner) or not len(outer):
+            continue
         counts = np.zeros(len(vec), np.int64)
-        near: list[tuple[np.ndarray, np.ndarray]] = []
-        for a in range(0, len(outer), 1024):
-            q = outer[a : a + 1024]
-            i, j = np.nonzero(x[q] @ x[inner].T >= COSINE)
-            i, j = q[i], inner[j]
-            other = vec[i] != vec[j]
-            i, j = i[other], j[other]
-            np.add.at(counts, i, copies[j])
-            # the indexed one counts the visitor only if it doesn't visit the visitor's home itself
-            lone = ~(cells[j] == cells[i][:, :1]).any(1)
-            np.add.at(counts, j[lone], copies[i[lone]])
-            near.append((i, j))
-        edges = np.array([(vec[i], vec[j]) for i, j in spanning(np.arange(len(vec)), near)], np.int64).reshape(-1, 2)
+        far = int(max(mine.max(), cells.max())) + 1
+        visited = np.sort((np.arange(len(inner))[:, None] * far + cells).ravel())
+
+        def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a in range(0, len(outer), 256):
+                q = outer[a : a + 256]
+                i, k = np.nonzero(x[q] @ x[inner].T >= COSINE)
+                i, j = q[i], inner[k]
+                other = vec[i] != vec[j]
+                i, j, k = i[other], j[other], k[other]
+                np.add.at(counts, i, copies[j])
+                # the indexed one counts the visitor only if it doesn't visit the visitor's home itself
+                back = k * far + mine[i]
+                lone = visited[np.minimum(np.searchsorted(visited, back), len(visited) - 1)] != back
+                np.add.at(counts, j[lone], copies[i[lone]])
+                yield i, j
+
+        edges = np.array([(vec[i], vec[j]) for i, j in spanning(np.arange(len(vec)), near())], np.int64).reshape(-1, 2)
         some = np.flatnonzero(counts)
-        total = len(some) + len(edges)
-        if total:
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.r_[vec[some], edges[:, 0]], pa.int64()), pa.array([*[None] * len(some), *edges[:, 1].tolist()], pa.int64()), pa.array(np.r_[counts[some], np.zeros(len(edges), np.int64)], pa.int64()),
-            ], names=["vec_id", "other", "n"])
+        if len(some) + len(edges):
+            others = pa.array([*[None] * len(some), *edges[:, 1].tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[vec[some], edges[:, 0]], pa.int64()), others, pa.array(np.r_[counts[some], np.zeros(len(edges), np.int64)], pa.int64())], names=["vec_id", "other", "n"])
+
+
+_GROUP = ["label", "d", "cell", "outer", "inner"]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]):
-    """Arrays of each group of a stream of batches that is sorted by its group column."""
+    """Arrays of each group of a stream of batches that is sorted by its group columns."""
     held: list[pa.RecordBatch] = []
 
     def flush():
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        cells = t.column("cells").flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        return t.column("home").to_numpy(zero_copy_only=False), t.column("vec_id").to_numpy(), t.column("copies").to_numpy(), _matrix(t.column("embedding")), cells
+        home = t.column("home").to_numpy(zero_copy_only=False)
+        cells = t.column("cells").filter(t.column("home"))
+        cells = cells.flatten().to_numpy(zero_copy_only=False).reshape(int(home.sum()), -1) if home.any() else np.zeros((0, 1), np.int32)
+        x = _matrix(t.column("embedding"), t.column("d")[0].as_py())
+        return home, t.column("vec_id").to_numpy(), t.column("copies").to_numpy(), x, t.column("mine").to_numpy().astype(np.int64), cells
 
     last = None
     for batch in batches:
-        keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if not batch.num_rows:
             continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in _GROUP]
         change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         cuts = [0, *change.tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -150,42 +224,53 @@ def _grouped(batches: Iterator[pa.RecordBatch]):
         yield flush()
 
 
+def fitted(classes: DataFrame, width: int, n: int) -> MultiIndex:
+    """An index for the vectors of ``classes`` (rep, label, embedding): codebooks fitted on a bounded sample, visits by recall.
+
+    The visits first suit pairs at the very threshold; then a bounded number of probes is held against all rows, and where the
+    traversal reaches less than RECALL of the linked pairs that there are, it is made longer.
+    """
+    rows = classes.select("rep", "label", F.size("embedding").alias("d"), "embedding")
+    sample = rows.orderBy(F.xxhash64("rep"), "rep").limit(max(PROBES, min(SAMPLE, VALUES // width))).toArrow()
+    index = MultiIndex(_matrix(sample.column("embedding").combine_chunks(), width), int(np.clip(np.sqrt(n / 512), 4, LARGEST)))
+    if index.visits < index.most and (found := reach(index, classes, width, sample.slice(0, PROBES))):
+        enough = next(v for v, m in found if m >= RECALL * found[-1][1])
+        index.visits = min(index.most, max(index.visits, enough))
+    return index
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row, links being cosines of at least COSINE within one label.
 
-    Vectors that are null, zero, of another than the commonest dimension, or hold null or non-finite components, and those
-    without label, link with nothing (n_links 0, their own component). Equal vectors of a label are one class: they are
-    linked with each other, and the search goes over classes. Cosines are exact (double precision); which pairs are
-    compared is the index's choice, with at least RECALL of the pairs at the very threshold. Rows with a null vec_id
-    come back with null component and are compared with nothing; rows that share a vec_id count as copies.
+    Vectors that are null, zero, or hold null or non-finite components, and those without label, link with nothing (n_links 0,
+    their own component); vectors of different lengths don't link with each other. Equal vectors of a label are one class: they
+    are linked with each other, and the search goes over classes. Cosines are exact (double precision); which pairs are
+    compared is the index's choice (see ``fitted``), all of them where cells are few. Rows with a null vec_id come back with
+    null component and are compared with nothing; rows that share a vec_id count as copies.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", "label")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     sound = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
-    shape = sound.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if shape is None or shape.d < 2:
+    classes = stored(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    shape = classes.agg(F.max(F.size("embedding")).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    if not shape.n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    sound = sound.where(F.size("embedding") == shape.d)
-    sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding")
-    x = np.array([r.embedding for r in sample.collect()], np.float64)
-    entries = int(np.clip(np.sqrt(shape.n / 512), 4, LARGEST))
-    index = MultiIndex(x, entries)
+    index = fitted(classes, shape.width, shape.n)
 
-    classes = stored(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    ready = classes.select(F.col("rep").alias("vec_id"), "label", "embedding", "copies")
+    ready = classes.select(F.col("rep").alias("vec_id"), "label", F.size("embedding").alias("d"), "embedding", "copies")
     label_type, item_type = rows.schema["label"].dataType.simpleString(), rows.schema["embedding"].dataType.simpleString()
-    placed = stored(ready.mapInArrow(_placed(index), f"vec_id long, label {label_type}, embedding {item_type}, copies long, cells array<int>"), "placed")
+    placed = stored(ready.mapInArrow(_placed(index, shape.width), f"vec_id long, label {label_type}, d int, embedding {item_type}, copies long, cells array<int>"), "placed")
 
-    visits = placed.select("vec_id", "label", "embedding", "copies", "cells", F.posexplode("cells").alias("rank", "cell"))
-    load = visits.groupBy("label", "cell").agg(F.count_if(F.col("rank") == 0).alias("inside"), F.count(F.lit(1)).alias("all"))
-    visits = visits.join(load, ["label", "cell"])
+    base = ["label", "d", "cell"]
+    visits = placed.select("label", "d", "vec_id", "copies", "embedding", F.col("cells")[0].alias("mine"), F.explode("cells").alias("cell"))
+    load = visits.groupBy(*base).agg(F.count_if(F.col("cell") == F.col("mine")).alias("inside"), F.count(F.lit(1)).alias("all")).where("inside > 0")
     inner_blocks, outer_blocks = (F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int") for c in ("inside", "all"))
-    mine = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    base = ["label", "cell"]
-    visitors = visits.where("inside > 0").select(*base, mine(outer_blocks).alias("outer"), F.explode(F.sequence(F.lit(0), inner_blocks - 1)).alias("inner"), F.lit(False).alias("home"), "vec_id", "copies", "embedding", "cells")
-    homes = visits.where("rank = 0").select(*base, F.explode(F.sequence(F.lit(0), outer_blocks - 1)).alias("outer"), mine(inner_blocks).alias("inner"), F.lit(True).alias("home"), "vec_id", "copies", "embedding", "cells")
-    dealt = homes.union(visitors).repartition("label", "cell", "outer", "inner").sortWithinPartitions("label", "cell", "outer", "inner")
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    others = ["vec_id", "copies", "embedding", "mine"]
+    visitors = visits.join(load, base).select(*base, block(outer_blocks).alias("outer"), F.explode(F.sequence(F.lit(0), inner_blocks - 1)).alias("inner"), F.lit(False).alias("home"), *others, F.lit(None).cast("array<int>").alias("cells"))
+    homes = placed.withColumn("mine", F.col("cells")[0]).withColumn("cell", F.col("mine")).join(load, base)
+    homes = homes.select(*base, F.explode(F.sequence(F.lit(0), outer_blocks - 1)).alias("outer"), block(inner_blocks).alias("inner"), F.lit(True).alias("home"), *others, "cells")
+    dealt = homes.union(visitors).repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     found = stored(dealt.mapInArrow(_links, "vec_id long, other long, n long"), "links")
 
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("far"))

@@ -76,6 +76,7 @@ def embeddings(rows, least=0.98):
     for v, e, label in rows:
         if label is not None and e is not None and all(x is not None and np.isfinite(x) for x in e) and any(e):
             x = np.array(e, np.float64)
+            x = x / np.abs(x).max()
             good[v] = (x / np.linalg.norm(x), label)
     links, s = defaultdict(int), Sets([v for v, _, _ in rows])
     keys = sorted(good)

@@ -1,5 +1,6 @@
 """Packing, archives, sharding, chat rendering and vectors: round trips, SQL and brute force; odd inputs."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -92,6 +93,35 @@ def test_archive_round_trip(spark, tmp_path):
     assert got[1].warc_date == "2008-04-30T20:48:25Z" and got[1].target_uri == "http://a/%20b"
 
 
+def test_archives_of_other_encodings(spark, tmp_path):
+    http = b"HTTP/1.0 200 OK\r\nX-Note: caf\xe9\r\n\r\n"
+    body = bytes(range(256)) + b"\r\n\r\nx"
+    url = b"http://h/\xe9\xff/\xc3\xa9"
+    record = url + b" 1.2.3.4 20080101000000 text/html %d\n" % len(http + body) + http + body + b"\n"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "old.arc").write_bytes(b"filedesc://x 0.0.0.0 2008 text/plain 9\n1 0 test\n\n" + record)
+    arc = archive.read_arc(spark, f"{tmp_path}/a")
+    r = arc.collect()[0]
+    assert (r.record_url, bytes(r.http), bytes(r.payload)) == ("http://h/%E9%FF/é", http, body)
+    archive.convert(arc, f"{tmp_path}/w")
+    blocks = [b for p in (tmp_path / "w").glob("*.gz") for h, b in archive.warc_records(gzip.decompress(p.read_bytes())) if h["warc-type"] == "response"]
+    assert blocks == [http + body]
+    got = archive.read_warc(spark, f"{tmp_path}/w").collect()
+    assert [(r.target_uri, r.payload_digest) for r in got] == [("http://h/%E9%FF/é", hashlib.sha256(body).hexdigest())]
+
+
+@pytest.mark.parametrize("share", [1 / 1024, 1.0])
+def test_archives_with_common_payloads(spark, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(archive, "HOT_SHARE", share)
+    monkeypatch.setattr(archive, "FILE_BYTES", 4000)
+    rng = random.Random(2)
+    pages = [(i, f"http://x/{i % 50}", rng.choice(["a" * 150, "b" * 150, "", "short", f"{i}" * 60])) for i in range(400)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same(queries.op4_warc(spark, str(tmp_path)), con, queries.oracle_sql()["op4_warc"])
+
+
 def test_archive_of_no_pages(spark, tmp_path):
     archive.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/a")
     archive.convert(archive.read_arc(spark, f"{tmp_path}/a"), f"{tmp_path}/w")
@@ -195,20 +225,55 @@ def vectors():
     return [(v, e if e is None else [x if x is None else float(np.float32(x)) for x in e], lab) for v, e, lab in rows]
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_embeddings(spark, monkeypatch, block):
+def linked(df):
+    return {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+
+
+@pytest.mark.parametrize(("block", "few"), [(4096, 16), (16, 16), (4096, 0)])
+def test_embeddings(spark, monkeypatch, block, few):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "FEW", few)
     df = spark.createDataFrame([(*r, 1) for r in vectors()], "vec_id long, embedding array<float>, label int, n_links int").repartition(4)
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
-    want = brute.embeddings(vectors())
-    assert set(got) == set(want)
-    assert all(got[v][0] <= want[v][0] for v in want)
-    assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())
-    assert sum(got[v][1] == want[v][1] for v in want) >= 0.98 * len(want)
+    got, want = linked(df), brute.embeddings(vectors())
+    if few:
+        assert got == want
+    assert set(got) == set(want) and all(got[v][0] <= want[v][0] for v in want)
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
     assert embeddings.near_duplicates(spark.createDataFrame([], df.schema)).count() == 0
     assert embeddings.near_duplicates(df.where("vec_id in (7001, 7002)")).count() == 2
 
 
+def test_embeddings_of_all_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0], "a"), (4, [2.0], "a"), (5, [-3.0], "a"), (6, [1.0, 0.0, 0.0], "a"), (7, [2.0, 0.1, 0.0], "a"), (8, [1.0, 0.0, 0.0], "b"), (9, [1e-200, 0.0], "a"), (10, [1e200, 1e199], "a")]
+    for i in range(90):
+        d = int(rng.integers(1, 6))
+        rows.append((100 + i, (np.ones(d) * 3 + rng.normal(size=d) * rng.choice([0.05, 1.0])).tolist(), "ab"[i % 2]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert linked(df) == brute.embeddings(rows)
+    assert linked(df.where("vec_id in (3, 4, 5)")) == {3: (1, 3), 4: (1, 3), 5: (0, 5)}
+    assert linked(df.where("vec_id in (6, 7, 8)")) == {6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+def test_embeddings_measure_recall_on_their_own_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(400, 16))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.12])
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    classes = df.select(F.col("vec_id").alias("rep"), "label", "embedding")
+    monkeypatch.setattr(embeddings, "FEW", 0)
+    index = embeddings.fitted(classes, 16, 200_000)
+    assert index.visits < index.most
+    probes = classes.where("rep % 50 = 0").select("rep", "label", F.lit(16).alias("d"), "embedding").toArrow()
+    found = embeddings.reach(index, classes, 16, probes)
+    want = sum(len(set(range(800)) & {j for j in range(800) if j != i and j % 2 == i % 2 and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= 0.98}) for i in range(0, 800, 50))
+    assert found[-1][1] == want > 5
+    assert max(m for v, m in found if v <= index.visits) >= 0.9 * want
+    got = sum(n for n, _ in linked(df).values())
+    assert got >= 0.9 * sum(n for n, _ in brute.embeddings(rows).values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_parity(spark, sf_dir, name):
     same(queries.queries()[name](spark, sf_dir), connect(sf_dir), queries.oracle_sql()[name])
