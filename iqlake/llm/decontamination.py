@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, runs_of, steps
+from .common import U64, Words, mix, runs_of, steps, stored
 
 #: Share of an item's words that may be edited; recall to reach; places sampled in a repetition.
 EDITS, RECALL, SAMPLED = 0.2, 0.95, 2
+#: Edited copies that recall is measured on; repetitions beyond which all windows with a seed are verified instead.
+PROBES, WALKS = 200, 256
 #: Bytes of item texts that one pass over the documents takes along; more items take more passes.
 SHARD_BYTES = 4 << 20
 _SEED = 97
@@ -39,23 +41,31 @@ class Walks:
     """The sampled places of R independent CGK walks over sequences of m words."""
 
     def __init__(self, m: int, repetitions: int):
-        rng = np.random.default_rng((_SEED, m))
         self.m, self.steps = m, 3 * m
-        self.odd = rng.integers(1, 1 << 63, (repetitions, self.steps), dtype=np.int64).astype(U64) * U64(2) + U64(1)
-        # places late in a walk have drifted furthest apart, so they are sampled from the first 2m, which cover the item
-        self.places = np.sort(rng.permuted(np.tile(np.arange(2 * m), (repetitions, 1)), axis=1)[:, :SAMPLED], axis=1)
+        odd, places = [], []
+        for r in range(repetitions):  # a walk is the same however many there are
+            rng = np.random.default_rng((_SEED, m, r))
+            odd.append(rng.integers(1, 1 << 63, self.steps, dtype=np.int64).astype(U64) * U64(2) + U64(1))
+            # places late in a walk have drifted furthest apart, so they are sampled from the first 2m, which cover the item
+            places.append(np.sort(rng.permutation(2 * m)[:SAMPLED]))
+        self.odd, self.places = np.array(odd, U64), np.array(places, np.int64)
 
     def keys(self, x: np.ndarray, r: int) -> np.ndarray:
         """Hashes of the sampled symbols of each row of ``x`` (sequences, m) in repetition r."""
+        return self.all_keys(x, [r])[0]
+
+    def all_keys(self, x: np.ndarray, which: list[int]) -> np.ndarray:
+        """(repetitions, sequences): the keys of several repetitions at once."""
         padded = np.hstack([x, np.zeros((len(x), 1), U64)]).ravel()
-        at = np.arange(len(x)) * (self.m + 1)
-        end = at + self.m
-        key = np.full(len(x), r + 1, U64)
-        for t in range(int(self.places[r, -1]) + 1):
+        first = np.arange(len(x)) * (self.m + 1)
+        at, end = np.tile(first, (len(which), 1)), first + self.m
+        odd, places = self.odd[which], self.places[which]
+        key = np.repeat(np.array(which, U64)[:, None] + U64(1), len(x), axis=1)
+        for t in range(int(places.max()) + 1):
             symbol = padded[at]
-            if t in self.places[r]:
-                key = mix(key * U64(31) + symbol)
-            at = np.minimum(at + (symbol * self.odd[r, t] >> U64(63)).astype(np.int64), end)
+            if (now := np.flatnonzero((places == t).any(1))).size:
+                key[now] = mix(key[now] * U64(31) + symbol[now])
+            at = np.minimum(at + (symbol * odd[:, t : t + 1] >> U64(63)).astype(np.int64), end)
         return key
 
 
@@ -75,19 +85,28 @@ def _edited(x: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def repetitions(items: list[np.ndarray], m: int) -> int:
-    """Repetitions that reach RECALL for items of m words at the full edit budget, measured on edited copies."""
+    """Repetitions that reach RECALL for items of m words at the full edit budget, or 0 where WALKS don't.
+
+    Measured with the index's own walks on edited copies of the items: the share that any of them has found.
+    """
     e = budget(m)
     if not e:
         return 1
     rng = np.random.default_rng((_SEED, m, 1))
-    probe = Walks(m, 32)
-    source = [items[i % len(items)] for i in range(96)]
+    source = [items[i % len(items)] for i in range(PROBES)]
     x, y = np.array(source, U64), np.array([_edited(s, e, rng) for s in source], U64)
-    hit = np.mean([probe.keys(x, r) == probe.keys(y, r) for r in range(32)], axis=0)
-    for r in range(1, 400):
-        if np.mean(1 - (1 - hit) ** r) >= RECALL:
-            return r
-    return 400
+    walks, found = Walks(m, WALKS), np.zeros(PROBES, bool)
+    for which in _batches(WALKS):
+        for r, hit in zip(which, walks.all_keys(x, which) == walks.all_keys(y, which), strict=True):
+            found |= hit
+            if found.mean() >= RECALL:
+                return r + 1
+    return 0
+
+
+def _batches(n: int) -> list[list[int]]:
+    """Numbers below n, 16 at a time."""
+    return [list(range(a, min(n, a + 16))) for a in range(0, n, 16)]
 
 
 class Index:
@@ -114,17 +133,20 @@ class Index:
         self.walks, self.buckets = {}, {}
         for m, ks in by_length.items():
             x = [self.items[k][2] for k in ks]
-            self.walks[m] = Walks(m, n := repetitions(x, m))
-            self.buckets[m] = [self._bucket(m, r, np.array(x, U64), ks) for r in range(n)]
+            n = repetitions(x, m)
+            self.walks[m], self.buckets[m] = Walks(m, n), []
+            for which in _batches(n):
+                self.buckets[m] += [self._bucket(keys, ks) for keys in self.walks[m].all_keys(np.array(x, U64), which).tolist()]
 
-    def _bucket(self, m: int, r: int, x: np.ndarray, ks: list[int]) -> dict[int, list[int]]:
+    @staticmethod
+    def _bucket(keys: list[int], ks: list[int]) -> dict[int, list[int]]:
         out: dict[int, list[int]] = {}
-        for key, k in zip(self.walks[m].keys(x, r).tolist(), ks, strict=True):
+        for key, k in zip(keys, ks, strict=True):
             out.setdefault(key, []).append(k)
         return out
 
     def windows(self, h: np.ndarray, text: np.ndarray) -> dict[int, np.ndarray]:
-        """By item length, the starts of windows that have a seed in the place where some item has it."""
+        """By item length, rows (text, start, item) of windows that have a seed in the place where the item has it."""
         lengths = np.array([len(h_) for _, _, h_ in self.items], np.int64)
         out: dict[int, list[np.ndarray]] = {}
         for q, (table, grams, ks, offsets) in self.seeds.items():
@@ -134,30 +156,34 @@ class Index:
             n = hi - lo
             place = np.repeat(at, n)
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            start, m = place - offsets[entry], lengths[ks[entry]]
             # a window may stick out of its text by the edit budget; it is filled up with neutral symbols there
             fits = text[place + q - 1] == text[place]
-            for length in np.unique(m[fits]):
-                out.setdefault(int(length), []).append(start[fits & (m == length)] + (place[fits & (m == length)] << 32))
-        return {m: np.concatenate(s) for m, s in out.items()}
+            place, entry = place[fits], entry[fits]
+            item = ks[entry]
+            rows = np.stack([text[place], place - offsets[entry], item], 1)
+            for length in np.unique(lengths[item]):
+                out.setdefault(int(length), []).append(rows[lengths[item] == length])
+        return {m: np.unique(np.concatenate(r), axis=0) for m, r in out.items()}
 
     def candidates(self, h: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, window start) of windows that share a bucket with an item. ``first``, ``last``: each text's word range."""
         out: set[tuple[int, int, int]] = set()
-        for m, packed in self.windows(h, text).items():
-            owner = text[packed >> 32]
-            start = packed - (packed >> 32 << 32)
-            start = np.where(start > 1 << 31, start - (1 << 32), start)
-            pairs = np.unique(np.stack([owner, start], 1), axis=0)
-            for a in range(0, len(pairs), 20_000):
-                own, s = pairs[a : a + 20_000].T
+        for m, rows in self.windows(h, text).items():
+            if not self.buckets[m]:
+                out.update((o, k, s) for o, s, k in rows.tolist())
+                continue
+            pairs = np.unique(rows[:, :2], axis=0)
+            block = max(64, (1 << 18) // m)
+            for a in range(0, len(pairs), block):
+                own, s = pairs[a : a + block].T
                 idx = s[:, None] + np.arange(m)
                 inside = (idx >= first[own][:, None]) & (idx < last[own][:, None])
                 x = np.where(inside, h[np.clip(idx, 0, len(h) - 1)], U64(1))
-                for r, bucket in enumerate(self.buckets[m]):
-                    keys = self.walks[m].keys(x, r)
-                    for i in np.flatnonzero(np.isin(keys, np.fromiter(bucket, U64, len(bucket)))).tolist():
-                        out.update((int(own[i]), k, int(s[i])) for k in bucket[int(keys[i])])
+                for which in _batches(len(self.buckets[m])):
+                    for r, keys in zip(which, self.walks[m].all_keys(x, which), strict=True):
+                        bucket = self.buckets[m][r]
+                        for i in np.flatnonzero(np.isin(keys, np.fromiter(bucket, U64, len(bucket)))).tolist():
+                            out.update((int(own[i]), k, int(s[i])) for k in bucket[int(keys[i])])
         return out
 
 
@@ -182,65 +208,94 @@ def edit_search(item: list[bytes], words: list[bytes]) -> tuple[int, int]:
     return best, end
 
 
+def _finds(index: Index, texts: pa.Array) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
+    """By (text, item): (edits, last word, end within its stretch) of each verified window."""
+    words = Words(texts)
+    h = words.hashes(lower=True)
+    best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    if not len(h):
+        return best
+    first, last = words.bounds[:-1], words.bounds[1:]
+    text = np.repeat(np.arange(len(first)), last - first)
+    for owner, k, s in index.candidates(h, text, first, last):
+        item = index.items[k][1]
+        slack = budget(len(item))
+        a, b = max(int(first[owner]), s - slack), min(int(last[owner]), s + len(item) + slack)
+        stretch = [words.data[words.starts[i] : words.ends[i]].tobytes().lower() for i in range(a, b)]
+        edits, end = edit_search(item, stretch)
+        if edits <= slack:
+            best.setdefault((owner, k), []).append((edits, a + end - int(first[owner]), end))
+    return best
+
+
 def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for step in steps(batch):
-                words = Words(step.column(1))
-                h = words.hashes(lower=True)
-                if not len(h):
-                    continue
-                first, last = words.bounds[:-1], words.bounds[1:]
-                text = np.repeat(np.arange(len(first)), last - first)
-                best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                for owner, k, s in index.candidates(h, text, first, last):
-                    item = index.items[k][1]
-                    slack = budget(len(item))
-                    a, b = max(int(first[owner]), s - slack), min(int(last[owner]), s + len(item) + slack)
-                    stretch = [words.data[words.starts[i] : words.ends[i]].tobytes().lower() for i in range(a, b)]
-                    edits, end = edit_search(item, stretch)
-                    if edits <= slack:
-                        best.setdefault((owner, k), []).append((edits, a + end - int(first[owner]), end))
-                if best:
-                    ids = step.column(0).to_pylist()
-                    rows = []
-                    for (owner, k), hits in sorted(best.items()):
-                        edits, end, _ = min(hits)
-                        m = len(index.items[k][1])
-                        rows.append((ids[owner], index.items[k][0], max(0, end - m), m, edits, len({e for _, e, _ in hits})))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in _ROWS.split(", ")])
+        for step in (step for batch in batches for step in steps(batch)):
+            if best := _finds(index, step.column(1)):
+                ids, rows = step.column(0).to_pylist(), []
+                for (owner, k), hits in sorted(best.items()):
+                    edits, end, _ = min(hits)
+                    m = len(index.items[k][1])
+                    rows.append((ids[owner], index.items[k][0], max(0, end - m), m, edits, len({e for _, e, _ in hits})))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in _ROWS.split(", ")])
+
+    return run
+
+
+def _without(index: Index, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in (step for batch in batches for step in steps(batch, batch.schema.names[column])):
+            keep = np.ones(step.num_rows, bool)
+            keep[[owner for owner, _ in _finds(index, step.column(column))]] = False
+            yield step.filter(pa.array(keep))
 
     return run
 
 
+def _shards(items: DataFrame) -> tuple[DataFrame, list[Index]]:
+    """((item, item_id), indexes): the ids of each different item, and indexes of bounded shards of these items' words."""
+    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.array_join(F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
+    said = items.where("text is not null").select(F.col("item_id").cast("long"), words.alias("words")).where("words <> ''")
+    different = said.groupBy("words").agg(F.min("item_id").alias("item"))
+    total = different.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = max(1, math.ceil(2 * total / SHARD_BYTES))
+    different = stored(different.where("item is not null"), "items")
+    names = said.join(different, "words").select("item", "item_id").where("item_id is not null").distinct()
+    of = lambda s: different.where(F.pmod(F.xxhash64("words"), F.lit(n)) == s).orderBy("item").collect()
+    return names, [Index([(r.item, r.words.encode().split(b" ")) for r in rows]) for s in range(n) if (rows := of(s))]
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_words, edits, n_hits): stretches of documents that repeat a benchmark item.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; an item is found where a stretch of a text is at most
     EDITS times its words away in word edits. ``start`` is the stretch's first word for the least edits (its end less the
     item's length), ``n_hits`` the number of different ends. Windows that share no run of words with an item that the edit
-    budget can't destroy are left out before hashing, which loses nothing; hashing reaches RECALL at the full budget, and
-    all of the unedited copies. Items with equal words share their finds. Null and word-less items and texts find
-    nothing; documents with a null doc_id are searched too; rows that share a doc_id each give their rows.
+    budget can't destroy are left out before hashing, which loses nothing, as no window within the budget is without one;
+    hashing reaches RECALL at the full budget, and all of the unedited copies; item lengths for which it doesn't within
+    WALKS repetitions have all windows with such a run verified. Items with equal words share their finds. Null and
+    word-less items and texts, and items without item_id, find nothing; documents with a null doc_id are searched too; rows
+    that share a doc_id each give their rows; other columns are not looked at. Benchmarks of over SHARD_BYTES / 2 bytes are
+    searched for in as many passes over the documents as they have shards.
     """
-    said = items.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    total = said.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(2 * total / SHARD_BYTES))
-    out = None
-    for s in range(shards):
-        rows = said.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == s).collect()
-        by_words: dict[tuple[bytes, ...], list[int]] = {}
-        for r in rows:
-            if words := tuple(r.text.encode().lower().split()):
-                by_words.setdefault(words, []).append(r.item_id)
-        index = Index([(i, list(w)) for i, w in enumerate(by_words)])
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_search(index), _ROWS)
-        names = [(i, item) for i, ids in enumerate(by_words.values()) for item in ids]
-        found = found.join(F.broadcast(docs.sparkSession.createDataFrame(names, "item long, item_id long")), "item").select("doc_id", "item_id", "start", "n_words", "edits", "n_hits")
-        out = found if out is None else out.union(found)
-    return out
+    names, indexes = _shards(items)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    out = docs.sparkSession.createDataFrame([], _ROWS)
+    for k, index in enumerate(indexes):
+        found = rows.mapInArrow(_search(index), _ROWS)
+        out = found if k == 0 else out.union(found)
+    return out.join(names, "item").select("doc_id", "item_id", "start", "n_words", "edits", "n_hits")
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that no benchmark item was found in, with all their columns. A null doc_id can't be matched and stays."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """The rows of ``docs`` that no benchmark item is found in, with all their columns, whether they have a doc_id or not.
+
+    Rows pass all shards of the benchmark one after the other in a single scan, and are not shuffled.
+    """
+    _, indexes = _shards(items)
+    names = list(docs.columns)
+    safe = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    for index in indexes:
+        safe = safe.mapInArrow(_without(index, names.index("text")), safe.schema)
+    return safe.toDF(*names)

@@ -174,11 +174,34 @@ def test_decontamination(spark):
     assert {p for p, e in want.items() if e == 0} <= set(found)
     assert len(found) >= 0.9 * len(want)
     kept = decontamination.remove(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in found if d is not None}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in found}
     assert decontamination.leaks(spark.createDataFrame([], docs.schema), bench).count() == 0
     assert decontamination.leaks(docs, spark.createDataFrame([], bench.schema)).count() == 0
 
 
+def test_long_items_are_found(spark, monkeypatch):
+    rng = random.Random(11)
+    make = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    items = {k: make(600 + 40 * k) for k in range(6)}
+    rows = [(10 * k + j, " ".join(make(30) + edited(w, decontamination.budget(len(w)), rng) + make(30))) for k, w in items.items() for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(70, " ".join(items[0])), (71, "  ".join(items[0]).upper())], "item_id long, text string")
+    want = {(10 * k + j, i) for k in items for j in range(4) for i in ([0, 70, 71] if k == 0 else [k])}
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    assert found <= want and len(found) >= 0.9 * len(want)
+    monkeypatch.setattr(decontamination, "WALKS", 1)  # no recall to speak of: every window with a seed is verified
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want
+
+
+def test_decontamination_of_odd_tables(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    docs = spark.createDataFrame([(None, item, 1), (None, "fine", 1), (3, "fine", 1), (3, f"x {item}", 1), (3, f"x {item}", 1), (4, None, 1)], "doc_id long, text string, item long")
+    bench = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (None, "fine", "x"), (2, "other", "x")], "item_id long, text string, doc_id string")
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontamination.leaks(docs, bench).collect()) == [(0, 1), (3, 1), (3, 1)]
+    kept = decontamination.remove(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "fine"), (3, "fine"), (4, "")]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=12), st.lists(st.sampled_from("abcd"), max_size=20))
 def test_edit_search(item, text):
