@@ -7,65 +7,98 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Bits of the row hash that can be used as a directory prefix.
 HASH_BITS = 60
 #: Levels that the directory reaches beyond the depth at which an even load would fit.
 SLACK_BITS = 6
-#: Bytes of a shard in production.
-SHARD_BYTES = 64 << 20
-
-
-def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Give every row a shard of at most ``limit`` bytes of text.
+#: Bytes of a shard: what a reader takes at once.
+SHARD_BYTES = 1 << 20
 
-    The directory is indexed by the first ``depth`` bits of a hash of the key. A bucket over its limit is split on the next
-    bit, and only such buckets are. Sizes of all depths come from one aggregate of the deepest level, so nothing is read
-    once per split.
 
-    Returns (key, bytes, depth, prefix, part, shard_bytes, shard_rows). ``part`` is 0 but in buckets that no further bit can
-    split (equal keys, or rows over half the limit at the deepest level): there, rows in the order of their hash are cut into
-    parts by a running total, which keeps a part within the limit unless one row is larger than it; such a row has a part of
-    its own. Null text counts 0 bytes; a null key is hashed as the empty string. An empty table gives no rows.
-    """
+def _assigned(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (key, bytes, hash and whatever else) with depth, prefix, part, shard_bytes, shard_rows."""
     if limit < 2:
         raise ValueError("limit must be at least 2 bytes")
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    rows = docs.select(F.col(key), size.alias("bytes"), hashed.alias("_hash"))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     deepest = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SLACK_BITS)
-    rows = rows.withColumn("_leaf", F.shiftright("_hash", HASH_BITS - deepest))
+    rows = rows.withColumn("leaf", F.shiftright("hash", HASH_BITS - deepest))
 
-    leaves = rows.groupBy("_leaf").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"))
-    levels = leaves.select("_leaf", "b", "n", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("depth"))
-    prefix = F.expr(f"shiftright(_leaf, {deepest} - depth)")
+    leaves = rows.groupBy("leaf").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+    levels = leaves.select("leaf", "b", "n", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("depth"))
+    prefix = F.expr(f"shiftright(leaf, {deepest} - depth)")
     sizes = levels.groupBy("depth", prefix.alias("prefix")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
     fits = sizes.where((F.col("b") <= limit) | (F.col("depth") == deepest))
     directory = (
-        levels.select("_leaf", "depth", prefix.alias("prefix"))
+        levels.select("leaf", "depth", prefix.alias("prefix"))
         .join(fits, ["depth", "prefix"])
-        .groupBy("_leaf")
+        .groupBy("leaf")
         .agg(F.min(F.struct("depth", "prefix", "b", "n")).alias("d"))
-        .select("_leaf", "d.*")
+        .select("leaf", "d.*")
     )
-    placed = rows.join(directory, "_leaf")
-    whole = placed.where(F.col("b") <= limit).select(key, "bytes", "depth", "prefix", F.lit(0).cast("long").alias("part"), F.col("b").alias("shard_bytes"), F.col("n").alias("shard_rows"))
+    placed = rows.join(directory, "leaf").drop("leaf", "hash")
+    whole = placed.where(F.col("b") <= limit).withColumn("part", F.lit(0).cast("long")).withColumnsRenamed({"b": "shard_bytes", "n": "shard_rows"})
+    if directory.where(F.col("b") > limit).isEmpty():
+        return whole
+    return whole.unionByName(_parts(placed.where(F.col("b") > limit).drop("b", "n"), limit))
+
+
+def _parts(over: DataFrame, limit: int) -> DataFrame:
+    """Rows of buckets that no bit can split, cut into parts of at most ``limit`` bytes by running totals.
 
+    A bucket may hold any share of all rows, so totals run in two steps: over the chunks that the rows lie in once they are
+    written, of which there are as many as tasks that wrote them, and within each chunk.
+    """
     half = limit // 2
-    over = placed.where(F.col("b") > limit)
-    order = Window.partitionBy("prefix").orderBy("_hash", F.col("bytes"), F.col(key))
-    before = F.sum(F.when(F.col("bytes") <= half, F.col("bytes")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    alone = F.sum(F.when(F.col("bytes") > half, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    cut = F.when(F.col("bytes") > half, -alone).otherwise(F.floor(F.coalesce(before, F.lit(0)) / half)).cast("long")
-    over = over.withColumn("part", cut)
+    over = stored(over.withColumn("chunk", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "over")
+    small = F.when(F.col("bytes") <= half, F.col("bytes")).otherwise(0)
+    large = F.when(F.col("bytes") > half, 1).otherwise(0)
+    chunks = over.groupBy("prefix", "chunk").agg(F.sum(small).alias("s"), F.sum(large).alias("l"))
+    earlier = Window.partitionBy("prefix").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("prefix", "chunk", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s"), F.coalesce(F.sum("l").over(earlier), F.lit(0)).alias("l"))
+    within = Window.partitionBy("prefix", "chunk").orderBy("place")
+    before = F.col("s") + F.coalesce(F.sum(small).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    alone = F.col("l") + F.sum(large).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    cut = F.when(F.col("bytes") > half, -alone).otherwise(F.floor(before / half)).cast("long")
+    over = over.join(chunks, ["prefix", "chunk"]).withColumn("part", cut).drop("s", "l", "chunk", "place")
     parts = over.groupBy("prefix", "part").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
-    split = over.join(parts, ["prefix", "part"]).select(key, "bytes", "depth", "prefix", "part", "shard_bytes", "shard_rows")
-    return whole.unionByName(split)
+    return over.join(parts, ["prefix", "part"])
+
+
+def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Give every row a shard of at most ``limit`` bytes of text.
+
+    The directory is indexed by the first ``depth`` bits of a hash of the key. A bucket over its limit is split on the next
+    bit, and only such buckets are. Sizes of all depths come from one aggregate of the deepest level, so nothing is read
+    once per split.
+
+    Returns (key, bytes, depth, prefix, part, shard_bytes, shard_rows). ``part`` is 0 but in buckets that no further bit can
+    split (equal keys, or rows over half the limit at the deepest level): there, rows are cut into parts by a running total,
+    which keeps a part within the limit unless one row is larger than it; a row over half the limit has a part of its own.
+    Null text counts 0 bytes; a null key is hashed as the empty string. An empty table gives no rows. Other columns are not
+    looked at.
+    """
+    rows = docs.select(F.col(key).alias("key"), _size(text).alias("bytes"), _hash(key).alias("hash"))
+    return _assigned(rows, limit).select(F.col("key").alias(key), "bytes", "depth", "prefix", "part", "shard_bytes", "shard_rows")
+
+
+def _size(text: str):
+    return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+
+
+def _hash(key: str):
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write ``docs`` with one folder per shard; returns the shard of each key. Keys must be unique here."""
-    assigned = shard(docs, limit, key, text)
+    """Write all rows of ``docs`` with one folder per shard, named in the column ``shard``; returns (shard, bytes, rows).
+
+    Rows with null or repeated keys are written like others. An input column named ``shard`` is replaced.
+    """
+    docs = docs.drop("shard")
+    rows = docs.select(F.struct("*").alias("row"), _size(text).alias("bytes"), _hash(key).alias("hash"))
     name = F.format_string("%02d-%x-%d", "depth", "prefix", "part").alias("shard")
-    docs.join(assigned.select(key, name), key).repartition("shard").write.partitionBy("shard").parquet(path)
-    return assigned
+    _assigned(rows, limit).select("row.*", name).repartition("shard").write.partitionBy("shard").parquet(path)
+    written = docs.sparkSession.read.schema(f"`{text}` string, shard string").parquet(path)
+    return written.groupBy("shard").agg(F.sum(_size(text)).alias("bytes"), F.count(F.lit(1)).alias("rows"))

@@ -161,9 +161,13 @@ def test_sharding(spark, limit):
 
 def test_write_shards(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sharding.write_shards(docs, f"{tmp_path}/s", 1 << 16)
+    got = sharding.write_shards(docs, f"{tmp_path}/s", 1 << 16).collect()
     back = spark.read.parquet(f"{tmp_path}/s")
-    assert back.count() == docs.count() and back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0] <= 1 << 16
+    assert back.count() == docs.count() == sum(r.rows for r in got) and max(r.bytes for r in got) <= 1 << 16
+    odd = spark.createDataFrame([(None, "a", "old"), (1, "b", "old"), (1, "b", "old"), (2, None, None)], "doc_id long, text string, shard string")
+    assert sum(r.rows for r in sharding.write_shards(odd, f"{tmp_path}/odd").collect()) == 4
+    back = spark.read.parquet(f"{tmp_path}/odd")
+    assert sorted((r.doc_id or 0, r.text or "") for r in back.collect()) == [(0, "a"), (1, "b"), (1, "b"), (2, "")] and "old" not in {r.shard for r in back.collect()}
 
 
 def test_chat(spark):
