@@ -1,10 +1,10 @@
 """Similarity join on word n-grams by parity sketches.
 
-A document's n-grams fall into parts by hash. A part's sketch flips one bit per n-gram, so the number of bits in which two
-sketches differ is at most the number of n-grams that only one of the documents has. Two documents that are similar
+A document's n-grams fall into parts by hash, and a part's code is the XOR of their hashes. Two documents that are similar
 enough differ in at most d n-grams, hence in at most d parts, so of the first d+1 parts that are not empty in one of them, one
-is the same in both (pigeonhole): that part is the join key. The sketches then rule out most of what met by chance, and the
-n-gram sets of what is left are compared exactly.
+is the same in both (pigeonhole): that part's code is the join key. The fine sketch of a document flips one bit per n-gram, so
+the number of bits in which two sketches differ is at most the number of n-grams that only one of the documents has: that rules
+out most of what met by chance, and the n-gram sets of what is left are compared exactly.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, bucketed, components, drop_path, mix, new_path, runs_of, spanning, steps, stored
@@ -22,8 +22,9 @@ from .common import U64, Words, bucketed, components, drop_path, mix, new_path,
 WORDS, ABOVE, BELOW = 4, 85, 100
 #: Sizes of a band grow by this factor; documents of a block that are compared within one task.
 BAND, BLOCK = 1.5, 8192
-#: Bits of a part's sketch, and at least so many bits per n-gram in the fine sketch of a pair's second test.
-BITS, FINE = 32, 8
+#: Forests of a group that are verified at once when its groups of documents are gone over again; bits per n-gram, at least, of
+#: the fine sketch of a pair's second test.
+WIDTH, FINE = 4, 8
 #: Bytes at most of the folded fine sketch that travels with every key of a document.
 COARSE = 256
 _PART, _CODE = U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)
@@ -72,19 +73,17 @@ def sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(owner, np.arange(len(sizes) + 1))
 
 
-def sketch(grams: np.ndarray, bounds: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, bits, bounds) of each set's parts in the given band: XOR of 64-bit codes, and parity of BITS positions."""
+def sketch(grams: np.ndarray, bounds: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, bounds) of each set's parts in the given band. A part's code is the XOR of its n-grams' 64-bit hashes."""
     parts = np.where(band >= 0, parts_of(np.maximum(band, 0)), 0)
     at = np.r_[0, np.cumsum(parts)]
     owner = np.repeat(np.arange(len(parts)), np.diff(bounds))
     use = parts[owner] > 0
     g, owner = grams[use], owner[use]
-    hashed = mix(g * _PART)
-    place = at[owner] + (hashed % np.maximum(parts[owner], 1).astype(U64)).astype(np.int64)
-    codes, bits = np.zeros(at[-1], U64), np.zeros(at[-1], np.uint32)
+    place = at[owner] + (mix(g * _PART) % np.maximum(parts[owner], 1).astype(U64)).astype(np.int64)
+    codes = np.zeros(at[-1], U64)
     np.bitwise_xor.at(codes, place, mix(g ^ _CODE))
-    np.bitwise_xor.at(bits, place, np.uint32(1) << (hashed >> U64(59)).astype(np.uint32))
-    return codes, bits, at
+    return codes, at
 
 
 def _bands_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +97,7 @@ def _bands_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _keys(grams: np.ndarray, bounds: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, owner): the first d+1 parts that aren't empty; where a set has too few, its empty parts too, marked as such."""
     n = np.diff(bounds)
-    codes, _, at = sketch(grams, bounds, band)
+    codes, at = sketch(grams, bounds, band)
     sizes = np.diff(at)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     full = codes != 0
@@ -340,33 +339,76 @@ def _across(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _connected(grouped: DataFrame, known: DataFrame, given: DataFrame, folder: str) -> tuple[bool, DataFrame]:
+def _blocks(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows (key, block, doc_id), rows (key, doc_id, block, n_blocks) of the keys with several blocks).
+
+    A key with many documents is dealt out in blocks, so that a task holds a bounded part of it. One more block has one document
+    of each, by which blocks of copies of the same text find together.
+    """
+    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = met.select("key", "doc_id", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int").alias("block"))
+    large = dealt.where("n_blocks > 1")
+    firsts = large.groupBy("key", "block").agg(F.min("doc_id").alias("doc_id")).select("key", F.lit(-1).alias("block"), "doc_id")
+    return dealt.select("key", "block", "doc_id").union(firsts), large
+
+
+def _strays(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, block, doc_id) in which all documents of a key with several blocks meet that aren't connected by ``labels``.
+
+    Documents outside the key's largest component go to each of its blocks. They are dealt out in blocks themselves, and a
+    block is their block times the other one. A key whose documents are one component by now has no rows.
+    """
+    named = large.join(labels.toDF("doc_id", "label"), "doc_id", "left").select("key", "doc_id", "block", "n_blocks", F.coalesce("label", "doc_id").alias("label"))
+    most = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+    open_ = named.join(most, "key")
+    n_sides = F.ceil(F.col("strays") / BLOCK).cast("int")
+    side = F.pmod(F.xxhash64("doc_id", F.lit(1)), n_sides).cast("int")
+    to = lambda i, j: (i.cast("long") * F.lit(1 << 31) + j).alias("block")
+    stray = open_.where("label <> most").select("key", side.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("j"), "doc_id")
+    held = open_.select("key", F.explode(F.sequence(F.lit(0), n_sides - 1)).alias("i"), F.col("block").alias("j"), "doc_id")
+    return stray.union(held).distinct().select("key", to(F.col("i") + 1, F.col("j")), "doc_id")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, coarse: DataFrame) -> DataFrame:
+    """Rows (key, block, doc_id) as ``_forest`` takes them, with what each document is connected with so far."""
+    named = rows.join(labels.toDF("doc_id", "component"), "doc_id", "left").join(coarse, "doc_id")
+    return named.select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.coalesce("component", "doc_id").alias("label"), "bits")
+
+
+def _connected(met: DataFrame, known: DataFrame, given: DataFrame, folder: str) -> tuple[bool, DataFrame]:
     """(any links, labels): the components of exactly verified and ``given`` links, without comparing what is connected already.
 
     First one pair per document is verified, which connects most of what belongs together, then the other edges of the
-    groups' forests that still join two components. A pair that sketches took for linked but that isn't may have stood for
-    others of its group, so such groups are gone over again, with what is known by then, until no pair fails; each time with
-    more forests at once, so that the number of rounds is logarithmic.
+    groups' forests that still join two components, then pairs across the blocks of large groups. A pair that sketches took
+    for linked but that isn't may have stood for others of its group, so such groups are gone over again, with what is known by
+    then, until no pair fails; each time with more forests at once, so that the number of rounds is logarithmic.
     """
-    todo, width, coarse = grouped, 0, known.select("doc_id", "n", F.col("coarse").alias("bits"))
+    forest = "a long, b long, key long"
+    grouped, large = _blocks(met)
+    todo, width, coarse = grouped.withColumn("block", F.col("block").cast("long")), 0, known.select("doc_id", "n", F.col("coarse").alias("bits"))
     rows = todo.join(coarse, "doc_id").select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.col("doc_id").alias("label"), "bits")
-    edges = stored(_by_group(rows).mapInArrow(_forest(width), "a long, b long, key long"), "edges", folder)
+    edges = stored(_by_group(rows).mapInArrow(_forest(width), forest), "edges", folder)
     tested = stored(_verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known, folder), "tested", folder).union(given)
     labels = components(tested.where("linked"))
     more = stored(_verify(_across(edges, labels).join(tested, ["a", "b"], "left_anti"), known, folder), "tested", folder)
     tested = tested.union(more)
+    if not large.isEmpty():
+        labels = components(tested.where("linked"))
+        strays = stored(_strays(large, labels), "strays", folder)
+        found = stored(_by_group(_labelled(strays, labels, coarse)).mapInArrow(_forest(WIDTH), forest), "edges", folder)
+        more = stored(_verify(_across(found, labels).join(tested, ["a", "b"], "left_anti"), known, folder), "tested", folder)
+        todo, edges, tested, width = todo.union(strays), edges.union(found), tested.union(more), WIDTH
     while True:
         if not more.where("linked").isEmpty():
             labels = components(tested.where("linked"))
         bad = tested.where("not linked").select("a", "b")
         failed = edges.join(bad, ["a", "b"], "left_semi").select("key").distinct()
-        todo, width = stored(todo.join(failed, "key", "left_semi"), "again", folder), max(4, width * 8)
+        todo, width = stored(todo.join(failed, "key", "left_semi"), "again", folder), max(WIDTH, width * 8)
         if todo.isEmpty():
             break
-        named = todo.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(coarse, "doc_id").select("key", "block", "doc_id", F.lit(None).cast("long").alias("other"), "n", F.coalesce("component", "doc_id").alias("label"), "bits")
         inside = todo.select("key", "block", F.col("doc_id").alias("a")).join(bad, "a").join(todo.select("key", "block", F.col("doc_id").alias("b")), ["key", "block", "b"], "left_semi")
         barred = inside.select("key", "block", F.col("a").alias("doc_id"), F.col("b").alias("other"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("label"), F.lit(None).cast("binary").alias("bits"))
-        edges = stored(_by_group(named.union(barred)).mapInArrow(_forest(width), "a long, b long, key long"), "edges", folder)
+        edges = stored(_by_group(_labelled(todo, labels, coarse).union(barred)).mapInArrow(_forest(width), forest), "edges", folder)
         more = stored(_verify(edges.select("a", "b").distinct(), known, folder), "tested", folder)
         tested = tested.union(more)
     return not tested.where("linked").isEmpty(), labels
@@ -400,28 +442,22 @@ def join(docs: DataFrame) -> DataFrame:
     keyed = seen.where("doc_id is not null and size(keys) > 0").select(F.explode("keys").alias("key"), "doc_id")
     met = keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_met, "key long, doc_id long")
     met = met.join(copies.select("doc_id").join(several, "doc_id", "left_anti"), "doc_id", "left_anti")
-    by_key, mark = Window.partitionBy("key"), lambda k: F.bit_xor(F.xxhash64("doc_id", F.lit(k))).over(Window.partitionBy("key"))
-    met = met.select("key", "doc_id", F.count(F.lit(1)).over(by_key).alias("m"), F.row_number().over(by_key.orderBy("doc_id")).alias("r"), mark(0).alias("s"), mark(1).alias("t")).where("m > 1")
     met = stored(met, "keys", folder)
     # near copies share most of their keys: of the keys with the same documents (by a fingerprint of 128 bits) one will do
-    lone = met.where("r = 1").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key")
-    met = stored(met.join(lone, "key", "left_semi").select("key", "doc_id", "m", "r"), "met", folder)
+    mark = lambda k: F.bit_xor(F.xxhash64("doc_id", F.lit(k)))
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"), mark(0).alias("s"), mark(1).alias("t")).where("m > 1")
+    lone = sizes.groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key", "m")
+    met = stored(met.join(lone, "key"), "met", folder)
     # every round of tests looks sketches and sets up by doc_id, so they are dealt out by it once
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = texts.where("doc_id is not null").repartition(parts, "doc_id").join(met.select("doc_id").distinct(), "doc_id")
     table = bucketed(known.mapInArrow(_sketches, "doc_id long, n long, coarse binary, fine binary, grams binary"), "doc_id", parts, folder)
-    known = spark.table(table)
-
-    # a key with many documents is dealt out as pairs of blocks, so that a task holds two blocks of it at most
-    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.floor((F.col("r") - 1) / BLOCK).cast("int")
-    pairs_of = F.when(n_blocks == 1, F.array(F.lit(0))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), n_blocks - 1), lambda j: j != mine), lambda j: F.least(j, mine) * 100_000 + F.greatest(j, mine)))
-    grouped = met.select("key", F.explode(pairs_of).alias("block"), "doc_id")
-
-    linked, labels = _connected(grouped, known, stored(given, "given", folder), folder)
-    spark.sql(f"DROP TABLE {table}")
-    drop_path(spark, folder)
+    try:
+        linked, labels = _connected(met, spark.table(table), stored(given, "given", folder), folder)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop_path(spark, folder)
 
     rows = seen.select("doc_id", F.col("n").alias("n_shingles")).join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
     rows = rows.withColumn("rep", F.coalesce("rep", "doc_id"))
