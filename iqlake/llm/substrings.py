@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, mix, powers, runs_of, steps, stored
+from .common import U64, Words, batch_of, mix, powers, runs_of, steps, stored, unused
 
 #: Words of a window, and of the runs among which its anchor is chosen.
 WINDOW, ANCHOR = 20, 8
@@ -191,29 +191,30 @@ def _quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "doc_id", "start", "text"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the words that the runs of windows cover."""
-    for batch in batches:
-        for step in steps(batch):
-            rows = step.to_pydict()
-            texts, runs = rows.pop("text"), rows.pop("_runs")
-            kept, n_words, n_removed = [], [], []
-            for text, spans in zip(texts, runs, strict=True):
-                if not spans:
-                    words = (text or "").encode().split()
-                    left = words
-                else:
-                    words = (text or "").encode().split()
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    at = np.array([(r["start"], r["start"] + r["n"] + WINDOW - 1) for r in spans], np.int64)
-                    np.add.at(edge, np.minimum(at[:, 0], len(words)), 1)
-                    np.add.at(edge, np.minimum(at[:, 1], len(words)), -1)
-                    left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                kept.append(b" ".join(left).decode())
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(left))
-            names = [f.name for f in step.schema if f.name not in ("text", "_runs")]
-            yield pa.RecordBatch.from_arrays([*(step.column(step.schema.get_field_index(c)) for c in names), pa.array(texts, pa.string()), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, "text", "kept", "n_words", "n_removed"])
+def _without(text: str | None, spans: list) -> tuple[str, int, int]:
+    """(the words left, joined; all words; words removed) of a text without the words that the runs of windows cover."""
+    words = (text or "").encode().split()
+    left = words
+    if spans:
+        edge = np.zeros(len(words) + 1, np.int32)
+        at = np.array([(r["start"], r["start"] + r["n"] + WINDOW - 1) for r in spans], np.int64)
+        np.add.at(edge, np.minimum(at[:, 0], len(words)), 1)
+        np.add.at(edge, np.minimum(at[:, 1], len(words)), -1)
+        left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+    return b" ".join(left).decode(), len(words), len(words) - len(left)
+
+
+def _cut(text: str):
+    """Rows with ``text`` and, last, their runs: the rows without the runs, with what is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in (step for batch in batches for step in steps(batch, text)):
+            texts, runs = step.column(text).to_pylist(), step.column(step.num_columns - 1).to_pylist()
+            kept, n_words, n_removed = zip(*map(_without, texts, runs), strict=True)
+            columns = [*step.columns[:-1], pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*step.schema.names[:-1], "kept", "n_words", "n_removed"])
+
+    return run
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -249,8 +250,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     Input columns named kept, n_words or n_removed are replaced.
     """
     docs = docs.drop("kept", "n_words", "n_removed")
-    runs = repeated_windows(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    joined = docs.join(runs.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    out = joined.mapInArrow(_cut, ", ".join([*others, "text string, kept string, n_words long, n_removed long"]))
-    return out.select(*(f"`{c}`" for c in docs.columns), "kept", "n_words", "n_removed")
+    key, held = unused("doc", docs), unused("runs", docs)
+    runs = repeated_windows(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "n")).alias(held))
+    joined = docs.join(runs, F.col("doc_id") == F.col(key), "left").drop(key)
+    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return joined.mapInArrow(_cut("text"), ", ".join([*others, "kept string, n_words long, n_removed long"]))

@@ -32,16 +32,17 @@ def corpus(seed=1):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(d, t, "x", 1) for d, t in corpus()]
+    rows = [(d, t, "x", 1, d) for d, t in corpus()]
     random.Random(0).shuffle(rows)
-    return spark.createDataFrame(rows, "doc_id long, text string, kept string, n long").repartition(5)
+    return spark.createDataFrame(rows, "doc_id long, text string, kept string, _runs long, _doc long").repartition(5)
 
 
 @pytest.mark.parametrize("wide", [4096, 1])
 def test_substrings(docs, monkeypatch, wide):
     monkeypatch.setattr(substrings, "WIDE", wide)
     got = substrings.dedup(docs)
-    assert got.columns == ["doc_id", "text", "n", "kept", "n_words", "n_removed"]
+    assert got.columns == ["doc_id", "text", "_runs", "_doc", "kept", "n_words", "n_removed"]
+    assert got.where("_runs <> 1 or _doc <> doc_id").count() == 0
     found = {r.doc_id: (r.n_words, r.n_removed, r.h) for r in got.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("h")).collect()}
     assert found == brute.substrings(corpus())
 
@@ -98,6 +99,24 @@ def test_jaccard_of_copies_that_are_not_ascending(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want and want[12][1] == 5
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_jaccard_in_any_order(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in rng.sample(range(100), 30):
+        w = list(base)
+        for _ in range(rng.choice([0, 0, 1, 2, 5, 9])):
+            w[rng.randrange(len(w))] = f"v{rng.random()}"
+        rows.append((i if rng.random() < 0.9 else None, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join(docs.coalesce(1) if seed else docs.repartition(3)).collect()
+    want = brute.jaccard(r for r in rows if r[0] is not None)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert len(got) == len(rows) and all(r.component_id is None for r in got if r.doc_id is None)
+
+
 def test_jaccard_links_all_texts_of_a_doc_id(spark):
     rng = random.Random(9)
     x, y = ([f"{c}{rng.randrange(500)}" for _ in range(120)] for c in "xy")
