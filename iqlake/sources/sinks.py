@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def _own_folder() -> str:
+    """A temporary folder of this process."""
+    return f"file://{tempfile.mkdtemp(prefix='iqlake-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
@@ -18,8 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not (spark.conf.get("spark.master", None) or "").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='iqlake-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_folder()
     return path.rstrip("/")
 
 

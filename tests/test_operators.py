@@ -299,18 +299,11 @@ def test_selected_epoch_gathers_no_group(spark, sf_dir):
 
 def test_a_cluster_needs_a_shared_folder():
     class Session:
-        def __init__(self, **conf):
-            self.settings = conf
-            self.conf = self
-
-        def get(self, name, default=None):
-            return self.settings.get(name, default)
-
-        def set(self, name, value):
-            self.settings[name] = value
+        def __init__(self, **settings):
+            self.conf = settings
 
     with pytest.raises(RuntimeError):
         sinks.shared_dir(Session(**{"spark.master": "spark://host:7077"}))
     assert sinks.shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
     local = Session(**{"spark.master": "local[2]"})
-    assert sinks.scratch(local, "x").startswith(local.settings["spark.checkpoint.dir"])
+    assert sinks.scratch(local, "x").startswith(sinks.shared_dir(local) + "/x-")
