@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on the smallest documents, and the registry."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -21,7 +23,7 @@ def test_stages(spark, sf_dir):
         docs = stored(stage(spark, docs, sf_dir), name)
         if name == "packing":
             break
-        assert tuple(docs.columns) == C.COLUMNS
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         after = {r.doc_id: r.text for r in docs.collect()}
         if name == "toxicity":
             assert set(after) == set(before) - bad
@@ -55,19 +57,44 @@ def test_documents_without_doc_id_stay_in_the_jaccard_stage(spark, sf_dir):
     assert sorted(got, key=str) == sorted((r for r in rows if r[0] != 7), key=str)
 
 
-def test_registry():
-    import __spark_entry__ as e
+ODD = [(None, "a b c d e f", 1, "k"), (None, None, 2, "k"), (3, "a b c d e f", 3, None), (3, "a b c d e f", 3, None), (7, "A b c d e f", 4, "k"), (9, None, 5, "k"), (10, "", 6, "k"), (11, "word " * 60_000, 7, "k")]
 
-    names = [n for n in e.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_keep_odd_rows_and_all_columns(spark, sf_dir, empty):
+    import corpus_pipeline as C
+
+    rows = [] if empty else ODD
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, kept string")
+    want = {"toxicity": rows, "jaccard": [r for r in rows if r[0] != 7], "substrings": [(d, "word" if d == 11 else t, n, k) for d, t, n, k in rows], "decontamination": rows}
+    for name, stage in C.STAGES:
+        got = stage(spark, docs, sf_dir)
+        if name in want:
+            assert got.columns == docs.columns
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(want[name], key=str), name
+        else:
+            assert got.where("start = 0").count() == len(rows)
 
 
-@pytest.mark.parametrize("missing", ["iqlake.llm", "corpus_pipeline"])
-def test_entry_without_corpus_modules(monkeypatch, missing):
-    import importlib.util
+def test_leaks_go_without_doc_id_too(spark, sf_dir):
+    import corpus_pipeline as C
+
+    item = max((r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()), key=len)
+    docs = spark.createDataFrame([(None, f"x {item} y"), (None, "x y"), (4, item)], "doc_id long, text string")
+    assert [tuple(r) for r in C.drop_leaks(spark, docs, sf_dir).collect()] == [(None, "x y")]
+
+
+def test_run_leaves_only_its_result(spark, sf_dir):
+    import corpus_pipeline as C
 
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("stage-*"))
+    assert C.run(spark, sf_dir).count() > 0
+    assert [p.name.split("-")[1] for p in set(shared.glob("stage-*")) - before] == ["packing"]
+
+
+def test_registry():
     import __spark_entry__ as e
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in (missing, "corpus_pipeline") else real(name, *a))
-    assert "macro_f1_fixed_classes" in e.queries() and "pipeline" not in e.queries()
+    names = [n for n in e.queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
