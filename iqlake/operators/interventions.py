@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .ordered import numbered
 
 
 def mean_gate(gates: DataFrame) -> DataFrame:
@@ -21,9 +22,9 @@ def replaced(gates: DataFrame, means: DataFrame) -> DataFrame:
 
 
 def positions(rows: DataFrame, group: str, order: str, batch: int) -> DataFrame:
-    """``rows`` with batch and position: consecutive batches of ``batch`` rows within each group, the last one short. W06."""
-    k = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("_k", k).withColumn("batch", F.floor(F.col("_k") / batch).cast("int")).withColumn("position", (F.col("_k") % batch).cast("int")).drop("_k")
+    """``rows`` with batch and position: consecutive batches of ``batch`` rows within each group, the last one short. ``order``
+    is a numeric column. W06."""
+    return numbered(rows, [group], [order], F.col(order), "_k").withColumn("batch", F.floor(F.col("_k") / batch).cast("int")).withColumn("position", (F.col("_k") % batch).cast("int")).drop("_k")
 
 
 def donors(placed: DataFrame, group: str, key: str, seed: int) -> DataFrame:

@@ -73,16 +73,19 @@ def metrics(rows: DataFrame, by: Sequence[str], classes: DataFrame) -> DataFrame
 
 
 def alignment(rows: DataFrame, key: str, fields: Sequence[str], by: Sequence[str], base: DataFrame) -> DataFrame:
-    """(by..., matched, missing, extra, differing) of each group against ``base`` by key, null-safe on the fields. J01, J02."""
-    groups = rows.select(*by).distinct()
-    wanted = groups.crossJoin(F.broadcast(base.select(key, *(F.col(c).alias(f"_{c}") for c in fields), F.lit(1).alias("_in"))))
-    found = rows.select(*by, key, *fields, F.lit(1).alias("_has"))
-    both = found.join(wanted, [*by, key], "full_outer")
+    """(by..., matched, missing, extra, differing) of each group against ``base`` by key, null-safe on the fields. J01, J02.
+
+    ``base`` has each key once. Rows meet it by key; what a group lacks is what ``base`` has beyond the group's different keys.
+    """
+    wanted = base.select(key, *(F.col(c).alias(f"_{c}") for c in fields), F.lit(1).alias("_in"))
+    both = rows.select(*by, key, *fields).join(wanted, key, "left")
     same = F.lit(True)
     for c in fields:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    met = F.col("_in").isNotNull() & F.col("_has").isNotNull()
-    return both.groupBy(*by).agg(F.count_if(met & same).alias("matched"), F.count_if(F.col("_has").isNull()).alias("missing"), F.count_if(F.col("_in").isNull()).alias("extra"), F.count_if(met & ~same).alias("differing"))
+    known = F.col("_in").isNotNull()
+    counts = both.groupBy(*by).agg(F.count_if(known & same).alias("matched"), F.countDistinct(F.when(known, F.col(key))).alias("_keys"), F.count_if(~known).alias("extra"), F.count_if(known & ~same).alias("differing"))
+    total = base.agg(F.count(F.lit(1)).alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).select(*by, "matched", (F.col("_total") - F.col("_keys")).alias("missing"), "extra", "differing")  # one row of total
 
 
 def wide(rows: DataFrame, models: Sequence[str]) -> DataFrame:

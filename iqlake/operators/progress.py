@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .ordered import before
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -21,10 +26,15 @@ def latest(events: DataFrame, by: list[str], value: str, order: list[str]) -> Da
     return events.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(f"latest_{value}"))
 
 
+def place_of(time: str) -> Column:
+    """A time as a number, for ``ordered``."""
+    return F.col(time).cast("timestamp").cast("double")
+
+
 def running_best(runs: DataFrame, by: list[str], order: list[str], score: str) -> DataFrame:
-    """``runs`` with best (up to here) and improved (above all before). W07 without a minimal gain."""
-    before = F.max(score).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return runs.withColumn("_b", before).withColumn("improved", F.col("_b").isNull() | (F.col(score) > F.col("_b"))).withColumn("best", F.greatest(F.coalesce("_b", score), score)).drop("_b")
+    """``runs`` with best (up to here) and improved (above all before); the first of ``order`` is a time. W07 without a minimal gain."""
+    seen = before(runs, by, order, place_of(order[0]), {"_b": ("max", F.col(score))})
+    return seen.withColumn("improved", F.col("_b").isNull() | (F.col(score) > F.col("_b"))).withColumn("best", F.greatest(F.coalesce("_b", score), score)).drop("_b")
 
 
 def selected_epoch(runs: DataFrame, by: list[str], order: list[str], score: str) -> DataFrame:
@@ -46,19 +56,45 @@ def selected_epoch(runs: DataFrame, by: list[str], order: list[str], score: str)
     return out.select(*by, "epochs", "best_epoch", F.round("_s", 6).alias("best_score"))
 
 
-def patience(history: Column, gain: float, most: int) -> Column:
-    """struct(best, best_at, stale, stopped_at) of an array of scores: improvement is a gain of more than ``gain``, and the run
-    stops after ``most`` stale epochs. The general case of W07, a fold over one run's history."""
-    zero = F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("best_at"), F.lit(0).alias("stale"), F.lit(0).alias("stopped_at"), F.lit(0).alias("at"))
+def patience(runs: DataFrame, by: list[str], order: list[str], score: str, gain: float, most: int) -> DataFrame:
+    """(by..., best, best_at, stale, stopped_at) of each run: an improvement is a gain of more than ``gain`` on the best so far,
+    and the run stops after ``most`` stale epochs in a row; places count from 1, stopped_at 0 means that it ran to its end. A
+    null or NaN score is stale. The general case of W07.
 
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + 1
-        up = (s["stopped_at"] == 0) & (x > s["best"] + gain)
-        stale = F.when(s["stopped_at"] > 0, s["stale"]).when(up, 0).otherwise(s["stale"] + 1)
-        stop = F.when(s["stopped_at"] > 0, s["stopped_at"]).when(stale >= most, at).otherwise(0)
-        return F.struct(F.when(up, x).otherwise(s["best"]).alias("best"), F.when(up, at).otherwise(s["best_at"]).alias("best_at"), stale.alias("stale"), stop.alias("stopped_at"), at.alias("at"))
+    Each step needs the one before, so a run is folded in order; its rows stream past in batches and only the state is kept.
+    """
 
-    return F.aggregate(history, zero, step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, *state[:4]), out, strict=True)], schema=out)
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True))
+            for k, x in zip(keys, batch.column(len(by)).to_pylist(), strict=True):
+                if k != key:
+                    if key is not None:
+                        yield row()
+                    key, state = k, [float("-inf"), 0, 0, 0, 0]
+                state[4] += 1
+                if state[3]:
+                    continue
+                if x is not None and x > state[0] + gain:
+                    state[:3] = [x, state[4], 0]
+                else:
+                    state[2] += 1
+                    if state[2] >= most:
+                        state[3] = state[4]
+        if key is not None:
+            yield row()
+
+    rows = runs.select(*by, F.col(score).cast("double").alias("_score"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, *(f"_{i}" for i in range(len(order))))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[: len(by)])
+    schema = f"{kinds}, best double, best_at int, stale int, stopped_at int"
+    out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.schema[: len(by)]] + [("best", pa.float64()), ("best_at", pa.int32()), ("stale", pa.int32()), ("stopped_at", pa.int32())])
+    return dealt.select(*by, "_score").mapInArrow(run, schema)
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -67,9 +103,10 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 
 def running_loss(batches: DataFrame, by: list[str], order: list[str], loss: str, n: str) -> DataFrame:
-    """``batches`` with running_loss: losses so far, weighted by samples. W11."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return batches.withColumn("running_loss", F.sum(F.col(loss) * F.col(n)).over(w) / F.sum(n).over(w))
+    """``batches`` with running_loss: losses so far, weighted by samples; the first of ``order`` is a time. W11."""
+    sums = before(batches, by, order, place_of(order[0]), {"_l": ("sum", F.col(loss) * F.col(n)), "_n": ("sum", F.col(n))})
+    so_far = lambda earlier, own: F.coalesce(earlier, F.lit(0)) + F.coalesce(own, F.lit(0))
+    return sums.withColumn("running_loss", so_far(F.col("_l"), F.col(loss) * F.col(n)) / so_far(F.col("_n"), F.col(n))).drop("_l", "_n")
 
 
 def cosine_rate(rate: float, epoch: Column, total: int) -> Column:

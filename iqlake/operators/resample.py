@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,22 +23,22 @@ def draw(key, n):
 
 
 def hash_bootstrap(diffs: DataFrame, seeds: Sequence[int], resamples: int, seed: int = 2026) -> DataFrame:
-    """(b, snr_db, d, n): sums of resampled differences for each resample and level. A37, A38.
+    """(b, snr_db, d, n): sums of resampled differences for each resample and level, with draws that SQL can repeat.
 
     A resample draws as many seeds as there are, then within each drawn seed as many rows of every (target, snr_db) stratum as
-    it has. Rows are numbered within strata once; each slot's draw is a digest, so resamples are independent tasks: slots
-    are joined to rows by (seed, stratum, number), and only sums by (resample, level) are kept.
+    it has. Each slot's draw is a digest. A difference is -1, 0 or 1, so a stratum is known by its counts, and a drawn place in
+    it, rows being in the order of d, tells the difference without a join. As every slot costs a digest this is for small
+    tables; ``bootstrap`` is the form whose cost doesn't follow the rows.
     """
     spark = diffs.sparkSession
-    of = Window.partitionBy("seed", "target", "snr_db")
-    rows = diffs.withColumn("k", F.row_number().over(of.orderBy("vec_id")) - 1)
-    sizes = rows.groupBy("seed", "target", "snr_db").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    sizes = diffs.groupBy("seed", "target", "snr_db").agg(F.count_if(F.col("d") < 0).alias("less"), F.count_if(F.col("d") <= 0).alias("upto"), F.count(F.lit(1)).cast("int").alias("m"))
     b = spark.range(resamples).select(F.col("id").cast("int").alias("b"))
     slots = F.explode(F.sequence(F.lit(0), F.lit(len(seeds) - 1))).alias("slot")
     drawn = b.select("b", slots).withColumn("seed", F.element_at(F.array(*map(F.lit, seeds)), draw(F.concat_ws(":", F.lit(str(seed)), "b", "slot"), len(seeds)) + 1))
-    cells = drawn.join(sizes, "seed").select("b", "slot", "seed", "target", "snr_db", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p"))
-    picks = cells.withColumn("k", draw(F.concat_ws(":", F.lit(str(seed)), "b", "slot", "target", "snr_db", "p"), F.col("m")))
-    return picks.join(rows, ["seed", "target", "snr_db", "k"]).groupBy("b", "snr_db").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n"))
+    cells = drawn.join(sizes, "seed").select("b", "slot", "target", "snr_db", "less", "upto", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p"))
+    k = draw(F.concat_ws(":", F.lit(str(seed)), "b", "slot", "target", "snr_db", "p"), F.col("m"))
+    d = F.when(k < F.col("less"), -1).when(k < F.col("upto"), 0).otherwise(1)
+    return cells.groupBy("b", "snr_db").agg(F.sum(d).alias("d"), F.count(F.lit(1)).alias("n"))
 
 
 def interval(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -49,30 +49,118 @@ def interval(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return out.select(*by, r("mean").alias("mean"), r("std").alias("std"), r("lowest").alias("lowest"), r("highest").alias("highest"), r(F.col("_p")[0]).alias("lower"), r(F.col("_p")[1]).alias("upper"), "positive", "n")
 
 
-def generator_bootstrap(diffs: DataFrame, seeds: Sequence[int], resamples: int, seed: int = 2026, chunk: int = 64) -> DataFrame:
-    """(b, d, n): resamples from NumPy's generator instead of digests, for those who want its stream. A37.
+def predictions(rows: DataFrame, reference: str, variant: str) -> DataFrame:
+    """(seed, target, snr_db, x, y): both models' predictions of each sample, joined by key."""
+    a = rows.where(F.col("model") == reference).select("seed", "vec_id", "target", "snr_db", F.col("pred").alias("x"))
+    b = rows.where(F.col("model") == variant).select("seed", "vec_id", F.col("pred").alias("y"))
+    return a.join(b, ["seed", "vec_id"]).select("seed", "target", "snr_db", "x", "y")
 
-    A chunk of resamples is one task with a child generator of its own; what every task gets are the strata's hit counts of
-    -1, 0 and +1, (seeds x strata x 3) numbers, whatever the number of rows, as a resampled sum of a stratum is a multinomial draw.
+
+def f1_of(confusion: np.ndarray) -> np.ndarray:
+    """Macro-F1 of confusion matrices (..., target, prediction); classes that don't occur count 0."""
+    hits = np.diagonal(confusion, axis1=-2, axis2=-1)
+    down = confusion.sum(-1) + confusion.sum(-2)
+    return np.divide(2.0 * hits, down, out=np.zeros(down.shape), where=down > 0).mean(-1)
+
+
+class Strata:
+    """What a bootstrap draws from: by seed, the strata with their counts of (prediction of either model).
+
+    ``tables[seed]`` is (target, level, x, y, share, size): one row per stratum, its pairs of predictions padded with share 0.
+    """
+
+    def __init__(self, pairs: DataFrame, seeds: Sequence[int], classes: int):
+        counts = pairs.groupBy("seed", "target", "snr_db", "x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+        self.seeds, self.classes, self.tables = list(seeds), classes, {}
+        levels = sorted({r.snr_db for r in counts})
+        self.levels = levels
+        strata: dict[tuple, list] = {}
+        for r in counts:
+            strata.setdefault((r.seed, r.target, r.snr_db), []).append((r.x, r.y, r.n))
+        for s in seeds:
+            mine = sorted((k[1:], sorted(v)) for k, v in strata.items() if k[0] == s)
+            width = max((len(v) for _, v in mine), default=1)
+            x, y, n = (np.array([[c[k] for c in v] + [0] * (width - len(v)) for _, v in mine], np.int64).reshape(len(mine), width) for k in range(3))
+            target = np.array([k[0] for k, _ in mine], np.int64)
+            size = n.sum(1)
+            self.tables[s] = (target, np.array([levels.index(k[1]) for k, _ in mine], np.int64), x, y, n / np.maximum(size, 1)[:, None], size, n)
+
+    def confusions(self, s: int, n: np.ndarray) -> np.ndarray:
+        """(2, classes, classes): the confusion matrices of either model for counts ``n`` of a seed's strata."""
+        target, _, x, y, *_ = self.tables[s]
+        out = np.zeros((2, self.classes, self.classes), np.int64)
+        at = np.broadcast_to(target[:, None], x.shape)
+        np.add.at(out[0], (at, x), n)
+        np.add.at(out[1], (at, y), n)
+        return out
+
+    def hits(self, s: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(differences, rows) by level for counts ``n`` of a seed's strata."""
+        target, level, x, y, *_ = self.tables[s]
+        gap = (x == target[:, None]).astype(np.int64) - (y == target[:, None])
+        return np.bincount(level, (gap * n).sum(1), len(self.levels)).astype(np.int64), np.bincount(level, n.sum(1), len(self.levels)).astype(np.int64)
+
+    def observed(self, metric: str) -> float:
+        """The mean over seeds of the metric's difference. A41."""
+        found = []
+        for s in self.seeds:
+            n = self.tables[s][-1]
+            d, m = self.hits(s, n)
+            found.append(d.sum() / m.sum() if metric == "accuracy" else float(np.subtract(*f1_of(self.confusions(s, n)))))
+        return float(np.mean(found))
+
+
+def bootstrap(pairs: DataFrame, seeds: Sequence[int], resamples: int, classes: int, metric: str = "accuracy", seed: int = 2026, chunk: int = 64) -> DataFrame:
+    """Paired hierarchical bootstrap over rows of ``predictions``. A37, A38.
+
+    A resample draws as many seeds as there are, then within each drawn seed every (target, snr_db) stratum anew; sums are pooled
+    over the drawn seeds. For accuracy the result is (b, snr_db, d, n), so one draw serves all levels and scopes; for macro_f1
+    it is (b, v), the difference of the pooled confusion matrices' macro-F1.
+
+    What a task gets are the strata's counts of pairs of predictions, whose number follows the classes and levels but not the
+    rows, as resampling a stratum is a multinomial draw from these. A chunk of resamples is drawn with a generator of its own,
+    so it comes out the same in every attempt.
     """
-    counts = diffs.groupBy("seed", "target", "snr_db").agg(*(F.count_if(F.col("d") == v).alias(f"c{v + 1}") for v in (-1, 0, 1)))
-    table = [(r.seed, r.c0, r.c1, r.c2) for r in counts.orderBy("seed", "target", "snr_db").collect()]
-    by_seed = {s: np.array([r[1:] for r in table if r[0] == s]).reshape(-1, 3) for s in seeds}
-    of = {s: (c.sum(1), c / c.sum(1, keepdims=True)) for s, c in by_seed.items()}
+    if metric not in ("accuracy", "macro_f1"):
+        raise ValueError("metric must be accuracy or macro_f1")
+    strata = Strata(pairs, seeds, classes)
+    if not strata.levels or any(not len(t[0]) for t in strata.tables.values()):
+        raise ValueError("every seed needs rows")
+    level = pairs.schema["snr_db"].dataType.simpleString()
+
+    def resample(b: int, rng: np.random.Generator) -> pd.DataFrame:
+        total, d, m = 0, 0, 0
+        for s in rng.choice(strata.seeds, len(strata.seeds)).tolist():
+            n = rng.multinomial(strata.tables[s][5], strata.tables[s][4])
+            if metric == "accuracy":
+                d, m = (u + v for u, v in zip((d, m), strata.hits(s, n), strict=True))
+            else:
+                total = total + strata.confusions(s, n)
+        if metric == "accuracy":
+            return pd.DataFrame({"b": b, "snr_db": strata.levels, "d": d, "n": m})
+        return pd.DataFrame({"b": [b], "v": [float(np.subtract(*f1_of(total)))]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for c in f.id.tolist():
-                rng = np.random.default_rng([seed, c])
-                out = []
-                for b in range(c * chunk, min(resamples, (c + 1) * chunk)):
-                    d = n = 0
-                    for s in rng.choice(list(seeds), len(seeds)):
-                        m, p = of[s]
-                        got = rng.multinomial(m, p)
-                        d += int(got[:, 2].sum() - got[:, 0].sum())
-                        n += int(m.sum())
-                    out.append((b, d, n))
-                yield pd.DataFrame(out, columns=["b", "d", "n"])
-
-    return diffs.sparkSession.range(-(-resamples // chunk)).mapInPandas(run, "b int, d long, n long")
+        for c in (c for f in frames for c in f.id.tolist()):
+            rng = np.random.default_rng([seed, c])
+            yield pd.concat([resample(b, rng) for b in range(c * chunk, min(resamples, (c + 1) * chunk))])
+
+    return pairs.sparkSession.range(-(-resamples // chunk)).mapInPandas(run, f"b int, snr_db {level}, d long, n long" if metric == "accuracy" else "b int, v double")
+
+
+def contrast(pairs: DataFrame, seeds: Sequence[int], resamples: int, classes: int, low: Sequence[int], seed: int = 2026) -> DataFrame:
+    """(metric, scope, mean_difference, bootstrap_mean, ci_lower, ci_upper, positive_seeds): both metrics, over all levels and over
+    the low ones, which are drawn for themselves. A43."""
+    d = (F.col("x") == F.col("target")).cast("int") - (F.col("y") == F.col("target")).cast("int")
+    positive = pairs.groupBy("seed").agg(F.avg(d).alias("m")).agg(F.count_if(F.col("m") > 0).alias("positive_seeds"))
+    out = None
+    for metric in ("accuracy", "macro_f1"):
+        for scope, rows in (("overall", pairs), ("low_snr", pairs.where(F.col("snr_db").isin(*low)))):
+            b = bootstrap(rows, seeds, resamples, classes, metric, seed)
+            if metric == "accuracy":
+                b = b.groupBy("b").agg((F.sum("d") / F.sum("n")).alias("v"))
+            p = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
+            row = b.agg(F.avg("v").alias("bootstrap_mean"), p.alias("p"))
+            row = row.select(F.lit(metric).alias("metric"), F.lit(scope).alias("scope"), F.lit(Strata(rows, seeds, classes).observed(metric)).alias("mean_difference"), "bootstrap_mean", F.col("p")[0].alias("ci_lower"), F.col("p")[1].alias("ci_upper"))
+            out = row if out is None else out.unionByName(row)
+    return out.crossJoin(F.broadcast(positive))  # one row of seeds

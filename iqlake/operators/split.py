@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 #: Splits in order, with their weights.
 WEIGHTS = (("train", 7), ("validation", 1), ("test", 2))
 
@@ -27,13 +29,15 @@ def allocate(strata: DataFrame, keys: Sequence[str], n: str = "n", weights: Sequ
 def assign(rows: DataFrame, keys: Sequence[str], order: Sequence[str], weights: Sequence[tuple[str, int]] = WEIGHTS) -> DataFrame:
     """``rows`` with split: rank within the stratum by ``order``, then contiguous stretches of the allocated sizes. W01, W03, W05.
 
-    A stratum is ranked in one sorted task partition; sizes come from one aggregate, so no stratum is held in memory.
+    The first of ``order`` is a lower-case hexadecimal digest. Strata are ranked in chunks of it, and sizes come from one
+    aggregate, so no stratum is in one task.
     """
     strata = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(*keys).orderBy("ord")
     sizes = allocate(strata, keys, weights=weights).withColumn("hi", F.sum("cnt").over(upto))
     bounds = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "hi", "split"))).alias("bounds"))  # one entry per split
-    ranked = rows.withColumn("rk", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    digits = F.conv(F.substring(order[0], 1, 12), 16, 10).cast("double")
+    ranked = numbered(rows, keys, order, digits, "rk").withColumn("rk", F.col("rk") + 1)
     first = F.filter("bounds", lambda b: b.hi >= F.col("rk"))[0]["split"]
     return ranked.join(bounds, list(keys)).withColumn("split", first).drop("rk", "bounds")
 

@@ -29,11 +29,11 @@ def macro_f1_fixed_classes(spark, sf_dir):
     return M.macro_f1(V.replays(spark, sf_dir), ["model", "seed"], V.class_dim(spark))
 
 
-@query("""WITH x AS (SELECT * FROM r WHERE vec_id % 7 = 0 AND snr_db < 0), k AS (SELECT model, seed, snr_db, target AS cls FROM x UNION SELECT model, seed, snr_db, pred FROM x),
-g AS (SELECT k.*, count(*) FILTER (target = cls AND pred = cls) AS tp, count(*) FILTER (target = cls) AS a, count(*) FILTER (pred = cls) AS b FROM k JOIN x USING (model, seed, snr_db) GROUP BY ALL)
+@query("""WITH k AS (SELECT model, seed, snr_db, target AS cls FROM r UNION SELECT model, seed, snr_db, pred FROM r),
+g AS (SELECT k.*, count(*) FILTER (target = cls AND pred = cls) AS tp, count(*) FILTER (target = cls) AS a, count(*) FILTER (pred = cls) AS b FROM k JOIN r USING (model, seed, snr_db) GROUP BY ALL)
 SELECT model, seed, snr_db, round(avg(2.0::double * tp / (a + b)), 9) AS macro_f1 FROM g GROUP BY ALL""", "r")
 def macro_f1_observed_labels(spark, sf_dir):
-    return M.macro_f1(V.replays(spark, sf_dir).where("vec_id % 7 = 0 and snr_db < 0"), ["model", "seed", "snr_db"])
+    return M.macro_f1(V.replays(spark, sf_dir), ["model", "seed", "snr_db"])
 
 
 @query("SELECT model, snr_db, round(avg(ok), 9) AS accuracy, count(*) AS n FROM c GROUP BY ALL", "c")

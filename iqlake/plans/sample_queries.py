@@ -148,12 +148,12 @@ def value_counters(spark, sf_dir):
     return x.groupBy("modulation").agg(F.count_if(F.isnan("v")).alias("nan"), F.count_if(F.col("v") == A.INF).alias("pos_inf"), F.count_if(F.col("v") == -A.INF).alias("neg_inf"), F.count_if(F.col("v") == 0).alias("zeros"), F.count_if(A.is_finite(F.col("v"))).alias("finite"))
 
 
-@query("""WITH e AS (SELECT a.m AS modulation, b.s AS snr_db FROM (SELECT unnest(range(12)) AS m) a, (SELECT unnest(range(-10, 10, 2)) AS s) b), o AS (SELECT DISTINCT modulation, snr_db FROM iq WHERE vec_id > 9)
+@query("""WITH e AS (SELECT a.m AS modulation, b.s AS snr_db FROM (SELECT unnest(range(2, 12)) AS m) a, (SELECT unnest(range(-10, 10, 2)) AS s) b), o AS (SELECT DISTINCT modulation, snr_db FROM iq)
 SELECT coalesce(o.modulation, e.modulation)::int AS modulation, coalesce(o.snr_db, e.snr_db)::int AS snr_db, CASE WHEN o.modulation IS NULL THEN 'missing' WHEN e.modulation IS NULL THEN 'unexpected' ELSE 'present' END AS status
 FROM o FULL JOIN e ON o.modulation = e.modulation AND o.snr_db = e.snr_db""", "iq")
 def grid_completeness(spark, sf_dir):
-    grid = spark.range(12).select(F.col("id").cast("int").alias("modulation")).crossJoin(spark.range(10).select((F.col("id") * 2 - 10).cast("int").alias("snr_db")))
-    return audit.key_status(grid, V.iq_samples(spark, sf_dir).where("vec_id > 9"), ["modulation", "snr_db"])
+    grid = spark.range(2, 12).select(F.col("id").cast("int").alias("modulation")).crossJoin(spark.range(10).select((F.col("id") * 2 - 10).cast("int").alias("snr_db")))
+    return audit.key_status(grid, V.iq_samples(spark, sf_dir), ["modulation", "snr_db"])
 
 
 STATS = """tr AS (SELECT i, q FROM iq JOIN split USING (vec_id) WHERE split = 'train'),

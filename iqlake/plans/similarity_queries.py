@@ -50,7 +50,7 @@ def float_duplicate_audit(spark, sf_dir):
     return dedup.leakage(s.withColumn("digest", dedup.float_digest("i", "q")), "digest", "split")
 
 
-PAIRS = """w AS (SELECT vec_id, i, q, sqrt(list_sum(list_transform(i, lambda x: x::double * x)) + list_sum(list_transform(q, lambda x: x::double * x))) AS nn FROM iq WHERE vec_id < 24),
+PAIRS = """w AS (SELECT vec_id, i, q, sqrt(list_sum(list_transform(i, lambda x: x::double * x)) + list_sum(list_transform(q, lambda x: x::double * x))) AS nn FROM (FROM iq ORDER BY vec_id LIMIT 64)),
 k AS (SELECT unnest(range(32))::int AS k), rolled AS (SELECT vec_id, k, nn, list_concat(i[33-k:32], i[1:32-k]) AS i, list_concat(q[33-k:32], q[1:32-k]) AS q FROM w, k),
 z AS (SELECT a.vec_id AS l, b.vec_id AS r, list_sum(list_transform(list_zip(a.i, b.i), lambda x: x[1]::double * x[2])) + list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1]::double * x[2])) AS re,
   list_sum(list_transform(list_zip(a.i, b.q), lambda x: x[1]::double * x[2])) - list_sum(list_transform(list_zip(a.q, b.i), lambda x: x[1]::double * x[2])) AS im, a.nn * b.nn AS norm FROM w a JOIN rolled b ON a.vec_id < b.vec_id),
@@ -58,7 +58,8 @@ pr AS (SELECT l AS "left", r AS "right", least(max(sqrt(re * re + im * im) / nor
 
 
 def _pairs(spark, sf_dir):
-    return dedup.pair_scores(V.iq_samples(spark, sf_dir).where("vec_id < 24"), "vec_id", 32)
+    """All pairs of the first 64 windows: the contract's bounded sample for the exhaustive comparison."""
+    return dedup.pair_scores(V.iq_samples(spark, sf_dir).orderBy("vec_id").limit(64), "vec_id", 32)
 
 
 @query(f'WITH {PAIRS} SELECT "left", "right", round(score, 9) AS score FROM pr', "iq")
@@ -89,9 +90,9 @@ def calibration_threshold(spark, sf_dir):
     return dedup.calibrate(s).select(F.round("threshold", 9).alias("threshold"), "recall", F.round("false_rate", 9).alias("false_rate"), "passed")
 
 
-@query(f"WITH {PAIRS} SELECT sha256('{{\"left\":' || \"left\" || ',\"right\":' || \"right\" || ',\"score\":\"' || printf('%.6f', score) || '\"}}') AS digest, \"left\", \"right\" FROM pr WHERE \"left\" < 4", "iq")
+@query(f"WITH {PAIRS} SELECT sha256('{{\"left\":' || \"left\" || ',\"right\":' || \"right\" || ',\"score\":\"' || printf('%.6f', score) || '\"}}') AS digest, \"left\", \"right\" FROM pr", "iq")
 def pair_digest(spark, sf_dir):
-    p = _pairs(spark, sf_dir).where("left < 4")
+    p = _pairs(spark, sf_dir)
     return p.select(F.sha2(F.to_json(F.struct("left", "right", F.format_string("%.6f", "score").alias("score"))), 256).alias("digest"), "left", "right")
 
 
@@ -104,11 +105,11 @@ def correlation_fft(spark, sf_dir):
     return dedup.correlate(a.join(b.where("k = 0").drop("k"), ["m", "s"]).where("left <> right").drop("m", "s"))
 
 
-@query("""WITH j AS (SELECT unnest(range(16))::int AS j), d AS (SELECT vec_id, j, sha256('pos' || vec_id || ':' || (j // 8)) AS h, (j % 8) * 8 AS o FROM embeddings, j WHERE vec_id < 40),
+@query("""WITH j AS (SELECT unnest(range(16))::int AS j), d AS (SELECT vec_id, j, sha256('pos' || vec_id || ':' || (j // 8)) AS h, (j % 8) * 8 AS o FROM embeddings, j),
 v AS (SELECT vec_id, j, ('0x' || substr(h, o + 7, 2) || substr(h, o + 5, 2) || substr(h, o + 3, 2) || substr(h, o + 1, 2))::bigint / 4294967295.0::double * 2 - 1 AS x FROM d)
 SELECT vec_id, round(min(x), 9) AS lowest, round(max(x), 9) AS highest, round(sum(x), 7) AS total FROM v GROUP BY ALL""")
 def counter_samples(spark, sf_dir):
-    a = V.table(spark, sf_dir, "embeddings").where("vec_id < 40").select("vec_id", A.counter_samples(F.concat(F.lit("pos"), F.col("vec_id").cast("string")), 16).alias("a"))
+    a = V.table(spark, sf_dir, "embeddings").select("vec_id", A.counter_samples(F.concat(F.lit("pos"), F.col("vec_id").cast("string")), 16).alias("a"))
     return a.select("vec_id", F.round(F.array_min("a"), 9).alias("lowest"), F.round(F.array_max("a"), 9).alias("highest"), F.round(A.total(F.col("a")), 7).alias("total"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
+
 SEEDS = (13, 37, 73, 101, 137)
 LOW_SNR = (-10, -8, -6, -4, -2, 0)
 #: Model names with the first digest digit from which a replay is wrong.
@@ -22,10 +24,10 @@ def snr_of(vec_id) -> F.Column:
 
 def iq_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, modulation, snr_db, source_index, i, q): an embedding's halves as the two channels."""
-    e = table(spark, sf_dir, "embeddings")
-    within = Window.partitionBy("label", F.col("vec_id") % 10).orderBy("vec_id")
+    e = table(spark, sf_dir, "embeddings").withColumn("snr_db", snr_of(F.col("vec_id")))
+    e = numbered(e, ["label", "snr_db"], ["vec_id"], F.col("vec_id"), "source_index")
     return e.select(
-        "vec_id", F.col("label").alias("modulation"), snr_of(F.col("vec_id")).alias("snr_db"), (F.row_number().over(within) - 1).cast("long").alias("source_index"),
+        "vec_id", F.col("label").alias("modulation"), "snr_db", "source_index",
         F.slice("embedding", 1, 32).alias("i"), F.slice("embedding", 33, 32).alias("q"),
     )
 

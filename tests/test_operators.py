@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from iqlake.functions import arrays as A
 from iqlake.functions import identity as I
 from iqlake.functions import text as T
-from iqlake.operators import audit, calibration, decisions, dedup, interventions, metrics, progress, quality, resample, split
+from iqlake.operators import audit, calibration, decisions, dedup, interventions, metrics, ordered, progress, quality, resample, split
 from iqlake.sources import files, scans, sinks
 
 
@@ -163,7 +163,8 @@ def test_sample_deviation(spark):
 def test_bootstrap_of_a_constant_difference_is_degenerate(spark):
     rows = replay(spark, [(m, s, i, i % 2, i % 2 if m == "a" else 9, -10) for m in "ab" for s in (1, 2, 3) for i in range(4)])
     d = resample.differences(rows, "a", "b")
-    for b in (resample.hash_bootstrap(d, [1, 2, 3], 8).groupBy("b").agg(F.sum("d").alias("d"), F.sum("n").alias("n")), resample.generator_bootstrap(d, [1, 2, 3], 8)):
+    for b in (resample.hash_bootstrap(d, [1, 2, 3], 8), resample.bootstrap(resample.predictions(rows, "a", "b"), [1, 2, 3], 8, 10)):
+        b = b.groupBy("b").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
         assert {r.d / r.n for r in b.collect()} == {1.0} and b.count() == 8
 
 
@@ -179,8 +180,24 @@ def test_progress_log(spark):
 
 
 def test_patience(spark):
-    x = spark.createDataFrame([([0.1, 0.5, 0.55, 0.52, 0.9],)], "h array<double>")
-    assert tuple(one(x.select(progress.patience(F.col("h"), 0.1, 2).alias("p"))).p)[:4] == (0.5, 2, 2, 4)
+    def plain(h, gain, most):
+        best, at, stale = -math.inf, 0, 0
+        for i, x in enumerate(h, 1):
+            if x is not None and x > best + gain:
+                best, at, stale = x, i, 0
+            else:
+                stale += 1
+                if stale >= most:
+                    return best, at, stale, i
+        return best, at, stale, 0
+
+    rng = np.random.default_rng(1)
+    runs = {("a", 1): [0.1, 0.5, 0.55, 0.4, 2.0], ("b", 1): [None, float("nan"), 0.2], ("c", None): [1.0], **{("r", k): rng.normal(size=30).round(2).tolist() for k in range(20)}}
+    rows = spark.createDataFrame([(m, k, i, x) for (m, k), h in runs.items() for i, x in enumerate(h)], "model string, k int, at int, score double")
+    got = {(r.model, r.k): tuple(r)[2:] for r in progress.patience(rows.repartition(5), ["model", "k"], ["at"], "score", 0.1, 2).collect()}
+    assert got == {key: plain(h, 0.1, 2) for key, h in runs.items()}
+    assert got["a", 1] == (0.5, 2, 2, 4)
+    assert progress.patience(rows.limit(0), ["model", "k"], ["at"], "score", 0.1, 2).count() == 0
 
 
 def test_best_run_breaks_ties_by_loss_then_id(spark):
@@ -273,19 +290,45 @@ def test_containment_of_all_items(spark, tmp_path):
     assert got == {i: (len(v), min((d for d in v if d is not None), default=None)) for i, v in want.items()} and 20_000 in got
 
 
-def test_generator_bootstrap_draws_all_resamples(spark, sf_dir):
+def test_bootstrap_against_rows_drawn_one_by_one(spark):
+    rng = np.random.default_rng(0)
+    rows = [(s, t, lv, int(rng.integers(3)), int(rng.integers(3))) for s in (1, 2) for t in (0, 1) for lv in (-2, 0) for _ in range(9)]
+    pairs = spark.createDataFrame(rows, "seed int, target int, snr_db int, x int, y int")
+    cells = {s: [[r for r in rows if r[0] == s and r[1] == t and r[2] == lv] for t in (0, 1) for lv in (-2, 0)] for s in (1, 2)}
+
+    def f1(rs, k):
+        out = []
+        for c in range(3):
+            tp, a, b = (sum(r[1] == c == r[k] for r in rs), sum(r[1] == c for r in rs), sum(r[k] == c for r in rs))
+            out.append(2 * tp / (a + b) if a + b else 0.0)
+        return sum(out) / 3
+
+    metrics_of = {"accuracy": lambda rs: np.mean([(r[3] == r[1]) - (r[4] == r[1]) for r in rs]), "macro_f1": lambda rs: f1(rs, 3) - f1(rs, 4)}
+    drawn = [[c[k] for s in rng.choice([1, 2], 2) for c in cells[s] for k in rng.integers(0, len(c), len(c))] for _ in range(3000)]
+    for metric, value in metrics_of.items():
+        got = resample.bootstrap(pairs, [1, 2], 3000, 3, metric)
+        if metric == "accuracy":
+            assert {(r.b, r.snr_db): r.n for r in got.collect()} == {(b, lv): 36 for b in range(3000) for lv in (-2, 0)}
+            got = got.groupBy("b").agg((F.sum("d") / F.sum("n")).alias("v"))
+        v, want = np.array([r.v for r in got.collect()]), np.array([value(d) for d in drawn])
+        assert len(v) == 3000 and abs(v.mean() - want.mean()) < 0.01 and abs(v.std() - want.std()) < 0.01
+        assert np.allclose(np.quantile(v, [0.025, 0.975]), np.quantile(want, [0.025, 0.975]), atol=0.03)
+        observed = resample.Strata(pairs, [1, 2], 3).observed(metric)
+        assert np.isclose(observed, np.mean([value([r for r in rows if r[0] == s]) for s in (1, 2)]))
+    again = [sorted(map(tuple, resample.bootstrap(pairs.repartition(n), [1, 2], 100, 3, "macro_f1").collect())) for n in (1, 5)]
+    assert again[0] == again[1]
+    with pytest.raises(ValueError):
+        resample.bootstrap(pairs, [1, 2, 3], 10, 3)
+
+
+def test_reports_draw_all_resamples(spark, sf_dir):
     from iqlake import plans
 
     assert one(plans.QUERIES["generator_bootstrap"](spark, sf_dir)).n == 10_000
-    rows = [(s, t, 0, 10 * t + k, (k + s) % 3 - 1) for s in (1, 2) for t in (0, 1) for k in range(10)]
-    d = spark.createDataFrame(rows, "seed int, target int, snr_db int, vec_id long, d int")
-    got = resample.generator_bootstrap(d, [1, 2], 4000).select("b", (F.col("d") / F.col("n")).alias("v"), "n").collect()
-    assert sorted(r.b for r in got) == list(range(4000)) and {r.n for r in got} == {40}
-    rng = np.random.default_rng(0)  # brute force: rows drawn one by one
-    cells = {s: [[r[4] for r in rows if r[0] == s and r[1] == t] for t in (0, 1)] for s in (1, 2)}
-    want = [np.mean([rng.choice(c, len(c)) for s in rng.choice([1, 2], 2) for c in cells[s]]) for _ in range(4000)]
-    v = [r.v for r in got]
-    assert abs(np.mean(v) - np.mean(want)) < 0.02 and abs(np.std(v) - np.std(want)) < 0.01
+    rows = {(r.metric, r.scope): r for r in plans.QUERIES["contrast_row"](spark, sf_dir).collect()}
+    assert set(rows) == {(m, s) for m in ("accuracy", "macro_f1") for s in ("overall", "low_snr")}
+    assert all(r.ci_lower < r.mean_difference < r.ci_upper and r.positive_seeds == 5 for r in rows.values())
+    assert one(plans.QUERIES["formal_decision"](spark, sf_dir)).status == "qualifies"
 
 
 def test_selected_epoch_gathers_no_group(spark, sf_dir):
@@ -307,3 +350,27 @@ def test_a_cluster_needs_a_shared_folder():
     assert sinks.shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
     local = Session(**{"spark.master": "local[2]"})
     assert sinks.scratch(local, "x").startswith(sinks.shared_dir(local) + "/x-")
+
+
+@pytest.mark.parametrize("per", [3, 10**9])
+def test_totals_along_long_groups(spark, per):
+    rng = np.random.default_rng(3)
+    rows = [(["a", "b", None][int(rng.integers(3))], int(rng.integers(0, 15)), i, float(rng.integers(-9, 9))) for i in range(120)] + [("n", None, 500, 1.0), ("n", 4, 501, 2.0)]
+    df = spark.createDataFrame(rows, "g string, at int, id long, x double").repartition(3)
+    got = {r.id: (r.s, r.m, r.k) for r in ordered.before(df, ["g"], ["at", "id"], F.col("at"), {"s": ("sum", F.col("x")), "m": ("max", F.col("x")), "k": ("sum", F.lit(1))}, per).collect()}
+    for g, at, i, _ in rows:
+        earlier = [x for h, b, j, x in rows if h == g and (-1 if b is None else b, j) < (-1 if at is None else at, i)]
+        assert got[i] == ((sum(earlier), max(earlier), len(earlier)) if earlier else (None, None, None))
+    numbers = {r.id: r.no for r in ordered.numbered(df, ["g"], ["at", "id"], F.col("at"), "no", per).collect()}
+    assert numbers == {i: k or 0 for i, (_, _, k) in got.items()}
+    q = {r.g: (r.n, r.q0, r.q1, r.q2) for r in ordered.quantiles(df, ["g"], "x", [0.0, 0.3, 1.0], per).collect()}
+    for g, (n, *found) in q.items():
+        own = [x for h, _, _, x in rows if h == g]
+        assert n == len(own) and np.allclose(found, np.quantile(own, [0, 0.3, 1]))
+
+
+def test_alignment_counts(spark):
+    base = spark.createDataFrame([(1, 5), (2, None), (3, 7), (4, 8)], "k int, v int")
+    rows = spark.createDataFrame([("m", 1, 5), ("m", 2, None), ("m", 3, 0), ("m", 9, 1), ("n", 1, 5), ("n", 1, 5)], "g string, k int, v int")
+    got = {r.g: tuple(r)[1:] for r in metrics.alignment(rows, "k", ["v"], ["g"], base).collect()}
+    assert got == {"m": (2, 1, 1, 1), "n": (2, 3, 0, 0)}
