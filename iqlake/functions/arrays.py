@@ -133,6 +133,11 @@ def close(a: Column, b: Column, tolerance: float = 3e-5) -> Column:
     return F.abs(a - b) <= F.greatest(tolerance * F.greatest(F.abs(a), F.abs(b)), F.lit(tolerance))
 
 
+def raw(a: Column) -> Column:
+    """The array itself; values that aren't finite raise. P09."""
+    return F.when(all_finite(a), a).otherwise(F.raise_error(F.lit("a window holds values that aren't finite")))
+
+
 def counter_samples(label: Column, n: int) -> Column:
     """n values in [-1, 1] from SHA-256 of ``label:block``: 8 little-endian 32-bit words a block. P28."""
 

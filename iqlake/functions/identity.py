@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
+
 
 def sample_id(dataset: str, modulation: Column, snr: Column, index: Column, style: str = "%s") -> Column:
     """``dataset:modulation:+00:0000``; style ``%02d`` for numbered modulations. P01, P02."""
@@ -67,6 +70,59 @@ def rank_digest(domain: str, seed: str, sid: Column) -> Column:
     return F.sha2(framed(F.lit(domain), F.lit(seed), sid), 256)
 
 
+def bytes_of(n: Column) -> Column:
+    """A number as 8 big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0"))
+
+
+def _in_order(entries: Column) -> Column:
+    """SHA-256 of the last field's bytes of an array of structs, in the order of the others."""
+    return F.sha2(_joined(F.array_sort(entries)), 256)
+
+
+def _joined(entries: Column) -> Column:
+    """The raw bytes of all entries in a row."""
+    return F.unhex(F.array_join(F.transform(entries, lambda x: F.hex(x["raw"])), ""))
+
+
+def content_digest(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., digest) over the records (ord, name, dtype, shape, sha256) of each group's columns, in the order of ord: framed name
+    and type, number of dimensions, dimensions, content digest. There are as many records as columns. H04."""
+    shape = F.aggregate("shape", F.lit(b""), lambda a, n: F.concat(a, bytes_of(n)))
+    raw = F.concat(framed(F.col("name"), F.col("dtype")), bytes_of(F.size("shape")), shape, F.unhex("sha256"))
+    return rows.groupBy(*by).agg(_in_order(F.collect_list(F.struct("ord", raw.alias("raw")))).alias("digest"))
+
+
+def source_digest(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., digest) over cells (modulation, snr_db, sha256), sorted: name, level and digest with zero bytes between. There are as
+    many cells as the grid has. H05."""
+    zero = F.lit(b"\0")
+    raw = F.concat(F.encode("modulation", "utf-8"), zero, F.encode(F.col("snr_db").cast("string"), "utf-8"), zero, F.unhex("sha256"))
+    return cells.groupBy(*by).agg(_in_order(F.collect_list(F.struct("modulation", "snr_db", raw.alias("raw")))).alias("digest"))
+
+
+#: Rows of an assignment that one block's digest covers.
+BLOCK_ROWS = 1 << 16
+
+
+def assignment_digest(assigned: DataFrame, key: str, split: str = "split") -> DataFrame:
+    """(split, n, digest): each split's sorted keys, as 8-byte numbers after the framed name and count. H06.
+
+    Keys are digested in blocks of BLOCK_ROWS by rank, and the digest is that of the blocks' digests in order, as no task
+    should see a whole split; it changes with any key, but isn't the digest of one long run of bytes.
+    """
+    ranked = numbered(assigned.select(split, F.col(key).cast("long").alias("key")), [split], ["key"], F.col("key"), "k")
+    blocks = ranked.groupBy(split, F.floor(F.col("k") / BLOCK_ROWS).alias("ord")).agg(F.count(F.lit(1)).alias("n"), _in_order(F.collect_list(F.struct("key", bytes_of(F.col("key")).alias("raw")))).alias("d"))
+    whole = blocks.groupBy(split).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("ord", F.unhex("d").alias("raw")))).alias("parts"))
+    head = F.concat(framed(F.col(split)), bytes_of(F.col("n")))
+    return whole.select(split, "n", F.sha2(F.concat(head, _joined(F.col("parts"))), 256).alias("digest"))
+
+
+def row_digest(row: Column) -> Column:
+    """SHA-256 of a struct's JSON as UTF-8; its fields should be in the order of their names. H03 for rows."""
+    return F.sha2(F.encode(F.to_json(row, {"ignoreNullFields": "false"}), "utf-8"), 256)
+
+
 def json_digest(value: Any, ascii_only: bool = True) -> str:
     """SHA-256 of the value's JSON with sorted keys and no blanks; the two forms differ beyond ASCII. H02, H03."""
     text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only)

@@ -26,6 +26,36 @@ def violations(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return rows.withColumn("issues", F.filter(broken, lambda x: x.isNotNull()))
 
 
+def run_rules(epochs: int | None = None) -> dict[str, Column]:
+    """What every completed run has to keep, over the columns of a run table. G08-G13.
+
+    bindings (a struct) are those expected; the test split is untouched, by the run and by its summary; the checkpoint is the
+    one whose digest metrics and summary name; no last state is left; recorded and recomputed scores agree within 1e-12. With
+    ``epochs``, the run has exactly so many, and a history of that length.
+    """
+    rules = {
+        "bindings": F.col("bindings").eqNullSafe(F.col("expected_bindings")),
+        "test_access": ~F.col("test_accessed") & ~F.col("summary_test_accessed"),
+        "checkpoint": (F.col("checkpoint_sha256") == F.col("stored_sha256")) & (F.col("summary_sha256") == F.col("stored_sha256")),
+        "last_state": ~F.col("keeps_last"),
+        "score": F.abs(F.col("score") - F.col("recorded_score")) <= 1e-12,
+    }
+    if epochs is not None:
+        rules |= {"epochs": F.col("epochs") == epochs, "history": F.size("history") == epochs}
+    return rules
+
+
+def queue_audit(runs: DataFrame, expected: DataFrame, keys: Sequence[str], rules: Mapping[str, Column]) -> DataFrame:
+    """(keys..., issues) of a queue's runs: the rules that a run breaks, ``repeated`` where its keys occur again, ``missing`` and
+    ``unexpected`` against the keys of the queue's matrix. G09-G12."""
+    n = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    status = key_status(expected, runs, keys)
+    checked = violations(runs, rules).select(*keys, "issues").join(n, list(keys)).join(status, list(keys))
+    more = F.filter(F.array(F.when(F.col("_n") > 1, F.lit("repeated")), F.when(F.col("status") == "unexpected", F.lit("unexpected"))), lambda x: x.isNotNull())
+    lacking = status.where("status = 'missing'").select(*keys, F.array(F.lit("missing")).alias("issues"))
+    return checked.select(*keys, F.concat("issues", more).alias("issues")).unionByName(lacking)
+
+
 def check_table(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """(id, passed, failures): one row per rule over all rows, in one pass. A46, G22."""
     counts = rows.agg(*(F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()))

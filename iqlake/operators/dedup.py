@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,24 @@ def leakage(rows: DataFrame, digest: str, split: str) -> DataFrame:
 def float_digest(*channels: str) -> F.Column:
     """SHA-256 of the channels' float32 bytes one after the other, bit for bit: -0.0 and 0.0 differ. H01.
 
-    Spark has no cast from floats to bytes, so this is a vectorised function over Arrow batches.
+    Spark has no cast from floats to bytes, so this is a function over Arrow batches, which hashes slices of their buffers.
     """
-    import hashlib
 
-    @F.pandas_udf("string")
-    def digest(cols: pd.DataFrame) -> pd.Series:
-        return pd.Series([hashlib.sha256(b"".join(np.asarray(a, "<f4").tobytes() for a in row)).hexdigest() for row in cols.itertuples(index=False)])
+    def rows_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The float32 bytes of all lists in a row, and where each list begins and ends in them."""
+        flat = np.ascontiguousarray(a.flatten().to_numpy(zero_copy_only=False), "<f4")
+        sizes = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return flat.view(np.uint8), 4 * np.r_[0, np.cumsum(sizes)]
+
+    @F.arrow_udf("string")
+    def digest(rows: pa.Array) -> pa.Array:
+        parts, out = [rows_of(c) for c in rows.flatten()], []
+        for k in range(len(rows)):
+            h = hashlib.sha256()
+            for raw, at in parts:
+                h.update(raw[at[k] : at[k + 1]])
+            out.append(h.hexdigest())
+        return pa.array(out, pa.string())
 
     return digest(F.struct(*channels))
 

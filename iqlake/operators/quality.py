@@ -52,6 +52,19 @@ def overall(rows: DataFrame) -> DataFrame:
     return parts.agg(*report(parts))
 
 
+def in_order(report_rows: DataFrame, by: Sequence[str] = ("modulation", "snr_db")) -> DataFrame:
+    """A report's rows in canonical order. T04."""
+    return report_rows.orderBy(*by)
+
+
+def audit(rows: DataFrame, length: int) -> DataFrame:
+    """One row over a whole table: all values finite, rows, cells, all windows of ``length``. One pass with one aggregate. S18."""
+    return rows.agg(
+        F.bool_and(A.all_finite(F.col("i")) & A.all_finite(F.col("q"))).alias("finite"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct("modulation", "snr_db").alias("cells"), F.bool_and((F.size("i") == length) & (F.size("q") == length)).alias("shaped"),
+    )
+
+
 def column_summary(rows: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
     """(column, n, lowest, highest, mean, mean_square, nan, zeros): all columns in one pass over the table. A12, A15."""
     aggs = []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -316,7 +314,7 @@ def stream_latest_epoch(spark, sf_dir):
 
     e = event_stream(spark, sf_dir, "events.parquet")
     runs = e.select("event_id", "ts", F.col("event_type").alias("model"), (F.col("user_id") % 5).cast("int").alias("seed_idx"), F.from_json("props", V.RUN_SCHEMA)["k"].alias("epoch"))
-    return run_to_end(latest_epochs(runs), f"latest_{uuid.uuid4().hex}", scratch(spark, "latest"))
+    return run_to_end(latest_epochs(runs), scratch(spark, "latest"))
 
 
 @query("""WITH a AS (SELECT DISTINCT model || '-' || seed_idx AS run FROM runs), d AS (SELECT model || '-' || seed_idx AS run FROM runs GROUP BY ALL HAVING max(epoch) >= 99), s AS (SELECT DISTINCT model || '-' || seed_idx AS run FROM runs WHERE score > 50)
@@ -347,7 +345,7 @@ def progress_log(spark, sf_dir):
     return progress.parse_log(V.table(spark, sf_dir, "events").select(line.alias("value"))).groupBy("run").agg(F.max("epoch").alias("epoch"))
 
 
-@query("SELECT doc_id, strlen(text) AS size, sha256(text) AS sha256, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in T.ISSUES.items()) + "], lambda x: x IS NOT NULL), ',') AS issues FROM documents")
+@query("SELECT doc_id, strlen(text) AS size, sha256(text) AS sha256, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for p in found) + f" THEN '{n}' END" for n, found in T.ISSUES.items()) + "], lambda x: x IS NOT NULL), ',') AS issues FROM documents")
 def content_audit(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"), F.array_join(T.issues(F.col("text")), ",").alias("issues"))

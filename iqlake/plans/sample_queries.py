@@ -258,5 +258,4 @@ def ordinal_lookup(spark, sf_dir):
 
 @query("SELECT bool_and(list_bool_and(list_transform(i, lambda x: isfinite(x))) AND list_bool_and(list_transform(q, lambda x: isfinite(x)))) AS finite, count(*) AS n, count(DISTINCT (modulation, snr_db)) AS cells, bool_and(len(i) = 32 AND len(q) = 32) AS shaped FROM iq", "iq")
 def table_audit(spark, sf_dir):
-    s = V.iq_samples(spark, sf_dir)
-    return s.agg(F.bool_and(A.all_finite(F.col("i")) & A.all_finite(F.col("q"))).alias("finite"), F.count(F.lit(1)).alias("n"), F.countDistinct("modulation", "snr_db").alias("cells"), F.bool_and((F.size("i") == 32) & (F.size("q") == 32)).alias("shaped"))
+    return quality.audit(V.iq_samples(spark, sf_dir), 32)

@@ -96,13 +96,18 @@ def pair_digest(spark, sf_dir):
     return p.select(F.sha2(F.to_json(F.struct("left", "right", F.format_string("%.6f", "score").alias("score"))), 256).alias("digest"), "left", "right")
 
 
-@query()
+@query("""WITH w AS (SELECT vec_id, modulation, snr_db, source_index, i, q, sqrt(list_sum(list_transform(i, lambda x: x::double * x)) + list_sum(list_transform(q, lambda x: x::double * x))) AS nn FROM iq),
+k AS (SELECT unnest(range(32))::int AS k), rolled AS (SELECT vec_id, modulation, snr_db, nn, k, list_concat(i[33-k:32], i[1:32-k]) AS i, list_concat(q[33-k:32], q[1:32-k]) AS q FROM w, k WHERE source_index = 0),
+z AS (SELECT a.vec_id AS l, b.vec_id AS r, list_sum(list_transform(list_zip(a.i, b.i), lambda x: x[1]::double * x[2])) + list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1]::double * x[2])) AS re,
+  list_sum(list_transform(list_zip(a.i, b.q), lambda x: x[1]::double * x[2])) - list_sum(list_transform(list_zip(a.q, b.i), lambda x: x[1]::double * x[2])) AS im, a.nn * b.nn AS norm
+  FROM w a JOIN rolled b ON a.modulation = b.modulation AND a.snr_db = b.snr_db AND a.vec_id <> b.vec_id)
+SELECT l AS "left", r AS "right", round(least(max(sqrt(re * re + im * im) / norm), 1), 9) AS score FROM z GROUP BY ALL""", "iq")
 def correlation_fft(spark, sf_dir):
     s = V.iq_samples(spark, sf_dir)
     a = s.select(F.col("vec_id").alias("left"), F.col("modulation").alias("m"), F.col("snr_db").alias("s"), F.col("i").alias("ai"), F.col("q").alias("aq"))
     b = s.select(F.col("vec_id").alias("right"), F.col("modulation").alias("m"), F.col("snr_db").alias("s"), F.col("i").alias("bi"), F.col("q").alias("bq"), F.col("source_index").alias("k"))
     # each sample against the first of its cell, so the number of pairs is that of the samples
-    return dedup.correlate(a.join(b.where("k = 0").drop("k"), ["m", "s"]).where("left <> right").drop("m", "s"))
+    return dedup.correlate(a.join(b.where("k = 0").drop("k"), ["m", "s"]).where("left <> right").drop("m", "s")).withColumn("score", F.round("score", 9))
 
 
 @query("""WITH j AS (SELECT unnest(range(16))::int AS j), d AS (SELECT vec_id, j, sha256('pos' || vec_id || ':' || (j // 8)) AS h, (j % 8) * 8 AS o FROM embeddings, j),

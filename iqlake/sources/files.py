@@ -1,10 +1,10 @@
-"""File listings, archive inventories and manifests. Ids S02-S04, S11, S26, S28, K11, H07 of the survey."""
+"""File listings, archive inventories and manifests. Ids S02-S04, S11, S26, S28, K11, H07, H08, G15, J06 of the survey."""
 
 from __future__ import annotations
 
 import io
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,3 +40,52 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     members = files.mapInPandas(run, "path string, member string, size long, kind string")
     return members.withColumn("safe", ~F.col("member").rlike(UNSAFE) & F.col("kind").isin("file", "dir"))
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, sha256, members, bytes, safe): one row per archive. S04."""
+    members = archive_members(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"), F.bool_and("safe").alias("safe"))
+    return listing(spark, path).select("path", "size", "sha256").join(members, "path")
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change) of files whose size or time differ between two listings, or that only one of them has. S11."""
+    b = before.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"))
+    change = F.when(F.col("size").isNull(), "gone").when(F.col("_size").isNull(), "new").when((F.col("size") != F.col("_size")) | (F.col("modified") != F.col("_modified")), "changed")
+    return after.select("path", "size", "modified").join(b, "path", "full_outer").select("path", change.alias("change")).where("change is not null")
+
+
+def cached_digests(spark: SparkSession, path: str, known: DataFrame | None = None, glob: str = "*") -> DataFrame:
+    """``listing`` that takes digests of files with the same path, size and time from ``known`` and reads only the others. H08."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    now = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if known is None:
+        return listing(spark, path, glob)
+    key = ["path", "size", "modified"]
+    kept = now.join(known.select(*key, "sha256"), key)
+    fresh = [r.path for r in now.join(known, key, "left_anti").select("path").collect()]
+    if not fresh:
+        return kept
+    read = spark.read.format("binaryFile").load(fresh)
+    return kept.unionByName(read.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256")))
+
+
+def freeze_rows(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, size, sha256, issues) of the artifacts to freeze: a path below ``path`` that names the test split, or JSON that
+    doesn't say ``"test_accessed": false``, is an issue. Paths are unique, as a listing has each file once. G15."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    is_json = F.col("path").endswith(".json")
+    opened = is_json & (F.coalesce(F.get_json_object(F.col("content").cast("string"), "$.test_accessed"), F.lit("none")) != "false")
+    root = path.rstrip("/").rsplit(":", 1)[-1].lstrip("/")
+    below = F.lower(F.expr(f"substr(path, locate('{root}', path) + {len(root)})"))
+    found = F.array(F.when(below.rlike(r"(^|[/_.-])test([/_.-]|$)"), F.lit("test_path")), F.when(opened, F.lit("test_accessed")))
+    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.filter(found, lambda x: x.isNotNull()).alias("issues"))
+
+
+def artifacts(runs: DataFrame, listed: DataFrame, names: Sequence[str] = ("config.yml", "metrics.json", "best.pt")) -> DataFrame:
+    """(run_id, one column per name) for each run: the path of its file of that name, in the folder called like the run. A file
+    that is missing, or found twice, gives null. J06."""
+    parts = F.split("path", "/")
+    files = listed.select(F.try_element_at(parts, F.lit(-2)).alias("run_id"), F.element_at(parts, -1).alias("name"), "path").where(F.col("name").isin(*names))
+    one = lambda n: F.when(F.count_if(F.col("name") == n) == 1, F.max(F.when(F.col("name") == n, F.col("path")))).alias(n)
+    return runs.select("run_id").distinct().join(files.groupBy("run_id").agg(*map(one, names)), "run_id", "left")

@@ -1,4 +1,4 @@
-"""Scans with the reference's access rules. Ids S12-S17, S21-S25, S27-S31, S33, F02, F07, Z07 of the survey."""
+"""Scans with the reference's access rules. Ids S12-S17, S21-S31, S33, S34, F02, F07 of the survey."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import numbered
+
 OPEN_SPLITS = ("train", "validation")
 
 
@@ -31,6 +33,16 @@ def gather(rows: DataFrame, key: str, wanted: Sequence[int]) -> DataFrame:
     return rows.join(F.broadcast(dim), key)
 
 
+def mini_batches(rows: DataFrame, key: str, batch: int, seed: int) -> DataFrame:
+    """``rows`` with batch and position: all rows in the order of a keyed digest, cut into batches; the last one may be short. The
+    same rows give the same batches, however they are partitioned. S34."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    dealt = rows.withColumn("_d", digest).withColumn("_all", F.lit(1))
+    digits = F.conv(F.substring("_d", 1, 12), 16, 10).cast("double")
+    out = numbered(dealt, ["_all"], ["_d", key], digits, "_k")
+    return out.select(*rows.columns, F.floor(F.col("_k") / batch).alias("batch"), (F.col("_k") % batch).cast("int").alias("position"))
+
+
 def json_objects(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON files, one object each; what doesn't fit the schema raises. S21, S22."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -49,7 +61,7 @@ def framed_log(spark: SparkSession, path: str) -> DataFrame:
     """Records ended by 0x1E with six fields divided by 0x1F. S29."""
     parts = F.split("value", "\x1f")
     rows = spark.read.option("lineSep", "\x1e").text(path).where(F.length(F.trim("value")) > 0)
-    names = ("commit", "author", "email", "date", "subject", "body")
+    names = ("commit", "author_name", "author_email", "committer_name", "committer_email", "authored_at")
     return rows.select(*(F.try_element_at(parts, F.lit(i + 1)).alias(n) for i, n in enumerate(names)), (F.size(parts) == 6).alias("whole"))
 
 

@@ -29,11 +29,28 @@ def epochs_in_windows(events: DataFrame, length: str = "1 day", late: str = "2 d
     return w.agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score")).select(F.col("window.start").alias("start"), "model", "n", "score")
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process what is there now and return the result as a table. Z03's single refresh."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def progress_events(runs: DataFrame) -> DataFrame:
+    """(value): one JSON event per finished epoch of (model, seed_idx, epoch, score), the input of Z01. Z08."""
+    return runs.select(F.to_json(F.struct(F.lit("epoch_complete").alias("event"), F.concat_ws("-", "model", F.col("seed_idx").cast("string")).alias("run"), "epoch", "score")).alias("value"))
+
+
+def run_to_end(stream: DataFrame, folder: str, mode: str = "complete", seen: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Process what is there now and return the result, which each batch writes anew below ``folder``. Z03's single refresh.
+
+    ``seen`` is called with each batch's table, before it is replaced. Z04's observer.
+    """
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch-{batch}")
+        last.append(batch)
+        if seen:
+            seen(stream.sparkSession.read.parquet(f"{folder}/batch-{batch}"), batch)
+
+    last: list[int] = []
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.parquet(f"{folder}/batch-{last[-1]}")
 
 
 def refresh(stream: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds") -> StreamingQuery:

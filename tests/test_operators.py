@@ -1,7 +1,11 @@
 """Hand-computed expectations, golden vectors, order independence and negative cases."""
 
+import collections
+import glob
 import hashlib
+import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -11,7 +15,7 @@ from iqlake.functions import arrays as A
 from iqlake.functions import identity as I
 from iqlake.functions import text as T
 from iqlake.operators import audit, calibration, decisions, dedup, interventions, metrics, ordered, progress, quality, resample, split
-from iqlake.sources import files, scans, sinks
+from iqlake.sources import files, scans, sinks, specs
 
 
 def one(df):
@@ -205,12 +209,58 @@ def test_best_run_breaks_ties_by_loss_then_id(spark):
     assert x.orderBy(F.desc("f1"), "loss", "run_id").first().run_id == "b"
 
 
+FOUND = {
+    "cjk": ["中", "かな", "カナ", "한글"], "email": ["me@x.example", "ME@X.EXAMPLE", "(a.b+c@d-e.example)"], "home_path": ["/home/me", "/Users/me/x", r"c:\users\me", "D:/Documents and Settings/me"],
+    "private_key": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----"],
+    "token": ["AKIA" + "A1" * 8, "ghp_" + "a" * 20, "ghr_" + "_" * 20, "github_pat_" + "a" * 20, "sk-" + "a-_" * 7],
+}
+
+
 def test_text_issues_and_lines(spark):
+    clean = ["é ü", "me@x", "a@b.c", "@x.example", "/homes/me", "/home/", "-----BEGIN DSA PRIVATE KEY-----", "AKIA" + "a" * 16, "ghx_" + "a" * 20, "ghp_" + "a" * 19, "sk-" + "a" * 19, None]
+    texts = [(t, n) for n, ts in FOUND.items() for t in ts] + [(t, None) for t in clean]
+    for r in spark.createDataFrame(texts, "t string, n string").select("t", "n", T.issues(F.col("t")).alias("i")).collect():
+        assert r.i == ([r.n] if r.n else []), r.t
     x = spark.createDataFrame([("a\nb c@d.example 中 /home/me",)], "t string")
     got = one(x.select(T.issues(F.col("t")).alias("i"), T.line_of(F.col("t"), F.lit("c@")).alias("l"), T.line_of(F.col("t"), F.lit("zz")).alias("n")))
     assert sorted(got.i) == ["cjk", "email", "home_path"] and got.l == 2 and got.n is None
 
 
+def test_file_issues(spark):
+    cases = [
+        ("src/a.py", b"fine", []), ("x/.ENV", b"", ["name"]), ("a/b.PT", b"x", ["ending"]), ("Runs/b.txt", b"x", ["folder"]), ("a.txt", b"x" * (1 << 20), []), ("a.txt", b"x" * ((1 << 20) + 1), ["size"]),
+        ("a.bin", b"\0me@x.example", ["binary"]), ("a.txt", b"\xff me@x.example", ["not_utf8"]), ("a.txt", b"me@x.example", ["email"]), ("my.npy/key.txt", b"", []), ("a.tar.pem", b"", ["ending"]), (".key", b"", []),
+    ]
+    got = spark.createDataFrame([(i, p, bytearray(c)) for i, (p, c, _) in enumerate(cases)], "i int, p string, c binary").select("i", T.file_issues(F.col("p"), F.col("c")).alias("f"))
+    for r in got.collect():
+        assert r.f == cases[r.i][2], cases[r.i][0]
+
+
+def test_float_digests_are_those_of_the_bytes(spark, sf_dir):
+    from iqlake import plans
+    from iqlake.plans import views
+
+    want = {r.vec_id: hashlib.sha256(np.array([*r.i, *r.q], "<f4").tobytes()).hexdigest() for r in views.iq_samples(spark, sf_dir).collect()}
+    assert {r.vec_id: r.digest for r in plans.QUERIES["float_bytes_digest"](spark, sf_dir).collect()} == want
+    odd = spark.createDataFrame([(1, [0.0], [1.0, 2.0]), (2, [-0.0], [1.0, 2.0]), (3, [], []), (4, None, [3.0])], "k int, a array<float>, b array<float>")
+    got = {r.k: r.d for r in odd.select("k", dedup.float_digest("a", "b").alias("d")).collect()}
+    assert got == {k: hashlib.sha256(np.array(v, "<f4").tobytes()).hexdigest() for k, v in {1: [0.0, 1, 2], 2: [-0.0, 1, 2], 3: [], 4: [3.0]}.items()}
+    leak = one(plans.QUERIES["float_duplicate_audit"](spark, sf_dir))
+    n = collections.Counter(want.values())
+    assert leak.rows == sum(m for m in n.values() if m > 1)
+
+
+def test_bindings_are_verified(spark, sf_dir):
+    from iqlake import plans
+
+    want = {os.path.basename(p): "size" if p.endswith("nation.parquet") else "ok" for p in glob.glob(f"{sf_dir}/*.parquet")}
+    assert {os.path.basename(r.path): r.status for r in plans.QUERIES["binding_verify"](spark, sf_dir).collect()} == want
+    cols = "path string, size long, sha256 string"
+    files_ = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x")], cols)
+    manifest = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("d", 1, "x")], cols)
+    assert {r.path: r.status for r in audit.bound(files_, manifest).collect()} == {"a": "ok", "b": "digest", "c": "unlisted", "d": "missing"}
+
+
 def test_checks_name_what_fails(spark):
     checks = audit.check_table(spark.range(3), {"small": F.col("id") < 2, "known": F.col("id").isNotNull()})
     assert {(r.id, r.passed) for r in checks.collect()} == {("small", False), ("known", True)}
@@ -252,6 +302,82 @@ def test_text_sources(spark, tmp_path):
         scans.json_objects(spark, f"{tmp_path}/o.json", "a int").collect()
 
 
+def test_reports_are_published_whole_or_not_at_all(spark, tmp_path):
+    path = f"file://{tmp_path}/report"
+    with pytest.raises(RuntimeError), sinks.staged(spark, path) as stage:
+        sinks.publish(spark.range(3), f"{stage}/a")
+        raise RuntimeError
+    assert os.listdir(tmp_path) == []
+    with sinks.staged(spark, path) as stage:
+        sinks.publish(spark.range(3), f"{stage}/a")
+        with pytest.raises(FileExistsError), sinks.writer_lock(spark, path):
+            pass
+    assert os.listdir(tmp_path) == ["report"] and spark.read.parquet(f"{path}/a").count() == 3
+    with pytest.raises(FileExistsError), sinks.staged(spark, path):
+        pass
+    assert os.listdir(tmp_path) == ["report"]
+
+
+def test_markers_and_bindings(spark, tmp_path):
+    sinks.create_once(spark, f"file://{tmp_path}/opened", "by me")
+    with pytest.raises(FileExistsError):
+        sinks.create_once(spark, f"file://{tmp_path}/opened")
+    assert sinks.small_text(spark, f"file://{tmp_path}/opened") == "by me" and sinks.small_text(spark, f"file://{tmp_path}/none") is None
+    folder = f"file://{tmp_path}/run"
+    assert [sinks.bound_folder(spark, folder, {"seed": 13, "data": "x"}) for _ in range(2)] == [False, True]
+    with pytest.raises(ValueError):
+        sinks.bound_folder(spark, folder, {"seed": 13, "data": "y"})
+
+
+def test_markdown(spark):
+    rows = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, v string").orderBy("k")
+    assert sinks.markdown(rows) == "| k | v |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |\n"
+    with pytest.raises(ValueError):
+        sinks.markdown(rows, 1)
+
+
+def test_specs(spark, tmp_path):
+    spec = {"schema_version": 1, "modulations": ["a", "b"], "snrs": [0, 2, 4], "samples": {"shape": [2, 8], "dtype": "float32", "per_cell": 5, "total": 30}}
+    (tmp_path / "s.yml").write_text(json.dumps(spec))
+    assert specs.check_spec(specs.load_spec(spark, f"file://{tmp_path}/s.yml")) == spec
+    for bad in ({"schema_version": 2}, {"schema_version": True}, {"x": "y" * (64 << 10)}):
+        (tmp_path / "b.json").write_text(json.dumps(spec | bad))
+        with pytest.raises(ValueError):
+            specs.load_spec(spark, f"file://{tmp_path}/b.json")
+    for bad in ({"modulations": ["a", "a"]}, {"snrs": [0, True, 4]}, {"samples": spec["samples"] | {"total": 29}}, {"samples": spec["samples"] | {"dtype": "float64"}}):
+        with pytest.raises(ValueError):
+            specs.check_spec(spec | bad)
+
+
+def test_files_are_followed(spark, tmp_path):
+    for run, name, text in (("r1", "metrics.json", '{"test_accessed": false}'), ("r1", "config.yml", "x"), ("r2", "metrics.json", "{}"), ("r3/r2", "metrics.json", '{"test_accessed": true}'), ("test", "notes.txt", "x")):
+        (tmp_path / run).mkdir(parents=True, exist_ok=True)
+        (tmp_path / run / name).write_text(text)
+    listed = files.listing(spark, str(tmp_path))
+    before = spark.createDataFrame(listed.collect(), listed.schema)
+    found = {r.run_id: (r["config.yml"], r["metrics.json"]) for r in files.artifacts(spark.createDataFrame([("r1",), ("r2",), ("r9",)], "run_id string"), before, ("config.yml", "metrics.json")).collect()}
+    assert [x is not None for x in found["r1"]] == [True, True] and found["r2"] == (None, None) == found["r9"]
+    root = f"file:{tmp_path}/"
+    frozen = {r.path.removeprefix(root): r.issues for r in files.freeze_rows(spark, str(tmp_path)).collect()}
+    assert frozen["r1/metrics.json"] == [] and frozen["r2/metrics.json"] == ["test_accessed"] == frozen["r3/r2/metrics.json"] and "test_path" in frozen["test/notes.txt"]
+    (tmp_path / "r1" / "config.yml").write_text("changed")
+    (tmp_path / "new").write_text("x")
+    assert {r.path.removeprefix(root): r.change for r in files.changed(before, files.listing(spark, str(tmp_path))).collect()} == {"r1/config.yml": "changed", "new": "new"}
+    forged = before.withColumn("sha256", F.lit("kept"))
+    digests = {r.path.removeprefix(root): r.sha256 for r in files.cached_digests(spark, str(tmp_path), forged).collect()}
+    assert len(digests) == 6 and {p for p, d in digests.items() if d != "kept"} == {"r1/config.yml", "new"}
+    assert digests["new"] == hashlib.sha256(b"x").hexdigest()
+
+
+def test_a_stream_tells_of_its_batches(spark, sf_dir):
+    from iqlake.streaming import progress as S
+
+    seen = []
+    e = S.event_stream(spark, sf_dir, "events.parquet").select("ts", "event_id", F.col("event_type").alias("model"), F.lit(1).alias("seed_idx"), F.lit(2).alias("epoch"))
+    got = S.run_to_end(S.latest_epochs(e), sinks.scratch(spark, "observed"), seen=lambda rows, batch: seen.append((batch, rows.count())))
+    assert seen == [(0, got.count())] and got.count() > 0
+
+
 def test_archive_members(spark, tmp_path):
     import io
     import tarfile
@@ -269,7 +395,7 @@ def test_streamed_windows(spark, sf_dir):
     from iqlake.streaming import progress as S
 
     e = S.event_stream(spark, sf_dir, "events.parquet").select("ts", F.col("event_type").alias("model"), F.col("value").alias("score"))
-    got = S.run_to_end(S.epochs_in_windows(e), "windows", sinks.scratch(spark, "windows"))
+    got = S.run_to_end(S.epochs_in_windows(e), sinks.scratch(spark, "windows"))
     assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
 
 
