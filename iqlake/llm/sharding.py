@@ -25,13 +25,16 @@ def _assigned(rows: DataFrame, limit: int) -> DataFrame:
     deepest = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SLACK_BITS)
     rows = rows.withColumn("leaf", F.shiftright("hash", HASH_BITS - deepest))
 
-    leaves = rows.groupBy("leaf").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+    leaves = stored(rows.groupBy("leaf").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")), "leaves")
     levels = leaves.select("leaf", "b", "n", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("depth"))
     prefix = F.expr(f"shiftright(leaf, {deepest} - depth)")
     sizes = levels.groupBy("depth", prefix.alias("prefix")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
-    fits = sizes.where((F.col("b") <= limit) | (F.col("depth") == deepest))
+    fits = stored(sizes.where((F.col("b") <= limit) | (F.col("depth") == deepest)), "fits")
+    # no bucket above this depth fits: without those levels, few leaves share a bucket that is looked up
+    least = fits.agg(F.min("depth")).first()[0] or 0
     directory = (
-        levels.select("leaf", "depth", prefix.alias("prefix"))
+        levels.where(F.col("depth") >= least)
+        .select("leaf", "depth", prefix.alias("prefix"))
         .join(fits, ["depth", "prefix"])
         .groupBy("leaf")
         .agg(F.min(F.struct("depth", "prefix", "b", "n")).alias("d"))
