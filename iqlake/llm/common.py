@@ -21,8 +21,26 @@ _SEED, WORD_BASE, SEQ_BASE = 20240607, U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB866
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used yet."""
-    return scratch(spark, name)
+    """A path below the shared folder that nothing has used yet; ``drop_since`` knows of it."""
+    path = scratch(spark, name)
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """How many paths this process has made so far, for ``drop_since``."""
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Delete what operators wrote to the shared folder since ``mark``, which their results read from: once these have been
+    written elsewhere, or aren't wanted any more, nothing else needs it."""
+    for path in _MADE[mark:]:
+        drop_path(spark, path)
+    del _MADE[mark:]
 
 
 def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
