@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iqlake.llm import decontamination, jaccard, packing, substrings, toxicity
-from iqlake.llm.common import drop_path, new_path, stored
+from iqlake.llm.common import drop_path, drop_since, made, new_path, stored
 from iqlake.llm.queries import read, tokenizer_file
 
 
@@ -78,12 +78,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's result is written and read again as the next one's input, and
-    dropped once that one's is written."""
+    """All stages over the documents of ``sf_dir``; each stage's result is written and read again as the next one's input. Once
+    it is written, what its operator wrote on the way is dropped, and so is the stage before."""
     docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        folder = new_path(spark, f"stage-{name}")
+        folder, mark = new_path(spark, f"stage-{name}"), made()
         docs = stored(stage(spark, docs, sf_dir), name, folder)
+        drop_since(spark, mark)
         if last:
             drop_path(spark, last)
         last = folder
