@@ -20,10 +20,15 @@ def probabilities(rows: DataFrame, logits: str = "l") -> DataFrame:
 def ece(rows: DataFrame, bins: int = BINS, closed_left: bool = True) -> DataFrame:
     """One row: expected calibration error over equal bins. [lo, hi) with the last one closed (A29), or (lo, hi], which has no
     place for a confidence of 0 (A30)."""
-    edges = rows.sparkSession.range(bins).select(F.col("id").alias("bin"), (F.col("id") / bins).alias("lo"), ((F.col("id") + 1) / bins).alias("hi"))
-    c = F.col("confidence")
-    inside = ((c >= F.col("lo")) & ((c < F.col("hi")) | ((F.col("bin") == bins - 1) & (c <= F.col("hi"))))) if closed_left else ((c > F.col("lo")) & (c <= F.col("hi")))
-    per_bin = rows.select("confidence", "hit").join(F.broadcast(edges), inside).groupBy("bin").agg(F.count(F.lit(1)).alias("k"), F.avg("hit").alias("acc"), F.avg("confidence").alias("conf"))
+    c, edge = F.col("confidence"), lambda k: k / F.lit(bins)
+    if closed_left:
+        near = F.floor(c * bins)
+        k = F.least(F.when(c < edge(near), near - 1).when(c >= edge(near + 1), near + 1).otherwise(near), F.when(c <= 1, F.lit(bins - 1)))
+    else:
+        near = F.ceil(c * bins) - 1
+        k = F.when(c <= edge(near), near - 1).when(c > edge(near + 1), near + 1).otherwise(near)
+    binned = rows.select("confidence", "hit", k.alias("bin")).where(F.col("bin").between(0, bins - 1))
+    per_bin = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("k"), F.avg("hit").alias("acc"), F.avg("confidence").alias("conf"))
     total = rows.agg(F.count(F.lit(1)).alias("n"))
     gaps = per_bin.agg(F.sum(F.col("k") * F.abs(F.col("acc") - F.col("conf"))).alias("g"), F.sum("k").alias("binned"))
     return gaps.crossJoin(F.broadcast(total)).select(F.round(F.col("g") / F.col("n"), 9).alias("ece"), "binned", "n")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import numbered
+from .ordered import before, numbered
 
 #: Splits in order, with their weights.
 WEIGHTS = (("train", 7), ("validation", 1), ("test", 2))
@@ -52,14 +52,15 @@ def partition_check(assigned: DataFrame, universe: DataFrame, key: str) -> DataF
 
 
 def strictly_ordered(rows: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
-    """(by..., ordered): every value above its predecessor in ``order``. W09."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
-    return rows.withColumn("_p", before).groupBy(*by).agg(F.coalesce(F.bool_and(F.col(value) > F.col("_p")), F.lit(True)).alias("ordered"))
+    """(by..., ordered): every value above all before it, ``order`` being a number. W09."""
+    seen = before(rows, by, [order], F.col(order), {"_p": ("max", F.col(value))})
+    return seen.groupBy(*by).agg(F.coalesce(F.bool_and(F.col(value) > F.col("_p")), F.lit(True)).alias("ordered"))
 
 
 def hash_half(rows: DataFrame, by: Sequence[str], key: str, seed: int) -> DataFrame:
     """Half of each group's rows, without replacement, by the order of a keyed digest. T07."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_k", F.row_number().over(w.orderBy(digest, key))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where("_k <= _n div 2").drop("_k", "_n")
+    digits = F.conv(F.substring("_d", 1, 12), 16, 10).cast("double")
+    ranked = numbered(rows.withColumn("_d", digest), by, ["_d", key], digits, "_k")
+    sizes = rows.groupBy(F.struct(*by).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.join(sizes, F.struct(*by) == F.col("_g")).where("_k < _n div 2").select(*rows.columns)

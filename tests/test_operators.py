@@ -500,3 +500,19 @@ def test_alignment_counts(spark):
     rows = spark.createDataFrame([("m", 1, 5), ("m", 2, None), ("m", 3, 0), ("m", 9, 1), ("n", 1, 5), ("n", 1, 5)], "g string, k int, v int")
     got = {r.g: tuple(r)[1:] for r in metrics.alignment(rows, "k", ["v"], ["g"], base).collect()}
     assert got == {"m": (2, 1, 1, 1), "n": (2, 3, 0, 0)}
+
+
+@pytest.mark.parametrize("closed_left", [True, False])
+def test_bins_end_where_the_edges_are(spark, closed_left):
+    edges = [k / 15 for k in range(16)]
+    x = sorted({v for e in edges for v in (e, np.nextafter(e, 0), np.nextafter(e, 1))} | {0.5, 0.999})
+    rows = spark.createDataFrame([(float(v), i % 2) for i, v in enumerate(x)], "confidence double, hit int")
+    at = {}
+    for i, v in enumerate(x):
+        for k in range(15):
+            lo, hi = edges[k], edges[k + 1]
+            if (lo <= v < hi or (k == 14 and v == hi)) if closed_left else lo < v <= hi:
+                at.setdefault(k, []).append((v, i % 2))
+    want = sum(len(b) * abs(np.mean([h for _, h in b]) - np.mean([v for v, _ in b])) for b in at.values()) / len(x)
+    got = one(calibration.ece(rows, closed_left=closed_left))
+    assert (got.binned, got.n) == (sum(map(len, at.values())), len(x)) and math.isclose(got.ece, want, abs_tol=1e-8)
