@@ -73,6 +73,15 @@ def test_jaccard(docs, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(corpus())
 
 
+def test_very_long_words(spark):
+    long = "x" * 1_500_000
+    rows = [(1, long), (2, f"a b {long} c d"), (3, f"a b {long} c D"), (4, long + "y"), (5, "é" * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == brute.jaccard(rows)
+    got = substrings.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("h")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.h) for r in got} == brute.substrings(rows)
+
+
 def test_jaccard_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert jaccard.join(spark.createDataFrame([], schema)).count() == 0
