@@ -24,13 +24,15 @@ def confusion_pivot(spark, sf_dir):
     return M.confusion_pivot(V.replays(spark, sf_dir), ["model"], list(range(V.CLASSES)))
 
 
-@query(f"WITH {F1} SELECT model, seed, round(avg(CASE WHEN a + b > 0 THEN 2.0::double * tp / (a + b) ELSE 0 END), 9) AS macro_f1 FROM f GROUP BY ALL", "r")
+@query(f"""WITH {F1} SELECT model, seed, round(avg(CASE WHEN a + b > 0 THEN 2.0::double * tp / (a + b) ELSE 0 END), 9) AS macro_f1 FROM f
+  GROUP BY ALL""", "r")
 def macro_f1_fixed_classes(spark, sf_dir):
     return M.macro_f1(V.replays(spark, sf_dir), ["model", "seed"], V.class_dim(spark))
 
 
 @query("""WITH k AS (SELECT model, seed, snr_db, target AS cls FROM r UNION SELECT model, seed, snr_db, pred FROM r),
-g AS (SELECT k.*, count(*) FILTER (target = cls AND pred = cls) AS tp, count(*) FILTER (target = cls) AS a, count(*) FILTER (pred = cls) AS b FROM k JOIN r USING (model, seed, snr_db) GROUP BY ALL)
+g AS (SELECT k.*, count(*) FILTER (target = cls AND pred = cls) AS tp, count(*) FILTER (target = cls) AS a,
+  count(*) FILTER (pred = cls) AS b FROM k JOIN r USING (model, seed, snr_db) GROUP BY ALL)
 SELECT model, seed, snr_db, round(avg(2.0::double * tp / (a + b)), 9) AS macro_f1 FROM g GROUP BY ALL""", "r")
 def macro_f1_observed_labels(spark, sf_dir):
     return M.macro_f1(V.replays(spark, sf_dir), ["model", "seed", "snr_db"])
@@ -54,7 +56,8 @@ def low_snr_pooled(spark, sf_dir):
     return M.accuracy(rows, ["model", "seed"], "low_accuracy")
 
 
-@query(f"SELECT model, seed, round(avg(a), 9) AS mean FROM (SELECT model, seed, snr_db, avg(ok) AS a FROM c WHERE snr_db IN ({_LOW}) GROUP BY ALL) GROUP BY ALL", "c")
+@query(f"""SELECT model, seed, round(avg(a), 9) AS mean FROM (SELECT model, seed, snr_db, avg(ok) AS a FROM c WHERE snr_db IN ({_LOW})
+  GROUP BY ALL) GROUP BY ALL""", "c")
 def low_snr_mean_of_means(spark, sf_dir):
     rows = V.checked(spark, sf_dir).where(F.col("snr_db").isin(*V.LOW_SNR))
     return M.mean_of_means(rows, ["model", "seed"], "snr_db")
@@ -69,17 +72,21 @@ def accuracy_grouping_sets(spark, sf_dir):
 @query(f"""WITH {F1}, m AS (SELECT model, seed, round(avg(CASE WHEN a + b > 0 THEN 2.0::double * tp / (a + b) ELSE 0 END), 9) AS macro_f1 FROM f GROUP BY ALL),
 s AS (SELECT model, seed, snr_db, avg(ok) AS a FROM c GROUP BY ALL),
 t AS (SELECT model, seed, string_agg(printf('%+d=%.4f', snr_db, round(a, 4)), ';' ORDER BY snr_db) AS per_snr FROM s GROUP BY ALL)
-SELECT model, seed, round(avg(ok), 9) AS accuracy, macro_f1, count(*) AS n, per_snr FROM c JOIN m USING (model, seed) JOIN t USING (model, seed) GROUP BY ALL""", "c")
+SELECT model, seed, round(avg(ok), 9) AS accuracy, macro_f1, count(*) AS n, per_snr FROM c JOIN m USING (model, seed) JOIN t USING (model,
+  seed) GROUP BY ALL""", "c")
 def classification_metrics(spark, sf_dir):
     return M.metrics(V.checked(spark, sf_dir), ["model", "seed"], V.class_dim(spark))
 
 
 @query("""WITH b AS (SELECT vec_id, target, snr_db FROM r WHERE model = 'm1' AND seed = 13),
-x AS (SELECT model, seed, vec_id, CASE WHEN vec_id % 97 = 5 AND model = 'm2' THEN target + 1 ELSE target END AS target, snr_db FROM r WHERE NOT (model = 'm3' AND vec_id % 50 = 3)),
+x AS (SELECT model, seed, vec_id, CASE WHEN vec_id % 97 = 5 AND model = 'm2' THEN target + 1 ELSE target END AS target, snr_db FROM r
+  WHERE NOT (model = 'm3' AND vec_id % 50 = 3)),
 g AS (SELECT DISTINCT model, seed FROM x), w AS (SELECT * FROM g, b),
-j AS (SELECT coalesce(x.model, w.model) AS model, coalesce(x.seed, w.seed) AS seed, x.vec_id AS xv, w.vec_id AS wv, x.target IS NOT DISTINCT FROM w.target AND x.snr_db IS NOT DISTINCT FROM w.snr_db AS same
+j AS (SELECT coalesce(x.model, w.model) AS model, coalesce(x.seed, w.seed) AS seed, x.vec_id AS xv, w.vec_id AS wv, x.target IS NOT DISTINCT
+  FROM w.target AND x.snr_db IS NOT DISTINCT FROM w.snr_db AS same
   FROM x FULL JOIN w ON x.model = w.model AND x.seed = w.seed AND x.vec_id = w.vec_id)
-SELECT model, seed, count(*) FILTER (xv IS NOT NULL AND wv IS NOT NULL AND same) AS matched, count(*) FILTER (xv IS NULL) AS missing, count(*) FILTER (wv IS NULL) AS extra,
+SELECT model, seed, count(*) FILTER (xv IS NOT NULL AND wv IS NOT NULL AND same) AS matched, count(*) FILTER (xv IS NULL) AS missing,
+  count(*) FILTER (wv IS NULL) AS extra,
   count(*) FILTER (xv IS NOT NULL AND wv IS NOT NULL AND NOT same) AS differing FROM j GROUP BY ALL""", "r")
 def replay_alignment_check(spark, sf_dir):
     r = V.replays(spark, sf_dir)
@@ -96,7 +103,8 @@ def replay_wide_join(spark, sf_dir):
 @query(f"""WITH a AS (SELECT model, seed, avg(ok) AS acc, avg(ok) FILTER (snr_db IN ({_LOW})) AS low FROM c GROUP BY ALL), {F1},
 m AS (SELECT model, seed, avg(CASE WHEN a + b > 0 THEN 2.0::double * tp / (a + b) ELSE 0 END) AS f1 FROM f GROUP BY ALL),
 z AS (SELECT model, seed, acc, low, round(f1, 9) AS f1 FROM a JOIN m USING (model, seed)),
-d AS (SELECT x.seed, x.acc - y.acc AS acc, x.low - y.low AS low, x.f1 - y.f1 AS f1 FROM z x JOIN z y ON x.seed = y.seed AND x.model = 'm3' AND y.model = 'm1'),
+d AS (SELECT x.seed, x.acc - y.acc AS acc, x.low - y.low AS low, x.f1 - y.f1 AS f1 FROM z x JOIN z y ON x.seed = y.seed AND x.model = 'm3'
+  AND y.model = 'm1'),
 u AS (SELECT seed, 'accuracy' AS metric, acc AS diff FROM d UNION ALL SELECT seed, 'low_snr', low FROM d UNION ALL SELECT seed, 'macro_f1', f1 FROM d)
 SELECT metric, round(avg(diff), 9) AS mean_diff, count(*) FILTER (diff > 0) AS positive_seeds, count(*) AS n FROM u GROUP BY ALL""", "c")
 def paired_seed_differences(spark, sf_dir):
@@ -109,7 +117,8 @@ def paired_seed_differences(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT model, seed, snr_db, avg(ok) AS acc FROM c GROUP BY ALL), d AS (SELECT x.seed, x.snr_db, round(x.acc - y.acc, 9) AS diff FROM a x JOIN a y ON x.seed = y.seed AND x.snr_db = y.snr_db AND x.model = 'm3' AND y.model = 'm2')
-SELECT snr_db, round(avg(diff), 9) AS mean_diff, round(stddev_samp(diff), 9) AS std_diff, count(*) FILTER (diff > 0) AS positive_seeds FROM d GROUP BY ALL""", "c")
+SELECT snr_db, round(avg(diff), 9) AS mean_diff, round(stddev_samp(diff), 9) AS std_diff, count(*) FILTER (diff > 0) AS positive_seeds
+  FROM d GROUP BY ALL""", "c")
 def paired_snr_differences(spark, sf_dir):
     rows = V.checked(spark, sf_dir).groupBy("model", "seed", "snr_db").agg(F.avg("ok").alias("a"))
     diffs = M.paired(rows, "m3", "m2", ["seed", "snr_db"], "a")
@@ -125,7 +134,8 @@ def observed_paired_difference(spark, sf_dir):
 
 
 @query(f"""WITH a AS (SELECT model, seed, avg(ok) AS acc, avg(ok) FILTER (snr_db IN ({_LOW})) AS low FROM c GROUP BY ALL)
-SELECT model, round(avg(acc), 9) AS mean_accuracy, round(stddev_samp(acc), 9) AS std_accuracy, round(avg(low), 9) AS mean_low, round(stddev_samp(low), 9) AS std_low, count(DISTINCT seed) = 5 AS complete FROM a GROUP BY ALL""", "c")
+SELECT model, round(avg(acc), 9) AS mean_accuracy, round(stddev_samp(acc), 9) AS std_accuracy, round(avg(low), 9) AS mean_low,
+  round(stddev_samp(low), 9) AS std_low, count(DISTINCT seed) = 5 AS complete FROM a GROUP BY ALL""", "c")
 def seed_summary(spark, sf_dir):
     a = V.checked(spark, sf_dir).groupBy("model", "seed").agg(F.avg("ok").alias("acc"), F.avg(F.when(F.col("snr_db").isin(*V.LOW_SNR), F.col("ok"))).alias("low"))
     complete = F.array_sort(F.collect_set("seed")) == F.array(*map(F.lit, sorted(V.SEEDS)))
@@ -133,14 +143,16 @@ def seed_summary(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT model, seed, snr_db, avg(ok) AS x FROM c GROUP BY ALL)
-SELECT model, snr_db, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS std, round(min(x), 9) AS lowest, round(max(x), 9) AS highest, count(*) AS n FROM a GROUP BY ALL""", "c")
+SELECT model, snr_db, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS std, round(min(x), 9) AS lowest, round(max(x), 9) AS highest,
+  count(*) AS n FROM a GROUP BY ALL""", "c")
 def model_snr_summary(spark, sf_dir):
     a = V.checked(spark, sf_dir).groupBy("model", "seed", "snr_db").agg(F.avg("ok").alias("x"))
     return a.groupBy("model", "snr_db").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.stddev_samp("x"), 9).alias("std"), F.round(F.min("x"), 9).alias("lowest"), F.round(F.max("x"), 9).alias("highest"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH a AS (SELECT model, seed_idx, avg(score) AS s, max_by(epoch, (score, event_id)) AS e FROM runs GROUP BY ALL)
-SELECT model, round(avg(s), 6) AS mean_score, round(stddev_samp(s), 6) AS std_score, round(avg(e), 6) AS mean_best_epoch, round(stddev_samp(e), 6) AS std_best_epoch, count(*) AS n FROM a GROUP BY ALL""", "runs")
+SELECT model, round(avg(s), 6) AS mean_score, round(stddev_samp(s), 6) AS std_score, round(avg(e), 6) AS mean_best_epoch,
+  round(stddev_samp(e), 6) AS std_best_epoch, count(*) AS n FROM a GROUP BY ALL""", "runs")
 def model_summary(spark, sf_dir):
     best = F.max_by("epoch", F.struct("score", "event_id"))
     a = V.runs(spark, sf_dir).groupBy("model", "seed_idx").agg(F.avg("score").alias("s"), best.alias("e"))
@@ -148,40 +160,46 @@ def model_summary(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'raw' ELSE 'max_abs' END AS mode, model, seed, target, avg(ok) AS x FROM c GROUP BY ALL)
-SELECT mode, target, grouping(target)::int AS all_classes, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS std, count(*) AS n FROM a GROUP BY GROUPING SETS ((mode), (mode, target))""", "c")
+SELECT mode, target, grouping(target)::int AS all_classes, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS std, count(*) AS n FROM a
+  GROUP BY GROUPING SETS ((mode), (mode, target))""", "c")
 def preprocessing_seed_aggregate(spark, sf_dir):
     mode = F.when(F.col("vec_id") % 2 == 0, "raw").otherwise("max_abs")
     a = V.checked(spark, sf_dir).groupBy(mode.alias("mode"), "model", "seed", "target").agg(F.avg("ok").alias("x"))
     return a.groupingSets([["mode"], ["mode", "target"]], "mode", "target").agg(F.grouping("target").cast("int").alias("all_classes"), F.round(F.avg("x"), 9).alias("mean"), F.round(F.stddev_samp("x"), 9).alias("std"), F.count(F.lit(1)).alias("n"))
 
 
-RUN_SCORES = """a AS (SELECT model, seed, model || '-' || seed AS run_id, round(avg(ok), 6) AS f1, round(avg(CASE WHEN ok = 1 THEN 0.1 ELSE 1.5 END), 6) AS loss FROM c GROUP BY ALL)"""
+RUN_SCORES = """a AS (SELECT model, seed, model || '-' || seed AS run_id, round(avg(ok), 6) AS f1, round(avg(CASE
+  WHEN ok = 1 THEN 0.1 ELSE 1.5 END), 6) AS loss FROM c GROUP BY ALL)"""
 
 
 def _run_scores(spark, sf_dir):
     return V.checked(spark, sf_dir).groupBy("model", "seed").agg(F.round(F.avg("ok"), 6).alias("f1"), F.round(F.avg(F.when(F.col("ok") == 1, 0.1).otherwise(1.5)), 6).alias("loss")).withColumn("run_id", F.concat_ws("-", "model", F.col("seed").cast("string")))
 
 
-@query(f"WITH {RUN_SCORES} SELECT model, run_id, f1, loss FROM a QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, loss, run_id) = 1", "c")
+@query(f"""WITH {RUN_SCORES} SELECT model, run_id, f1, loss FROM a QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, loss,
+  run_id) = 1""", "c")
 def best_run_topk(spark, sf_dir):
     w = Window.partitionBy("model").orderBy(F.desc("f1"), "loss", "run_id")
     return _run_scores(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k = 1").select("model", "run_id", "f1", "loss")
 
 
-@query(f"WITH {RUN_SCORES} SELECT model, round(avg(f1), 6) AS mean_f1, round(avg(loss), 6) AS mean_loss FROM a GROUP BY ALL ORDER BY mean_f1 DESC, mean_loss, model LIMIT 1", "c")
+@query(f"""WITH {RUN_SCORES} SELECT model, round(avg(f1), 6) AS mean_f1, round(avg(loss), 6) AS mean_loss FROM a
+  GROUP BY ALL ORDER BY mean_f1 DESC, mean_loss, model LIMIT 1""", "c")
 def best_family_member(spark, sf_dir):
     s = _run_scores(spark, sf_dir).groupBy("model").agg(F.round(F.avg("f1"), 6).alias("mean_f1"), F.round(F.avg("loss"), 6).alias("mean_loss"))
     return s.orderBy(F.desc("mean_f1"), "mean_loss", "model").limit(1)
 
 
-@query(f"WITH {RUN_SCORES} SELECT model, round(avg(f1), 6) AS mean_f1 FROM a WHERE model <> 'm3' GROUP BY ALL ORDER BY mean_f1 DESC, model LIMIT 1", "c")
+@query(f"""WITH {RUN_SCORES} SELECT model, round(avg(f1), 6) AS mean_f1 FROM a WHERE model <> 'm3' GROUP BY ALL ORDER BY mean_f1 DESC,
+  model LIMIT 1""", "c")
 def strongest_baseline(spark, sf_dir):
     s = _run_scores(spark, sf_dir).where("model <> 'm3'").groupBy("model").agg(F.round(F.avg("f1"), 6).alias("mean_f1"))
     return s.orderBy(F.desc("mean_f1"), "model").limit(1)
 
 
 @query("""WITH a AS (SELECT modulation_id, acc, size, ms FROM (SELECT target AS modulation_id, round(avg(ok), 6) AS acc, count(DISTINCT pred) AS size, sum(abs(pred - target)) AS ms FROM c WHERE model = 'm2' GROUP BY ALL))
-SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.acc >= a.acc AND b.size <= a.size AND b.ms <= a.ms AND (b.acc > a.acc OR b.size < a.size OR b.ms < a.ms))""", "c")
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.acc >= a.acc AND b.size <= a.size AND b.ms <= a.ms
+  AND (b.acc > a.acc OR b.size < a.size OR b.ms < a.ms))""", "c")
 def pareto_front(spark, sf_dir):
     a = V.checked(spark, sf_dir).where("model = 'm2'").groupBy(F.col("target").alias("modulation_id")).agg(F.round(F.avg("ok"), 6).alias("acc"), F.countDistinct("pred").alias("size"), F.sum(F.abs(F.col("pred") - F.col("target"))).alias("ms"))
     b = F.broadcast(a.toDF("_m", "_acc", "_size", "_ms"))  # one row per class
@@ -190,7 +208,8 @@ def pareto_front(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT DISTINCT model, seed FROM r WHERE NOT (model = 'm2' AND seed = 73) UNION ALL SELECT 'm9', 13), e AS (SELECT model, seed FROM models, seeds)
-SELECT coalesce(o.model, e.model) AS model, coalesce(o.seed, e.seed) AS seed, CASE WHEN o.model IS NULL THEN 'missing' WHEN e.model IS NULL THEN 'unexpected' ELSE 'present' END AS status FROM o FULL JOIN e ON o.model = e.model AND o.seed = e.seed""", "r")
+SELECT coalesce(o.model, e.model) AS model, coalesce(o.seed, e.seed) AS seed, CASE WHEN o.model IS NULL THEN 'missing'
+  WHEN e.model IS NULL THEN 'unexpected' ELSE 'present' END AS status FROM o FULL JOIN e ON o.model = e.model AND o.seed = e.seed""", "r")
 def run_matrix_audit(spark, sf_dir):
     from ..operators.audit import key_status
 

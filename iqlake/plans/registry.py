@@ -24,12 +24,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN substr(h, 1, 1) < thr THEN target ELSE (ascii(substr(h, 2, 1)) + target) % 10 END AS pred FROM rep0"""),
     "c": (("r",), "SELECT *, (pred = target)::int AS ok FROM r"),
     "gates": ((), """SELECT vec_id, block, [w[1] / (w[1] + w[2] + w[3]), w[2] / (w[1] + w[2] + w[3]), w[3] / (w[1] + w[2] + w[3])] AS w
-        FROM (SELECT vec_id, block, [abs(embedding[3*block+1]::double) + 0.001, abs(embedding[3*block+2]::double) + 0.001, abs(embedding[3*block+3]::double) + 0.001] AS w
+        FROM (SELECT vec_id, block, [abs(embedding[3*block+1]::double) + 0.001, abs(embedding[3*block+2]::double) + 0.001,
+  abs(embedding[3*block+3]::double) + 0.001] AS w
               FROM embeddings, (SELECT unnest(range(6))::int AS block))"""),
     "logits": ((), "SELECT vec_id, label AS target, ((vec_id % 10) * 2 - 10)::int AS snr_db, list_transform(embedding[1:10], lambda x: x::double) AS l FROM embeddings"),
     "probs": (("logits",), """SELECT vec_id, target, snr_db, l, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (
         SELECT *, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM logits)"""),
-    "runs": ((), """SELECT event_id, ts, event_type AS model, (user_id % 5)::int AS seed_idx, (props->>'k')::int AS epoch, value AS score FROM events"""),
+    "runs": ((), """SELECT event_id, ts, event_type AS model, (user_id % 5)::int AS seed_idx, (props->>'k')::int AS epoch, value AS score
+  FROM events"""),
     "ranked": (("ids",), """SELECT vec_id, sample_id, modulation, snr_db, source_index,
         sha256(unhex(lpad(hex(21), 16, '0')) || encode('demo/split-ranking/v1') || unhex(lpad(hex(4), 16, '0')) || encode('2026')
           || unhex(lpad(hex(strlen(sample_id)), 16, '0')) || encode(sample_id)) AS digest FROM ids"""),

@@ -37,13 +37,15 @@ def gate_entropy(spark, sf_dir):
     return interventions.mechanism(_gates(spark, sf_dir))
 
 
-@query("SELECT block, (b - 1)::int AS branch, round(avg(w[b]), 9) AS mean, count(*) AS n FROM gates, (SELECT unnest([1, 2, 3]) AS b) GROUP BY ALL", "gates")
+@query("""SELECT block, (b - 1)::int AS branch, round(avg(w[b]), 9) AS mean, count(*) AS n FROM gates, (SELECT unnest([1, 2, 3]) AS b)
+  GROUP BY ALL""", "gates")
 def mean_gate(spark, sf_dir):
     return interventions.mean_gate(V.gates(spark, sf_dir)).select("block", "branch", F.round("mean", 9).alias("mean"), "n")
 
 
 @query("""WITH m AS (SELECT block, avg(w[1]) AS a, avg(w[2]) AS b, avg(w[3]) AS c FROM gates GROUP BY ALL)
-SELECT vec_id, round(avg((abs(w[1] - a) + abs(w[2] - b) + abs(w[3] - c)) / 3), 9) AS diff, bool_or(list_position(w, list_max(w)) <> list_position([a, b, c], greatest(a, b, c))) AS flipped FROM gates JOIN m USING (block) GROUP BY ALL""", "gates")
+SELECT vec_id, round(avg((abs(w[1] - a) + abs(w[2] - b) + abs(w[3] - c)) / 3), 9) AS diff, bool_or(list_position(w,
+  list_max(w)) <> list_position([a, b, c], greatest(a, b, c))) AS flipped FROM gates JOIN m USING (block) GROUP BY ALL""", "gates")
 def gate_difference(spark, sf_dir):
     g = V.gates(spark, sf_dir)
     r = interventions.replaced(g, interventions.mean_gate(g)).select("vec_id", "block", F.col("w").alias("m"))
@@ -52,7 +54,8 @@ def gate_difference(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT ((vec_id % 10) * 2 - 10)::int AS snr_db, vec_id % 5 AS fold, block, (b - 1)::int AS branch, w[b] AS x FROM gates, (SELECT unnest([1, 2, 3]) AS b)),
-a AS (SELECT fold, snr_db, block, branch, avg(x) AS m, count(*) AS k FROM s GROUP BY ALL) SELECT snr_db, block, branch, round(avg(m), 9) AS mean, round(stddev_samp(m), 9) AS std, sum(k)::bigint AS samples, count(*) AS folds FROM a GROUP BY ALL""", "gates")
+a AS (SELECT fold, snr_db, block, branch, avg(x) AS m, count(*) AS k FROM s GROUP BY ALL) SELECT snr_db, block, branch,
+  round(avg(m), 9) AS mean, round(stddev_samp(m), 9) AS std, sum(k)::bigint AS samples, count(*) AS folds FROM a GROUP BY ALL""", "gates")
 def scale_weights(spark, sf_dir):
     s = _gates(spark, sf_dir).select("snr_db", (F.col("vec_id") % 5).alias("fold"), "block", F.posexplode("w").alias("branch", "x"))
     a = s.groupBy("fold", "snr_db", "block", "branch").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("k"))
@@ -65,7 +68,8 @@ d AS (SELECT p.part, p.batch, p.vec_id, s.donor FROM p JOIN s USING (part, batch
 
 
 @query(f"""WITH {DONORS} SELECT d.part, count(*) AS n, round(avg((d.vec_id = d.donor)::int), 9) AS fixed, round(avg((a.modulation = b.modulation)::int), 9) AS same_modulation, round(avg((a.snr_db = b.snr_db)::int), 9) AS same_snr,
-count(*) FILTER (a.modulation = b.modulation AND a.snr_db = b.snr_db) AS same_stratum FROM d JOIN iq a ON a.vec_id = d.vec_id JOIN iq b ON b.vec_id = d.donor GROUP BY ALL""", "iq")
+count(*) FILTER (a.modulation = b.modulation AND a.snr_db = b.snr_db) AS same_stratum FROM d JOIN iq a ON a.vec_id = d.vec_id JOIN iq b
+  ON b.vec_id = d.donor GROUP BY ALL""", "iq")
 def donor_mapping_audit(spark, sf_dir):
     s = V.iq_samples(spark, sf_dir).select("vec_id", "modulation", "snr_db", (F.col("vec_id") % 2).alias("part"))
     d = interventions.donors(interventions.positions(s, "part", "vec_id", 64), "part", "vec_id", 13)
@@ -76,19 +80,24 @@ def donor_mapping_audit(spark, sf_dir):
     return j.groupBy("part").agg(F.count(F.lit(1)).alias("n"), share(F.col("vec_id") == F.col("donor_key")).alias("fixed"), share(m).alias("same_modulation"), share(t).alias("same_snr"), F.count_if(m & t).alias("same_stratum"))
 
 
-@query("""WITH f AS (SELECT model, seed, avg(ok) AS a, count(*) AS n FROM c GROUP BY ALL) SELECT model, round(sum(a * n) / sum(n), 9) AS weighted, round(sum(CASE WHEN a > 0.6 THEN n ELSE 0 END) / sum(n), 9) AS share FROM f GROUP BY ALL""", "c")
+@query("""WITH f AS (SELECT model, seed, avg(ok) AS a, count(*) AS n FROM c GROUP BY ALL) SELECT model,
+  round(sum(a * n) / sum(n), 9) AS weighted, round(sum(CASE WHEN a > 0.6 THEN n ELSE 0 END) / sum(n), 9) AS share FROM f
+  GROUP BY ALL""", "c")
 def weighted_rollup(spark, sf_dir):
     f = V.checked(spark, sf_dir).groupBy("model", "seed").agg(F.avg("ok").alias("a"), F.count(F.lit(1)).alias("n"))
     return f.groupBy("model").agg(F.round(progress.weighted_mean("a", "n"), 9).alias("weighted"), F.round(F.sum(F.when(F.col("a") > 0.6, F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("share"))
 
 
-@query("WITH m AS (SELECT model, seed, target, pred, count(*) AS n FROM r GROUP BY ALL) SELECT model, target, pred, sum(n)::bigint AS n FROM m GROUP BY ALL", "r")
+@query("""WITH m AS (SELECT model, seed, target, pred, count(*) AS n FROM r GROUP BY ALL) SELECT model, target, pred, sum(n)::bigint AS n
+  FROM m GROUP BY ALL""", "r")
 def matrix_sum(spark, sf_dir):
     per_run = V.replays(spark, sf_dir).groupBy("model", "seed", "target", "pred").agg(F.count(F.lit(1)).alias("n"))
     return per_run.groupBy("model", "target", "pred").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT event_type, round(avg(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END), 6) AS mean, count(*) FILTER (event_id % 7 = 0) AS not_measured, round(avg(CASE WHEN event_id % 7 <> 0 AND value > 0 THEN 1000 / value END), 6) AS throughput FROM events GROUP BY ALL")
+@query("""SELECT event_type, round(avg(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END), 6) AS mean,
+  count(*) FILTER (event_id % 7 = 0) AS not_measured, round(avg(CASE WHEN event_id % 7 <> 0
+  AND value > 0 THEN 1000 / value END), 6) AS throughput FROM events GROUP BY ALL""")
 def nan_mean(spark, sf_dir):
     x = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
     e = V.table(spark, sf_dir, "events").select("event_type", x.alias("x"))
@@ -96,7 +105,8 @@ def nan_mean(spark, sf_dir):
     return e.groupBy("event_type").agg(F.round(F.avg(F.nanvl("x", F.lit(None).cast("double"))), 6).alias("mean"), F.count_if(F.isnan("x")).alias("not_measured"), F.round(F.avg(rate), 6).alias("throughput"))
 
 
-@query("SELECT block, round(100 * (avg((list_position(w, list_max(w)) = 1)::int) - (SELECT avg((list_position(w, list_max(w)) = 1)::int) FROM gates WHERE block = 0)), 6) AS delta_pp FROM gates GROUP BY ALL", "gates")
+@query("""SELECT block, round(100 * (avg((list_position(w, list_max(w)) = 1)::int) - (SELECT avg((list_position(w, list_max(w)) = 1)::int)
+  FROM gates WHERE block = 0)), 6) AS delta_pp FROM gates GROUP BY ALL""", "gates")
 def block_replacement(spark, sf_dir):
     a = V.gates(spark, sf_dir).groupBy("block").agg(F.avg((A.argmax(F.col("w")) == 0).cast("int")).alias("a"))
     base = F.broadcast(a.where("block = 0").select(F.col("a").alias("base")))
@@ -104,13 +114,14 @@ def block_replacement(spark, sf_dir):
 
 
 @query("""SELECT unnest(['finite', 'known_type', 'positive_id', 'valued']) AS id, unnest([f0 = 0, f1 = 0, f2 = 0, f3 = 0]) AS passed, unnest([f0, f1, f2, f3]) AS failures FROM (
-SELECT count(*) FILTER (NOT coalesce(isfinite(value), false)) AS f0, count(*) FILTER (event_type NOT IN ('click', 'view')) AS f1, count(*) FILTER (event_id <= 0) AS f2, count(*) FILTER (value IS NULL) AS f3 FROM events)""")
+SELECT count(*) FILTER (NOT coalesce(isfinite(value), false)) AS f0, count(*) FILTER (event_type NOT IN ('click', 'view')) AS f1,
+  count(*) FILTER (event_id <= 0) AS f2, count(*) FILTER (value IS NULL) AS f3 FROM events)""")
 def check_conjunction(spark, sf_dir):
     rules = {"finite": A.is_finite(F.col("value")), "known_type": F.col("event_type").isin("click", "view"), "positive_id": F.col("event_id") > 0, "valued": F.col("value").isNotNull()}
     return audit.check_table(V.table(spark, sf_dir, "events"), rules)
 
 
-@query("SELECT event_id, floor(100 * sum(score * (1 + event_id % 3)) OVER w / sum(1 + event_id % 3) OVER w + 0.001)::bigint AS running_loss_cents FROM runs WINDOW w AS (PARTITION BY model, seed_idx ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)", "runs")
+@query("""SELECT event_id, floor(100 * sum(score * (1 + event_id % 3)) OVER w / sum(1 + event_id % 3) OVER w + 0.001)::bigint AS running_loss_cents FROM runs WINDOW w AS (PARTITION BY model, seed_idx ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""", "runs")
 def running_loss(spark, sf_dir):
     r = V.runs(spark, sf_dir).withColumn("n", 1 + F.col("event_id") % 3)
     return progress.running_loss(r, ["model", "seed_idx"], ["ts", "event_id"], "score", "n").select("event_id", F.floor(100 * F.col("running_loss") + 0.001).alias("running_loss_cents"))
@@ -123,7 +134,9 @@ def running_best_epoch(spark, sf_dir):
     return r.select("event_id", "improved", F.round("best", 6).alias("best"))
 
 
-@query("WITH h AS (SELECT model, seed_idx, list(score ORDER BY ts, event_id) AS h FROM runs GROUP BY ALL) SELECT model, seed_idx, len(h) AS epochs, list_position(h, list_max(h))::int AS best_epoch, round(h[list_position(h, list_max(h))], 6) AS best_score FROM h", "runs")
+@query("""WITH h AS (SELECT model, seed_idx, list(score ORDER BY ts, event_id) AS h FROM runs GROUP BY ALL) SELECT model, seed_idx,
+  len(h) AS epochs, list_position(h, list_max(h))::int AS best_epoch, round(h[list_position(h, list_max(h))], 6) AS best_score
+  FROM h""", "runs")
 def selected_epoch(spark, sf_dir):
     return progress.selected_epoch(V.runs(spark, sf_dir), ["model", "seed_idx"], ["ts", "event_id"], "score")
 
@@ -138,7 +151,9 @@ def cosine_schedule(spark, sf_dir):
     return spark.range(101).select(F.col("id").cast("int").alias("epoch"), F.round(progress.cosine_rate(0.001, F.col("id"), 100), 9).alias("rate"))
 
 
-@query("SELECT a.model, a.seed, abs(a.x - b.x) <= greatest(3e-5 * greatest(abs(a.x), abs(b.x)), 3e-5) AS same FROM (SELECT model, seed, avg(ok) AS x FROM c GROUP BY ALL) a JOIN (SELECT model, seed, avg(ok) + CASE WHEN seed > 50 THEN 0.001 ELSE 0.00001 END AS x FROM c GROUP BY model, seed) b USING (model, seed)", "c")
+@query("""SELECT a.model, a.seed, abs(a.x - b.x) <= greatest(3e-5 * greatest(abs(a.x), abs(b.x)), 3e-5) AS same FROM (SELECT model, seed,
+  avg(ok) AS x FROM c GROUP BY ALL) a JOIN (SELECT model, seed, avg(ok) + CASE WHEN seed > 50 THEN 0.001 ELSE 0.00001 END AS x FROM c
+  GROUP BY model, seed) b USING (model, seed)""", "c")
 def approximate_equality(spark, sf_dir):
     a = V.checked(spark, sf_dir).groupBy("model", "seed").agg(F.avg("ok").alias("x"))
     recorded = F.col("x") + F.when(F.col("seed") > 50, 0.001).otherwise(0.00001)
@@ -149,11 +164,14 @@ def approximate_equality(spark, sf_dir):
 HASHED, BOOTSTRAP_RESAMPLES = 200, 10_000
 BOOT = f"""dd AS (SELECT a.seed, a.vec_id, a.target, a.snr_db, a.ok - b.ok AS d, row_number() OVER (PARTITION BY a.seed, a.target, a.snr_db ORDER BY a.ok - b.ok) - 1 AS k FROM c a JOIN c b ON a.seed = b.seed AND a.vec_id = b.vec_id AND a.model = 'm1' AND b.model = 'm2'),
 sz AS (SELECT seed, target, snr_db, count(*) AS m FROM dd GROUP BY ALL),
-dr AS (SELECT b, slot, [13, 37, 73, 101, 137][1 + ('0x' || substr(md5('2026:' || b || ':' || slot), 1, 8))::bigint % 5] AS seed FROM (SELECT unnest(range({HASHED})) AS b), (SELECT unnest(range(5)) AS slot)),
+dr AS (SELECT b, slot, [13, 37, 73, 101, 137][1 + ('0x' || substr(md5('2026:' || b || ':' || slot), 1, 8))::bigint % 5] AS seed
+  FROM (SELECT unnest(range({HASHED})) AS b), (SELECT unnest(range(5)) AS slot)),
 ce AS (SELECT b, slot, dr.seed, target, snr_db, m, unnest(range(m)) AS p FROM dr JOIN sz ON dr.seed = sz.seed),
 pk AS (SELECT *, ('0x' || substr(md5('2026:' || b || ':' || slot || ':' || target || ':' || snr_db || ':' || p), 1, 8))::bigint % m AS k FROM ce),
 bs AS (SELECT pk.b, pk.snr_db, sum(dd.d) AS d, count(*) AS n FROM pk JOIN dd USING (seed, target, snr_db, k) GROUP BY ALL)"""
-INTERVAL = "round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, round(min(v), 9) AS lowest, round(max(v), 9) AS highest, round(quantile_cont(v, 0.025), 9) AS lower, round(quantile_cont(v, 0.975), 9) AS upper, count(*) FILTER (v > 0) AS positive, count(*) AS n"
+INTERVAL = """round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, round(min(v), 9) AS lowest, round(max(v), 9) AS highest,
+  round(quantile_cont(v, 0.025), 9) AS lower, round(quantile_cont(v, 0.975), 9) AS upper, count(*) FILTER (v > 0) AS positive,
+  count(*) AS n"""
 
 
 def _boot(spark, sf_dir, reference="m1", variant="m2"):
@@ -208,7 +226,8 @@ def contrast_row(spark, sf_dir):
     return resample.contrast(pairs, list(V.SEEDS), BOOTSTRAP_RESAMPLES, V.CLASSES, V.LOW_SNR)
 
 
-PERM = "pm AS (SELECT pm, avg(ok) FILTER (model = 'm1') - avg(CASE WHEN model = 'm2' AND md5(pm || ':' || vec_id) < '8' THEN ok WHEN model = 'm2' THEN 0 END) AS v FROM c, (SELECT unnest(range(13, 33)) AS pm) GROUP BY pm)"
+PERM = """pm AS (SELECT pm, avg(ok) FILTER (model = 'm1') - avg(CASE WHEN model = 'm2' AND md5(pm || ':' || vec_id) < '8' THEN ok
+  WHEN model = 'm2' THEN 0 END) AS v FROM c, (SELECT unnest(range(13, 33)) AS pm) GROUP BY pm)"""
 
 
 @query(f"WITH {PERM} SELECT {INTERVAL} FROM pm", "c")
@@ -225,7 +244,8 @@ s AS (SELECT count(*) FILTER (m > 0) AS pos FROM (SELECT avg(d) AS m FROM dd GRO
 
 
 @query(f"""{DECIDE} SELECT round(low, 9) AS low_lower, round(acc, 9) AS acc_lower, pos AS positive_seeds,
-CASE WHEN low > 0 AND acc > 0 AND pos >= 4 THEN 'qualifies' WHEN low > 0 OR acc > 0 THEN 'evidence_insufficient' ELSE 'not_supported' END AS status FROM a, l, s""", "c")
+CASE WHEN low > 0 AND acc > 0 AND pos >= 4 THEN 'qualifies'
+  WHEN low > 0 OR acc > 0 THEN 'evidence_insufficient' ELSE 'not_supported' END AS status FROM a, l, s""", "c")
 def hash_formal_decision(spark, sf_dir):
     d = resample.differences(V.checked(spark, sf_dir), "m1", "m2")
     return _decided(resample.hash_bootstrap(d, list(V.SEEDS), HASHED), d)
@@ -247,7 +267,9 @@ def _decided(b, d):
 
 
 DROPS = f"""a AS (SELECT model, avg(ok) AS acc, avg(ok) FILTER (snr_db IN ({_LOW})) AS low FROM c GROUP BY ALL), d AS (SELECT y.model AS variant, x.low - y.low AS low_drop, x.acc - y.acc AS all_drop FROM a x JOIN a y ON x.model = 'm3' AND y.model <> 'm3'),
-s AS (SELECT *, CASE WHEN low_drop >= 0.010 AND all_drop >= 0.005 THEN 'clear_drop' WHEN abs(low_drop) <= 0.005 AND abs(all_drop) <= 0.005 THEN 'unchanged' WHEN low_drop <= 0 AND all_drop <= 0 THEN 'not_worse' ELSE 'borderline' END AS status FROM d)"""
+s AS (SELECT *, CASE WHEN low_drop >= 0.010 AND all_drop >= 0.005 THEN 'clear_drop' WHEN abs(low_drop) <= 0.005
+  AND abs(all_drop) <= 0.005 THEN 'unchanged' WHEN low_drop <= 0 AND all_drop <= 0 THEN 'not_worse' ELSE 'borderline' END AS status
+  FROM d)"""
 
 
 def _drops(spark, sf_dir):
@@ -262,24 +284,31 @@ def screening_decision(spark, sf_dir):
     return _drops(spark, sf_dir).select("variant", F.round("low_drop", 9).alias("low_drop"), F.round("all_drop", 9).alias("all_drop"), "status")
 
 
-@query(f"WITH {DROPS} SELECT string_agg(variant, ',' ORDER BY variant) FILTER (status IN ('clear_drop', 'borderline')) AS formal, CASE WHEN count(*) FILTER (status IN ('clear_drop', 'borderline')) = 0 THEN 'none' WHEN bool_and(status IN ('clear_drop', 'borderline')) THEN 'all' ELSE 'some' END AS scope FROM s", "c")
+@query(f"""WITH {DROPS} SELECT string_agg(variant, ',' ORDER BY variant) FILTER (status IN ('clear_drop', 'borderline')) AS formal, CASE
+  WHEN count(*) FILTER (status IN ('clear_drop', 'borderline')) = 0 THEN 'none'
+  WHEN bool_and(status IN ('clear_drop', 'borderline')) THEN 'all' ELSE 'some' END AS scope FROM s""", "c")
 def combined_screening(spark, sf_dir):
     return decisions.combined(_drops(spark, sf_dir))
 
 
-@query(f"WITH {DROPS} SELECT CASE WHEN a.status = 'clear_drop' AND b.status = 'clear_drop' THEN 'both' WHEN a.status = 'clear_drop' THEN 'first_only' WHEN b.status = 'clear_drop' THEN 'second_only' ELSE 'neither' END AS scope FROM s a JOIN s b ON a.variant = 'm1' AND b.variant = 'm2'", "c")
+@query(f"""WITH {DROPS} SELECT CASE WHEN a.status = 'clear_drop' AND b.status = 'clear_drop' THEN 'both'
+  WHEN a.status = 'clear_drop' THEN 'first_only' WHEN b.status = 'clear_drop' THEN 'second_only' ELSE 'neither' END AS scope FROM s a
+  JOIN s b ON a.variant = 'm1' AND b.variant = 'm2'""", "c")
 def mainline_scope(spark, sf_dir):
     s = _drops(spark, sf_dir).agg(F.bool_or((F.col("variant") == "m1") & (F.col("status") == "clear_drop")).alias("a"), F.bool_or((F.col("variant") == "m2") & (F.col("status") == "clear_drop")).alias("b"))
     return s.select(decisions.scope(F.col("a"), F.col("b")).alias("scope"))
 
 
-@query("SELECT count(*) FILTER (d) AS decisive, count(*) FILTER (e) AS errors, CASE WHEN count(*) FILTER (d) > 0 THEN 'ineligible' WHEN count(*) FILTER (e) > 0 THEN 'indeterminate' ELSE 'eligible' END AS status FROM (SELECT contains(text, 'AKIA') AND contains(text, 'zzz') AS d, n_chars = 0 AS e FROM documents)")
+@query("""SELECT count(*) FILTER (d) AS decisive, count(*) FILTER (e) AS errors, CASE WHEN count(*) FILTER (d) > 0 THEN 'ineligible'
+  WHEN count(*) FILTER (e) > 0 THEN 'indeterminate' ELSE 'eligible' END AS status FROM (SELECT contains(text, 'AKIA')
+  AND contains(text, 'zzz') AS d, n_chars = 0 AS e FROM documents)""")
 def independence_conclusion(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").select((F.col("text").contains("AKIA") & F.col("text").contains("zzz")).alias("decisive"), (F.col("n_chars") == 0).alias("error"))
     return decisions.independence(d)
 
 
-@query("""SELECT 'json' AS rule, event_id AS id, true AS decisive FROM events WHERE (props->>'k')::int > 95 UNION ALL SELECT 'text', doc_id, false FROM documents WHERE contains(text, 'Licensed under')""")
+@query("""SELECT 'json' AS rule, event_id AS id, true AS decisive FROM events WHERE (props->>'k')::int > 95 UNION ALL SELECT 'text', doc_id,
+  false FROM documents WHERE contains(text, 'Licensed under')""")
 def evidence_rules(spark, sf_dir):
     e = V.table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").cast("int") > 95).select(F.lit("json").alias("rule"), F.col("event_id").alias("id"), F.lit(True).alias("decisive"))
     d = V.table(spark, sf_dir, "documents").where(F.col("text").contains("Licensed under")).select(F.lit("text").alias("rule"), F.col("doc_id").alias("id"), F.lit(False).alias("decisive"))
@@ -295,7 +324,8 @@ def layer_macs(spark, sf_dir):
     return t.select("layer", F.expr("co * ci div g * k * w").alias("macs"), F.expr("co * ci div g * k").alias("weights"))
 
 
-@query("SELECT s.s_suppkey AS candidate, abs(s.s_acctbal - 5000) / 5000 < 0.05 AS within FROM supplier s ORDER BY abs(s.s_acctbal - 5000), s.s_suppkey LIMIT 1")
+@query("""SELECT s.s_suppkey AS candidate, abs(s.s_acctbal - 5000) / 5000 < 0.05 AS within FROM supplier s ORDER BY abs(s.s_acctbal - 5000),
+  s.s_suppkey LIMIT 1""")
 def parameter_match(spark, sf_dir):
     s = V.table(spark, sf_dir, "supplier")
     best = s.agg(F.min_by(F.struct("s_suppkey", "s_acctbal"), F.struct(F.abs(F.col("s_acctbal") - 5000), "s_suppkey")).alias("b"))
@@ -338,7 +368,8 @@ def json_props_histogram(spark, sf_dir):
     return e.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_type").alias("types"))
 
 
-@query("SELECT run, max(epoch)::int AS epoch FROM (SELECT CASE WHEN event_id % 3 < 2 THEN event_type END AS run, user_id % 7 AS epoch FROM events) WHERE run IS NOT NULL GROUP BY ALL")
+@query("""SELECT run, max(epoch)::int AS epoch FROM (SELECT CASE WHEN event_id % 3 < 2 THEN event_type END AS run, user_id % 7 AS epoch
+  FROM events) WHERE run IS NOT NULL GROUP BY ALL""")
 def progress_log(spark, sf_dir):
     epoch = (F.col("user_id") % 7).cast("string")
     line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"run": "'), "event_type", F.lit('", "epoch": '), epoch, F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("run="), "event_type", F.lit(" | epoch="), epoch)).otherwise(F.lit("--"))
@@ -357,10 +388,11 @@ def _cited(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", t.alias("t"))
 
 
-_CITED = "ct AS (SELECT doc_id, 'see [@' || regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', 'x', 'g') || '; @key' || (doc_id % 9) || '] and [@key1]' AS t FROM documents)"
+_CITED = """ct AS (SELECT doc_id, 'see [@' || regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', 'x', 'g') || '; @key' || (doc_id % 9) || '] and [@key1]' AS t FROM documents)"""
 
 
-@query(f"WITH {_CITED}, k AS (SELECT doc_id, list_distinct(regexp_extract_all(t, '@([A-Za-z0-9_:-]+)', 1)) AS k FROM ct) SELECT doc_id, array_to_string(list_sort(k), ',') AS keys FROM k")
+@query(f"""WITH {_CITED}, k AS (SELECT doc_id, list_distinct(regexp_extract_all(t, '@([A-Za-z0-9_:-]+)', 1)) AS k FROM ct) SELECT doc_id,
+  array_to_string(list_sort(k), ',') AS keys FROM k""")
 def citation_keys(spark, sf_dir):
     return _cited(spark, sf_dir).select("doc_id", F.array_join(T.citation_keys(F.col("t")), ",").alias("keys"))
 
@@ -371,7 +403,8 @@ def entry_split(spark, sf_dir):
     return _cited(spark, sf_dir).select("doc_id", F.size(e).alias("n"), e[0].alias("first"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, ' de ') THEN 1 + len(regexp_extract_all(split_part(text, ' de ', 1), chr(10)))::int END AS line FROM documents")
+@query("""SELECT doc_id, CASE WHEN contains(text, ' de ') THEN 1 + len(regexp_extract_all(split_part(text, ' de ', 1),
+  chr(10)))::int END AS line FROM documents""")
 def line_number(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", T.line_of(F.col("text"), F.lit(" de ")).alias("line"))
 
@@ -382,14 +415,16 @@ def date_after(spark, sf_dir):
     return V.table(spark, sf_dir, "orders").select("o_orderkey", (T.written_date(stamp) > F.to_date(F.lit("1995-06-17"))).alias("later"))
 
 
-@query("SELECT text FROM documents INTERSECT SELECT text FROM benchmark UNION SELECT DISTINCT r_name FROM region WHERE r_name IN (SELECT r_name FROM region WHERE r_regionkey > 1)")
+@query("""SELECT text FROM documents INTERSECT SELECT text FROM benchmark UNION SELECT DISTINCT r_name FROM region
+  WHERE r_name IN (SELECT r_name FROM region WHERE r_regionkey > 1)""")
 def literal_intersection(spark, sf_dir):
     t = lambda n, c: V.table(spark, sf_dir, n).select(F.col(c).alias("text"))
     r = V.table(spark, sf_dir, "region")
     return t("documents", "text").intersect(t("benchmark", "text")).union(r.select(F.col("r_name").alias("text")).intersect(r.where("r_regionkey > 1").select("r_name")))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'epoch' END AS missing, CASE WHEN event_id % 5 = 0 THEN 'extra' END AS unexpected FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'epoch' END AS missing, CASE WHEN event_id % 5 = 0 THEN 'extra' END AS unexpected
+  FROM events""")
 def key_set_check(spark, sf_dir):
     keys = F.filter(F.array(F.lit("run"), F.when(F.col("event_id") % 4 != 0, F.lit("epoch")), F.when(F.col("event_id") % 5 == 0, F.lit("extra"))), lambda x: x.isNotNull())
     e = V.table(spark, sf_dir, "events").select("event_id", keys.alias("k"))
@@ -398,7 +433,8 @@ def key_set_check(spark, sf_dir):
     return e.select("event_id", one(F.array_except(want, "k")).alias("missing"), one(F.array_except("k", want)).alias("unexpected"))
 
 
-@query("WITH s AS (SELECT event_id % 4 AS shard, event_type, user_id FROM events) SELECT count(DISTINCT shard) AS shards, count(*) AS n, (SELECT count(*) FROM (SELECT 1 FROM s GROUP BY event_type, user_id HAVING count(*) > 1)) AS repeated FROM s")
+@query("""WITH s AS (SELECT event_id % 4 AS shard, event_type, user_id FROM events) SELECT count(DISTINCT shard) AS shards, count(*) AS n,
+  (SELECT count(*) FROM (SELECT 1 FROM s GROUP BY event_type, user_id HAVING count(*) > 1)) AS repeated FROM s""")
 def shard_union(spark, sf_dir):
     e = V.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
     shards = [e.where(F.col("event_id") % 4 == k).withColumn("shard", F.lit(k)) for k in range(4)]
@@ -419,7 +455,8 @@ def row_limit(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT model, seed, model || '-' || seed AS run_id, round(avg(ok), 6) AS f1, 100 AS epochs FROM c GROUP BY ALL), m AS (SELECT run_id, CASE WHEN seed = 37 THEN f1 + 0.1 ELSE f1 END AS f1, CASE WHEN model = 'm2' AND seed = 13 THEN 99 ELSE 100 END AS epochs, model = 'm3' AND seed = 101 AS test_accessed FROM b)
-SELECT b.run_id, array_to_string(list_filter([CASE WHEN abs(b.f1 - m.f1) > 1e-12 THEN 'f1' END, CASE WHEN m.epochs <> 100 THEN 'epochs' END, CASE WHEN m.test_accessed THEN 'test_access' END], lambda x: x IS NOT NULL), ',') AS issues FROM b JOIN m USING (run_id)""", "c")
+SELECT b.run_id, array_to_string(list_filter([CASE WHEN abs(b.f1 - m.f1) > 1e-12 THEN 'f1' END, CASE WHEN m.epochs <> 100 THEN 'epochs' END,
+  CASE WHEN m.test_accessed THEN 'test_access' END], lambda x: x IS NOT NULL), ',') AS issues FROM b JOIN m USING (run_id)""", "c")
 def run_audit(spark, sf_dir):
     b = V.checked(spark, sf_dir).groupBy("model", "seed").agg(F.round(F.avg("ok"), 6).alias("f1")).withColumn("run_id", F.concat_ws("-", "model", F.col("seed").cast("string")))
     odd = lambda m, s: (F.col("model") == m) & (F.col("seed") == s)
@@ -437,7 +474,8 @@ def binding_verify(spark, sf_dir):
     return audit.bound(files, manifest)
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL")
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem
+  WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL""")
 def sink_roundtrip(spark, sf_dir):
     from ..sources import sinks
 

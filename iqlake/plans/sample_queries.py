@@ -27,14 +27,16 @@ def sample_ids_numbered(spark, sf_dir):
 
 @query("""WITH x AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN replace(sample_id, ':0', ':') WHEN vec_id % 7 = 0 THEN sample_id || ':x' ELSE sample_id END AS sid FROM ids),
 p AS (SELECT *, string_split(sid, ':') AS t FROM x), v AS (SELECT *, try_cast(t[3] AS int) AS snr, try_cast(t[4] AS int) AS idx FROM p)
-SELECT vec_id, t[2] AS modulation, snr, idx, coalesce(len(t) = 4 AND idx >= 0 AND t[1] || ':' || t[2] || ':' || printf('%+03d:%04d', snr, idx) = sid, false) AS canonical FROM v""", "ids")
+SELECT vec_id, t[2] AS modulation, snr, idx, coalesce(len(t) = 4 AND idx >= 0 AND t[1] || ':' || t[2] || ':' || printf('%+03d:%04d', snr,
+  idx) = sid, false) AS canonical FROM v""", "ids")
 def sample_id_parse(spark, sf_dir):
     s = V.identified(spark, sf_dir)
     sid = F.when(F.col("vec_id") % 5 == 0, F.replace("sample_id", F.lit(":0"), F.lit(":"))).when(F.col("vec_id") % 7 == 0, F.concat("sample_id", F.lit(":x"))).otherwise(F.col("sample_id"))
     return s.select("vec_id", I.parse_sample_id(sid).alias("p")).select("vec_id", "p.modulation", "p.snr", F.col("p.index").alias("idx"), "p.canonical")
 
 
-@query("SELECT vec_id, ((modulation * 10 + (snr_db + 10) // 2) * 1000 + source_index)::bigint AS row_id, modulation AS m, ((snr_db + 10) // 2)::int AS s, source_index::int AS i FROM iq", "iq")
+@query("""SELECT vec_id, ((modulation * 10 + (snr_db + 10) // 2) * 1000 + source_index)::bigint AS row_id, modulation AS m,
+  ((snr_db + 10) // 2)::int AS s, source_index::int AS i FROM iq""", "iq")
 def row_index_roundtrip(spark, sf_dir):
     s = V.iq_samples(spark, sf_dir)
     row = I.row_index(F.col("modulation"), F.expr("(snr_db + 10) div 2"), F.col("source_index"), 10, 1000)
@@ -70,7 +72,8 @@ def stratified_split(spark, sf_dir):
 
 @query("""WITH t AS (SELECT vec_id, modulation, md5('2018:' || source_index || ':' || modulation) AS d, source_index, snr_db FROM iq),
 k AS (SELECT *, row_number() OVER (PARTITION BY modulation, snr_db ORDER BY d, source_index) AS rk FROM t)
-SELECT k.vec_id, a.split FROM k JOIN (SELECT *, sum(cnt) OVER (PARTITION BY modulation, snr_db ORDER BY ord) AS hi, sum(cnt) OVER (PARTITION BY modulation, snr_db ORDER BY ord) - cnt AS lo FROM alloc) a
+SELECT k.vec_id, a.split FROM k JOIN (SELECT *, sum(cnt) OVER (PARTITION BY modulation, snr_db ORDER BY ord) AS hi,
+  sum(cnt) OVER (PARTITION BY modulation, snr_db ORDER BY ord) - cnt AS lo FROM alloc) a
 ON k.modulation = a.modulation AND k.snr_db = a.snr_db AND k.rk > a.lo AND k.rk <= a.hi""", "alloc")
 def stratified_split_by_index(spark, sf_dir):
     s = V.iq_samples(spark, sf_dir).withColumn("d", F.md5(F.concat(F.lit("2018:"), F.col("source_index").cast("string"), F.lit(":"), F.col("modulation").cast("string"))))
@@ -88,7 +91,9 @@ def largest_remainder(spark, sf_dir):
     return split.allocate(strata, ["modulation", "snr_db"]).select("modulation", "snr_db", "split", "cnt")
 
 
-@query("SELECT count(*) FILTER (n > 1) AS twice, 0::bigint AS unknown, count(*) FILTER (n IS NULL) AS unassigned, false AS passed FROM (SELECT vec_id, count(*) AS n FROM (SELECT vec_id FROM split WHERE vec_id % 11 <> 0 UNION ALL SELECT vec_id FROM split WHERE vec_id % 13 = 1) GROUP BY ALL) a FULL JOIN embeddings e ON a.vec_id = e.vec_id", "split")
+@query("""SELECT count(*) FILTER (n > 1) AS twice, 0::bigint AS unknown, count(*) FILTER (n IS NULL) AS unassigned, false AS passed
+  FROM (SELECT vec_id, count(*) AS n FROM (SELECT vec_id FROM split WHERE vec_id % 11 <> 0 UNION ALL SELECT vec_id FROM split
+  WHERE vec_id % 13 = 1) GROUP BY ALL) a FULL JOIN embeddings e ON a.vec_id = e.vec_id""", "split")
 def split_partition_check(spark, sf_dir):
     a = assigned(spark, sf_dir).select("vec_id")
     broken = a.where("vec_id % 11 <> 0").unionByName(a.where("vec_id % 13 = 1"))
@@ -102,12 +107,14 @@ def split_complement(spark, sf_dir):
     return pool.select("vec_id").distinct().join(a.where("modulation < 5").select("vec_id"), "vec_id", "left_anti")
 
 
-@query("SELECT split, bool_and(sample_id > p) AS ordered FROM (SELECT split, sample_id, lag(sample_id) OVER (PARTITION BY split ORDER BY vec_id) AS p FROM split) GROUP BY ALL", "split")
+@query("""SELECT split, bool_and(sample_id > p) AS ordered FROM (SELECT split, sample_id,
+  lag(sample_id) OVER (PARTITION BY split ORDER BY vec_id) AS p FROM split) GROUP BY ALL""", "split")
 def strict_order_check(spark, sf_dir):
     return split.strictly_ordered(assigned(spark, sf_dir), ["split"], "vec_id", "sample_id")
 
 
-@query("SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY modulation ORDER BY md5('2016:' || vec_id), vec_id) AS k, count(*) OVER (PARTITION BY modulation) AS n FROM iq) WHERE k <= n // 2", "iq")
+@query("""SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY modulation ORDER BY md5('2016:' || vec_id), vec_id) AS k,
+  count(*) OVER (PARTITION BY modulation) AS n FROM iq) WHERE k <= n // 2""", "iq")
 def sample_without_replacement(spark, sf_dir):
     return split.hash_half(V.iq_samples(spark, sf_dir), ["modulation"], "vec_id", 2016).select("vec_id")
 
@@ -115,9 +122,12 @@ def sample_without_replacement(spark, sf_dir):
 Q_SQL = """WITH v AS (SELECT modulation, snr_db, vec_id, i, q, list_sum(list_transform(i, lambda x: x::double)) AS si, list_sum(list_transform(q, lambda x: x::double)) AS sq,
   list_sum(list_transform(i, lambda x: x::double * x)) AS pi, list_sum(list_transform(q, lambda x: x::double * x)) AS pq,
   len(list_filter(i, lambda x: x = 0)) + len(list_filter(q, lambda x: x = 0)) AS z FROM iq)
-SELECT {keys} count(*) AS samples, (64 * count(*))::bigint AS finite, 0::bigint AS nan, 0::bigint AS pos_inf, 0::bigint AS neg_inf, sum(z)::bigint AS zeros, count(*) FILTER (z = 64) AS zero_energy,
-  round(min(least(list_min(i), list_min(q)))::double, 6) AS lowest, round(max(greatest(list_max(i), list_max(q)))::double, 6) AS highest, round(sum(si + sq) / (64 * count(*)), 6) AS mean,
-  round(sum(pi + pq) / (64 * count(*)), 6) AS mean_square, round(sqrt(sum(pi + pq) / (64 * count(*))), 6) AS rms, round(sum(si) / (32 * count(*)), 6) AS dc_i, round(sum(sq) / (32 * count(*)), 6) AS dc_q,
+SELECT {keys} count(*) AS samples, (64 * count(*))::bigint AS finite, 0::bigint AS nan, 0::bigint AS pos_inf, 0::bigint AS neg_inf,
+  sum(z)::bigint AS zeros, count(*) FILTER (z = 64) AS zero_energy,
+  round(min(least(list_min(i), list_min(q)))::double, 6) AS lowest, round(max(greatest(list_max(i), list_max(q)))::double, 6) AS highest,
+  round(sum(si + sq) / (64 * count(*)), 6) AS mean,
+  round(sum(pi + pq) / (64 * count(*)), 6) AS mean_square, round(sqrt(sum(pi + pq) / (64 * count(*))), 6) AS rms,
+  round(sum(si) / (32 * count(*)), 6) AS dc_i, round(sum(sq) / (32 * count(*)), 6) AS dc_q,
   round(sum(pi + pq) / (32 * count(*)), 6) AS mean_power FROM v {group}"""
 
 
@@ -140,7 +150,9 @@ def numeric_quality_lineitem(spark, sf_dir):
 
 
 @query("""WITH x AS (SELECT vec_id, CASE WHEN vec_id % 17 = 0 THEN 'NaN'::float WHEN vec_id % 19 = 0 THEN 'Infinity'::float WHEN vec_id % 23 = 0 THEN '-Infinity'::float WHEN vec_id % 29 = 0 THEN 0 ELSE i[1] END AS v, modulation FROM iq)
-SELECT modulation, count(*) FILTER (isnan(v)) AS nan, count(*) FILTER (v = 'Infinity'::float) AS pos_inf, count(*) FILTER (v = '-Infinity'::float) AS neg_inf, count(*) FILTER (v = 0) AS zeros, count(*) FILTER (isfinite(v)) AS finite FROM x GROUP BY ALL""", "iq")
+SELECT modulation, count(*) FILTER (isnan(v)) AS nan, count(*) FILTER (v = 'Infinity'::float) AS pos_inf,
+  count(*) FILTER (v = '-Infinity'::float) AS neg_inf, count(*) FILTER (v = 0) AS zeros, count(*) FILTER (isfinite(v)) AS finite FROM x
+  GROUP BY ALL""", "iq")
 def value_counters(spark, sf_dir):
     k = F.col("vec_id")
     v = F.when(k % 17 == 0, F.lit(float("nan"))).when(k % 19 == 0, F.lit(A.INF)).when(k % 23 == 0, F.lit(-A.INF)).when(k % 29 == 0, F.lit(0.0)).otherwise(F.col("i")[0]).cast("float")
@@ -149,7 +161,8 @@ def value_counters(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT a.m AS modulation, b.s AS snr_db FROM (SELECT unnest(range(2, 12)) AS m) a, (SELECT unnest(range(-10, 10, 2)) AS s) b), o AS (SELECT DISTINCT modulation, snr_db FROM iq)
-SELECT coalesce(o.modulation, e.modulation)::int AS modulation, coalesce(o.snr_db, e.snr_db)::int AS snr_db, CASE WHEN o.modulation IS NULL THEN 'missing' WHEN e.modulation IS NULL THEN 'unexpected' ELSE 'present' END AS status
+SELECT coalesce(o.modulation, e.modulation)::int AS modulation, coalesce(o.snr_db, e.snr_db)::int AS snr_db, CASE
+  WHEN o.modulation IS NULL THEN 'missing' WHEN e.modulation IS NULL THEN 'unexpected' ELSE 'present' END AS status
 FROM o FULL JOIN e ON o.modulation = e.modulation AND o.snr_db = e.snr_db""", "iq")
 def grid_completeness(spark, sf_dir):
     grid = spark.range(2, 12).select(F.col("id").cast("int").alias("modulation")).crossJoin(spark.range(10).select((F.col("id") * 2 - 10).cast("int").alias("snr_db")))
@@ -157,16 +170,19 @@ def grid_completeness(spark, sf_dir):
 
 
 STATS = """tr AS (SELECT i, q FROM iq JOIN split USING (vec_id) WHERE split = 'train'),
-st AS (SELECT avg(x) AS mu_i, stddev_pop(x) AS sigma_i FROM (SELECT unnest(i)::double AS x FROM tr)), sq AS (SELECT avg(x) AS mu_q, stddev_pop(x) AS sigma_q FROM (SELECT unnest(q)::double AS x FROM tr))"""
+st AS (SELECT avg(x) AS mu_i, stddev_pop(x) AS sigma_i FROM (SELECT unnest(i)::double AS x FROM tr)), sq AS (SELECT avg(x) AS mu_q,
+  stddev_pop(x) AS sigma_q FROM (SELECT unnest(q)::double AS x FROM tr))"""
 
 
-@query(f"WITH {STATS} SELECT round(mu_i, 8) AS mu_i, round(sigma_i, 8) AS sigma_i, round(mu_q, 8) AS mu_q, round(sigma_q, 8) AS sigma_q FROM st, sq", "iq", "split")
+@query(f"""WITH {STATS} SELECT round(mu_i, 8) AS mu_i, round(sigma_i, 8) AS sigma_i, round(mu_q, 8) AS mu_q, round(sigma_q, 8) AS sigma_q
+  FROM st, sq""", "iq", "split")
 def population_stats_train(spark, sf_dir):
     s = quality.population_stats(assigned(spark, sf_dir).where("split = 'train'"))
     return s.select(*(F.round(c, 8).alias(c) for c in s.columns))
 
 
-@query(f"WITH {STATS} SELECT vec_id, round((i[1]::double - mu_i) / sigma_i, 6) AS first_i, round(list_sum(list_transform(q, lambda x: (x::double - mu_q) / sigma_q)), 6) AS sum_q FROM iq, st, sq", "iq", "split")
+@query(f"""WITH {STATS} SELECT vec_id, round((i[1]::double - mu_i) / sigma_i, 6) AS first_i, round(list_sum(list_transform(q,
+  lambda x: (x::double - mu_q) / sigma_q)), 6) AS sum_q FROM iq, st, sq""", "iq", "split")
 def global_zscore(spark, sf_dir):
     stats = quality.population_stats(assigned(spark, sf_dir).where("split = 'train'"))
     rows = V.iq_samples(spark, sf_dir).crossJoin(F.broadcast(stats))  # one row of statistics
@@ -174,14 +190,16 @@ def global_zscore(spark, sf_dir):
     return rows.select("vec_id", F.round(i[0], 6).alias("first_i"), F.round(A.total(q), 6).alias("sum_q"))
 
 
-@query("SELECT modulation, snr_db, count(*) AS n, sum(count(*)) OVER (PARTITION BY modulation)::bigint AS n_class FROM iq GROUP BY modulation, snr_db", "iq")
+@query("""SELECT modulation, snr_db, count(*) AS n, sum(count(*)) OVER (PARTITION BY modulation)::bigint AS n_class FROM iq
+  GROUP BY modulation, snr_db""", "iq")
 def class_counts(spark, sf_dir):
     n = V.iq_samples(spark, sf_dir).groupBy("modulation", "snr_db").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("n_class", F.sum("n").over(Window.partitionBy("modulation")))
 
 
 @query("""WITH x AS (SELECT vec_id, modulation - CASE WHEN vec_id % 31 = 0 THEN 100 ELSE 0 END AS modulation, CASE WHEN vec_id % 37 = 0 THEN i[1:31] ELSE i END AS i, CASE WHEN vec_id % 41 = 0 THEN '  ' ELSE sample_id END AS sample_id FROM ids)
-SELECT vec_id, array_to_string(list_filter([CASE WHEN len(i) <> 32 THEN 'shape' END, CASE WHEN modulation < 0 THEN 'modulation' END, CASE WHEN trim(sample_id) = '' THEN 'sample_id' END], lambda x: x IS NOT NULL), ',') AS issues FROM x""", "ids")
+SELECT vec_id, array_to_string(list_filter([CASE WHEN len(i) <> 32 THEN 'shape' END, CASE WHEN modulation < 0 THEN 'modulation' END, CASE
+  WHEN trim(sample_id) = '' THEN 'sample_id' END], lambda x: x IS NOT NULL), ',') AS issues FROM x""", "ids")
 def row_contract(spark, sf_dir):
     k = F.col("vec_id")
     x = V.identified(spark, sf_dir)
@@ -193,27 +211,31 @@ def row_contract(spark, sf_dir):
 _NORM = "list_max(list_transform(list_zip(i, q), lambda z: sqrt(z[1]::double * z[1] + z[2]::double * z[2])))"
 
 
-@query(f"SELECT vec_id, round({_NORM}, 8) AS peak, round(i[1] / {_NORM}, 8) AS first_i, round(list_sum(list_transform(q, lambda x: x::double)) / {_NORM}, 6) AS sum_q FROM iq", "iq")
+@query(f"""SELECT vec_id, round({_NORM}, 8) AS peak, round(i[1] / {_NORM}, 8) AS first_i, round(list_sum(list_transform(q,
+  lambda x: x::double)) / {_NORM}, 6) AS sum_q FROM iq""", "iq")
 def preprocess_max_abs(spark, sf_dir):
     s = V.iq_samples(spark, sf_dir).withColumn("_peak", A.max_amplitude(F.col("i"), F.col("q")))
     return s.select("vec_id", F.round("_peak", 8).alias("peak"), F.round(A.divided(F.col("i"), F.col("_peak"))[0], 8).alias("first_i"), F.round(A.total(A.divided(F.col("q"), F.col("_peak"))), 6).alias("sum_q"))
 
 
 @query("""WITH m AS (SELECT vec_id, list_transform(i, lambda x: x::double - mi) AS i, list_transform(q, lambda x: x::double - mq) AS q FROM (SELECT *, list_avg(list_transform(i, lambda x: x::double)) AS mi, list_avg(list_transform(q, lambda x: x::double)) AS mq FROM iq)),
-p AS (SELECT *, sqrt((list_sum(list_transform(i, lambda x: x * x)) + list_sum(list_transform(q, lambda x: x * x))) / 32) AS r FROM m) SELECT vec_id, round(r, 8) AS rms, round(i[1] / r, 7) AS first_i, round(q[32] / r, 7) AS last_q FROM p""", "iq")
+p AS (SELECT *, sqrt((list_sum(list_transform(i, lambda x: x * x)) + list_sum(list_transform(q, lambda x: x * x))) / 32) AS r
+  FROM m) SELECT vec_id, round(r, 8) AS rms, round(i[1] / r, 7) AS first_i, round(q[32] / r, 7) AS last_q FROM p""", "iq")
 def preprocess_dc_power(spark, sf_dir):
     s = V.iq_samples(spark, sf_dir).select("vec_id", A.centred(F.col("i")).alias("i"), A.centred(F.col("q")).alias("q"))
     s = s.withColumn("_rms", A.rms(F.col("i"), F.col("q")))
     return s.select("vec_id", F.round("_rms", 8).alias("rms"), F.round(A.divided(F.col("i"), F.col("_rms"))[0], 7).alias("first_i"), F.round(A.divided(F.col("q"), F.col("_rms"))[31], 7).alias("last_q"))
 
 
-@query("SELECT vec_id, round(sqrt((list_sum(list_transform(i, lambda x: x::double * x)) + list_sum(list_transform(q, lambda x: x::double * x))) / 32), 8) AS rms FROM iq WHERE list_sum(list_transform(i, lambda x: abs(x::double))) > 0", "iq")
+@query("""SELECT vec_id, round(sqrt((list_sum(list_transform(i, lambda x: x::double * x)) + list_sum(list_transform(q,
+  lambda x: x::double * x))) / 32), 8) AS rms FROM iq WHERE list_sum(list_transform(i, lambda x: abs(x::double))) > 0""", "iq")
 def complex_rms(spark, sf_dir):
     s = V.iq_samples(spark, sf_dir).where(A.all_finite(F.col("i")) & A.all_finite(F.col("q")) & ~A.all_zero(F.col("i")))
     return s.select("vec_id", F.round(A.rms(F.col("i"), F.col("q")), 8).alias("rms"))
 
 
-@query("WITH k AS (SELECT vec_id, i, (vec_id % 32)::int AS k FROM iq), s AS (SELECT vec_id, k, list_concat(i[33-k:32], i[1:32-k]) AS a FROM k) SELECT vec_id, k, round(a[1]::double, 7) AS first_i, round(a[32]::double, 7) AS last_i, len(a)::int AS n FROM s", "iq")
+@query("""WITH k AS (SELECT vec_id, i, (vec_id % 32)::int AS k FROM iq), s AS (SELECT vec_id, k, list_concat(i[33-k:32], i[1:32-k]) AS a
+  FROM k) SELECT vec_id, k, round(a[1]::double, 7) AS first_i, round(a[32]::double, 7) AS last_i, len(a)::int AS n FROM s""", "iq")
 def circular_shift(spark, sf_dir):
     s = V.iq_samples(spark, sf_dir).withColumn("k", (F.col("vec_id") % 32).cast("int"))
     s = s.withColumn("a", A.rolled(F.col("i"), F.col("k")))
@@ -221,7 +243,9 @@ def circular_shift(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT *, ('0x' || substr(md5('13:' || sample_id), 1, 8))::bigint / 4294967296.0::double * 6.283185307179586::double AS th FROM ids)
-SELECT vec_id, round(i[1] * cos(th) - q[1] * sin(th), 7) AS first_i, round(i[1] * sin(th) + q[1] * cos(th), 7) AS first_q, round(list_sum(list_transform(i, lambda x: x::double * x)) + list_sum(list_transform(q, lambda x: x::double * x)), 6) AS energy FROM t""", "ids")
+SELECT vec_id, round(i[1] * cos(th) - q[1] * sin(th), 7) AS first_i, round(i[1] * sin(th) + q[1] * cos(th), 7) AS first_q,
+  round(list_sum(list_transform(i, lambda x: x::double * x)) + list_sum(list_transform(q, lambda x: x::double * x)), 6) AS energy
+  FROM t""", "ids")
 def phase_rotate(spark, sf_dir):
     u = F.conv(F.substring(F.md5(F.concat(F.lit("13:"), "sample_id")), 1, 8), 16, 10).cast("double") / 4294967296.0
     s = V.identified(spark, sf_dir).withColumn("th", u * A.TAU)
@@ -230,7 +254,8 @@ def phase_rotate(spark, sf_dir):
     return s.select("vec_id", F.round(F.col("a")[0], 7).alias("first_i"), F.round(F.col("b")[0], 7).alias("first_q"), F.round(A.total(A.power(F.col("a"), F.col("b"))), 6).alias("energy"))
 
 
-@query("WITH w AS (SELECT unnest([3, 0, 2, 3, 499, 77]) AS row_id, unnest(range(6))::int AS pos) SELECT pos, vec_id, sample_id FROM w JOIN ids ON row_id = vec_id", "ids")
+@query("""WITH w AS (SELECT unnest([3, 0, 2, 3, 499, 77]) AS row_id, unnest(range(6))::int AS pos) SELECT pos, vec_id, sample_id FROM w
+  JOIN ids ON row_id = vec_id""", "ids")
 def batch_gather(spark, sf_dir):
     from ..sources.scans import gather
 
@@ -249,13 +274,17 @@ def split_scan(spark, sf_dir):
     return split_view(assigned(spark, sf_dir), "validation").select("vec_id", "sample_id")
 
 
-@query("SELECT vec_id, modulation, name FROM iq JOIN (SELECT unnest(['8PSK','AM-DSB','AM-SSB','BPSK','CPFSK','GFSK','PAM4','QAM16','QAM64','QPSK']) AS name, unnest(range(10)) AS k) ON k = modulation", "iq")
+@query("""SELECT vec_id, modulation, name FROM iq
+  JOIN (SELECT unnest(['8PSK','AM-DSB','AM-SSB','BPSK','CPFSK','GFSK','PAM4','QAM16','QAM64','QPSK']) AS name, unnest(range(10)) AS k)
+  ON k = modulation""", "iq")
 def ordinal_lookup(spark, sf_dir):
     names = ["8PSK", "AM-DSB", "AM-SSB", "BPSK", "CPFSK", "GFSK", "PAM4", "QAM16", "QAM64", "QPSK"]
     dim = spark.range(1).select(F.posexplode(F.array(*map(F.lit, names))).alias("modulation", "name"))
     return V.iq_samples(spark, sf_dir).join(F.broadcast(dim), "modulation").select("vec_id", "modulation", "name")
 
 
-@query("SELECT bool_and(list_bool_and(list_transform(i, lambda x: isfinite(x))) AND list_bool_and(list_transform(q, lambda x: isfinite(x)))) AS finite, count(*) AS n, count(DISTINCT (modulation, snr_db)) AS cells, bool_and(len(i) = 32 AND len(q) = 32) AS shaped FROM iq", "iq")
+@query("""SELECT bool_and(list_bool_and(list_transform(i, lambda x: isfinite(x))) AND list_bool_and(list_transform(q,
+  lambda x: isfinite(x)))) AS finite, count(*) AS n, count(DISTINCT (modulation, snr_db)) AS cells, bool_and(len(i) = 32
+  AND len(q) = 32) AS shaped FROM iq""", "iq")
 def table_audit(spark, sf_dir):
     return quality.audit(V.iq_samples(spark, sf_dir), 32)

@@ -20,14 +20,16 @@ def exact_duplicates_text(spark, sf_dir):
     return dedup.groups(_digested(spark, sf_dir), "digest", "doc_id")
 
 
-@query("SELECT count(*) AS distinct_hashes, coalesce(sum(n - 1), 0)::bigint AS beyond_first FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)")
+@query("""SELECT count(*) AS distinct_hashes, coalesce(sum(n - 1), 0)::bigint AS beyond_first FROM (SELECT count(*) AS n FROM documents
+  GROUP BY text HAVING count(*) > 1)""")
 def duplicate_summary(spark, sf_dir):
     return dedup.summary(_digested(spark, sf_dir), "digest", "doc_id")
 
 
 @query("""WITH s AS (SELECT text, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split FROM documents),
 g AS (SELECT count(*) AS n, count(DISTINCT split) AS k FROM s GROUP BY text HAVING count(*) > 1)
-SELECT count(*) FILTER (k > 1) AS across, count(*) FILTER (k = 1) AS within, coalesce(sum(n), 0)::bigint AS rows, count(*) FILTER (k > 1) = 0 AS passed FROM g""")
+SELECT count(*) FILTER (k > 1) AS across, count(*) FILTER (k = 1) AS within, coalesce(sum(n), 0)::bigint AS rows,
+  count(*) FILTER (k > 1) = 0 AS passed FROM g""")
 def cross_split_leakage(spark, sf_dir):
     k = F.col("doc_id") % 10
     s = _digested(spark, sf_dir).withColumn("split", F.when(k < 7, "train").when(k < 8, "validation").otherwise("test"))
@@ -51,9 +53,12 @@ def float_duplicate_audit(spark, sf_dir):
 
 
 PAIRS = """w AS (SELECT vec_id, i, q, sqrt(list_sum(list_transform(i, lambda x: x::double * x)) + list_sum(list_transform(q, lambda x: x::double * x))) AS nn FROM (FROM iq ORDER BY vec_id LIMIT 64)),
-k AS (SELECT unnest(range(32))::int AS k), rolled AS (SELECT vec_id, k, nn, list_concat(i[33-k:32], i[1:32-k]) AS i, list_concat(q[33-k:32], q[1:32-k]) AS q FROM w, k),
-z AS (SELECT a.vec_id AS l, b.vec_id AS r, list_sum(list_transform(list_zip(a.i, b.i), lambda x: x[1]::double * x[2])) + list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1]::double * x[2])) AS re,
-  list_sum(list_transform(list_zip(a.i, b.q), lambda x: x[1]::double * x[2])) - list_sum(list_transform(list_zip(a.q, b.i), lambda x: x[1]::double * x[2])) AS im, a.nn * b.nn AS norm FROM w a JOIN rolled b ON a.vec_id < b.vec_id),
+k AS (SELECT unnest(range(32))::int AS k), rolled AS (SELECT vec_id, k, nn, list_concat(i[33-k:32], i[1:32-k]) AS i, list_concat(q[33-k:32],
+  q[1:32-k]) AS q FROM w, k),
+z AS (SELECT a.vec_id AS l, b.vec_id AS r, list_sum(list_transform(list_zip(a.i, b.i),
+  lambda x: x[1]::double * x[2])) + list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1]::double * x[2])) AS re,
+  list_sum(list_transform(list_zip(a.i, b.q), lambda x: x[1]::double * x[2])) - list_sum(list_transform(list_zip(a.q, b.i),
+  lambda x: x[1]::double * x[2])) AS im, a.nn * b.nn AS norm FROM w a JOIN rolled b ON a.vec_id < b.vec_id),
 pr AS (SELECT l AS "left", r AS "right", least(max(sqrt(re * re + im * im) / norm), 1) AS score FROM z GROUP BY ALL)"""
 
 
@@ -69,7 +74,8 @@ def circular_correlation_pairs(spark, sf_dir):
 
 @query(f"""WITH {PAIRS}, f AS (SELECT "left", "right" FROM pr WHERE score >= 0.5), e AS (SELECT "left", "right" FROM pr WHERE score >= 0.55 OR ("left" = 0 AND "right" = 1)),
 j AS (SELECT f."left" AS fl, e."left" AS el FROM f FULL JOIN e ON f."left" = e."left" AND f."right" = e."right")
-SELECT count(fl) AS found, count(el) AS expected, count(*) FILTER (fl IS NOT NULL AND el IS NOT NULL) AS true_pairs, count(*) FILTER (fl IS NULL) AS missed, count(*) FILTER (el IS NULL) AS false_pairs,
+SELECT count(fl) AS found, count(el) AS expected, count(*) FILTER (fl IS NOT NULL AND el IS NOT NULL) AS true_pairs,
+  count(*) FILTER (fl IS NULL) AS missed, count(*) FILTER (el IS NULL) AS false_pairs,
   round(count(*) FILTER (fl IS NOT NULL AND el IS NOT NULL) / count(el), 9) AS recall FROM j""", "iq")
 def threshold_pairs(spark, sf_dir):
     p = _pairs(spark, sf_dir)
@@ -83,23 +89,28 @@ def score_summary(spark, sf_dir):
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT score, ("left" + "right") % 5 = 0 AND score > 0.4 AS positive FROM pr), t AS (SELECT floor(min(score) * 1e12) / 1e12 AS t FROM s WHERE positive)
-SELECT round(any_value(t), 9) AS threshold, avg((score >= t)::int) FILTER (positive) AS recall, round(avg((score >= t)::int) FILTER (NOT positive), 9) AS false_rate,
+SELECT round(any_value(t), 9) AS threshold, avg((score >= t)::int) FILTER (positive) AS recall,
+  round(avg((score >= t)::int) FILTER (NOT positive), 9) AS false_rate,
   avg((score >= t)::int) FILTER (positive) >= 1 AND avg((score >= t)::int) FILTER (NOT positive) <= 0.001 AS passed FROM s, t""", "iq")
 def calibration_threshold(spark, sf_dir):
     s = _pairs(spark, sf_dir).select("score", ((F.col("left") + F.col("right")) % 5 == 0).alias("p")).select("score", (F.col("p") & (F.col("score") > 0.4)).alias("positive"))
     return dedup.calibrate(s).select(F.round("threshold", 9).alias("threshold"), "recall", F.round("false_rate", 9).alias("false_rate"), "passed")
 
 
-@query(f"WITH {PAIRS} SELECT sha256('{{\"left\":' || \"left\" || ',\"right\":' || \"right\" || ',\"score\":\"' || printf('%.6f', score) || '\"}}') AS digest, \"left\", \"right\" FROM pr", "iq")
+@query(f"""WITH {PAIRS} SELECT sha256('{{\"left\":' || \"left\" || ',\"right\":' || \"right\" || ',\"score\":\"' || printf('%.6f',
+  score) || '\"}}') AS digest, \"left\", \"right\" FROM pr""", "iq")
 def pair_digest(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     return p.select(F.sha2(F.to_json(F.struct("left", "right", F.format_string("%.6f", "score").alias("score"))), 256).alias("digest"), "left", "right")
 
 
 @query("""WITH w AS (SELECT vec_id, modulation, snr_db, source_index, i, q, sqrt(list_sum(list_transform(i, lambda x: x::double * x)) + list_sum(list_transform(q, lambda x: x::double * x))) AS nn FROM iq),
-k AS (SELECT unnest(range(32))::int AS k), rolled AS (SELECT vec_id, modulation, snr_db, nn, k, list_concat(i[33-k:32], i[1:32-k]) AS i, list_concat(q[33-k:32], q[1:32-k]) AS q FROM w, k WHERE source_index = 0),
-z AS (SELECT a.vec_id AS l, b.vec_id AS r, list_sum(list_transform(list_zip(a.i, b.i), lambda x: x[1]::double * x[2])) + list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1]::double * x[2])) AS re,
-  list_sum(list_transform(list_zip(a.i, b.q), lambda x: x[1]::double * x[2])) - list_sum(list_transform(list_zip(a.q, b.i), lambda x: x[1]::double * x[2])) AS im, a.nn * b.nn AS norm
+k AS (SELECT unnest(range(32))::int AS k), rolled AS (SELECT vec_id, modulation, snr_db, nn, k, list_concat(i[33-k:32], i[1:32-k]) AS i,
+  list_concat(q[33-k:32], q[1:32-k]) AS q FROM w, k WHERE source_index = 0),
+z AS (SELECT a.vec_id AS l, b.vec_id AS r, list_sum(list_transform(list_zip(a.i, b.i),
+  lambda x: x[1]::double * x[2])) + list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1]::double * x[2])) AS re,
+  list_sum(list_transform(list_zip(a.i, b.q), lambda x: x[1]::double * x[2])) - list_sum(list_transform(list_zip(a.q, b.i),
+  lambda x: x[1]::double * x[2])) AS im, a.nn * b.nn AS norm
   FROM w a JOIN rolled b ON a.modulation = b.modulation AND a.snr_db = b.snr_db AND a.vec_id <> b.vec_id)
 SELECT l AS "left", r AS "right", round(least(max(sqrt(re * re + im * im) / norm), 1), 9) AS score FROM z GROUP BY ALL""", "iq")
 def correlation_fft(spark, sf_dir):
@@ -111,7 +122,8 @@ def correlation_fft(spark, sf_dir):
 
 
 @query("""WITH j AS (SELECT unnest(range(16))::int AS j), d AS (SELECT vec_id, j, sha256('pos' || vec_id || ':' || (j // 8)) AS h, (j % 8) * 8 AS o FROM embeddings, j),
-v AS (SELECT vec_id, j, ('0x' || substr(h, o + 7, 2) || substr(h, o + 5, 2) || substr(h, o + 3, 2) || substr(h, o + 1, 2))::bigint / 4294967295.0::double * 2 - 1 AS x FROM d)
+v AS (SELECT vec_id, j, ('0x' || substr(h, o + 7, 2) || substr(h, o + 5, 2) || substr(h, o + 3, 2) || substr(h,
+  o + 1, 2))::bigint / 4294967295.0::double * 2 - 1 AS x FROM d)
 SELECT vec_id, round(min(x), 9) AS lowest, round(max(x), 9) AS highest, round(sum(x), 7) AS total FROM v GROUP BY ALL""")
 def counter_samples(spark, sf_dir):
     a = V.table(spark, sf_dir, "embeddings").select("vec_id", A.counter_samples(F.concat(F.lit("pos"), F.col("vec_id").cast("string")), 16).alias("a"))
@@ -146,7 +158,8 @@ def nll_brier(spark, sf_dir):
     return calibration.losses(calibration.probabilities(V.logits(spark, sf_dir)), V.CLASSES)
 
 
-@query("SELECT vec_id, (list_position(l, list_max(l)) - 1)::int AS pred, round(list_max(p), 9) AS confidence, round(list_sum(p), 6) AS total FROM probs", "probs")
+@query("""SELECT vec_id, (list_position(l, list_max(l)) - 1)::int AS pred, round(list_max(p), 9) AS confidence,
+  round(list_sum(p), 6) AS total FROM probs""", "probs")
 def softmax_top(spark, sf_dir):
     p = calibration.probabilities(V.logits(spark, sf_dir))
     return p.select("vec_id", "pred", F.round("confidence", 9).alias("confidence"), F.round(A.total(F.col("p")), 6).alias("total"))
@@ -160,7 +173,8 @@ def one_hot_roundtrip(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT vec_id, -ln(greatest(p[target + 1], 1e-12)) AS ce, (l[1] + 1) / 19 - (snr_db + 1) / 19.0::double AS d FROM probs)
-SELECT round(avg(ce), 9) AS ce, round(avg(CASE WHEN abs(d) < 1 THEN 0.5 * d * d ELSE abs(d) - 0.5 END), 9) AS snr_loss, round(avg(ce + 0.1 * CASE WHEN abs(d) < 1 THEN 0.5 * d * d ELSE abs(d) - 0.5 END), 9) AS joint FROM d""", "probs")
+SELECT round(avg(ce), 9) AS ce, round(avg(CASE WHEN abs(d) < 1 THEN 0.5 * d * d ELSE abs(d) - 0.5 END), 9) AS snr_loss, round(avg(ce + 0.1 *
+  CASE WHEN abs(d) < 1 THEN 0.5 * d * d ELSE abs(d) - 0.5 END), 9) AS joint FROM d""", "probs")
 def joint_loss(spark, sf_dir):
     p = calibration.probabilities(V.logits(spark, sf_dir))
     scaled = lambda x: (x + 1) / 19

@@ -23,7 +23,8 @@ def csv_roundtrip(spark, sf_dir):
     return scans.csv_rows(spark, path, "l_linestatus string, n long, quantity double")
 
 
-@query("SELECT c.target::varchar AS target, p::varchar AS pred, count(pred) FILTER (pred = p) AS n FROM c, (SELECT unnest(range(10)) AS p) GROUP BY ALL", "c")
+@query("""SELECT c.target::varchar AS target, p::varchar AS pred, count(pred) FILTER (pred = p) AS n FROM c, (SELECT unnest(range(10)) AS p)
+  GROUP BY ALL""", "c")
 def matrix_csv_roundtrip(spark, sf_dir):
     """S31, K06."""
     labels = [str(k) for k in range(V.CLASSES)]
@@ -61,7 +62,9 @@ def metrics_scan(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'broken' ELSE event_id::varchar END AS commit, event_id % 11 = 0 AS cut, event_id % 3 = 0 AS other, event_id % 5 = 0 AS late, event_id % 7 = 0 AS blank FROM events),
-f AS (SELECT CASE WHEN cut THEN 'unknown' ELSE commit END AS commit, unnest(list_filter([CASE WHEN cut THEN 'unparseable' END, CASE WHEN NOT cut AND other THEN 'author_email' END, CASE WHEN NOT cut AND late THEN 'author_date' END, CASE WHEN NOT cut AND blank THEN 'name' END], lambda x: x IS NOT NULL)) AS issue FROM e)
+f AS (SELECT CASE WHEN cut THEN 'unknown' ELSE commit END AS commit, unnest(list_filter([CASE WHEN cut THEN 'unparseable' END, CASE
+  WHEN NOT cut AND other THEN 'author_email' END, CASE WHEN NOT cut AND late THEN 'author_date' END, CASE WHEN NOT cut
+  AND blank THEN 'name' END], lambda x: x IS NOT NULL)) AS issue FROM e)
 SELECT commit, issue FROM f""")
 def history_audit(spark, sf_dir):
     """An exported commit log, framed by control characters."""
@@ -93,7 +96,8 @@ def preprocess_raw(spark, sf_dir):
     return V.iq_samples(spark, sf_dir).select("vec_id", A.raw(F.col("i"))[0].alias("first"), F.size(A.raw(F.col("q"))).alias("n"))
 
 
-@query("""SELECT item_id, sha256('{"id":' || item_id || ',"text":"' || text || '"}') AS digest FROM benchmark WHERE NOT regexp_matches(text, '["\\\\\\x00-\\x1f\\x7f]')""")
+@query("""SELECT item_id, sha256('{"id":' || item_id || ',"text":"' || text || '"}') AS digest FROM benchmark
+  WHERE NOT regexp_matches(text, '["\\\\\\x00-\\x1f\\x7f]')""")
 def json_row_digest(spark, sf_dir):
     """H03, of texts that JSON writes as they are."""
     b = V.table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r'["\\\x00-\x1f\x7f]'))
@@ -128,7 +132,8 @@ def content_digest(spark, sf_dir):
 
 
 @query(f"""WITH k AS (SELECT split, vec_id, (row_number() OVER (PARTITION BY split ORDER BY vec_id) - 1) // {I.BLOCK_ROWS} AS b FROM split),
-d AS (SELECT split, b, count(*) AS n, sha256(list_reduce(list({_LEN.format("vec_id")} ORDER BY vec_id), lambda x, y: x || y)) AS h FROM k GROUP BY ALL)
+d AS (SELECT split, b, count(*) AS n, sha256(list_reduce(list({_LEN.format("vec_id")} ORDER BY vec_id), lambda x, y: x || y)) AS h FROM k
+  GROUP BY ALL)
 SELECT split, sum(n)::bigint AS n, sha256({_LEN.format("strlen(split)")} || encode(split) || {_LEN.format("sum(n)::bigint")} || list_reduce(list(unhex(h) ORDER BY b), lambda x, y: x || y)) AS digest FROM d GROUP BY split""", "split")
 def assignment_digest(spark, sf_dir):
     """H06."""
@@ -140,9 +145,11 @@ e AS (SELECT model, seed FROM models, seeds WHERE seed <> 137)"""
 
 
 @query(f"""WITH {QUEUE}, a AS (SELECT model, seed, list_filter([CASE WHEN model = 'm3' AND seed = 13 THEN 'bindings' END, CASE WHEN seed = 101 AND model = 'm1' THEN 'test_access' END, CASE WHEN model = 'm2' AND seed = 13 THEN 'checkpoint' END,
-  CASE WHEN model = 'm3' AND seed = 37 THEN 'last_state' END, CASE WHEN model = 'm2' AND seed = 37 THEN 'score' END, CASE WHEN model = 'm3' AND seed = 101 THEN 'epochs' END, CASE WHEN model = 'm3' AND seed IN (73, 101) THEN 'history' END,
+  CASE WHEN model = 'm3' AND seed = 37 THEN 'last_state' END, CASE WHEN model = 'm2' AND seed = 37 THEN 'score' END, CASE WHEN model = 'm3'
+  AND seed = 101 THEN 'epochs' END, CASE WHEN model = 'm3' AND seed IN (73, 101) THEN 'history' END,
   CASE WHEN model = 'm1' AND seed = 37 THEN 'repeated' END, CASE WHEN seed = 137 THEN 'unexpected' END], lambda x: x IS NOT NULL) AS i FROM t)
-SELECT model, seed, array_to_string(i, ',') AS issues FROM a UNION ALL SELECT model, seed, 'missing' FROM (SELECT model, seed FROM e EXCEPT SELECT model, seed FROM t)""", "c")
+SELECT model, seed, array_to_string(i, ',') AS issues FROM a UNION ALL SELECT model, seed, 'missing' FROM (SELECT model, seed
+  FROM e EXCEPT SELECT model, seed FROM t)""", "c")
 def queue_audit(spark, sf_dir):
     """A queue of runs with one fault of each kind."""
     at = lambda m, *s: (F.col("model") == m) & F.col("seed").isin(*s)
