@@ -21,7 +21,7 @@ from .common import U64, Words, bucketed, components, drop_path, mix, new_path,
 #: Words of an n-gram; two sets are linked where BELOW * |both| >= ABOVE * |either|.
 WORDS, ABOVE, BELOW = 4, 85, 100
 #: Sizes of a band grow by this factor; documents of a block that are compared within one task.
-BAND, BLOCK = 1.5, 8192
+BAND, BLOCK = 1.5, 2048
 #: Forests of a group that are verified at once when its groups of documents are gone over again; bits per n-gram, at least, of
 #: the fine sketch of a pair's second test.
 WIDTH, FINE = 4, 8
