@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, decontamination, embeddings, jaccard, packing, quality, sharding, sql, substrings, toxicity
+from . import archive, chat, decontamination, embeddings, importance, jaccard, packing, quality, secrets, sharding, sql, substrings, toxicity, whitening
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,11 +82,32 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw that resembles the benchmark texts."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the first 16 whitened components; deviation is null where it is beyond 64 bits."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.report(read(spark, sf_dir, "documents"), tokenizer_file())
+
+
+OPERATORS = (
+    op1_toxicity, op2_packing, op3_quality, op4_warc, op5_decontamination, op6_sharding, op7_embeddings,
+    op8_chat, op9_substrings, op10_jaccard, op11_importance, op12_whitening, op13_secrets,
+)
+
+
 def queries() -> dict[str, Query]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_warc, op5_decontamination, op6_sharding, op7_embeddings, op8_chat, op9_substrings, op10_jaccard)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express on whole tables."""
-    return {"op4_warc": sql.WARC, "op6_sharding": sql.SHARDING, "op8_chat": sql.CHAT}
+    return {"op4_warc": sql.WARC, "op6_sharding": sql.SHARDING, "op8_chat": sql.CHAT, "op11_importance": sql.IMPORTANCE}

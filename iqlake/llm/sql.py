@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .archive import REVISIT_BYTES
 from .chat import NARRATORS
+from .importance import BUCKETS, LEAST_WORDS, PERCENT, SEED
 from .sharding import HASH_BITS, SHARD_BYTES, SLACK_BITS
 
 WARC = f"""
@@ -45,3 +46,28 @@ SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_tra
   string_agg(a::varchar || '-' || (a + length(body))::varchar, ';' ORDER BY rn) FILTER (own) AS mask
 FROM z GROUP BY conv_id, lone, participant
 """
+
+# CRC-32 byte by byte: the table's 256 entries by eight steps each, then one step per byte of a feature
+IMPORTANCE = f"""
+WITH tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+docs AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents),
+texts AS (SELECT side, row, text FROM docs UNION ALL SELECT 'b', row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT side, row, unnest(w) AS f FROM w
+  UNION ALL SELECT side, row, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT side, row, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM runs)),
+hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(f) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint)),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {BUCKETS} AS b FROM bytes, tab),
+k AS (SELECT side, row, b FROM runs JOIN hashed USING (f)),
+n AS (SELECT b, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM k GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((t + 1)::double * ((SELECT sum(s) FROM n)::double + {BUCKETS}) / ((s + 1)::double * ((SELECT sum(t) FROM n)::double + {BUCKETS}))))::bigint AS gain FROM n),
+x AS (SELECT row, count(*) AS n, sum(gain)::bigint AS weight FROM k JOIN g USING (b) WHERE side = 'd' GROUP BY row),
+y AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= {LEAST_WORDS} AS able,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint AS score
+  FROM docs LEFT JOIN x USING (row) JOIN (SELECT row, w FROM w WHERE side = 'd') USING (row)),
+z AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, n_features DESC, weight DESC) AS r FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= {PERCENT} * (SELECT count(*) FROM y WHERE able) // 100 THEN r END AS rank FROM z
+"""
