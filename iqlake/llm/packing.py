@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,15 +30,14 @@ def encoder(path: str, added: bool = True):
 
     The file's own vocabulary is handed to tiktoken, whose merging gives the same ids (tests hold them against each other)
     in about a quarter of the time. The file's added tokens are found in a text first and get their own ids, as ``tokenizers``
-    does by default; without ``added`` their strings are ordinary text.
+    does by default; without ``added`` their strings are ordinary text. Texts that are beyond tiktoken's pattern matching, which
+    goes back along runs of about a million white-space characters, are given to ``tokenizers`` itself.
     """
-    import json
-
     import tiktoken
+    from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
-    with open(path, encoding="utf-8") as f:
-        file = json.load(f)
+    file = _content(path)
     special = {t["content"]: t["id"] for t in file["added_tokens"]}
     if added and any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
         raise ValueError(f"{path} has added tokens that take more than their own string")
@@ -47,10 +46,33 @@ def encoder(path: str, added: bool = True):
     plain = [ord(c) for c in alphabet if ord(c) < 256]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
-    if not added:
-        return tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    encoding = tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encoding.encode(text, allowed_special="all")
+    encoding = tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special if added else {})
+
+    @cache
+    def slow() -> Tokenizer:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = not added
+        return tokenizer
+
+    def encode(text: str) -> list[int]:
+        try:
+            return encoding.encode(text, allowed_special="all")
+        except ValueError:
+            return slow().encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
+@cache
+def _content(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def id_type(path: str) -> np.dtype:
+    """The unsigned little-endian type that all ids of a file fit: 16 bits, or 32 for large vocabularies."""
+    file = _content(path)
+    return np.dtype("<u2" if max([*file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"])]) < 1 << 16 else "<u4")
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, added: bool = True) -> DataFrame:
@@ -59,11 +81,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, added: bool = Tru
     ``before`` is the number of ids of earlier rows of the same partition, numbered ``part``. A null text is empty.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, encode = TaskContext.get().partitionId(), 0, encoder(path, added)
+        part, before, encode, kind = TaskContext.get().partitionId(), 0, encoder(path, added), id_type(path)
         for batch in batches:
             for step in steps(batch, most=1 << 20):
-                ids = [array("H", [*encode(t or ""), end_id]).tobytes() for t in step.column(1).to_pylist()]
-                n = np.array([len(x) // 2 for x in ids], np.int64)
+                ids = [np.array([*encode(t or ""), end_id], kind).tobytes() for t in step.column(1).to_pylist()]
+                n = np.array([len(x) // kind.itemsize for x in ids], np.int64)
                 at = before + np.r_[0, np.cumsum(n)[:-1]]
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int64)), pa.array(at), step.column(0), pa.array(n), pa.array(ids, pa.binary())], names=["part", "before", "doc_id", "doc_tokens", "ids"])
@@ -79,7 +101,7 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END
     stream and is cut where a multiple of ``sequence`` falls, so there is no shuffle. Only the last sequence can be short.
 
     Columns: doc_id, start, length, ids_crc32 (of unsigned 32-bit little-endian ids), doc_tokens, sequence_id, offset, boundary
-    (true where the cut at the piece's end is inside its document), ids (16-bit). Order of documents is that of the input
+    (true where the cut at the piece's end is inside its document), ids (in ``id_type``). Order of documents is that of the input
     partitions; repeated doc_ids are separate documents; a null text gives the end id alone; no rows give no rows.
     ``added``: see ``encoder``.
     """
@@ -89,14 +111,15 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END
     offsets = docs.sparkSession.createDataFrame([(p, int(s)) for (p, _), s in zip(totals, starts, strict=True)], "part long, at long")
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
+        rows, kind = [], id_type(path)
+        size = kind.itemsize
         for at, doc, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            wide = np.frombuffer(raw, np.uint16).astype("<u4").tobytes()
+            wide = np.frombuffer(raw, kind).astype("<u4").tobytes()
             start = 0
             while start < n:
                 seq, off = divmod(at + start, sequence)
                 k = min(sequence - off, n - start)
-                rows.append((doc, start, k, zlib.crc32(wide[4 * start : 4 * (start + k)]), n, seq, off, start + k < n, raw[2 * start : 2 * (start + k)]))
+                rows.append((doc, start, k, zlib.crc32(wide[4 * start : 4 * (start + k)]), n, seq, off, start + k < n, raw[size * start : size * (start + k)]))
                 start += k
         types = (*[pa.int64()] * 7, pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in _PIECES.split(", ")])
