@@ -17,34 +17,42 @@ SLACK_BITS = 6
 SHARD_BYTES = 1 << 20
 
 
+def _fitting(sizes: DataFrame, by: str, bits: int, first: int, last: int, limit: int) -> DataFrame:
+    """(by, depth, prefix, b, n): the bucket of fewest bits, ``first`` to ``last``, that holds the first ``bits`` bits in the
+    column ``by`` and fits; without a row where none does. ``sizes`` (by, b, n) holds each value once."""
+    levels = sizes.select(by, "b", "n", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("depth"))
+    levels = levels.withColumn("prefix", F.expr(f"shiftright({by}, {bits} - depth)"))
+    fits = stored(levels.groupBy("depth", "prefix").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).where(F.col("b") <= limit), "fits")
+    # no bucket above this depth fits: without those levels, few leaves share a bucket that is looked up
+    least = fits.agg(F.min("depth")).first()[0]
+    found = levels.drop("b", "n").where(F.col("depth") >= (first if least is None else least)).join(fits, ["depth", "prefix"])
+    return found.groupBy(by).agg(F.min(F.struct("depth", "prefix", "b", "n")).alias("d")).select(by, "d.*")
+
+
 def _assigned(rows: DataFrame, limit: int) -> DataFrame:
     """``rows`` (key, bytes, hash and whatever else) with depth, prefix, part, shard_bytes, shard_rows."""
     if limit < 2:
         raise ValueError("limit must be at least 2 bytes")
     total = rows.agg(F.sum("bytes")).first()[0] or 0
-    deepest = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SLACK_BITS)
-    rows = rows.withColumn("leaf", F.shiftright("hash", HASH_BITS - deepest))
-
-    leaves = stored(rows.groupBy("leaf").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")), "leaves")
-    levels = leaves.select("leaf", "b", "n", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("depth"))
-    prefix = F.expr(f"shiftright(leaf, {deepest} - depth)")
-    sizes = levels.groupBy("depth", prefix.alias("prefix")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
-    fits = stored(sizes.where((F.col("b") <= limit) | (F.col("depth") == deepest)), "fits")
-    # no bucket above this depth fits: without those levels, few leaves share a bucket that is looked up
-    least = fits.agg(F.min("depth")).first()[0] or 0
-    directory = (
-        levels.where(F.col("depth") >= least)
-        .select("leaf", "depth", prefix.alias("prefix"))
-        .join(fits, ["depth", "prefix"])
-        .groupBy("leaf")
-        .agg(F.min(F.struct("depth", "prefix", "b", "n")).alias("d"))
-        .select("leaf", "d.*")
-    )
-    placed = rows.join(directory, "leaf").drop("leaf", "hash")
-    whole = placed.where(F.col("b") <= limit).withColumn("part", F.lit(0).cast("long")).withColumnsRenamed({"b": "shard_bytes", "n": "shard_rows"})
-    if directory.where(F.col("b") > limit).isEmpty():
+    first = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SLACK_BITS)
+    rows = rows.withColumn("leaf", F.shiftright("hash", HASH_BITS - first))
+    sums = F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")
+    leaves = stored(rows.groupBy("leaf").agg(*sums, F.min("hash").alias("low"), F.max("hash").alias("high")), "leaves")
+    names = {"b": "shard_bytes", "n": "shard_rows"}
+    whole = rows.join(_fitting(leaves, "leaf", first, 0, first, limit), "leaf").withColumn("part", F.lit(0).cast("long")).withColumnsRenamed(names)
+    out = ["depth", "prefix", "part", "shard_bytes", "shard_rows"]
+    columns = [*(c for c in rows.columns if c not in ("hash", "leaf")), *out]
+    whole, over = whole.select(columns), leaves.where(F.col("b") > limit).select("leaf", (F.col("low") < F.col("high")).alias("mixed"))
+    if over.isEmpty():
         return whole
-    return whole.unionByName(_parts(placed.where(F.col("b") > limit).drop("b", "n"), limit))
+    # only the directory of overfull leaves grows, by all bits that are left
+    over = rows.join(over, "leaf").drop("leaf")
+    sizes = stored(over.where("mixed").groupBy("hash").agg(*sums), "hashes")
+    deeper = _fitting(sizes, "hash", HASH_BITS, min(first + 1, HASH_BITS), HASH_BITS, limit)
+    split = over.join(deeper, "hash").withColumn("part", F.lit(0).cast("long")).withColumnsRenamed(names).select(columns)
+    # what all bits can't split has equal keys or is one row
+    alone = over.join(deeper.select("hash"), "hash", "left_anti").drop("mixed").withColumn("depth", F.lit(HASH_BITS)).withColumnRenamed("hash", "prefix")
+    return whole.unionByName(split).unionByName(_parts(alone, limit).select(columns))
 
 
 def _parts(over: DataFrame, limit: int) -> DataFrame:
@@ -73,12 +81,13 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
     """Give every row a shard of at most ``limit`` bytes of text.
 
     The directory is indexed by the first ``depth`` bits of a hash of the key. A bucket over its limit is split on the next
-    bit, and only such buckets are. Sizes of all depths come from one aggregate of the deepest level, so nothing is read
-    once per split.
+    bit, and only such buckets are. Sizes of all depths come from one aggregate of the level at which an even load would have
+    2^SLACK_BITS leaves a shard, and another over the keys of the leaves that are overfull there, so nothing is read once per
+    split.
 
-    Returns (key, bytes, depth, prefix, part, shard_bytes, shard_rows). ``part`` is 0 but in buckets that no further bit can
-    split (equal keys, or rows over half the limit at the deepest level): there, rows are cut into parts by a running total,
-    which keeps a part within the limit unless one row is larger than it; a row over half the limit has a part of its own.
+    Returns (key, bytes, depth, prefix, part, shard_bytes, shard_rows). ``part`` is 0 but in buckets over the limit that none of
+    the HASH_BITS bits can split, i.e. of one key: there, rows are cut into parts by a running total, which keeps a part within
+    the limit unless one row is larger than it; a row over half the limit has a part of its own.
     Null text counts 0 bytes; a null key is hashed as the empty string. An empty table gives no rows. Other columns are not
     looked at.
     """

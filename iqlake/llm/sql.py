@@ -5,7 +5,7 @@ from __future__ import annotations
 from .archive import REVISIT_BYTES
 from .chat import NARRATORS
 from .importance import BUCKETS, LEAST_WORDS, PERCENT, SEED
-from .sharding import HASH_BITS, SHARD_BYTES, SLACK_BITS
+from .sharding import HASH_BITS, SHARD_BYTES
 
 WARC = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
@@ -16,16 +16,17 @@ SELECT page_id, b AS payload_bytes, d AS payload_digest,
 FROM m
 """
 
+# Parts of one key that is over the limit by itself have no fixed order, so they have a null part here and no size
 SHARDING = f"""
 WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::bigint AS bytes,
     ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint AS h FROM documents),
-g AS (SELECT (CASE WHEN sum(bytes) > {SHARD_BYTES} THEN ceil(log2(sum(bytes) / {SHARD_BYTES})) ELSE 0 END)::int + {SLACK_BITS} AS g FROM r),
-lev AS (SELECT unnest(range(0, (SELECT g FROM g) + 1)) AS depth),
+lev AS (SELECT unnest(range(0, {HASH_BITS} + 1)) AS depth),
 s AS (SELECT depth, h >> ({HASH_BITS} - depth)::int AS prefix, sum(bytes)::bigint AS b, count(*) AS n FROM r, lev GROUP BY 1, 2),
 ok AS (SELECT * FROM s WHERE b <= {SHARD_BYTES}),
-best AS (SELECT r.doc_id, r.bytes, r.h, min(ok.depth) AS depth FROM r JOIN ok ON ok.prefix = r.h >> ({HASH_BITS} - ok.depth)::int GROUP BY 1, 2, 3)
-SELECT best.doc_id, best.bytes, best.depth::int AS depth, ok.prefix, 0::bigint AS part, ok.b AS shard_bytes, ok.n AS shard_rows
-FROM best JOIN ok ON ok.depth = best.depth AND ok.prefix = best.h >> ({HASH_BITS} - best.depth)::int
+best AS (SELECT h, min(ok.depth) AS depth FROM (SELECT DISTINCT h FROM r), lev JOIN ok ON ok.depth = lev.depth AND ok.prefix = h >> ({HASH_BITS} - lev.depth)::int GROUP BY 1)
+SELECT r.doc_id, r.bytes, coalesce(best.depth, {HASH_BITS})::int AS depth, coalesce(ok.prefix, r.h) AS prefix, CASE WHEN ok.b IS NOT NULL THEN 0::bigint END AS part,
+  ok.b AS shard_bytes, ok.n AS shard_rows
+FROM r LEFT JOIN best ON best.h = r.h LEFT JOIN ok ON ok.depth = best.depth AND ok.prefix = r.h >> ({HASH_BITS} - best.depth)::int
 """
 
 _NARR = ", ".join(f"'{r}'" for r in NARRATORS)
