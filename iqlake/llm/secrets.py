@@ -162,8 +162,7 @@ def _cheapest(value: str, known: Words, given: Mapping[int, list[tuple[int, floa
     (``given``, by where it ends), so the work is linear in the value's length.
     """
     n, inf = len(value), math.inf
-    low = value.lower()
-    low = low if len(low) == n else value  # a few capitals have longer small forms; they are in no word
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)  # a few capitals have longer small forms
     plain = unsigned(low)
     best, brute = [0.0] + [inf] * n, inf
     pair = walk = inf  # the cheapest way that ends in an open walk of two characters, of three or more

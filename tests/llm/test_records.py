@@ -57,6 +57,27 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], docs.schema), public.path("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\r\n", " \n", "\u3000", "\u00a0 ", "mixed"])
+def test_long_white_space(blank):
+    run = "".join(random.Random(1).choices(" \t\n\r\u2003", k=1_000_000)) if blank == "mixed" else (blank * 1_000_000)[:1_000_000]
+    for text in (run, run + "a", "b" + run, f"x{run}y {run[:10]}z<|endoftext|>{run} 1"):
+        for added in (True, False):
+            plain = tokenizer()
+            plain.encode_special_tokens = not added
+            assert packing.encoder(public.path("byte_bpe_50k.json"), added)(text) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_large_vocabularies(spark, tmp_path):
+    import json
+
+    file = json.loads(open(public.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    file["added_tokens"].append({"id": 70_000, "content": "<|far|>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    (tmp_path / "t.json").write_text(json.dumps(file), encoding="utf-8")
+    docs = spark.createDataFrame([(1, "a<|far|>b")], "doc_id long, text string")
+    r = packing.pack(docs, str(tmp_path / "t.json")).collect()[0]
+    assert np.frombuffer(r.ids, "<u4").tolist() == [64, 70_000, 65, 1] and r.ids_crc32 == zlib.crc32(np.array([64, 70_000, 65, 1], "<u4").tobytes())
+
+
 def test_queries_give_the_ids_of_the_unmodified_file(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -159,6 +180,28 @@ def test_sharding(spark, limit):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string"), limit).count() == 0
 
 
+def test_overfull_buckets_are_split_to_the_last_bit(spark):
+    """Any two of these rows are over the limit together, so every one has a bucket of its own, however many bits that takes."""
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randrange(510, 600)) for i in range(3000)] + [(5000, "y" * 400)] * 7 + [(5001, "z" * 3000)] * 2
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 1000).collect()
+    assert all(r.part == 0 and r.shard_rows == 1 for r in got if r.doc_id < 5000)
+    assert len({(r.depth, r.prefix) for r in got if r.doc_id < 5000}) == 3000
+    assert max(r.depth for r in got if r.doc_id < 5000) > 12 + sharding.SLACK_BITS
+    same_key = [r for r in got if r.doc_id >= 5000]
+    assert len(same_key) == 9 and all(r.depth == sharding.HASH_BITS for r in same_key) and max(r.shard_bytes for r in same_key if r.doc_id == 5000) <= 1000
+    assert [r.shard_rows for r in same_key if r.doc_id == 5001] == [1, 1]
+
+
+def test_sharding_sql_splits_as_deep(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(400_000, 600_000)) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(queries.op6_sharding(spark, str(tmp_path)), con, queries.oracle_sql()["op6_sharding"])
+
+
 def test_write_shards(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sharding.write_shards(docs, f"{tmp_path}/s", 1 << 16).collect()
