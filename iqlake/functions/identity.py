@@ -1,4 +1,4 @@
-"""Stable ids, coordinates, keys and digests. Ids P01-P08, H02-H06, W02 of the survey."""
+"""Stable ids, coordinates, keys and digests. Ids P01-P08, H02-H05, W02 of the survey."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import numbered
-
 
 def sample_id(dataset: str, modulation: Column, snr: Column, index: Column, style: str = "%s") -> Column:
     """``dataset:modulation:+00:0000``; style ``%02d`` for numbered modulations. P01, P02."""
@@ -101,23 +99,6 @@ def source_digest(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return cells.groupBy(*by).agg(_in_order(F.collect_list(F.struct("modulation", "snr_db", raw.alias("raw")))).alias("digest"))
 
 
-#: Rows of an assignment that one block's digest covers.
-BLOCK_ROWS = 1 << 16
-
-
-def assignment_digest(assigned: DataFrame, key: str, split: str = "split") -> DataFrame:
-    """(split, n, digest): each split's sorted keys, as 8-byte numbers after the framed name and count. H06.
-
-    Keys are digested in blocks of BLOCK_ROWS by rank, and the digest is that of the blocks' digests in order, as no task
-    should see a whole split; it changes with any key, but isn't the digest of one long run of bytes.
-    """
-    ranked = numbered(assigned.select(split, F.col(key).cast("long").alias("key")), [split], ["key"], F.col("key"), "k")
-    blocks = ranked.groupBy(split, F.floor(F.col("k") / BLOCK_ROWS).alias("ord")).agg(F.count(F.lit(1)).alias("n"), _in_order(F.collect_list(F.struct("key", bytes_of(F.col("key")).alias("raw")))).alias("d"))
-    whole = blocks.groupBy(split).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("ord", F.unhex("d").alias("raw")))).alias("parts"))
-    head = F.concat(framed(F.col(split)), bytes_of(F.col("n")))
-    return whole.select(split, "n", F.sha2(F.concat(head, _joined(F.col("parts"))), 256).alias("digest"))
-
-
 def row_digest(row: Column) -> Column:
     """SHA-256 of a struct's JSON as UTF-8; its fields should be in the order of their names. H03 for rows."""
     return F.sha2(F.encode(F.to_json(row, {"ignoreNullFields": "false"}), "utf-8"), 256)

@@ -104,32 +104,3 @@ def pair_audit(found: DataFrame, expected: DataFrame, keys: Sequence[str] = ("le
     hit = F.col("_f").isNotNull() & F.col("_e").isNotNull()
     out = both.agg(F.count("_f").alias("found"), F.count("_e").alias("expected"), F.count_if(hit).alias("true_pairs"), F.count_if(F.col("_f").isNull()).alias("missed"), F.count_if(F.col("_e").isNull()).alias("false_pairs"))
     return out.withColumn("recall", F.when(F.col("expected") > 0, F.round(F.col("true_pairs") / F.col("expected"), 9)))
-
-
-#: Tokens at most of the run by which an item is looked up.
-RUN = 8
-
-
-def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, documents, first): how many documents hold an item's text anywhere in theirs, and the smallest doc_id of these.
-
-    An item's tokens between its first and last blank are whole tokens of each text that holds it. A hash of up to RUN of these
-    is the join key, and ``contains`` decides. Items without such tokens are compared with every document.
-    """
-    one = items.where("text is not null").groupBy("item_id", F.col("text").alias("item")).agg(F.count(F.lit(1)).alias("c"))
-    one = one.withColumn("w", F.split("item", " ", -1)).withColumn("size", F.least(F.size("w") - 2, F.lit(RUN)))
-    keyed = one.where("size > 0").select("item_id", "item", "c", "size", F.xxhash64(F.slice("w", F.lit(2), F.col("size"))).alias("key"))
-    texts = docs.select("doc_id", "text")
-    tokens = texts.select("doc_id", F.split("text", " ", -1).alias("w"))
-    cand = None
-    for (size,) in sorted(keyed.select("size").distinct().collect()):  # RUN rows at most
-        n = F.size("w") - size + 1
-        runs = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, F.lit(size)))))
-        found = tokens.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(keyed.where(F.col("size") == size), "key").select("doc_id", "item_id", "item", "c")
-        cand = found if cand is None else cand.union(found)
-    pairs = texts.join(one.where("size <= 0").select("item_id", "item", "c"), F.col("text").contains(F.col("item"))).select("doc_id", "item_id", "c")
-    if cand is not None:
-        # rows that share a doc_id are each looked at
-        cand = cand.distinct().withColumnRenamed("doc_id", "_d")
-        pairs = pairs.union(texts.join(cand, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("text").contains(F.col("item"))).select("doc_id", "item_id", "c"))
-    return pairs.groupBy("item_id").agg(F.sum("c").alias("documents"), F.min("doc_id").alias("first"))

@@ -12,13 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a chunk is meant to have, and chunks at most.
-ROWS, CHUNKS = 1 << 20, 4096
+#: Rows that a chunk is meant to have, and chunks at most; bytes of a table that isn't counted first, as it makes one chunk.
+ROWS, CHUNKS, SMALL = 1 << 20, 4096, 64 << 20
+
+
+def small(rows: DataFrame, most: int = SMALL) -> bool:
+    """Whether the optimiser's estimate of the rows' size is at most ``most`` bytes; no job runs for it."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
 
 
 def chunked(rows: DataFrame, position: Column, per: int | None = None) -> tuple[DataFrame, bool]:
     """(``rows`` with _chunk, whether there are several). Chunks ascend with ``position``, a number; null comes first."""
-    n = rows.count()
+    n = 0 if per is None and small(rows) else rows.count()
     k = min(CHUNKS, math.ceil(n / (per or ROWS)))
     at = F.coalesce(position.cast("double"), F.lit(float("-inf")))
     cuts = rows.agg(F.percentile_approx(at, F.array(*(F.lit(i / k) for i in range(1, k))), 100 * k)).first()[0] if k > 1 else None

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +58,38 @@ def selected_epoch(runs: DataFrame, by: list[str], order: list[str], score: str)
     return out.select(*by, "epochs", "best_epoch", F.round("_s", 6).alias("best_score"))
 
 
+@dataclass
+class Patience:
+    """How far a run has come: the best score and its place, stale epochs since, where it stopped (0: it hasn't), epochs seen."""
+
+    best: float = -math.inf
+    best_at: int = 0
+    stale: int = 0
+    stopped_at: int = 0
+    seen: int = 0
+
+    def fold(self, scores: np.ndarray, gain: float, most: int) -> Patience:
+        """Go on with the scores of the next epochs; NaN is a stale one. Runs of stale epochs are skipped over, not stepped through."""
+        at, n, width = 0, len(scores), 16
+        while at < n and not self.stopped_at:
+            better = scores[at : at + width] > self.best + gain
+            found = bool(better.any())
+            skip = int(better.argmax()) if found else len(better)
+            if self.stale + skip >= most:
+                self.stopped_at = self.seen + at + most - self.stale
+                self.stale = most
+                break
+            self.stale += skip
+            at += skip
+            if found:
+                at += 1
+                self.best, self.best_at, self.stale, width = float(scores[at - 1]), self.seen + at, 0, 16
+            else:
+                width *= 2
+        self.seen += n
+        return self
+
+
 def patience(runs: DataFrame, by: list[str], order: list[str], score: str, gain: float, most: int) -> DataFrame:
     """(by..., best, best_at, stale, stopped_at) of each run: an improvement is a gain of more than ``gain`` on the best so far,
     and the run stops after ``most`` stale epochs in a row; places count from 1, stopped_at 0 means that it ran to its end. A
@@ -65,27 +99,22 @@ def patience(runs: DataFrame, by: list[str], order: list[str], score: str, gain:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
+        key, state = None, Patience()
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, *state[:4]), out, strict=True)], schema=out)
+            values = (*key, state.best, state.best_at, state.stale, state.stopped_at)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
 
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True))
-            for k, x in zip(keys, batch.column(len(by)).to_pylist(), strict=True):
-                if k != key:
+            scores = batch.column(len(by)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b and keys[a] != key:
                     if key is not None:
                         yield row()
-                    key, state = k, [float("-inf"), 0, 0, 0, 0]
-                state[4] += 1
-                if state[3]:
-                    continue
-                if x is not None and x > state[0] + gain:
-                    state[:3] = [x, state[4], 0]
-                else:
-                    state[2] += 1
-                    if state[2] >= most:
-                        state[3] = state[4]
+                    key, state = keys[a], Patience()
+                state.fold(scores[a:b], gain, most)
         if key is not None:
             yield row()
 

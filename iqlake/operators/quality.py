@@ -53,7 +53,7 @@ def overall(rows: DataFrame) -> DataFrame:
 
 
 def in_order(report_rows: DataFrame, by: Sequence[str] = ("modulation", "snr_db")) -> DataFrame:
-    """A report's rows in canonical order. T04."""
+    """A report's rows in canonical order; ``sources.ordered_tables`` keeps tables of any size in one. T04."""
     return report_rows.orderBy(*by)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import skyline
 from . import views as V
 from .registry import query
 
@@ -202,9 +203,16 @@ SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.acc >= a.acc AND b.s
   AND (b.acc > a.acc OR b.size < a.size OR b.ms < a.ms))""", "c")
 def pareto_front(spark, sf_dir):
     a = V.checked(spark, sf_dir).where("model = 'm2'").groupBy(F.col("target").alias("modulation_id")).agg(F.round(F.avg("ok"), 6).alias("acc"), F.countDistinct("pred").alias("size"), F.sum(F.abs(F.col("pred") - F.col("target"))).alias("ms"))
-    b = F.broadcast(a.toDF("_m", "_acc", "_size", "_ms"))  # one row per class
-    better = F.expr("_acc >= acc and _size <= size and _ms <= ms and (_acc > acc or _size < size or _ms < ms)")
-    return a.join(b, better, "left_anti")
+    return skyline.front(a, ["size", "ms"], ["acc"])
+
+
+@query("""WITH p AS (SELECT l_discount AS d, l_tax AS t, min(l_extendedprice) AS e FROM lineitem GROUP BY ALL),
+f AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.e <= p.e AND b.t <= p.t AND b.d >= p.d AND (b.e < p.e OR b.t < p.t OR b.d > p.d)))
+SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, l_tax FROM lineitem JOIN f ON l_discount = d AND l_tax = t AND l_extendedprice = e""")
+def pareto_lineitems(spark, sf_dir):
+    """J13 over all lines: none is cheaper, less taxed and more discounted."""
+    rows = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    return skyline.front(rows, ["l_extendedprice", "l_tax"], ["l_discount"])
 
 
 @query("""WITH o AS (SELECT DISTINCT model, seed FROM r WHERE NOT (model = 'm2' AND seed = 73) UNION ALL SELECT 'm9', 13), e AS (SELECT model, seed FROM models, seeds)

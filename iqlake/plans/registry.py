@@ -16,6 +16,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         row_number() OVER (PARTITION BY label, vec_id % 10 ORDER BY vec_id) - 1 AS source_index,
         embedding[1:32] AS i, embedding[33:64] AS q FROM embeddings"""),
     "ids": (("iq",), "SELECT *, printf('emb:%02d:%+03d:%04d', modulation, snr_db, source_index) AS sample_id FROM iq"),
+    # a window's float32 bytes in hex, little-endian: sign, exponent and fraction by arithmetic
+    "fx": (("iq",), """SELECT vec_id, string_agg(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2), '' ORDER BY p) AS hx FROM (
+        SELECT vec_id, p, printf('%08x', CASE WHEN a = 0 THEN 0::bigint ELSE (x < 0)::bigint * 2147483648 + (e + 127)::bigint * 8388608 + ((a / pow(2.0, e) - 1) * 8388608)::bigint END) AS h FROM (
+        SELECT *, CASE WHEN a >= pow(2.0, e0 + 1) THEN e0 + 1 WHEN a < pow(2.0, e0) THEN e0 - 1 ELSE e0 END AS e FROM (
+        SELECT *, floor(log2(CASE WHEN a = 0 THEN 1 ELSE a END))::int AS e0 FROM (
+        SELECT *, abs(x::double) AS a FROM (SELECT vec_id, unnest(range(64)) AS p, unnest(list_concat(i, q)) AS x FROM iq))))) GROUP BY vec_id"""),
     "models": ((), "SELECT * FROM (VALUES ('m1', 'a'), ('m2', '8'), ('m3', 'c')) v(model, thr)"),
     "seeds": ((), "SELECT * FROM (VALUES (13), (37), (73), (101), (137)) v(seed)"),
     "rep0": (("models", "seeds"), """SELECT model, seed, vec_id, label AS target, ((vec_id % 10) * 2 - 10)::int AS snr_db, thr,

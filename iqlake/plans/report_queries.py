@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as T
-from ..operators import audit, decisions, interventions, ordered, progress, resample
+from ..operators import audit, decisions, digests, interventions, ordered, patterns, progress, resample
+from ..sources import sinks
+from ..streaming import patience
+from ..streaming import progress as stream
 from . import views as V
 from .registry import query
 
@@ -141,11 +144,32 @@ def selected_epoch(spark, sf_dir):
     return progress.selected_epoch(V.runs(spark, sf_dir), ["model", "seed_idx"], ["ts", "event_id"], "score")
 
 
-@query()
+PATIENCE = """SELECT model, seed_idx, best, best_at::int AS best_at, stale::int AS stale, stopped_at::int AS stopped_at{seen} FROM (
+WITH RECURSIVE n AS (SELECT model, seed_idx, score, row_number() OVER (PARTITION BY model, seed_idx ORDER BY ts, event_id) AS p, count(*) OVER (PARTITION BY model, seed_idx) AS all_of FROM runs),
+f AS (SELECT model, seed_idx, 0::bigint AS p, any_value(all_of) AS all_of, '-inf'::double AS best, 0::bigint AS best_at, 0::bigint AS stale, 0::bigint AS stopped_at FROM n GROUP BY ALL
+  UNION ALL SELECT f.model, f.seed_idx, n.p, f.all_of, CASE WHEN up AND open THEN n.score ELSE best END, CASE WHEN up AND open THEN n.p ELSE best_at END,
+    CASE WHEN NOT open THEN stale WHEN up THEN 0 ELSE stale + 1 END, CASE WHEN open AND NOT up AND stale + 1 >= 20 THEN n.p ELSE stopped_at END
+  FROM (SELECT *, stopped_at = 0 AS open FROM f) f JOIN n ON n.model = f.model AND n.seed_idx = f.seed_idx AND n.p = f.p + 1, LATERAL (SELECT coalesce(n.score > f.best + 0.5, false) AS up))
+SELECT * FROM f WHERE p = all_of)"""
+
+
+@query(PATIENCE.format(seen=""), "runs")
 def patience_stop(spark, sf_dir):
+    """W07 with a least gain and a limit of stale epochs."""
     return progress.patience(V.runs(spark, sf_dir), ["model", "seed_idx"], ["ts", "event_id"], "score", 0.5, 20)
 
 
+@query(PATIENCE.format(seen=", p::int AS seen"), "runs")
+def stream_patience(spark, sf_dir):
+    """W07 over the event log as a stream, with Spark's keyed state per run; the log is appended to in the order of time."""
+    log, order = sinks.scratch(spark, "log"), ["ts", "event_id"]
+    rows = digests.ranged_by(V.runs(spark, sf_dir), order, 1 << 20, least=3)
+    for r in sorted(x["_range"] for x in rows.select("_range").distinct().collect()):
+        rows.where(F.col("_range") == r).drop("_range").coalesce(1).write.mode("append").parquet(log)
+    events = stream.event_stream(spark, log, files_per_trigger=1)
+    return patience.follow(events, sinks.scratch(spark, "follow"), ["model", "seed_idx"], order, "score", 0.5, 20)
+
+
 @query("SELECT e::int AS epoch, round(0.001 * (1 + cos(e * pi() / 100)) / 2, 9) AS rate FROM (SELECT unnest(range(101)) AS e)")
 def cosine_schedule(spark, sf_dir):
     return spark.range(101).select(F.col("id").cast("int").alias("epoch"), F.round(progress.cosine_rate(0.001, F.col("id"), 100), 9).alias("rate"))
@@ -307,12 +331,27 @@ def independence_conclusion(spark, sf_dir):
     return decisions.independence(d)
 
 
-@query("""SELECT 'json' AS rule, event_id AS id, true AS decisive FROM events WHERE (props->>'k')::int > 95 UNION ALL SELECT 'text', doc_id,
-  false FROM documents WHERE contains(text, 'Licensed under')""")
+RULES = [
+    ("late", "events", "$.k", "above", "95", True), ("window", "events", "$.k", "above", "40", False), ("window", "events", "$.k", "below", "43", False),
+    ("no_key", "events", "$.none", "exists", None, True), ("licensed", "documents", None, "contains", "Licensed under", False),
+    ("both", "documents", None, "contains", "Licensed", True), ("both", "documents", None, "contains", "\n", True), ("the", "documents", None, "contains", "the", False),
+]
+_RULES = ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else "chr(10)" if x == "\n" else f"'{x}'" for x in r) + ")" for r in RULES)
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {_RULES}) v(rule, source, path, op, value, decisive)),
+t AS (SELECT 'events' AS source, event_id AS id, props::varchar AS text FROM events UNION ALL SELECT 'documents', doc_id, text FROM documents),
+h AS (SELECT c.*, id, text FROM c JOIN t USING (source) WHERE CASE op WHEN 'contains' THEN contains(text, value) WHEN 'exists' THEN json_exists(text, path)
+  WHEN 'above' THEN json_extract_string(text, path)::double > value::double ELSE json_extract_string(text, path)::double < value::double END),
+f AS (SELECT rule, source, id, bool_or(decisive) AS decisive, count(*) AS met, min(value) FILTER (op = 'contains') AS s, any_value(text) AS text FROM h GROUP BY ALL)
+SELECT rule, source, id, decisive, len(string_split(text[:position(s IN text) - 1], chr(10)))::int AS line
+FROM f JOIN (SELECT rule, count(*) AS n FROM c GROUP BY rule) USING (rule) WHERE met = n""")
 def evidence_rules(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").cast("int") > 95).select(F.lit("json").alias("rule"), F.col("event_id").alias("id"), F.lit(True).alias("decisive"))
-    d = V.table(spark, sf_dir, "documents").where(F.col("text").contains("Licensed under")).select(F.lit("text").alias("rule"), F.col("doc_id").alias("id"), F.lit(False).alias("decisive"))
-    return e.unionByName(d).orderBy(~F.col("decisive"), "rule", "id")
+    """Rules as rows, over the events' JSON and the documents' texts."""
+    rules = spark.createDataFrame(RULES, "rule string, source string, path string, op string, value string, decisive boolean")
+    e = V.table(spark, sf_dir, "events").select(F.lit("events").alias("source"), F.col("event_id").alias("id"), F.col("props").cast("string").alias("text"))
+    d = V.table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
+    return patterns.evidence(e.unionByName(d), rules)
 
 
 LAYERS = [("conv1", 64, 2, 7, 128, 1), ("conv2", 64, 64, 5, 64, 1), ("depthwise", 64, 64, 3, 64, 64), ("fc", 11, 64, 1, 1, 1)]

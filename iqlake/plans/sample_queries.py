@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import identity as I
 from ..operators import audit, quality, split
+from ..sources import ordered_tables
+from ..sources.sinks import scratch
 from . import views as V
 from .registry import query
 
@@ -136,6 +138,15 @@ def numeric_quality_cells(spark, sf_dir):
     return quality.cells(V.iq_samples(spark, sf_dir))
 
 
+@query("WITH q AS (" + Q_SQL.format(keys="modulation, snr_db,", group="GROUP BY modulation, snr_db") + ") SELECT row_number() OVER (ORDER BY modulation, snr_db) AS position, 0::bigint AS misplaced, * FROM q", "iq")
+def quality_in_order(spark, sf_dir):
+    """The report written in canonical order, numbered and checked as it is read."""
+    path = scratch(spark, "report")
+    ordered_tables.write_ordered(quality.cells(V.iq_samples(spark, sf_dir)), path, ["modulation", "snr_db"])
+    misplaced = ordered_tables.out_of_order(spark, path).agg(F.count(F.lit(1)).alias("misplaced"))
+    return ordered_tables.numbered_in_order(spark, path).crossJoin(F.broadcast(misplaced))  # one row
+
+
 @query(Q_SQL.format(keys="", group=""), "iq")
 def numeric_quality_global(spark, sf_dir):
     return quality.overall(V.iq_samples(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import calibration, dedup
+from ..operators import calibration, dedup, patterns, windows
 from . import views as V
 from .registry import query
 from .sample_queries import assigned
@@ -38,15 +38,17 @@ def cross_split_leakage(spark, sf_dir):
 
 @query("SELECT b.item_id, count(*) AS documents, min(d.doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL")
 def benchmark_containment(spark, sf_dir):
-    return dedup.containment(V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark"))
+    return patterns.containment(V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark"))
 
 
-@query()
+@query("SELECT vec_id, sha256(unhex(hx)) AS digest FROM fx", "fx")
 def float_bytes_digest(spark, sf_dir):
     return V.iq_samples(spark, sf_dir).select("vec_id", dedup.float_digest("i", "q").alias("digest"))
 
 
-@query()
+@query("""WITH g AS (SELECT count(*) AS n, count(DISTINCT split) AS k FROM split JOIN fx USING (vec_id) GROUP BY hx HAVING count(*) > 1)
+SELECT count(*) FILTER (k > 1) AS across, count(*) FILTER (k = 1) AS within, coalesce(sum(n), 0)::bigint AS rows,
+  count(*) FILTER (k > 1) = 0 AS passed FROM g""", "split", "fx")
 def float_duplicate_audit(spark, sf_dir):
     s = assigned(spark, sf_dir)
     return dedup.leakage(s.withColumn("digest", dedup.float_digest("i", "q")), "digest", "split")
@@ -62,6 +64,19 @@ z AS (SELECT a.vec_id AS l, b.vec_id AS r, list_sum(list_transform(list_zip(a.i,
 pr AS (SELECT l AS "left", r AS "right", least(max(sqrt(re * re + im * im) / norm), 1) AS score FROM z GROUP BY ALL)"""
 
 
+NEAR = 0.78
+
+
+@query(f"""WITH one AS (SELECT min(vec_id) AS v, i::double[] AS i, q::double[] AS q FROM iq GROUP BY ALL), w AS (SELECT *, sqrt(list_inner_product(i, i) + list_inner_product(q, q)) AS nn FROM one),
+k AS (SELECT unnest(range(32))::int AS k), rolled AS (SELECT v, nn, list_concat(i[33-k:32], i[1:32-k]) AS i, list_concat(q[33-k:32], q[1:32-k]) AS q FROM w, k),
+z AS (SELECT a.v AS l, b.v AS r, list_inner_product(a.i, b.i) + list_inner_product(a.q, b.q) AS re, list_inner_product(a.i, b.q) - list_inner_product(a.q, b.i) AS im, a.nn * b.nn AS norm
+  FROM w a JOIN rolled b ON a.v < b.v)
+SELECT l AS "left", r AS "right", round(least(max(sqrt(re * re + im * im) / norm), 1), 9) AS score FROM z GROUP BY ALL HAVING max(sqrt(re * re + im * im) / norm) >= {NEAR}""", "iq")
+def near_windows(spark, sf_dir):
+    """H09 over the whole table: all pairs of different windows that are near duplicates up to shift, gain and phase."""
+    return windows.near_pairs(V.iq_samples(spark, sf_dir), "vec_id", NEAR).withColumn("score", F.round("score", 9))
+
+
 def _pairs(spark, sf_dir):
     """All pairs of the first 64 windows: the contract's bounded sample for the exhaustive comparison."""
     return dedup.pair_scores(V.iq_samples(spark, sf_dir).orderBy("vec_id").limit(64), "vec_id", 32)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import identity as I
 from ..functions import text as T
-from ..operators import audit, metrics, progress
+from ..operators import audit, digests, metrics, progress
 from ..sources import scans, sinks
 from . import views as V
 from .registry import query
@@ -96,48 +96,56 @@ def preprocess_raw(spark, sf_dir):
     return V.iq_samples(spark, sf_dir).select("vec_id", A.raw(F.col("i"))[0].alias("first"), F.size(A.raw(F.col("q"))).alias("n"))
 
 
-@query("""SELECT item_id, sha256('{"id":' || item_id || ',"text":"' || text || '"}') AS digest FROM benchmark
-  WHERE NOT regexp_matches(text, '["\\\\\\x00-\\x1f\\x7f]')""")
+@query("""SELECT item_id, sha256('{"id":' || item_id || ',"text":' || to_json(text) || '}') AS digest FROM benchmark""")
 def json_row_digest(spark, sf_dir):
-    """H03, of texts that JSON writes as they are."""
-    b = V.table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r'["\\\x00-\x1f\x7f]'))
-    return b.select("item_id", I.row_digest(F.struct(F.col("item_id").alias("id"), "text")).alias("digest"))
+    """H03."""
+    return V.table(spark, sf_dir, "benchmark").select("item_id", I.row_digest(F.struct(F.col("item_id").alias("id"), "text")).alias("digest"))
 
 
-CELLS = "cl AS (SELECT modulation, snr_db, sha256(string_agg(vec_id::varchar, ',' ORDER BY vec_id)) AS h FROM iq GROUP BY ALL)"
+CELLS = "cl AS (SELECT modulation, snr_db, sha256(unhex(string_agg(hx, '' ORDER BY source_index))) AS h FROM iq JOIN fx USING (vec_id) GROUP BY ALL)"
 
 
 def _cells(spark, sf_dir):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), ",")
-    return V.iq_samples(spark, sf_dir).groupBy("modulation", "snr_db").agg(F.sha2(ids, 256).alias("sha256"))
+    """(modulation, snr_db, n, sha256) over the float bytes of each cell's windows."""
+    rows = V.iq_samples(spark, sf_dir).select("modulation", "snr_db", "source_index", F.concat("i", "q").alias("raw"))
+    return digests.group_digests(rows, ["modulation", "snr_db"], ["source_index"], "raw").withColumnRenamed("digest", "sha256")
+
+
+@query(f"""WITH {CELLS} SELECT modulation, snr_db, count(*) AS n, any_value(h) AS sha256 FROM iq JOIN cl USING (modulation, snr_db) GROUP BY ALL""", "iq", "fx")
+def cell_digests(spark, sf_dir):
+    """The content of every cell, by its samples' bytes in order."""
+    return _cells(spark, sf_dir)
 
 
 @query(f"""WITH {CELLS}, e AS (SELECT list(encode(modulation::varchar) || '\\x00'::blob || encode(snr_db::varchar) || '\\x00'::blob || unhex(h) ORDER BY modulation::varchar, snr_db) AS l FROM cl)
-SELECT sha256(list_reduce(l, lambda a, b: a || b)) AS digest FROM e""", "iq")
+SELECT sha256(list_reduce(l, lambda a, b: a || b)) AS digest FROM e""", "iq", "fx")
 def source_digest(spark, sf_dir):
-    """H05 over digests of the cells' ids."""
+    """H05 over the digests of the cells' bytes."""
     return I.source_digest(_cells(spark, sf_dir).withColumn("modulation", F.col("modulation").cast("string")))
 
 
 _LEN = "unhex(lpad(hex({}), 16, '0'))"
 
 
-@query(f"""WITH {CELLS}, e AS (SELECT modulation, list({_LEN.format("strlen('snr' || snr_db)")} || encode('snr' || snr_db) || {_LEN.format("3")} || encode('<f4') || {_LEN.format("2")} || {_LEN.format("2")} || {_LEN.format("32")} || unhex(h) ORDER BY snr_db) AS l FROM cl GROUP BY modulation)
-SELECT modulation, sha256(list_reduce(l, lambda a, b: a || b)) AS digest FROM e""", "iq")
+@query(f"""WITH {CELLS}, e AS (SELECT modulation, list({_LEN.format("strlen('snr' || snr_db)")} || encode('snr' || snr_db) || {_LEN.format("3")} || encode('<f4') || {_LEN.format("3")} || {_LEN.format("n")} || {_LEN.format("2")} || {_LEN.format("32")} || unhex(h) ORDER BY snr_db) AS l
+  FROM cl JOIN (SELECT modulation, snr_db, count(*) AS n FROM iq GROUP BY ALL) USING (modulation, snr_db) GROUP BY modulation)
+SELECT modulation, sha256(list_reduce(l, lambda a, b: a || b)) AS digest FROM e""", "iq", "fx")
 def content_digest(spark, sf_dir):
-    """H04 over one record per level."""
-    shape = F.array(F.lit(2).cast("long"), F.lit(32).cast("long"))
+    """H04 over one record per level: the cell's windows as an array of n x 2 x 32 floats."""
+    shape = F.array(F.col("n"), F.lit(2).cast("long"), F.lit(32).cast("long"))
     rows = _cells(spark, sf_dir).select("modulation", F.col("snr_db").alias("ord"), F.concat(F.lit("snr"), F.col("snr_db").cast("string")).alias("name"), F.lit("<f4").alias("dtype"), shape.alias("shape"), "sha256")
     return I.content_digest(rows, ["modulation"])
 
 
-@query(f"""WITH k AS (SELECT split, vec_id, (row_number() OVER (PARTITION BY split ORDER BY vec_id) - 1) // {I.BLOCK_ROWS} AS b FROM split),
-d AS (SELECT split, b, count(*) AS n, sha256(list_reduce(list({_LEN.format("vec_id")} ORDER BY vec_id), lambda x, y: x || y)) AS h FROM k
-  GROUP BY ALL)
-SELECT split, sum(n)::bigint AS n, sha256({_LEN.format("strlen(split)")} || encode(split) || {_LEN.format("sum(n)::bigint")} || list_reduce(list(unhex(h) ORDER BY b), lambda x, y: x || y)) AS digest FROM d GROUP BY split""", "split")
+_KEY = " || ".join(f"substr(lpad(hex(vec_id), 16, '0'), {k}, 2)" for k in range(15, 0, -2))
+
+
+@query(f"""WITH p AS (SELECT ord, {_LEN.format("strlen(s)")} || encode(s) || {_LEN.format("count(vec_id)")} || unhex(coalesce(string_agg({_KEY}, '' ORDER BY vec_id), '')) AS b, count(vec_id) AS n
+  FROM (VALUES (0, 'train'), (1, 'validation'), (2, 'test')) v(ord, s) LEFT JOIN split ON split = s GROUP BY ord, s)
+SELECT sum(n)::bigint AS n, sha256(list_reduce(list(b ORDER BY ord), lambda x, y: x || y)) AS digest FROM p""", "split")
 def assignment_digest(spark, sf_dir):
-    """H06."""
-    return I.assignment_digest(assigned(spark, sf_dir), "vec_id")
+    """One digest over the sorted keys of all splits."""
+    return digests.assignment_digest(assigned(spark, sf_dir), "vec_id")
 
 
 QUEUE = """q AS (SELECT model, seed, round(avg(ok), 6) AS score FROM c GROUP BY ALL), t AS (SELECT *, unnest(CASE WHEN model = 'm1' AND seed = 37 THEN [1, 2] ELSE [1] END) AS copy FROM q WHERE NOT (model = 'm2' AND seed = 73)),
