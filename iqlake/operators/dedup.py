@@ -32,16 +32,17 @@ def leakage(rows: DataFrame, digest: str, split: str) -> DataFrame:
 
 
 def float_digest(*channels: str) -> F.Column:
-    """SHA-256 of the channels' float32 bytes one after the other, bit for bit: -0.0 and 0.0 differ. H01.
+    """SHA-256 of the channels' bytes, little-endian, one channel after the other, bit for bit: -0.0 and 0.0 differ. H01.
 
     Spark has no cast from floats to bytes, so this is a function over Arrow batches, which hashes slices of their buffers.
     """
 
     def rows_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The float32 bytes of all lists in a row, and where each list begins and ends in them."""
-        flat = np.ascontiguousarray(a.flatten().to_numpy(zero_copy_only=False), "<f4")
+        """The bytes of all lists in a row, and where each list begins and ends in them."""
+        kind = np.dtype("<f8" if a.type.value_type == pa.float64() else "<f4")
+        flat = np.ascontiguousarray(a.flatten().to_numpy(zero_copy_only=False), kind)
         sizes = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        return flat.view(np.uint8), 4 * np.r_[0, np.cumsum(sizes)]
+        return flat.view(np.uint8), kind.itemsize * np.r_[0, np.cumsum(sizes)]
 
     @F.arrow_udf("string")
     def digest(rows: pa.Array) -> pa.Array:

@@ -64,17 +64,24 @@ z AS (SELECT a.vec_id AS l, b.vec_id AS r, list_sum(list_transform(list_zip(a.i,
 pr AS (SELECT l AS "left", r AS "right", least(max(sqrt(re * re + im * im) / norm), 1) AS score FROM z GROUP BY ALL)"""
 
 
-NEAR = 0.78
+NEAR = 0.999
 
 
-@query(f"""WITH one AS (SELECT min(vec_id) AS v, i::double[] AS i, q::double[] AS q FROM iq GROUP BY ALL), w AS (SELECT *, sqrt(list_inner_product(i, i) + list_inner_product(q, q)) AS nn FROM one),
+@query(f"""WITH d AS (SELECT vec_id, list_transform(i, lambda x: x::double) AS i, list_transform(q, lambda x: x::double) AS q FROM iq),
+g AS (SELECT vec_id, list_transform(i, lambda x: x * 2.5) AS i, list_transform(q, lambda x: x * 2.5) AS q FROM d),
+everyone AS (FROM d UNION ALL SELECT vec_id + 1000000000, list_concat(i[28:32], i[1:27]), list_concat(q[28:32], q[1:27]) FROM g),
+one AS (SELECT min(vec_id) AS v, i, q FROM everyone GROUP BY i, q), w AS (SELECT *, sqrt(list_inner_product(i, i) + list_inner_product(q, q)) AS nn FROM one),
 k AS (SELECT unnest(range(32))::int AS k), rolled AS (SELECT v, nn, list_concat(i[33-k:32], i[1:32-k]) AS i, list_concat(q[33-k:32], q[1:32-k]) AS q FROM w, k),
 z AS (SELECT a.v AS l, b.v AS r, list_inner_product(a.i, b.i) + list_inner_product(a.q, b.q) AS re, list_inner_product(a.i, b.q) - list_inner_product(a.q, b.i) AS im, a.nn * b.nn AS norm
   FROM w a JOIN rolled b ON a.v < b.v)
 SELECT l AS "left", r AS "right", round(least(max(sqrt(re * re + im * im) / norm), 1), 9) AS score FROM z GROUP BY ALL HAVING max(sqrt(re * re + im * im) / norm) >= {NEAR}""", "iq")
 def near_windows(spark, sf_dir):
-    """H09 over the whole table: all pairs of different windows that are near duplicates up to shift, gain and phase."""
-    return windows.near_pairs(V.iq_samples(spark, sf_dir), "vec_id", NEAR).withColumn("score", F.round("score", 9))
+    """H09 over the whole table and a scaled and shifted copy of every window (P29): all pairs of different windows that are near
+    duplicates up to shift, gain and phase."""
+    s = V.iq_samples(spark, sf_dir).select("vec_id", A.doubles(F.col("i")).alias("i"), A.doubles(F.col("q")).alias("q"))
+    copy = lambda c: A.rolled(F.transform(c, lambda x: x * 2.5), F.lit(5)).alias(c)
+    both = s.unionByName(s.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), copy("i"), copy("q")))
+    return windows.near_pairs(both, "vec_id", NEAR).withColumn("score", F.round("score", 9))
 
 
 def _pairs(spark, sf_dir):
