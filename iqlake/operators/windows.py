@@ -39,7 +39,8 @@ def _stacked(batch: pa.RecordBatch, name: str) -> np.ndarray:
 def directions(i: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Orthonormal directions of magnitude spectra, along which they spread most first. Any would do for exact results."""
     m = _spectra(i, q)[1]
-    return np.linalg.svd(m - m.mean(0))[2]
+    m -= m.mean(0)
+    return np.linalg.eigh(m.T @ m)[1].T[::-1]
 
 
 def visits(place: np.ndarray, home: np.ndarray, radius: float, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
