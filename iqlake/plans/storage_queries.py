@@ -8,7 +8,7 @@ from ..functions import arrays as A
 from ..functions import identity as I
 from ..functions import text as T
 from ..operators import audit, digests, metrics, progress
-from ..sources import scans, sinks
+from ..sources import archives, scans, sinks
 from . import views as V
 from .registry import query
 from .sample_queries import assigned
@@ -180,3 +180,25 @@ def progress_events(spark, sf_dir):
     from ..streaming.progress import progress_events as events
 
     return progress.parse_log(events(V.runs(spark, sf_dir))).groupBy("run").agg(F.max("epoch").alias("epoch"))
+
+
+@query("""SELECT lang || '/' || doc_id || '.txt' AS member, strlen(text)::bigint AS size, 'file' AS kind, sha256(text) AS sha256, true AS safe
+  FROM documents WHERE lang = 'en' OR lang = 'de'""")
+def archive_scan(spark, sf_dir):
+    """All documents as members of archives; the filters on members reach the scan."""
+    path = sinks.scratch(spark, "archives")
+    docs = V.table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("member"), F.encode("text", "utf-8").alias("content"))
+    archives.write_archives(docs, path)
+    read = lambda lang: archives.tar_members(spark, path, pathGlobFilter="*.bz2").where(F.col("member").startswith(f"{lang}/"))
+    return read("en").unionByName(read("de")).drop("path")
+
+
+
+@query("SELECT sum(strlen(text))::bigint AS bytes, count(*) AS members, true AS safe, true AS within FROM documents")
+def archive_inventory(spark, sf_dir):
+    """Members, bytes and safety of every archive, added up."""
+    path = sinks.scratch(spark, "archives")
+    docs = V.table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("member"), F.encode("text", "utf-8").alias("content"))
+    archives.write_archives(docs, path)
+    each = archives.archive_inventory(archives.tar_members(spark, path, pathGlobFilter="*.bz2", digests=False))
+    return each.agg(F.sum("bytes").alias("bytes"), F.sum("members").alias("members"), F.bool_and("safe").alias("safe"), F.bool_and(F.col("members") <= 64).alias("within"))

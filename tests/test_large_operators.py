@@ -8,7 +8,7 @@ import pytest
 
 from iqlake.functions.sha256 import Sha256
 from iqlake.operators import digests, patterns, progress, skyline, windows
-from iqlake.sources import ordered_tables
+from iqlake.sources import archives, ordered_tables
 from iqlake.streaming import patience
 from iqlake.streaming.progress import event_stream
 
@@ -210,3 +210,38 @@ def test_ordered_tables(spark, tmp_path):
     create_once(spark, f"{bad}.order.json", json.dumps({"order": ["a"], "columns": ["a", "b", "i"]}))
     found = {(r.range, r.place) for r in ordered_tables.out_of_order(spark, bad).collect()}
     assert found and (1, 0) in found and (2, 0) in found
+
+
+def test_tar_source(spark, tmp_path):
+    import io
+    import tarfile
+
+    names = ["a.txt", "dir/b.txt", "../up.txt", "/abs.txt"]
+    for k, mode in enumerate(("w", "w:gz", "w:bz2")):
+        with tarfile.open(tmp_path / f"x{k}.tar", mode) as tar:
+            for n in names:
+                info = tarfile.TarInfo(n)
+                info.size = k * 700_000
+                tar.addfile(info, io.BytesIO(b"z" * info.size))
+            link = tarfile.TarInfo("link")
+            link.type, link.linkname = tarfile.SYMTYPE, "a.txt"
+            tar.addfile(link)
+    root = f"file://{tmp_path}"
+    got = archives.tar_members(spark, root, pathGlobFilter="*.tar").collect()
+    assert sorted((r.path[-6:], r.member, r.size, r.kind, r.safe) for r in got) == sorted((f"x{k}.tar", n, size, kind, n in names[:2]) for k in range(3) for n, size, kind in [*((n, k * 700_000, "file") for n in names), ("link", 0, "other")])
+    assert {r.sha256 for r in got if r.member == "a.txt"} == {hashlib.sha256(b"z" * 700_000 * k).hexdigest() for k in range(3)}
+    one = archives.tar_members(spark, root, pathGlobFilter="*.tar").where("member = 'a.txt'").where(f"path = 'file:{tmp_path}/x1.tar'")
+    assert one.rdd.getNumPartitions() == 1 and [(r.member, r.size) for r in one.collect()] == [("a.txt", 700_000)]
+    assert {r.path[-6:]: (r.members, r.bytes, r.safe) for r in archives.archive_inventory(archives.tar_members(spark, root, digests=False)).collect()} == {f"x{k}.tar": (5, 4 * 700_000 * k, False) for k in range(3)}
+    assert archives.tar_members(spark, root, pathGlobFilter="*.none").count() == 0
+    with pytest.raises(Exception, match="more members"):
+        archives.tar_members(spark, root, members=3).count()
+
+
+def test_written_archives_hold_every_row(spark, tmp_path):
+    rows = [(f"d/{i}", bytes([i % 256]) * i) for i in range(150)] + [("d/none", None)]
+    written = archives.write_archives(spark.createDataFrame(rows, "member string, content binary").repartition(3), f"file://{tmp_path}/a", members=20)
+    got = archives.tar_members(spark, f"file://{tmp_path}/a", pathGlobFilter="*.bz2").collect()
+    assert sorted((r.member, r.sha256) for r in got) == sorted((m, hashlib.sha256(c or b"").hexdigest()) for m, c in rows)
+    assert sum(r.members for r in written.collect()) == 151 and max(r.members for r in written.collect()) == 20
+    assert not [p for p in (tmp_path / "a").iterdir() if p.name.startswith(".") and p.name.endswith(".bz2")]
