@@ -164,9 +164,10 @@ def stream_patience(spark, sf_dir):
     """W07 over the event log as a stream, with Spark's keyed state per run; the log is appended to in the order of time."""
     log, order = sinks.scratch(spark, "log"), ["ts", "event_id"]
     rows = digests.ranged_by(V.runs(spark, sf_dir), order, 1 << 20, least=3)
-    for r in sorted(x["_range"] for x in rows.select("_range").distinct().collect()):
+    ranges = sorted(x["_range"] for x in rows.select("_range").distinct().collect())
+    for r in ranges:
         rows.where(F.col("_range") == r).drop("_range").coalesce(1).write.mode("append").parquet(log)
-    events = stream.event_stream(spark, log, files_per_trigger=1)
+    events = stream.event_stream(spark, log, files_per_trigger=max(1, len(ranges) // 3))
     return patience.follow(events, sinks.scratch(spark, "follow"), ["model", "seed_idx"], order, "score", 0.5, 20)
 
 

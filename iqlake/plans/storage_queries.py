@@ -8,7 +8,7 @@ from ..functions import arrays as A
 from ..functions import identity as I
 from ..functions import text as T
 from ..operators import audit, digests, metrics, progress
-from ..sources import archives, scans, sinks
+from ..sources import archives, leases, scans, sinks
 from . import views as V
 from .registry import query
 from .sample_queries import assigned
@@ -202,3 +202,14 @@ def archive_inventory(spark, sf_dir):
     archives.write_archives(docs, path)
     each = archives.archive_inventory(archives.tar_members(spark, path, pathGlobFilter="*.bz2", digests=False))
     return each.agg(F.sum("bytes").alias("bytes"), F.sum("members").alias("members"), F.bool_and("safe").alias("safe"), F.bool_and(F.col("members") <= 64).alias("within"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY ALL")
+def leased_publish(spark, sf_dir):
+    """A table of two versions under leases; readers see the latest that has a manifest."""
+    path, docs = sinks.scratch(spark, "leased"), V.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    first = leases.acquire(spark, path)
+    first.publish(docs.where("lang = 'en'"))
+    first.release()
+    leases.acquire(spark, path).publish(docs)
+    return leases.published(spark, path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))

@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+        if (spark.conf.get("spark.master", None) or "").split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = _own_folder()
     return path.rstrip("/")

@@ -8,7 +8,7 @@ import pytest
 
 from iqlake.functions.sha256 import Sha256
 from iqlake.operators import digests, patterns, progress, skyline, windows
-from iqlake.sources import archives, ordered_tables
+from iqlake.sources import archives, leases, ordered_tables
 from iqlake.streaming import patience
 from iqlake.streaming.progress import event_stream
 
@@ -245,3 +245,26 @@ def test_written_archives_hold_every_row(spark, tmp_path):
     assert sorted((r.member, r.sha256) for r in got) == sorted((m, hashlib.sha256(c or b"").hexdigest()) for m, c in rows)
     assert sum(r.members for r in written.collect()) == 151 and max(r.members for r in written.collect()) == 20
     assert not [p for p in (tmp_path / "a").iterdir() if p.name.startswith(".") and p.name.endswith(".bz2")]
+
+
+def test_leases_fence_off_late_writers(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/table", spark.range(3)
+    assert leases.published(spark, path) is None
+    dead = leases.acquire(spark, path, "dead", seconds=0.0)  # has run out at once
+    late = leases.acquire(spark, path, "late", seconds=0.0)
+    with pytest.raises(leases.LeaseLost):
+        dead.publish(rows)
+    now = leases.acquire(spark, path, "now", seconds=600)
+    with pytest.raises(FileExistsError):
+        leases.acquire(spark, path, "other")
+    rows.write.parquet(late.data)  # had written everything but the manifest
+    with pytest.raises(leases.LeaseLost):
+        late.publish(rows)
+    assert leases.published(spark, path) is None
+    now.publish(rows)
+    now.release()
+    assert leases.published(spark, path).count() == 3
+    after = leases.acquire(spark, path, "after")
+    assert [x.token for x in (dead, late, now, after)] == [1, 2, 3, 4] and leases.published(spark, path).count() == 3
+    after.publish(spark.range(5))
+    assert leases.published(spark, path).count() == 5
