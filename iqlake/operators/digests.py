@@ -45,12 +45,20 @@ def ranged_by(rows: DataFrame, order: Sequence[str], per: int = ROWS, least: int
     return rows.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
 
 
-def _chained(ranged: DataFrame, ranges: Sequence[int], order: Sequence[str], raw: str, digest: Sha256) -> Sha256:
-    """``digest`` after the rows of the ranges in order: one task per range, one after the other, as SHA-256 demands.
+def _chained(ranged: DataFrame, order: Sequence[str], raw: str, digest: Sha256, per: int) -> Sha256:
+    """``digest`` after all rows, range by range: tasks of about ``per`` rows, one after the other, as SHA-256 demands.
 
-    Only its state, some hundred bytes, comes back to the driver and goes out again.
+    Only its state, some hundred bytes, comes back to the driver and goes out again. Ranges that are small follow each other in one
+    task.
     """
-    for r in ranges:
+    sizes = sorted((r["_range"], r.n) for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    steps: list[list[int]] = []  # first range, last range, rows
+    for k, n in sizes:
+        if steps and steps[-1][2] + n <= per:
+            steps[-1][1:] = [k, steps[-1][2] + n]
+        else:
+            steps.append([k, k, n])
+    for first, last, _ in steps:
         state = digest.state()
 
         def fold(batches: Iterator[pa.RecordBatch], state: bytes = state) -> Iterator[pa.RecordBatch]:
@@ -59,29 +67,26 @@ def _chained(ranged: DataFrame, ranges: Sequence[int], order: Sequence[str], raw
                 own.update(raw_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([own.state()], pa.binary())], names=["state"])
 
-        rows = ranged.where(F.col("_range") == r).coalesce(1).sortWithinPartitions(*order).select(raw)
+        rows = ranged.where(F.col("_range").between(first, last)).coalesce(1).sortWithinPartitions(*order).select(raw)
         found = rows.mapInArrow(fold, "state binary").first()
         digest = Sha256(bytes(found.state)) if found else digest
     return digest
 
 
 def ordered_digest(rows: DataFrame, order: Sequence[str], raw: str, digest: Sha256 | None = None, per: int = ROWS) -> Sha256:
-    """``digest``, or a new one, after the bytes of column ``raw`` of all rows by ``order``. No task has more than a range of rows."""
+    """``digest``, or a new one, after the bytes of column ``raw`` of all rows by ``order``. No task has more than about ``per`` rows."""
     ranged = ranged_by(rows.select(*dict.fromkeys([*order, raw])), order, per)
-    ranges = sorted(r["_range"] for r in ranged.select("_range").distinct().collect())
-    return _chained(ranged, ranges, order, raw, digest or Sha256())
+    return _chained(ranged, order, raw, digest or Sha256(), per)
 
 
 def group_digests(rows: DataFrame, by: Sequence[str], order: Sequence[str], raw: str, per: int = ROWS) -> DataFrame:
     """(by..., n, digest): SHA-256 over the bytes of ``raw`` of each group's rows by ``order``.
 
-    Rows are cut into ranges of (by, order). Groups within one range are digested where they are, all ranges at once; a group
-    that lies in several, of which there are no more than ranges, is digested range after range with its state carried on.
+    Groups of up to ``per`` rows stream through the tasks that they are dealt to, all at once; a larger one, of which there can't be
+    many, is cut into ranges and digested range after range with its state carried on.
     """
-    ranged = ranged_by(rows.select(*dict.fromkeys([*by, *order, raw])), [*by, *order], per)
-    spans = ranged.groupBy(*by).agg(F.collect_set("_range").alias("ranges"), F.count(F.lit(1)).alias("n"))
-    wide = spans.where(F.size("ranges") > 1).collect()
-    kinds = [ranged.schema[c] for c in by]
+    rows = rows.select(*by, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col(raw).alias("_raw"))
+    places, kinds = [f"_o{i}" for i in range(len(order))], rows.schema[: len(by)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n long", "digest string"])
     out = pa.schema([*((f.name, to_arrow_type(f.dataType)) for f in kinds), ("n", pa.int64()), ("digest", pa.string())])
 
@@ -106,14 +111,13 @@ def group_digests(rows: DataFrame, by: Sequence[str], order: Sequence[str], raw:
         if key is not None:
             yield row()
 
-    narrow = ranged
+    wide = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per).collect()
+    narrow = rows
     if wide:
-        few = rows.sparkSession.createDataFrame([tuple(g[c] for c in by) for g in wide], T.StructType(kinds)).toDF(*(f"_{c}" for c in by))
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-        narrow = ranged.join(F.broadcast(few), same, "left_anti")  # no more than there are ranges
-    dealt = narrow.repartition("_range").sortWithinPartitions("_range", *by, *order)
-    found = dealt.select(*by, F.col(raw).alias("_raw")).mapInArrow(run, schema)
-    rest = [(*(g[c] for c in by), g.n, _chained(ranged.where(_same(g, by)), sorted(g.ranges), order, raw, Sha256()).hexdigest()) for g in wide]
+        few = rows.sparkSession.createDataFrame([tuple(g[c] for c in by) for g in wide], T.StructType(list(kinds))).toDF(*(f"_k{i}" for i in range(len(by))))
+        narrow = rows.join(F.broadcast(few), [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], "left_anti")
+    found = narrow.repartition(*by).sortWithinPartitions(*by, *places).select(*by, "_raw").mapInArrow(run, schema)
+    rest = [(*(g[c] for c in by), g.n, ordered_digest(rows.where(_same(g, by)).select(*places, "_raw"), places, "_raw", None, per).hexdigest()) for g in wide]
     return found.unionByName(rows.sparkSession.createDataFrame(rest, schema)) if rest else found
 
 

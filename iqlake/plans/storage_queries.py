@@ -8,7 +8,7 @@ from ..functions import arrays as A
 from ..functions import identity as I
 from ..functions import text as T
 from ..operators import audit, digests, metrics, progress
-from ..sources import archives, leases, scans, sinks
+from ..sources import archives, files, leases, scans, sinks
 from . import views as V
 from .registry import query
 from .sample_queries import assigned
@@ -213,3 +213,20 @@ def leased_publish(spark, sf_dir):
     first.release()
     leases.acquire(spark, path).publish(docs)
     return leases.published(spark, path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT lang AS name, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS files, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS read, sum(strlen(doc_id::varchar) + 1)::bigint AS bytes
+  FROM documents GROUP BY lang""")
+def file_state(spark, sf_dir):
+    """The ids of each language as files, of which one is new; only that one is read for its digest."""
+    path, ids = sinks.scratch(spark, "files"), V.table(spark, sf_dir, "documents").select("lang", F.col("doc_id").cast("string").alias("value"))
+    late = (F.col("lang") == "en") & (F.length("value") == 1)
+    ids.where(~late).repartition("lang").write.partitionBy("lang").text(path)
+    known = files.cached_digests(spark, path, glob="*.txt")
+    kept = sinks.scratch(spark, "known")
+    known.write.parquet(kept)
+    ids.where(late).coalesce(1).write.mode("append").partitionBy("lang").text(path)
+    known = spark.read.parquet(kept)
+    fresh = files.unread(files.cached_digests(spark, path, known, "*.txt"), known).select("path", F.lit(1).alias("_new"))
+    now = files.cached_digests(spark, path, known, "*.txt").where("sha256 is not null").join(fresh, "path", "left")
+    return now.groupBy(F.regexp_extract("path", "lang=([^/]+)", 1).alias("name")).agg(F.count(F.lit(1)).alias("files"), F.count("_new").alias("read"), F.sum("size").alias("bytes"))

@@ -14,20 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
-from .files import DECLARED, MEMBERS, UNSAFE
+from .files import CHUNK, DECLARED, MEMBERS, UNSAFE, file_system
 
-#: Bytes that are read at once.
-CHUNK = 1 << 20
 SCHEMA = "path string, member string, size long, kind string, sha256 string"
 
 
-def _store(path: str):
-    """(file system, path in it) of a URI; a plain path is a local one."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class _Archive(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -60,7 +51,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        store, root = _store(self.root)
+        store, root = file_system(self.root)
         info = store.get_file_info(root)
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
         prefix = "file:" if isinstance(store, fs.LocalFileSystem) else f"{self.root.split('://')[0]}://"
@@ -70,7 +61,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Archive) -> Iterator[tuple]:
         if not partition.path:
             return
-        store, path = _store(partition.path)
+        store, path = file_system(partition.path)
         n = declared = 0
         with store.open_input_stream(path, buffer_size=CHUNK) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
             for m in tar:
@@ -125,11 +116,11 @@ def write_archives(rows: DataFrame, path: str, members: int = MEMBERS, compressi
     Each task writes its own; an archive gets its name once it is whole, so readers see no half of one, and what a lost task
     wrote before keeps a name that readers pass over. The result is kept beside the archives: reading it again writes nothing.
     """
-    store, root = _store(path)
+    store, root = file_system(path)
     store.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(path)
+        store, root = file_system(path)
         done: list[tuple[str, int]] = []
         part: list[tuple[str, bytes]] = []
 
@@ -157,7 +148,7 @@ def write_archives(rows: DataFrame, path: str, members: int = MEMBERS, compressi
     written = rows.sparkSession.read.schema("path string, members long").parquet(listed)
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(path)
+        store, root = file_system(path)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 if store.get_file_info(f"{root}/.{name}").is_file:  # else another attempt has done it

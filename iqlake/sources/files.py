@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tarfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Members and declared bytes of an archive, at most.
 MEMBERS, DECLARED = 64, 4 << 30
+#: Bytes that are read at once.
+CHUNK = 1 << 20
 #: Fixed value: member paths that may not be unpacked.
 UNSAFE = r"(^/)|(^\\)|(^[A-Za-z]:)|((^|[/\\])\.\.([/\\]|$))|(.{256,})|(^$)"
 
 
+def file_system(path: str):
+    """(file system, path in it) of a URI by pyarrow; a plain path is a local one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
 def listing(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """(path, size, modified, sha256) of files below a path. S28, K11."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
@@ -55,19 +67,45 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.select("path", "size", "modified").join(b, "path", "full_outer").select("path", change.alias("change")).where("change is not null")
 
 
-def cached_digests(spark: SparkSession, path: str, known: DataFrame | None = None, glob: str = "*") -> DataFrame:
-    """``listing`` that takes digests of files with the same path, size and time from ``known`` and reads only the others. H08."""
+def _listed(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, size, modified) of files below a path; their content isn't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    now = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def digested(files: DataFrame) -> DataFrame:
+    """``files`` (path...) with sha256 of what each path holds, read piece by piece by the task that has the row: a file of any
+    size, on any store that pyarrow's file systems reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
+                digest = hashlib.sha256()
+                store, at = file_system(path)
+                with store.open_input_stream(at) as stream:
+                    while piece := stream.read(CHUNK):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "sha256"])
+
+    return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())]))
+
+
+def unread(now: DataFrame, known: DataFrame) -> DataFrame:
+    """The files of a listing that ``known`` doesn't have with the same path, size and time."""
+    return now.join(known.select("path", "size", "modified"), ["path", "size", "modified"], "left_anti")
+
+
+def cached_digests(spark: SparkSession, path: str, known: DataFrame | None = None, glob: str = "*") -> DataFrame:
+    """``listing`` that takes digests of files with the same path, size and time from ``known`` and reads only the others. H08.
+
+    The files to read are rows like any others: they are dealt to the tasks, and no list of them is gathered.
+    """
+    now, key = _listed(spark, path, glob), ["path", "size", "modified"]
     if known is None:
-        return listing(spark, path, glob)
-    key = ["path", "size", "modified"]
-    kept = now.join(known.select(*key, "sha256"), key)
-    fresh = [r.path for r in now.join(known, key, "left_anti").select("path").collect()]
-    if not fresh:
-        return kept
-    read = spark.read.format("binaryFile").load(fresh)
-    return kept.unionByName(read.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256")))
+        return digested(now)
+    return now.join(known.select(*key, "sha256"), key).unionByName(digested(unread(now, known).repartition("path")))
 
 
 def freeze_rows(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
