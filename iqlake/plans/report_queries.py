@@ -422,25 +422,22 @@ def content_audit(spark, sf_dir):
     return d.select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"), F.array_join(T.issues(F.col("text")), ",").alias("issues"))
 
 
-def _cited(spark, sf_dir):
-    w = F.split("text", " ")
-    t = F.concat(F.lit("see [@"), F.regexp_replace(F.try_element_at(w, F.lit(1)), "[^A-Za-z]", "x"), F.lit("; @key"), (F.col("doc_id") % 9).cast("string"), F.lit("] and [@key1]\n@book{a,\n x}\n@article{b,\n y}\n"))
-    return V.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", t.alias("t"))
-
-
-_CITED = """ct AS (SELECT doc_id, 'see [@' || regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', 'x', 'g') || '; @key' || (doc_id % 9) || '] and [@key1]' AS t FROM documents)"""
-
-
-@query(f"""WITH {_CITED}, k AS (SELECT doc_id, list_distinct(regexp_extract_all(t, '@([A-Za-z0-9_:-]+)', 1)) AS k FROM ct) SELECT doc_id,
-  array_to_string(list_sort(k), ',') AS keys FROM k""")
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_append(regexp_extract_all(text, '[A-Za-z]+'), 'x1'))), ',') AS keys
+  FROM documents WHERE regexp_matches(text, '[A-Za-z]')""")
 def citation_keys(spark, sf_dir):
-    return _cited(spark, sf_dir).select("doc_id", F.array_join(T.citation_keys(F.col("t")), ",").alias("keys"))
+    """P32 over whole texts, every word of which is made a citation."""
+    docs = V.table(spark, sf_dir, "documents").where(F.col("text").rlike("[A-Za-z]"))
+    cited = docs.select("doc_id", F.regexp_replace("text", "([A-Za-z]+)", "[@$1; @x1]").alias("t"))
+    return cited.select("doc_id", F.array_join(T.citation_keys(F.col("t")), ",").alias("keys"))
 
 
-@query("SELECT doc_id, 2::int AS n, '@book{a,' || chr(10) || ' x}' || chr(10) AS first FROM documents")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents)
+SELECT doc_id, place::int AS place, md5('@misc{k' || place || ',' || chr(10) || line || '}' || chr(10)) AS entry FROM l""")
 def entry_split(spark, sf_dir):
-    e = T.entries(F.col("t"))
-    return _cited(spark, sf_dir).select("doc_id", F.size(e).alias("n"), e[0].alias("first"))
+    """P33 over whole texts, every line of which is made an entry."""
+    line = lambda x, i: F.concat(F.lit("@misc{k"), i.cast("string"), F.lit(",\n"), x, F.lit("}\n"))
+    listed = V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "").alias("t"))
+    return listed.select("doc_id", F.posexplode(T.entries(F.col("t"))).alias("place", "e")).select("doc_id", "place", F.md5("e").alias("entry"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(text, ' de ') THEN 1 + len(regexp_extract_all(split_part(text, ' de ', 1),
