@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..sources.sinks import scratch
 from .dedup import float_digest
 
-#: Least score of a pair; windows that the directions are fitted on; directions that cut at once; windows of a cell that are compared at once.
-SCORE, SAMPLE, AT_ONCE, CELL = 0.999, 10_000, 4, 2048
+#: Least score of a pair; windows of a cell that are compared at once; centres of a level at most; levels at most.
+SCORE, CELL, CENTRES, LEVELS = 0.999, 2048, 1024, 4
 #: Room for rounding in bounds that decide what is compared; scores themselves have none.
 ROOM = 1e-9
 
@@ -36,53 +36,38 @@ def _stacked(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def directions(i: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Orthonormal directions of magnitude spectra, along which they spread most first. Any would do for exact results."""
-    m = _spectra(i, q)[1]
-    m -= m.mean(0)
-    return np.linalg.eigh(m.T @ m)[1].T[::-1]
-
-
-def visits(place: np.ndarray, home: np.ndarray, radius: float, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, home): the cells that places (rows) belong to and visit, in a grid whose cells are ``side`` wide, at least twice
-    the radius. A row visits every cell with a point within the radius; if it isn't a visitor itself, only those after its own
-    by their coordinates, as windows there don't visit it then."""
-    own = np.floor(place / side).astype(np.int64)
-    low = place - own * side  # distance from the lower side, per direction
-    reached = [(np.arange(len(place)), own, np.zeros(len(place)))]
-    for d in range(place.shape[1]):
-        for at, cell, far in list(reached):
-            for step, gap in ((-1, low[at, d]), (1, side[d] - low[at, d])):
-                total = far + gap * gap
-                if (ok := total <= radius * radius).any():
-                    moved = cell[ok].copy()
-                    moved[:, d] += step
-                    reached.append((at[ok], moved, total[ok]))
-    rows, cells, homes = [reached[0][0]], [own], [home]
-    for at, cell, _ in reached[1:]:
-        differs = cell != own[at]
-        first = differs.argmax(1)
-        later = cell[np.arange(len(at)), first] > own[at, first]
-        ok = later | ~home[at]
-        rows.append(at[ok])
-        cells.append(cell[ok])
-        homes.append(np.zeros(ok.sum(), bool))
-    return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
-
-
-def _placed(axes: np.ndarray, radius: float, side: np.ndarray):
-    """A function that deals rows (key, i, q, home, cell) to cells that are finer along ``axes``; the new cell is hashed with the old."""
+def visits(spectra: np.ndarray, home: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home): the cells that magnitude spectra belong to, by their nearest centre, and visit.
+
+    What lies within the radius of a row and has another centre lies beyond the plane half way between the two centres, so a row visits
+    the cells whose planes are within the radius of it. If it isn't a visitor itself, only those after its own cell by number, as
+    windows there don't visit it then.
+    """
+    far = np.maximum((spectra * spectra).sum(1)[:, None] - 2 * spectra @ centres.T + (centres * centres).sum(1), 0)
+    own = far.argmin(1)
+    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) <= 64 else np.sqrt(np.maximum((centres * centres).sum(1)[:, None] - 2 * centres @ centres.T + (centres * centres).sum(1), 0))
+    gap = far - far[np.arange(len(far)), own][:, None]
+    near = gap <= 2 * apart[own] * radius + ROOM
+    later = np.arange(len(centres))[None] > own[:, None]
+    near &= later | ~home[:, None]
+    near[np.arange(len(far)), own] = False
+    row, cell = np.nonzero(near)
+    return np.concatenate([np.arange(len(own)), row]), np.concatenate([own, cell]), np.concatenate([home, np.zeros(len(row), bool)])
+
+
+def _placed(centres: np.ndarray, radius: float):
+    """A function that deals rows (key, i, q, home, cell) to the cells of ``centres``, each within the cell that it was in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, m = _spectra(_stacked(batch, "i"), _stacked(batch, "q"))
-            at, cell, home = visits(m @ axes.T, batch.column("home").to_numpy(zero_copy_only=False), radius, side)
-            old = batch.column("cell").to_numpy(zero_copy_only=False).view(np.uint64)[at]
-            new = pd.util.hash_pandas_object(pd.DataFrame(cell), index=False).to_numpy() ^ (old * np.uint64(0x9E3779B97F4A7C15))
-            columns = [batch.column(n).take(pa.array(at)) for n in ("key", "i", "q")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(home), pa.array(new.view(np.int64))], names=["key", "i", "q", "home", "cell"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                _, m = _spectra(_stacked(batch, "i"), _stacked(batch, "q"))
+                at, cell, home = visits(m, batch.column("home").to_numpy(zero_copy_only=False), centres, radius)
+                old = batch.column("cell").to_numpy(zero_copy_only=False).view(np.uint64)[at]
+                new = (old * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) ^ pd.util.hash_array(cell.astype(np.uint64))
+                columns = [batch.column(n).take(pa.array(at)) for n in ("key", "i", "q")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(home), pa.array(new.view(np.int64))], names=["key", "i", "q", "home", "cell"])
 
     return run
 
@@ -127,15 +112,15 @@ def classes(rows: DataFrame, key: str = "vec_id") -> DataFrame:
     return d.join(first, "_d").select(key, "representative")
 
 
-def near_pairs(rows: DataFrame, key: str = "vec_id", least: float = SCORE, at_once: int = AT_ONCE, cell: int = CELL) -> DataFrame:
+def near_pairs(rows: DataFrame, key: str = "vec_id", least: float = SCORE, cell: int = CELL) -> DataFrame:
     """(left, right, score) of all pairs of different windows whose largest circular correlation is ``least`` or more.
 
     The correlation of two windows is at most the cosine of their magnitude spectra, which neither shifts, gains nor phases
-    change. So a pair's spectra are within a radius that ``least`` gives, and windows are looked up in a grid: directions along
-    which spectra spread cut them into cells, and each window also visits the cells within the radius of it. Cells of over
-    ``cell`` windows are cut along further directions; those that no direction can cut are compared in blocks. Scores are
-    computed from the windows alone, so no pair is lost and none is added. This is for scores near 1: at lower ones the radius is
-    wider than the spectra spread, and all that is left is comparing blocks.
+    change. So a pair's spectra are within a radius that ``least`` gives. Some windows' spectra are centres; each window belongs to
+    the cell of its nearest centre and visits those that the radius reaches into. Cells of over ``cell`` windows are dealt to the
+    cells of other centres, level by level; what is still too large then is compared in blocks. Scores are computed from the windows
+    alone, so no pair is lost and none is added. This is for scores near 1: at lower ones the radius is as wide as the spectra
+    are apart, and all that is left is comparing blocks.
 
     Copies (windows equal bit for bit) are compared once, by their smallest key; ``classes`` tells who they are. Null, empty or
     zero windows, or those with null or non-finite values, are left out, and windows of different lengths make no pair. Keys are
@@ -148,43 +133,39 @@ def near_pairs(rows: DataFrame, key: str = "vec_id", least: float = SCORE, at_on
     first = classes(real, "key").where("key = representative").select("key")
     windows = _kept(real.join(first, "key").select("key", "i", "q"), "windows")
     lengths = [r.n for r in windows.select(F.size("i").alias("n")).distinct().collect()]
-    found = [_pairs(windows.where(F.size("i") == n), n, least, at_once, cell) for n in sorted(lengths)]
+    found = [_pairs(windows.where(F.size("i") == n), least, cell) for n in sorted(lengths)]
     empty = rows.sparkSession.createDataFrame([], "left long, right long, score double")
     for f in found:
         empty = empty.unionByName(f)
     return empty
 
 
-def _pairs(windows: DataFrame, n: int, least: float, at_once: int, most: int) -> DataFrame:
+def _pairs(windows: DataFrame, least: float, most: int) -> DataFrame:
     """``near_pairs`` of different windows of one length."""
-    sample = windows.orderBy(F.xxhash64("key")).limit(SAMPLE).select("i", "q").toPandas()
-    i, q = np.stack(sample.i), np.stack(sample.q)
-    axes = directions(i, q)
-    spread = np.ptp(_spectra(i, q)[1] @ axes.T, axis=0)
     radius = math.sqrt(2 * max(0.0, 1 - least) + 4 * ROOM)
-    # along each direction as many cells as give each about its share of windows, unless the radius is wider; directions along
-    # which spectra spread no more than that can't cut
-    total = windows.count()
-    cells = max(1.0, total / (most / 4)) ** (1 / min(at_once, n))
-    able = int((spread > 4 * radius).sum()) if total > most else 0
     kind = windows.schema["i"].dataType.simpleString()
     schema, pair = f"key long, i {kind}, q {kind}, home boolean, cell long", "left long, right long, score double"
     left = windows.select("key", "i", "q", F.lit(True).alias("home"), F.lit(0).cast("long").alias("cell"))
-    done: list[DataFrame] = []
-    for k in range(0, able, at_once):
-        chosen = np.argsort(-spread, kind="stable")[k : min(k + at_once, able)]
-        side = np.maximum(2 * radius, spread[chosen] / cells * (k == 0))
-        dealt = _kept(left.mapInArrow(_placed(axes[chosen], radius, side), schema), "cells")
+    rows, done = windows.count(), []
+    for level in range(LEVELS if rows > most else 0):
+        few = left.where("home").orderBy(F.xxhash64("key", F.lit(level))).limit(min(CENTRES, max(2, 8 * rows // most))).select("i", "q").toArrow().combine_chunks()
+        if few.num_rows < 2:
+            break
+        centres = _spectra(_stacked(few.to_batches()[0], "i"), _stacked(few.to_batches()[0], "q"))[1]
+        dealt = _kept(left.mapInArrow(_placed(centres, radius), schema), "cells")
         sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.count_if("home").alias("_h")).where("_h > 0 and _n > 1")
-        sizes = _kept(sizes.select("cell", (F.col("_n") > most).alias("_large")), "sizes")
+        sizes = _kept(sizes.select("cell", "_n", (F.col("_n") > most).alias("_large")), "sizes")
+        large = sizes.where("_large").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        if large > 2 * rows:  # the radius is too wide for these centres: cells only repeat their windows
+            break
         small = dealt.join(sizes.where("not _large").select("cell"), "cell").select("*", F.lit(True).alias("guest"), F.col("home").alias("host"))
         done.append(small.groupBy("cell").applyInArrow(_compared(least), pair))
-        left = dealt.join(sizes.where("_large").select("cell"), "cell").select("key", "i", "q", "home", "cell")
-        if sizes.where("_large").isEmpty():
+        left, rows = dealt.join(sizes.where("_large").select("cell"), "cell").select("key", "i", "q", "home", "cell"), large
+        if not large:
             break
-    else:
+    if rows:
         done.append(_blocks(left, most).groupBy("cell", "_h", "_g").applyInArrow(_compared(least), pair))
-    out = done[0]
+    out = done[0] if done else windows.sparkSession.createDataFrame([], pair)
     for d in done[1:]:
         out = out.unionByName(d)
     return out

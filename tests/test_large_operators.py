@@ -18,8 +18,8 @@ def correlation(a, b):
     return min(1.0, np.abs(np.fft.ifft(x * np.conj(y))).max() / (np.linalg.norm(a) * np.linalg.norm(b)))
 
 
-@pytest.mark.parametrize(("least", "cell", "at_once"), [(0.999, 2048, 4), (0.999, 16, 2), (0.99, 8, 3), (0.9999999, 12, 4), (0.7, 40, 4)])
-def test_near_pairs(spark, least, cell, at_once):
+@pytest.mark.parametrize(("least", "cell"), [(0.999, 2048), (0.999, 16), (0.99, 8), (0.9999999, 12), (0.7, 40)])
+def test_near_pairs(spark, least, cell):
     """Shifted, scaled and turned copies with a little noise are found, whatever the cells are."""
     rng = np.random.default_rng(7)
     base = [rng.normal(size=16) + 1j * rng.normal(size=16) for _ in range(90)]
@@ -29,7 +29,7 @@ def test_near_pairs(spark, least, cell, at_once):
     odd = [(2000, None, [1.0] * 16), (2001, [0.0] * 16, [0.0] * 16), (2002, [float("nan")] * 16, [1.0] * 16), (2003, [], []), (2004, [1.0] * 8, [2.0] * 8), (2005, [2.0] * 8, [4.0] * 8), (2006, [1.0], [2.0, 3.0])]
     copies = [(1000 + k, *all_of[i][1:]) for k, i in enumerate((0, 0, 5))]
     df = spark.createDataFrame(all_of + copies + odd, "vec_id long, i array<float>, q array<float>").repartition(5)
-    got = {(r.left, r.right): r.score for r in windows.near_pairs(df, "vec_id", least, at_once, cell).collect()}
+    got = {(r.left, r.right): r.score for r in windows.near_pairs(df, "vec_id", least, cell).collect()}
     z = [np.array(i) + 1j * np.array(q) for _, i, q in all_of]
     want = {(a, b): s for b in range(len(z)) for a in range(b) if (s := correlation(z[a], z[b])) >= least} | {(2004, 2005): 1.0}
     edge = {p for p in set(got) ^ set(want) if p[0] < 2000 and abs(correlation(z[p[0]], z[p[1]]) - least) < 1e-12}
