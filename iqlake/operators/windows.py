@@ -15,7 +15,7 @@ from ..sources.sinks import scratch
 from .dedup import float_digest
 
 #: Least score of a pair; windows of a cell that are compared at once; centres of a level at most; levels at most.
-SCORE, CELL, CENTRES, LEVELS = 0.999, 2048, 1024, 4
+SCORE, CELL, CENTRES, LEVELS = 0.999, 8192, 1024, 4
 #: Room for rounding in bounds that decide what is compared; scores themselves have none.
 ROOM = 1e-9
 
@@ -55,6 +55,15 @@ def visits(spectra: np.ndarray, home: np.ndarray, centres: np.ndarray, radius: f
     return np.concatenate([np.arange(len(own)), row]), np.concatenate([own, cell]), np.concatenate([home, np.zeros(len(row), bool)])
 
 
+def thinned(centres: np.ndarray, apart: float) -> np.ndarray:
+    """Centres of which no two are closer than ``apart``: those of one crowd would all be visited by all of it."""
+    kept = centres[:1]
+    for c in centres[1:]:
+        if ((kept - c) ** 2).sum(1).min() >= apart * apart:
+            kept = np.vstack([kept, c])
+    return kept
+
+
 def _placed(centres: np.ndarray, radius: float):
     """A function that deals rows (key, i, q, home, cell) to the cells of ``centres``, each within the cell that it was in."""
 
@@ -148,10 +157,10 @@ def _pairs(windows: DataFrame, least: float, most: int) -> DataFrame:
     left = windows.select("key", "i", "q", F.lit(True).alias("home"), F.lit(0).cast("long").alias("cell"))
     rows, done = windows.count(), []
     for level in range(LEVELS if rows > most else 0):
-        few = left.where("home").orderBy(F.xxhash64("key", F.lit(level))).limit(min(CENTRES, max(2, 8 * rows // most))).select("i", "q").toArrow().combine_chunks()
-        if few.num_rows < 2:
+        few = left.where("home").orderBy(F.xxhash64("key", F.lit(level))).limit(min(CENTRES, max(2, 4 * rows // most))).select("i", "q").toArrow().combine_chunks()
+        if not few.num_rows:
             break
-        centres = _spectra(_stacked(few.to_batches()[0], "i"), _stacked(few.to_batches()[0], "q"))[1]
+        centres = thinned(_spectra(_stacked(few.to_batches()[0], "i"), _stacked(few.to_batches()[0], "q"))[1], 4 * radius)
         dealt = _kept(left.mapInArrow(_placed(centres, radius), schema), "cells")
         sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.count_if("home").alias("_h")).where("_h > 0 and _n > 1")
         sizes = _kept(sizes.select("cell", "_n", (F.col("_n") > most).alias("_large")), "sizes")
