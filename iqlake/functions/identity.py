@@ -31,10 +31,18 @@ def row_index(m: Column, s: Column, i: Column, n_snr: int, per_cell: int) -> Col
     return ((m * n_snr + s) * per_cell + i).cast("long")
 
 
-def coordinates(row: Column, n_snr: int, per_cell: int) -> Column:
-    """struct(m, s, i): the inverse of ``row_index``. P05."""
-    cell = F.floor(row / per_cell).cast("long")
-    return F.struct(F.floor(cell / n_snr).cast("int").alias("m"), (cell % n_snr).cast("int").alias("s"), (row % per_cell).cast("int").alias("i"))
+def coordinates(row: Column, n_snr: int, per_cell: int, beyond: Column | None = None) -> Column:
+    """struct(m, s, i): the inverse of ``row_index``. P05.
+
+    An index of ``per_cell`` or more reaches into the rows of later cells. ``beyond`` is its number of whole cells, index div
+    ``per_cell``, which the row by itself doesn't tell; without it every index is taken to be below ``per_cell``.
+    """
+    more = F.lit(0).cast("long") if beyond is None else beyond * per_cell
+    own = row - more
+    place = F.pmod(own, F.lit(per_cell))
+    cell = F.floor((own - place) / per_cell).cast("long")
+    s = F.pmod(cell, F.lit(n_snr))
+    return F.struct(F.floor((cell - s) / n_snr).cast("int").alias("m"), s.cast("int").alias("s"), (place + more).cast("int").alias("i"))
 
 
 def snr_key(snr: Column) -> Column:

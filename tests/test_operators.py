@@ -81,6 +81,24 @@ def test_coordinates(spark, m, s, i, row):
     assert got.row == row and tuple(got.c) == (m, s, i)
 
 
+@pytest.mark.parametrize("m,s,i", [(0, 0, 1000), (3, 9, 1999), (9, 7, 12_345), (-1, 4, 2_000), (2, 0, 999)])
+def test_coordinates_of_overfull_cells(spark, m, s, i):
+    row = I.row_index(F.lit(m), F.lit(s), F.lit(i), 10, 1000)
+    assert tuple(one(spark.range(1).select(I.coordinates(row, 10, 1000, F.lit(i // 1000)).alias("c"))).c) == (m, s, i)
+
+
+def test_row_index_roundtrip_of_overfull_cells(spark, sf_dir, tmp_path):
+    from iqlake import plans
+
+    from .parity import connect, same
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 20")
+    e.crossJoin(spark.range(1100).withColumnRenamed("id", "_k")).withColumn("vec_id", F.col("vec_id") + 20 * F.col("_k")).drop("_k").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = connect(sf_dir)
+    con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    same(plans.QUERIES["row_index_roundtrip"](spark, str(tmp_path)), con, plans.ORACLE["row_index_roundtrip"])
+
+
 def test_json_digests_differ_beyond_ascii():
     assert I.json_digest({"b": 1, "a": 2}) == I.json_digest({"a": 2, "b": 1}, ascii_only=False)
     assert I.json_digest("é") != I.json_digest("é", ascii_only=False)
