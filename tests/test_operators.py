@@ -190,6 +190,27 @@ def test_bootstrap_of_a_constant_difference_is_degenerate(spark):
         assert {r.d / r.n for r in b.collect()} == {1.0} and b.count() == 8
 
 
+def test_hash_bootstrap_deals_runs_of_slots(spark, monkeypatch):
+    monkeypatch.setattr(resample, "SLOTS", 3, raising=False)
+    hits = lambda m, s, i: (i * (3 if m == "a" else 5) + s) % 4 > 1
+    rows = replay(spark, [(m, s, i, i % 2, i % 2 if hits(m, s, i) else 9, -10 if i < 17 else 4) for m in "ab" for s in (1, 2, 3) for i in range(31)])
+    strata = collections.defaultdict(list)
+    for s in (1, 2, 3):
+        for i in range(31):
+            strata[s, i % 2, -10 if i < 17 else 4].append(hits("a", s, i) - hits("b", s, i))
+    digest = lambda *key: int(hashlib.md5(":".join(map(str, (2026, *key))).encode()).hexdigest()[:8], 16)
+    want = collections.defaultdict(lambda: [0, 0])
+    for b in range(5):
+        for slot in range(3):
+            for (s, target, snr), d in strata.items():
+                for p in range(len(d)) if s == (1, 2, 3)[digest(b, slot) % 3] else ():
+                    want[b, snr][0] += sorted(d)[digest(b, slot, target, snr, p) % len(d)]
+                    want[b, snr][1] += 1
+    b = resample.hash_bootstrap(resample.differences(rows, "a", "b"), [1, 2, 3], 5)
+    assert {(r.b, r.snr_db): [r.d, r.n] for r in b.collect()} == want
+    assert "REPARTITION_BY_NUM" in b._jdf.queryExecution().executedPlan().toString()  # else slots stay in the few tasks that the strata are in
+
+
 def test_donors_keep_batches_and_are_a_permutation(spark):
     rows = spark.range(10).select("id", F.lit(0).alias("g"))
     d = interventions.donors(interventions.positions(rows, "g", "id", 4), "g", "id", 13).collect()
