@@ -17,20 +17,24 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from .files import CHUNK, DECLARED, MEMBERS, UNSAFE, file_system
 
 SCHEMA = "path string, member string, size long, kind string, sha256 string"
+#: Bytes of archives in a partition at most, but for a single larger one; bytes that opening another archive counts as.
+PARTITION, OPENING = 8 << 20, 64 << 10
 
 
-class _Archive(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Archives(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
-    """One partition per archive. Equal-to, in and starts-with filters on ``path`` choose archives, those on ``member`` members."""
+    """Small archives share a partition, as many as make PARTITION bytes or an even share of all. Equal-to, in and starts-with
+    filters on ``path`` choose archives, those on ``member`` members."""
 
     def __init__(self, options: dict):  # keys in lower case
         self.root, self.glob = options["path"], options.get("pathglobfilter", "*")
         self.members, self.declared = int(options.get("members", MEMBERS)), int(options.get("declared", DECLARED))
         self.digests = options.get("digests", "true").lower() == "true"
+        self.most, self.parallelism = int(options.get("partitionbytes", PARTITION)), int(options.get("parallelism", 1))
         self.wanted: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
@@ -55,19 +59,29 @@ class _Reader(DataSourceReader):
         info = store.get_file_info(root)
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
         prefix = "file:" if isinstance(store, fs.LocalFileSystem) else f"{self.root.split('://')[0]}://"
-        paths = sorted(prefix + f.path for f in found if f.is_file and fnmatch(f.base_name, self.glob) and not f.base_name.startswith(("_", ".")))
-        return [_Archive(p) for p in paths if self._passes("path", p)] or [_Archive("")]
-
-    def read(self, partition: _Archive) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        store, path = file_system(partition.path)
+        named = ((prefix + f.path, f.size + OPENING) for f in found if f.is_file and fnmatch(f.base_name, self.glob) and not f.base_name.startswith(("_", ".")))
+        sizes = sorted((p, n) for p, n in named if self._passes("path", p))
+        most, room, parts = min(self.most, sum(n for _, n in sizes) // self.parallelism), 0, []
+        for p, n in sizes:
+            if n > room:
+                parts.append(_Archives([]))
+                room = most
+            parts[-1].paths.append(p)
+            room -= n
+        return parts or [_Archives([])]
+
+    def read(self, partition: _Archives) -> Iterator[tuple]:
+        for path in partition.paths:
+            yield from self._read(path)
+
+    def _read(self, name: str) -> Iterator[tuple]:
+        store, path = file_system(name)
         n = declared = 0
         with store.open_input_stream(path, buffer_size=CHUNK) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
             for m in tar:
                 n, declared = n + 1, declared + m.size
                 if n > self.members or declared > self.declared:
-                    raise ValueError(f"{partition.path} has more members or bytes than allowed")
+                    raise ValueError(f"{name} has more members or bytes than allowed")
                 if not self._passes("member", m.name):
                     continue
                 digest = None
@@ -76,14 +90,15 @@ class _Reader(DataSourceReader):
                     while piece := body.read(CHUNK):
                         sha.update(piece)
                     digest = sha.hexdigest()
-                yield partition.path, m.name, m.size, "file" if m.isfile() else "dir" if m.isdir() else "other", digest
+                yield name, m.name, m.size, "file" if m.isfile() else "dir" if m.isdir() else "other", digest
 
 
 class TarSource(DataSource):
     """``tar_members``: (path, member, size, kind, sha256) of the members of all archives below ``path``, compressed or not.
 
     Options: path, pathGlobFilter, members and declared (limits per archive, beyond which it raises), digests (false: sha256 is null and
-    content is skipped). An archive is read from its beginning to its end, CHUNK bytes at a time, whatever its size.
+    content is skipped), partitionBytes (of archives at most that share a partition), parallelism (partitions at least, if there
+    are archives enough). An archive is read from its beginning to its end, CHUNK bytes at a time, whatever its size.
     """
 
     @classmethod
@@ -101,6 +116,7 @@ def tar_members(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """The source's rows with ``safe``: whether the member may be unpacked, by its path and kind. S02, S03."""
     spark.dataSource.register(TarSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"parallelism": spark.sparkContext.defaultParallelism, **options}
     rows = spark.read.format("tar_members").options(path=path, **{k: str(v) for k, v in options.items()}).load()
     return rows.withColumn("safe", ~F.col("member").rlike(UNSAFE) & F.col("kind").isin("file", "dir"))
 

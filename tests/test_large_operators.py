@@ -247,6 +247,17 @@ def test_written_archives_hold_every_row(spark, tmp_path):
     assert not [p for p in (tmp_path / "a").iterdir() if p.name.startswith(".") and p.name.endswith(".bz2")]
 
 
+def test_small_archives_share_partitions(spark, tmp_path):
+    rows = [(f"d/{i}", bytes([i % 256]) * i) for i in range(90)]
+    archives.write_archives(spark.createDataFrame(rows, "member string, content binary").repartition(3), f"file://{tmp_path}/a", members=2)
+    read = lambda **options: archives.tar_members(spark, f"file://{tmp_path}/a", pathGlobFilter="*.bz2", **options)
+    assert len({r.path for r in read().collect()}) >= 45
+    for options, least, most in (({}, 4, 5), ({"parallelism": 10}, 10, 12), ({"partitionBytes": 4 * archives.OPENING + 4096}, 11, 15), ({"partitionBytes": 1}, 45, 48)):
+        got = read(**options)
+        assert least <= got.rdd.getNumPartitions() <= most
+        assert sorted((r.member, r.sha256) for r in got.collect()) == sorted((m, hashlib.sha256(c).hexdigest()) for m, c in rows)
+
+
 def test_leases_fence_off_late_writers(spark, tmp_path):
     path, rows = f"file://{tmp_path}/table", spark.range(3)
     assert leases.published(spark, path) is None
