@@ -289,6 +289,29 @@ def test_float_digests_are_those_of_the_bytes(spark, sf_dir):
     assert leak.rows == sum(m for m in n.values() if m > 1)
 
 
+def test_large_files_are_digested_by_ranges(spark, tmp_path, monkeypatch):
+    for name, value in (("WHOLE", 5000), ("RANGE", 40_000), ("PIECE", 900)):
+        monkeypatch.setattr(files, name, value, raising=False)
+    rng = np.random.default_rng(3)
+    noise = rng.integers(0, 256, 150_000, np.uint8).tobytes()
+    held = {
+        "a.bin": noise, "b.bin": noise[:50_000] + b"\n", "c.bin": b"\xef\xbb\xbf" + noise[:20_000], "d.bin": b"\xef\xbb\xbf" + b"\n" * 9000, "e.bin": b"\0" * 120_000, "f.bin": b"\n" * 100_001,
+        "g.bin": b"\r\n" * 30_000 + b"\r", "h.gz": noise[:70_000], "i j%20.bin": noise[5:60_000], "small": b"x", "edge": b"y" * 5000, "over": b"y" * 5001,
+    }
+    for name, raw in held.items():
+        (tmp_path / name).write_bytes(raw)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "70000")  # reading more at once raises
+    try:
+        got = files.listing(spark, f"file://{tmp_path}")
+        assert {os.path.basename(r.path): (r.size, r.sha256) for r in got.collect()} == {n: (len(raw), hashlib.sha256(raw).hexdigest()) for n, raw in held.items()}
+        sizes = spark.createDataFrame([(n, len(raw)) for n, raw in held.items()], "name string, want long")
+        assert got.join(sizes, F.element_at(F.split("path", "/"), -1) == F.col("name")).where("size = want").count() == len(held)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_bindings_are_verified(spark, sf_dir):
     from iqlake import plans
 
