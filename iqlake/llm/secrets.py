@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import steps
 
-#: The base patterns by kind, the group that is the secret, its least number of characters.
+#: The base patterns by kind, the group that is the secret itself, its least number of characters.
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
@@ -190,25 +190,28 @@ def _cheapest(value: str, known: Words, given: Mapping[int, list[tuple[int, floa
     return best[n]
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the base patterns' finds, leftmost first per kind; those that are too short are dropped."""
-    return [(kind, *m.span(group)) for kind, pattern, group, least in BASE for m in pattern.finditer(text) if len(m[group]) >= least]
+def base_spans(text: str) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, value) of the base patterns' matches, leftmost first per kind; those whose secret is too short are dropped.
+
+    value: where the secret itself begins; it ends with the match.
+    """
+    return [(kind, *m.span(), m.start(group)) for kind, pattern, group, least in BASE for m in pattern.finditer(text) if len(m[group]) >= least]
 
 
-def spans_of(text: str, known: Words, bits: float = BITS) -> list[tuple[str, int, int, float | None]]:
+def spans_of(text: str, known: Words, bits: float = BITS) -> list[tuple[str, int, int, int, float | None]]:
     """All spans of a text in order of start, then kind: base ones, and values in credential contexts with so many bits.
 
-    A value that lies within one base span is known already and isn't added again.
+    A value that lies within one base find's secret is known already and isn't added again.
     """
     base = base_spans(text)
-    found: dict[tuple[str, int, int], float | None] = {(k, a, b): None for k, a, b in base}
-    inside = _covers(base)
+    found: dict[tuple[str, int, int], tuple[int, float | None]] = {(k, a, b): (v, None) for k, a, b, v in base}
+    inside = _covers([(k, v, b) for k, _, b, v in base])
     for pattern in CONTEXTS:
         for m in pattern.finditer(text):
             a, b = m.span(1)
             if not inside(a, b) and (cost := guess_bits(m[1], known)) >= bits:
-                found[GUESS, a, b] = cost
-    return [(*key, cost) for key, cost in sorted(found.items(), key=lambda e: (e[0][1], KINDS.index(e[0][0]), e[0][2]))]
+                found[GUESS, a, b] = a, cost
+    return [(*key, *rest) for key, rest in sorted(found.items(), key=lambda e: (e[0][1], KINDS.index(e[0][0]), e[0][2]))]
 
 
 def _covers(spans: list[tuple[str, int, int]]):
@@ -220,7 +223,7 @@ def _covers(spans: list[tuple[str, int, int]]):
     return lambda a, b: bool(k := bisect_right(starts, a)) and reach[k - 1] >= b
 
 
-_SPANS = "doc_id long, spans array<struct<kind:string,start:int,stop:int,bits:double>>"
+_SPANS = "doc_id long, spans array<struct<kind:string,start:int,stop:int,value:int,bits:double>>"
 
 
 def scan(docs: DataFrame, words: str | None = None, bits: float = BITS) -> DataFrame:
@@ -232,12 +235,13 @@ def scan(docs: DataFrame, words: str | None = None, bits: float = BITS) -> DataF
     brute-force spans that are cheapest to guess, and is a secret if that takes 2 to the power of ``bits`` guesses or more.
     ``words``: a ``tokenizers`` file whose words, in order of merging, are the word list after COMMON; every machine has it.
 
-    Returns (doc_id, spans): spans holds (kind, start, stop, bits) in code points, stop exclusive, in order of start and kind; bits is
+    Returns (doc_id, spans): spans holds (kind, start, stop, value, bits) in code points, stop exclusive, in order of start and kind.
+    A base span is the whole match, name and sign included; value is where the secret itself begins, which ends at stop; bits is
     null for base spans; no two are equal. Null and empty texts have none. Each row stands for itself, repeated ids too. Bytes
     that aren't UTF-8 count as one character each. An empty table gives no rows; other columns are not looked at. The work is
     linear in a text's length, whatever it holds.
     """
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("bits", pa.float64())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.int32()), ("bits", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_list(words)
@@ -251,7 +255,7 @@ def scan(docs: DataFrame, words: str | None = None, bits: float = BITS) -> DataF
                 rows = [[]] * len(texts)
                 for k in pc.indices_nonzero(hit).to_pylist():
                     found = spans_of(texts[k].as_py().decode("utf-8", "replace"), known, bits)
-                    rows[k] = [{"kind": t, "start": a, "stop": b, "bits": c} for t, a, b, c in found]
+                    rows[k] = [{"kind": t, "start": a, "stop": b, "value": v, "bits": c} for t, a, b, v, c in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SPANS)
